@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontamination, language_id, minhash_dedup, quality_rules, substring_dedup, token_counts, toxicity
+from leafmill.llm import decontamination, language_id, minhash_dedup, mixing, quality_rules, substring_dedup, token_counts, toxicity
 
 TOKEN_MODEL = "piece_bpe_32k.model"
 
@@ -29,6 +29,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(TOKEN_MODEL))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "size", "source_size", "target", "taken", "copies", "rate"]
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(columns)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -53,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_near_dedup": op7_near_dedup,
