@@ -254,3 +254,15 @@ def _classes(rows: DataFrame) -> DataFrame:
         (F.coalesce("keep", "node") == F.col("node")).alias("first"),
         "node",
     )
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays for each class of near duplicates."""
+    kept = near_duplicates(docs, doc_id, text).where("first").groupBy("node").agg(F.count("*").alias("n"))
+    kept = written(kept.select(F.col("node.doc").alias("doc"), F.col("node.tie").alias("tie"), "n"), "kept")
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc")
+    rows = docs.select(F.struct("*").alias("row"), doc, F.hash(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    once = attach(rows, kept, ["doc", "tie"], "inner")
+    if not kept.where("n > 1").isEmpty():  # the same row several times
+        once = once.where("n = 1").unionByName(once.where("n > 1").dropDuplicates(["doc", "tie"]))
+    return once.select("row.*")

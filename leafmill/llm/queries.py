@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontamination, language_id, minhash_dedup, mixing, quality_rules, substring_dedup, token_counts, toxicity
+from leafmill.llm import decontamination, language_id, minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, token_counts, token_output, toxicity
 
 TOKEN_MODEL = "piece_bpe_32k.model"
+OUTPUT_VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +44,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(docs, benchmark))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer(OUTPUT_VOCABULARY))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,15 +64,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
     "op3_source_mixing": op3_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_secret_scan": op6_secret_scan,
     "op7_near_dedup": op7_near_dedup,
+    "op8_token_output": op8_token_output,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 OP4_SQL = r"""
