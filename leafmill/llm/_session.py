@@ -32,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a written right side: broadcast while its counted rows stay under the bound, shuffled beyond."""
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = most > 0 and right.limit(most + 1).count() <= most
     return left.join(F.broadcast(right) if small else right.hint("merge"), list(on), how)

@@ -152,14 +152,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     schema = "hash long, doc long, tie int, at int, several boolean"
     anchors = rows.mapInArrow(_anchor_rows(size, window), schema)
     counted = anchors.groupBy("hash").agg(
-        F.min(place).alias("least"), F.max(place).alias("most"), F.max("several").alias("several")
+        F.min("doc").alias("d"), F.max("doc").alias("e"), F.min("tie").alias("t"), F.max("tie").alias("u"), F.max("several").alias("several")
     )
-    again = written(counted.where("several OR least < most").select("hash"), "anchors")
-    survivors = attach(anchors.select("hash", *KEY, "at"), again, ["hash"], "left_semi")
+    again = written(counted.where("several OR d < e OR t < u").select("hash"), "anchors")
+    survivors = attach(anchors.select("hash", *KEY, "at"), again, ["hash"], "left_semi", most=0)
     survivors = written(survivors.groupBy(*KEY).agg(F.collect_list("at").alias("ats")), "survivors")
     full = attach(rows, survivors, KEY, "inner").select(*KEY, "text", "ats")
     found = full.mapInArrow(_window_rows(size, window), "high long, low int, doc long, tie int, at int")
-    return docs, copies, written(found, "windows")
+    return docs, copies, found
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     docs, copies, found = repeated_windows(docs, window)
     place = F.struct(*KEY, "at")
     firsts = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = attach(found, written(firsts, "firsts"), ["high", "low"], "inner").where(place > F.col("first"))
+    later = attach(found, written(firsts, "firsts"), ["high", "low"], "inner", most=0).where(place > F.col("first"))
     later = later.groupBy(*KEY).agg(F.collect_set("at").alias("ats"), F.lit(False).alias("copy"))
     marks = later.unionByName(copies.select(*KEY, F.array().cast("array<int>").alias("ats"), F.lit(True).alias("copy")))
     marked = attach(docs, written(marks, "marks"), KEY, "left")
