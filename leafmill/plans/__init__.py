@@ -1,7 +1,7 @@
 """The registered queries of the library and their SQL, by topic."""
 
-from leafmill.plans import jobs, markdown
+from leafmill.plans import jobs, markdown, retrieval
 
-_TOPICS = (jobs, markdown)
+_TOPICS = (jobs, markdown, retrieval)
 QUERIES = {name: f for topic in _TOPICS for name, f in topic.QUERIES.items()}
 ORACLES = {name: sql for topic in _TOPICS for name, sql in topic.ORACLES.items()}
