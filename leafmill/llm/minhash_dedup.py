@@ -38,6 +38,7 @@ SIMILARITY = 0.8
 ROUNDS = 3
 #: Equal sketches that a pair needs to be compared outside a star; of SKETCHES, a pair at SIMILARITY has 10.
 LEAST_EQUAL = 2
+BLOCK = 32  # texts
 LAST = 2**63 - 1
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -193,34 +194,58 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             open_buckets = written(centres.where("least != most").select("band", "value", "c"), "centres")
             near = known.join(open_buckets.hint("merge"), ["band", "value"]).where((F.col("label") != F.col("c.label")) & _alike_in_size(F.col("n"), F.col("c.n")))
             pairs = near.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
+            new = verified(pairs, kmers)
         else:
-            pairs = _apart(known, rows)
-        new = verified(pairs, kmers)
+            new = _apart(known, rows)
         links = links.unionByName(new)
         labels = written(components(links), "labels")
     return links, labels
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a member of a bucket and the outsiders of one block of the same bucket."""
+    for batch in batches:
+        a, b = [], []
+        sketches_ = np.asarray(batch.column("sketches").flatten()).reshape(-1, SKETCHES)
+        column = {c: batch.column(c).to_pylist() for c in ("band", "node", "n", "label", "outside", "block")}
+        kmers = batch.column("kmers")
+        for i, block in enumerate(column["block"]):
+            node, n, own = column["node"][i], column["n"][i], None
+            for other in block:
+                if other["label"] == column["label"][i] or min(n, other["n"]) < SIMILARITY * max(n, other["n"]):
+                    continue
+                if column["outside"][i] and tuple(node.values()) < tuple(other["node"].values()):
+                    continue  # two outsiders meet twice
+                equal = sketches_[i] == np.array(other["sketches"], np.int32)
+                if equal.sum() < LEAST_EQUAL or equal.argmax() != column["band"][i]:
+                    continue  # too unlike, or compared in an earlier bucket
+                own = np.frombuffer(kmers[i].as_py(), "<u4") if own is None else own
+                if similarity(own, np.frombuffer(other["kmers"], "<u4")):
+                    a.append(node)
+                    b.append(other["node"])
+        kind = batch.column("node").type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+
 def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of the same bucket in different classes, each once, that lengths and equal sketches allow."""
-    classes = known.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    open_buckets = written(classes.where("least != most").select("band", "value"), "open")
-    left = attach(known, open_buckets, ["band", "value"], "left_semi")
-    left = left.join(rows.select("node", "sketches"), "node").select("band", "value", "node", "n", "label", "sketches")
-    left = written(left, "apart")
-    a, b = left.alias("x"), left.alias("y")
-    equal = F.zip_with("x.sketches", "y.sketches", lambda p, q: p == q)
-    met = a.join(
-        b,
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.value") == F.col("y.value"))
-        & (F.col("x.node") > F.col("y.node"))
-        & (F.col("x.label") != F.col("y.label"))
-        & _alike_in_size(F.col("x.n"), F.col("y.n"))
-        & (F.array_position(equal, True) == F.col("x.band") + 1)
-        & (F.size(F.filter(equal, lambda e: e)) >= LEAST_EQUAL),
-    )
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    """Links between members of one bucket that are still in different classes.
+
+    The outsiders of a bucket (all but its commonest class) form blocks of about BLOCK; every member meets
+    every block, so no pair is left out and only links are emitted.
+    """
+    bucket = ["band", "value"]
+    sizes = known.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
+    open_buckets = sizes.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"))
+    open_buckets = written(open_buckets.where("outsiders > 0"), "open")
+    members = known.select(*bucket, "node", "n", "label").join(open_buckets.hint("merge"), bucket)
+    members = members.join(rows.select("node", "sketches", "kmers"), "node").withColumn("outside", F.col("label") != F.col("main"))
+    members = written(members, "apart")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("outsiders") / BLOCK)).alias("part")
+    blocks = members.where("outside").select(*bucket, part, F.struct("node", "n", "label", "sketches", "kmers").alias("o"))
+    blocks = blocks.groupBy(*bucket, "part").agg(F.collect_list("o").alias("block"))
+    met = members.select(*bucket, "node", "n", "label", "outside", "sketches", "kmers").join(blocks.select(*bucket, "block"), bucket)
+    node = known.schema["node"].dataType.simpleString()
+    return written(met.mapInArrow(_compare, f"a {node}, b {node}"), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
