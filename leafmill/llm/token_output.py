@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,10 @@ from leafmill.llm._session import shared_dir, written
 END_ID = 1
 SHARD_BYTES = 4 << 20
 PARTITION_ROWS = 20_000
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 LEVELS = 48
-_PART = re.compile(r"[^ \t-\r]+")
+#: A run of Latin letters before a blank or an ASCII mark, or what else there is up to a blank.
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-\x7f]|\Z)|[^ \t-\r]+")
 SCHEMA = "first_key long, null_key boolean, n_docs long, n_tokens long, width int, keys binary, lengths binary, levels binary, bits binary, fingerprints binary, offsets binary, ids binary"
 
 
@@ -88,45 +90,41 @@ class PerfectHash:
 
 
 class Encoder:
-    """Ids of whole texts; blank-delimited parts are encoded once and remembered.
+    """Ids of whole texts as bytes; parts of texts are encoded once and remembered.
 
-    The vocabulary drops white space and never joins across it, so the parts of a text can be encoded apart.
+    The vocabulary drops white space, never joins across it, and keeps letters apart from other characters,
+    so a text can be cut there and its ids are those of its parts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._seen: dict[str, list[int]] = {}
+        self.width = 2 if self._tokenizer.get_vocab_size() <= 65_536 else 4
+        self._code = "H" if self.width == 2 else "I"
+        self._end = array(self._code, [END_ID]).tobytes()
+        self._seen: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The little-endian ids of each text with the end id."""
         seen = self._seen
         split = [_PART.findall(t) if t else [] for t in texts]
-        new = list({p for parts in split for p in parts if p not in seen})
+        new = list(set().union(*split) - seen.keys())
         if len(seen) + len(new) > REMEMBERED:
             seen.clear()
-            new = list({p for parts in split for p in parts})
-        for start in range(0, len(new), 20_000):
-            block = new[start : start + 20_000]
+            new = list(set().union(*split))
+        for start in range(0, len(new), 5_000):
+            block = new[start : start + 5_000]
             for part, coded in zip(block, self._tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                seen[part] = coded.ids
-        out = []
-        for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                ids += seen[p]
-            ids.append(END_ID)
-            out.append(np.array(ids, "<u4"))
-        return out
+                seen[part] = array(self._code, coded.ids).tobytes()
+        return [b"".join([seen[p] for p in parts]) + self._end for parts in split]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _shard(keys: list[int | None], ids: list[np.ndarray]) -> dict:
-    lengths = np.array([len(x) for x in ids], "<i4")
-    payload = np.concatenate(ids)
-    width = 2 if payload.max(initial=0) < 65_536 else 4
+def _shard(keys: list[int | None], ids: list[bytes], width: int) -> dict:
+    lengths = np.array([len(x) // width for x in ids], "<i4")
     known = np.array([0 if k is None else k for k in keys], "<i8")
     named = known[np.array([k is not None for k in keys], bool)]
     offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[:-1]
@@ -140,7 +138,7 @@ def _shard(keys: list[int | None], ids: list[np.ndarray]) -> dict:
         "first_key": None if keys[0] is None else int(known[0]), "null_key": keys[0] is None, "n_docs": len(keys), "n_tokens": int(lengths.sum()),
         "width": width, "keys": struct.pack("<q", len(known) - len(named)) + named.tobytes(), "lengths": lengths.tobytes(),
         "levels": hashed.levels.tobytes(), "bits": hashed.bits.tobytes(), "fingerprints": marks.tobytes(), "offsets": places.tobytes(),
-        "ids": payload.astype(f"<u{width}").tobytes(),
+        "ids": b"".join(ids),
     }
 
 
@@ -166,13 +164,13 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
                 coded = encoder(part.to_pylist())
                 for key, found in zip(batch.column("key").slice(start, len(part)).to_pylist(), coded, strict=True):
                     if size >= shard_bytes and key != keys[-1]:
-                        yield pa.RecordBatch.from_pylist([_shard(keys, ids)], schema)
+                        yield pa.RecordBatch.from_pylist([_shard(keys, ids, encoder.width)], schema)
                         keys, ids, size = [], [], 0
                     keys.append(key)
                     ids.append(found)
-                    size += 2 * len(found)
+                    size += len(found)
         if keys:
-            yield pa.RecordBatch.from_pylist([_shard(keys, ids)], schema)
+            yield pa.RecordBatch.from_pylist([_shard(keys, ids, encoder.width)], schema)
 
     ordered.mapInArrow(encode, SCHEMA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(SCHEMA).parquet(path)
