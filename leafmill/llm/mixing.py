@@ -28,7 +28,7 @@ CAP = 2.0
 STEPS = 40
 UNROLLED = 4  # Newton steps in one job
 TOLERANCE = 1e-9
-PASSES, LEVELS, BINS = 3, 2, 65_536
+PASSES, LEVELS, BINS = 2, 2, 65_536
 LARGEST = 60.0  # of an exponent
 
 
@@ -72,12 +72,13 @@ def multipliers(counts: DataFrame, wanted: DataFrame, cap: float = CAP, steps: i
     for step in range(1, steps + 1):
         x = F.col("size") / F.col("scale")
         rate = F.least(F.exp(F.greatest(-span, F.least(span, F.col("l") * x))), F.lit(cap))
-        rows = counts.join(state.where("NOT done").withColumnRenamed("source", "s"), _same("source", "s"))
-        sums = rows.groupBy("source").agg(
+        rows = counts.join(state.withColumnRenamed("source", "s"), _same("source", "s"))
+        kept = [F.first(c).alias(c) for c in ("source_size", "target", "scale", "l", "low", "high", "done")]  # one value a source
+        moved = rows.groupBy("source").agg(
             F.sum(rate * F.col("size") * F.col("n")).alias("taken"),
             F.sum(F.when(rate < cap, rate * x * F.col("size") * F.col("n")).otherwise(0.0)).alias("slope"),
+            *kept,
         )
-        moved = state.join(sums.withColumnRenamed("source", "s"), _same("source", "s"), "left")
         gap = F.col("taken") - F.col("target")
         low, high = F.when(gap < 0, F.col("l")).otherwise(F.col("low")), F.when(gap > 0, F.col("l")).otherwise(F.col("high"))
         newton = F.when(F.col("slope") > 0, F.col("l") - gap / F.col("slope"))
@@ -143,7 +144,8 @@ def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
                 (F.col("low") + F.coalesce("p.bin", F.lit(BINS)) * F.col("width") / BINS).alias("low"),
                 (F.col("width") / BINS).alias("width"),
             )
-        state = written(state.select(*fixed, F.col("low").alias(f"shift{k}"), F.col("need").alias(f"gap{k + 1}")), "shift")
+            state = written(state, "shift")
+        state = state.select(*fixed, F.col("low").alias(f"shift{k}"), F.col("need").alias(f"gap{k + 1}"))
     return state
 
 
