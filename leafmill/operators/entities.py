@@ -35,11 +35,9 @@ def resolve_codes(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
 def grams(text: Column, low: int, high: int) -> Column:
     """All substrings of `low` to `high` characters, blanks collapsed and lower-cased."""
     t = F.lower(F.regexp_replace(text, r"\s\s+", " "))
-    parts = [
-        F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substring(t, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
+    none = F.array().cast("array<string>")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+    parts = [F.when(F.length(t) >= n, cut(n)).otherwise(none) for n in range(low, high + 1)]
     return F.concat(*parts)
 
 

@@ -26,7 +26,7 @@ def map_model(df: DataFrame, load: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(key, v): L2-normalised counts of hashed character 3-grams, an embedding without a model."""
+    """(key, v): L2-normalised counts of hashed character 3-grams of names and lines, an embedding without a model."""
     places = df.select(key, F.explode(grams(F.col(text), 3, 3)).alias("g")).groupBy(key, F.pmod(F.xxhash64("g"), F.lit(size)).cast("int").alias("k")).agg(F.count("*").alias("n"))
     gathered = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0)) / F.col("norm"))

@@ -28,8 +28,8 @@ def chunk_records(spark: SparkSession, d: str) -> DataFrame:
 
 REC = """r AS (SELECT o_custkey AS record, o_orderkey AS chunk, CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS scalar, o_orderstatus AS s, o_orderpriority AS p FROM orders),
  sc AS (SELECT record, arg_max(scalar, chunk) AS value FROM r WHERE scalar IS NOT NULL AND scalar <> 'n/a' GROUP BY 1),
- it AS (SELECT record, item, min((chunk, pos)) AS at FROM (SELECT record, chunk, 0 AS pos, s AS item FROM r UNION ALL SELECT record, chunk, 1, substr(p, 1, 1) FROM r) GROUP BY 1, 2),
- li AS (SELECT record, list(item ORDER BY at) AS value FROM it GROUP BY 1),
+ it AS (SELECT record, item, min((chunk, pos)) AS place FROM (SELECT record, chunk, 0 AS pos, s AS item FROM r UNION ALL SELECT record, chunk, 1, substr(p, 1, 1) FROM r) GROUP BY 1, 2),
+ li AS (SELECT record, list(item ORDER BY place) AS value FROM it GROUP BY 1),
  mp AS (SELECT record, name, arg_max(v, chunk) AS value FROM (SELECT record, chunk, s AS name, CASE WHEN chunk % 4 <> 0 THEN p END AS v FROM r UNION ALL SELECT record, chunk, 'all', s FROM r) WHERE v IS NOT NULL GROUP BY 1, 2)"""
 
 
@@ -141,9 +141,9 @@ def contrast_stretch(spark, d):
     return pixels(spark, d).select("vec_id", F.round(F.aggregate(I.stretch(F.col("px")), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
-@register(f"""WITH {PX}, s AS (SELECT vec_id, r, list_sum(px[r * 8 + 1:r * 8 + 8]) AS t FROM px, range(8) q(r)) SELECT vec_id, round(var_pop(t), 3) AS variance FROM s GROUP BY 1""")
+@register(f"""WITH {PX}, s AS (SELECT vec_id, r, list_sum(px[r * 8 + 1:r * 8 + 8]) AS t FROM px, range(8) q(r)) SELECT vec_id, round(var_pop(t), 6) AS variance FROM s GROUP BY 1""")
 def projection_variance(spark, d):
-    return pixels(spark, d).select("vec_id", F.round(I.projection_variance(F.col("px"), 8, 8), 3).alias("variance"))
+    return pixels(spark, d).select("vec_id", F.round(I.projection_variance(F.col("px"), 8, 8), 6).alias("variance"))
 
 
 @register("""WITH r AS (SELECT l_orderkey AS page, l_linenumber AS c, max(l_discount * 10) AS s FROM lineitem GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s DESC, c) AS n, lead(s) OVER (PARTITION BY page ORDER BY s DESC, c) AS nx FROM r)
@@ -174,7 +174,8 @@ def prompt_rows(spark, d):
     return M.prompts(rows, templates, "kind").select("id", "prompt")
 
 
-@register("SELECT doc_id, 1.0 AS norm FROM documents WHERE length(text) >= 3")
+@register("SELECT p_partkey, 1.0 AS norm FROM part")
 def hashed_embeddings(spark, d):
-    v = M.hashed_embedding(table(spark, d, "documents").where(F.length("text") >= 3), "doc_id", "text")
-    return v.select("doc_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+    """Unit vectors of part names."""
+    v = M.hashed_embedding(table(spark, d, "part"), "p_partkey", "p_name")
+    return v.select("p_partkey", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
