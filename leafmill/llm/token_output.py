@@ -17,11 +17,11 @@ texts are empty and consist of the end id alone.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +36,11 @@ from leafmill.llm._session import shared_dir, written
 END_ID = 1
 SHARD_BYTES = 4 << 20
 PARTITION_ROWS = 20_000
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 LEVELS = 48
+_WORD = re.compile(r"[^ \t-\r]+")
+#: Characters that str.split takes for blanks and the vocabulary doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
 #: A run of Latin letters before a blank or an ASCII mark, or what else there is up to a blank.
 _PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\x00-\x7f]|\Z)|[^ \t-\r]+")
 SCHEMA = "first_key long, null_key boolean, n_docs long, n_tokens long, width int, keys binary, lengths binary, levels binary, bits binary, fingerprints binary, offsets binary, ids binary"
@@ -97,28 +100,52 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 65_536 else 4
-        self._code = "H" if self.width == 2 else "I"
-        self._end = array(self._code, [END_ID]).tobytes()
+        self._end = np.array([END_ID], f"<u{self.width}").tobytes()
+        self._closes = np.zeros(1 + max(self._tokenizer.get_vocab().values()), bool)  # ids that end a word
+        self._closes[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._seen: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The little-endian ids of each text with the end id."""
         seen = self._seen
-        split = [_PART.findall(t) if t else [] for t in texts]
-        new = list(set().union(*split) - seen.keys())
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list(set().union(*split))
-        for start in range(0, len(new), 5_000):
-            block = new[start : start + 5_000]
-            for part, coded in zip(block, self._tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                seen[part] = array(self._code, coded.ids).tobytes()
+        split = [[] if not t else _WORD.findall(t) if _ODD.search(t) else t.split() for t in texts]
+        new = set().union(*split) - seen.keys()
+        if len(seen) + 2 * len(new) > REMEMBERED:  # what these texts use stays, so common words do
+            self._seen = seen = {p: seen[p] for p in set().union(*split) - new}
+        self._learn(sorted(new))
         return [b"".join([seen[p] for p in parts]) + self._end for parts in split]
 
+    def _learn(self, words: list[str]) -> None:
+        seen = self._seen
+        parts = [_PART.findall(w) for w in words]
+        fresh = sorted(set().union(*parts) - seen.keys()) if parts else []
+        letters = [p for p in fresh if p[0].isalpha() and _PART.fullmatch(p) and p.isalpha()]
+        rows = [letters[i : i + 50] for i in range(0, len(letters), 50)]
+        alone = sorted(set(fresh).difference(letters))
+        for row, ids in zip(rows, self._encode([" ".join(r) for r in rows]), strict=True):
+            ends = np.flatnonzero(self._closes[ids]) + 1
+            if len(ends) == len(row):  # each run of letters is one word to the vocabulary
+                data, w = ids.tobytes(), self.width
+                for part, a, b in zip(row, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    seen[part] = data[a * w : b * w]
+            else:
+                alone += row
+        for part, ids in zip(alone, self._encode(alone), strict=True):
+            seen[part] = ids.tobytes()
+        for word, found in zip(words, parts, strict=True):
+            if len(found) > 1:
+                seen[word] = b"".join([seen[p] for p in found])
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for start in range(0, len(texts), 2_000):
+            for coded in self._tokenizer.encode_batch_fast(texts[start : start + 2_000], add_special_tokens=False):
+                yield np.array(coded.ids, f"<u{self.width}")
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -135,7 +162,7 @@ def _shard(keys: list[int | None], ids: list[bytes], width: int) -> dict:
     marks, places = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<i8")
     marks[slot], places[slot] = fingerprint(distinct), offsets[first]
     return {
-        "first_key": None if keys[0] is None else int(known[0]), "null_key": keys[0] is None, "n_docs": len(keys), "n_tokens": int(lengths.sum()),
+        "first_key": int(named[0]) if len(named) else None, "null_key": keys[0] is None, "n_docs": len(keys), "n_tokens": int(lengths.sum()),
         "width": width, "keys": struct.pack("<q", len(known) - len(named)) + named.tobytes(), "lengths": lengths.tobytes(),
         "levels": hashed.levels.tobytes(), "bits": hashed.bits.tobytes(), "fingerprints": marks.tobytes(), "offsets": places.tobytes(),
         "ids": b"".join(ids),
