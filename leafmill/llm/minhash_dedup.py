@@ -7,9 +7,9 @@ alignment of labelled k-mers, c long, has c / (a + b - c) >= SIMILARITY; matched
 alignment this good stays in.
 
 Exact copies are folded into one representative first. Candidates are compared in stars: in each bucket of
-texts with an equal sketch one centre meets the members that are not yet in its class, first the text with
-the most company, then others for ROUNDS rounds. What is still apart then is compared pair by pair, if lengths
-and the number of equal sketches allow a link; in a bucket whose members form one class nothing is left. So
+texts with an equal sketch one centre, the text with the most company, meets the others (ROUNDS times, later
+centres being others). What is still apart then is compared pair by pair, if lengths and the number of equal
+sketches allow a link; in a bucket whose members form one class nothing is left. So
 a group of thousands of copies costs a few comparisons for each member.
 
 Result: one row per document with the class it belongs to, class_id being the smallest doc_id of the class,
@@ -35,9 +35,9 @@ SHINGLE = 5
 PICKS = 5
 SKETCHES = 32
 SIMILARITY = 0.8
-ROUNDS = 3
+ROUNDS = 1
 #: Equal sketches that a pair needs to be compared outside a star; of SKETCHES, a pair at SIMILARITY has 10.
-LEAST_EQUAL = 2
+LEAST_EQUAL = 3
 BLOCK = 32  # texts
 LAST = 2**63 - 1
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -206,23 +206,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between a member of a bucket and the outsiders of one block of the same bucket."""
     for batch in batches:
         a, b = [], []
-        sketches_ = np.asarray(batch.column("sketches").flatten()).reshape(-1, SKETCHES)
-        column = {c: batch.column(c).to_pylist() for c in ("band", "node", "n", "label", "outside", "block")}
-        kmers = batch.column("kmers")
-        for i, block in enumerate(column["block"]):
-            node, n, own = column["node"][i], column["n"][i], None
-            for other in block:
-                if other["label"] == column["label"][i] or min(n, other["n"]) < SIMILARITY * max(n, other["n"]):
-                    continue
-                if column["outside"][i] and tuple(node.values()) < tuple(other["node"].values()):
-                    continue  # two outsiders meet twice
-                equal = sketches_[i] == np.array(other["sketches"], np.int32)
-                if equal.sum() < LEAST_EQUAL or equal.argmax() != column["band"][i]:
-                    continue  # too unlike, or compared in an earlier bucket
-                own = np.frombuffer(kmers[i].as_py(), "<u4") if own is None else own
-                if similarity(own, np.frombuffer(other["kmers"], "<u4")):
+        own_sketches = np.asarray(batch.column("sketches").flatten()).reshape(-1, SKETCHES)
+        column = {c: batch.column(c).to_pylist() for c in ("band", "node", "n", "label", "outside")}
+        kmers, blocks = batch.column("kmers"), batch.column("block")
+        for i in range(len(batch)):
+            members = blocks[i].values
+            theirs = np.asarray(members.field("sketches").flatten()).reshape(-1, SKETCHES)
+            n, size = np.asarray(members.field("n")), column["n"][i]
+            equal = theirs == own_sketches[i]
+            # alike in size, enough equal sketches, and this band is the first of them: met in no earlier bucket
+            likely = (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size)) & (equal.sum(1) >= LEAST_EQUAL) & (equal.argmax(1) == column["band"][i])
+            if not likely.any():
+                continue
+            own, node = np.frombuffer(kmers[i].as_py(), "<u4"), column["node"][i]
+            for k in np.flatnonzero(likely).tolist():
+                other = members.field("node")[k].as_py()
+                if members.field("label")[k].as_py() == column["label"][i] or (column["outside"][i] and tuple(node.values()) < tuple(other.values())):
+                    continue  # of one class, or two outsiders that meet twice
+                if similarity(own, np.frombuffer(members.field("kmers")[k].as_py(), "<u4")):
                     a.append(node)
-                    b.append(other["node"])
+                    b.append(other)
         kind = batch.column("node").type
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
