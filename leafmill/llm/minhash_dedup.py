@@ -8,9 +8,9 @@ alignment this good stays in.
 
 Exact copies are folded into one representative first. Candidates are compared in stars: in each bucket of
 texts with an equal sketch one centre, the text with the most company, meets the others (ROUNDS times, later
-centres being others). What is still apart then is compared pair by pair, if lengths and the number of equal
-sketches allow a link; in a bucket whose members form one class nothing is left. So
-a group of thousands of copies costs a few comparisons for each member.
+centres being others). Every pair that is still apart then is compared, block by block; lengths and the count
+of common k-mers, an upper bound of c, rule out most pairs before the alignment. In a bucket whose members form
+one class nothing is left, so a group of thousands of alike copies costs a few comparisons for each member.
 
 Result: one row per document with the class it belongs to, class_id being the smallest doc_id of the class,
 class_size the number of its documents and n_links the number of its text's verified links to others.
@@ -36,8 +36,6 @@ PICKS = 5
 SKETCHES = 32
 SIMILARITY = 0.8
 ROUNDS = 1
-#: Equal sketches that a pair needs to be compared outside a star; of SKETCHES, a pair at SIMILARITY has 10.
-LEAST_EQUAL = 3
 BLOCK = 32  # texts
 LAST = 2**63 - 1
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -203,52 +201,63 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between a member of a bucket and the outsiders of one block of the same bucket."""
+    """Links between the members of two blocks of one bucket, or within one block."""
     for batch in batches:
         a, b = [], []
-        own_sketches = np.asarray(batch.column("sketches").flatten()).reshape(-1, SKETCHES)
-        column = {c: batch.column(c).to_pylist() for c in ("band", "node", "n", "label", "outside")}
-        kmers, blocks = batch.column("kmers"), batch.column("block")
-        for i in range(len(batch)):
-            members = blocks[i].values
-            theirs = np.asarray(members.field("sketches").flatten()).reshape(-1, SKETCHES)
-            n, size = np.asarray(members.field("n")), column["n"][i]
-            equal = theirs == own_sketches[i]
-            # alike in size, enough equal sketches, and this band is the first of them: met in no earlier bucket
-            likely = (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size)) & (equal.sum(1) >= LEAST_EQUAL) & (equal.argmax(1) == column["band"][i])
-            if not likely.any():
-                continue
-            own, node = np.frombuffer(kmers[i].as_py(), "<u4"), column["node"][i]
-            for k in np.flatnonzero(likely).tolist():
-                other = members.field("node")[k].as_py()
-                if members.field("label")[k].as_py() == column["label"][i] or (column["outside"][i] and tuple(node.values()) < tuple(other.values())):
-                    continue  # of one class, or two outsiders that meet twice
-                if similarity(own, np.frombuffer(members.field("kmers")[k].as_py(), "<u4")):
-                    a.append(node)
-                    b.append(other)
-        kind = batch.column("node").type
+        for band, same, left, right in zip(*(batch.column(c) for c in ("band", "same", "left", "right")), strict=True):
+            x, y = left.values, right.values
+            for i, j in _alike(x, y, band.as_py(), same.as_py()):
+                ends = sorted((x.field("node")[i].as_py(), y.field("node")[j].as_py()), key=lambda node: tuple(node.values()))
+                a.append(ends[1])
+                b.append(ends[0])
+        kind = batch.schema.field("left").type.value_type.field("node").type
         yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
 
+def _alike(x: pa.StructArray, y: pa.StructArray, band: int, same: bool) -> Iterator[tuple[int, int]]:
+    """Indexes of the linked pairs of two blocks that meet in this band first and are of different classes."""
+    codes: dict[tuple, int] = {}
+    labels = [np.array([codes.setdefault(tuple(v.values()), len(codes)) for v in block.field("label").to_pylist()]) for block in (x, y)]
+    n, m = (np.asarray(block.field("n"))[:, None] for block in (x, y))
+    likely = (np.minimum(n, m.T) >= SIMILARITY * np.maximum(n, m.T)) & (labels[0][:, None] != labels[1])
+    i, j = np.nonzero(np.triu(likely, 1) if same else likely)
+    left, right = (np.asarray(block.field("sketches").flatten()).reshape(-1, SKETCHES) for block in (x, y))
+    first = (left[i] == right[j]).argmax(1) == band  # else met in an earlier bucket
+    i, j = i[first], j[first]
+    if not len(i):
+        return
+    theirs = [np.frombuffer(v, "<u4") for v in y.field("kmers").to_pylist()]
+    for k in np.unique(i).tolist():
+        own, others = np.frombuffer(x.field("kmers")[k].as_py(), "<u4"), j[i == k]
+        ranked, flat = np.sort(own), np.concatenate([theirs[o] for o in others])
+        hits = ranked[np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)] == flat
+        sizes = m[others, 0]
+        common = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)  # at least the length of an alignment
+        for o in others[common >= SIMILARITY * (len(own) + sizes - common)].tolist():
+            if similarity(own, theirs[o]):
+                yield k, o
+
+
 def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between members of one bucket that are still in different classes.
 
-    The outsiders of a bucket (all but its commonest class) form blocks of about BLOCK; every member meets
-    every block, so no pair is left out and only links are emitted.
+    The outsiders of a bucket (all but its commonest class) and the others form blocks of about BLOCK; every
+    block of outsiders meets itself and every other block, so no pair is left out and only links are emitted.
     """
     bucket = ["band", "value"]
     sizes = known.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
-    open_buckets = sizes.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"))
+    open_buckets = sizes.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"), F.max("n").alias("insiders"))
     open_buckets = written(open_buckets.where("outsiders > 0"), "open")
-    members = known.select(*bucket, "node", "n", "label").join(open_buckets.hint("merge"), bucket)
-    members = members.join(rows.select("node", "sketches", "kmers"), "node").withColumn("outside", F.col("label") != F.col("main"))
-    members = written(members, "apart")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("outsiders") / BLOCK)).alias("part")
-    blocks = members.where("outside").select(*bucket, part, F.struct("node", "n", "label", "sketches", "kmers").alias("o"))
-    blocks = blocks.groupBy(*bucket, "part").agg(F.collect_list("o").alias("block"))
-    met = members.select(*bucket, "node", "n", "label", "outside", "sketches", "kmers").join(blocks.select(*bucket, "block"), bucket)
+    members = known.select(*bucket, "node", "n", "label").join(open_buckets.hint("merge"), bucket).withColumn("outside", F.col("label") != F.col("main"))
+    members = members.join(rows.select("node", "sketches", "kmers"), "node")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.when(F.col("outside"), F.col("outsiders")).otherwise(F.col("insiders")) / BLOCK)).alias("part")
+    blocks = members.select(*bucket, "outside", part, F.struct("node", "n", "label", "sketches", "kmers").alias("o"))
+    blocks = written(blocks.groupBy(*bucket, "outside", "part").agg(F.collect_list("o").alias("block")), "blocks")
+    left = blocks.where("outside").select(*bucket, F.col("part").alias("p"), F.col("block").alias("left"))
+    right = blocks.select(*bucket, "outside", "part", F.col("block").alias("right"))
+    met = left.join(right.hint("merge"), bucket).where("NOT outside OR p <= part").select("band", F.expr("outside AND p = part").alias("same"), "left", "right")
     node = known.schema["node"].dataType.simpleString()
-    return written(met.mapInArrow(_compare, f"a {node}, b {node}"), "links")
+    return written(met.mapInArrow(_compare, f"a {node}, b {node}").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,3 +72,12 @@ def test_keep_first_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "z")], "doc_id long, text string").selectExpr("*", "1 AS node")
     assert sorted(r["doc_id"] for r in M.keep_first(docs).collect()) == [1, 3]
     assert M.keep_first(docs.where("doc_id > 9")).count() == 0
+
+
+def test_one_equal_sketch_outside_a_star_is_enough(spark):
+    """Three texts of a bucket in three classes: the similar pair shares no other sketch."""
+    texts = [np.arange(40), np.arange(3, 43), np.arange(100, 140)]
+    rows = [((d, 0), len(t), [7, *range(100 * d, 100 * d + M.SKETCHES - 1)], t.astype("<u4").tobytes()) for d, t in enumerate(texts)]
+    rows = spark.createDataFrame(rows, "node struct<doc:bigint,tie:int>, n int, sketches array<int>, kmers binary")
+    known = rows.selectExpr("0 AS band", "7 AS value", "node", "n", "node AS label")
+    assert [(r["a"]["doc"], r["b"]["doc"]) for r in M._apart(known, rows).collect()] == [(1, 0)]
