@@ -2,7 +2,9 @@
 
 The k-mers are windows of SHINGLE words, each labelled with its occurrence number in the text. A sketch holds
 the PICKS k-mers of lowest hash in the order in which the text has them, so it is sensitive to edits and to
-order. Texts that share a sketch are candidates. Two texts are near duplicates if their best order-keeping
+order. Texts that share a sketch are candidates. Sketches say little on texts of few windows, so pairs with a
+text of at most SHORT k-mers are found exactly: texts of a size that such pairs can have also share buckets by
+single k-mers, the rarest ones, as many as a pair that is alike cannot all differ in. Two texts are near duplicates if their best order-keeping
 alignment of labelled k-mers, c long, has c / (a + b - c) >= SIMILARITY; matched k-mers lie in a band that any
 alignment this good stays in.
 
@@ -37,6 +39,9 @@ SKETCHES = 32
 SIMILARITY = 0.8
 ROUNDS = 1
 BLOCK = 32  # texts
+#: K-mers of a text up to which all its near duplicates are found, and of the largest text that can be one.
+SHORT = 24
+REACH = int(SHORT / SIMILARITY + 1e-9)
 LAST = 2**63 - 1
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -104,7 +109,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, part in W.pieces(batch.column("text")):
             w = W.Words(part)
             hashes = w.hashes()
-            rows, sizes, values, packed = [], [], [], []
+            rows, sizes, values, packed, terms = [], [], [], [], []
             for k, (first, n) in enumerate(zip(w.first.tolist(), w.counts.tolist(), strict=True)):
                 if n:
                     kmers = labelled_kmers(hashes[first : first + n])
@@ -112,11 +117,12 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sizes.append(len(kmers))
                     values.append((sketches(kmers) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     packed.append((kmers >> np.uint64(32)).astype("<u4").tobytes())
+                    terms.append(np.frombuffer(packed[-1] if len(kmers) <= REACH else b"", "<i4"))
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
             bounds = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(bounds, flat), pa.array(packed, pa.binary())],
-                names=["node", "n", "sketches", "kmers"],
+                [batch.column("node").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(bounds, flat), pa.array(packed, pa.binary()), pa.array(terms, pa.list_(pa.int32()))],
+                names=["node", "n", "sketches", "kmers", "terms"],
             )
 
 
@@ -168,11 +174,26 @@ def _alike_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
+def _rare_terms(rows: DataFrame) -> DataFrame:
+    """(node, n, band, value): the rarest k-mers of short texts, SKETCHES being their band.
+
+    Alike texts have at least SIMILARITY * n k-mers in common, so with all k-mers in one order, by frequency among
+    short texts, each has a common one among its first n - ceil(SIMILARITY * n) + 1. K-mers of one text only come
+    first and need no bucket.
+    """
+    terms = rows.where(F.size("terms") > 0).select("node", "n", F.explode("terms").alias("value"))
+    often = written(terms.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = attach(terms, often, ["value"], "inner").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("r"))
+    first = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("r"))
+    ranked = ranked.withColumn("r", F.slice("r", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))
+    return written(ranked.select("node", "n", F.lit(SKETCHES).alias("band"), F.explode("r.value").alias("value")), "terms")
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For rows (node, text) of different texts: verified links (a, b), and (node, label) of the linked nodes."""
     node = docs.schema["node"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_sketch_rows, f"node {node}, n int, sketches array<int>, kmers binary"), "sketches")
-    buckets = rows.select("node", "n", F.posexplode("sketches").alias("band", "value"))
+    rows = written(docs.mapInArrow(_sketch_rows, f"node {node}, n int, sketches array<int>, kmers binary, terms array<int>"), "sketches")
+    buckets = rows.select("node", "n", F.posexplode("sketches").alias("band", "value")).unionByName(_rare_terms(rows))
     shared = written(buckets.groupBy("band", "value").agg(F.count("*").alias("company")).where("company > 1"), "shared")
     members = written(attach(buckets, shared, ["band", "value"], "inner"), "members")
     company = written(members.groupBy("node").agg(F.sum("company").alias("company")), "company")
@@ -222,7 +243,8 @@ def _alike(x: pa.StructArray, y: pa.StructArray, band: int, same: bool) -> Itera
     likely = (np.minimum(n, m.T) >= SIMILARITY * np.maximum(n, m.T)) & (labels[0][:, None] != labels[1])
     i, j = np.nonzero(np.triu(likely, 1) if same else likely)
     left, right = (np.asarray(block.field("sketches").flatten()).reshape(-1, SKETCHES) for block in (x, y))
-    first = (left[i] == right[j]).argmax(1) == band  # else met in an earlier bucket
+    equal = left[i] == right[j]
+    first = np.where(equal.any(1), equal.argmax(1), SKETCHES) == band  # else met in an earlier bucket
     i, j = i[first], j[first]
     if not len(i):
         return

@@ -81,3 +81,15 @@ def test_one_equal_sketch_outside_a_star_is_enough(spark):
     rows = spark.createDataFrame(rows, "node struct<doc:bigint,tie:int>, n int, sketches array<int>, kmers binary")
     known = rows.selectExpr("0 AS band", "7 AS value", "node", "n", "node AS label")
     assert [(r["a"]["doc"], r["b"]["doc"]) for r in M._apart(known, rows).collect()] == [(1, 0)]
+
+
+def test_short_texts_are_found_exactly(spark):
+    """Texts of few windows and the same texts with some words more at either end."""
+    rng, rows = random.Random(9), []
+    for n in [7, 8, 8, 8, 9, 9, 10, 11, 12, 13, 14, 16, 20, 24, 28] * 4:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        more = max(1, (n - 4) // 4)
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate([base, [*base, *"abcdef"[:more]], [*"ghijkl"[:more], *base], base[1:]])]
+    rows += [(5000 + k, f"one two three four five six seven end{k}") for k in range(50)]
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
