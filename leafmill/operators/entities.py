@@ -42,19 +42,30 @@ def grams(text: Column, low: int, high: int) -> Column:
 
 
 def containment(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, code): the longest code of at least 3 characters that contains the token or is part of it.
+    """(id, code): the longest code that contains the token or is part of it, else the same by compact forms.
 
-    Candidates share a 3-gram, an equality that Spark can hash; codes first by length, then by name.
+    Candidates share a 3-gram, or a 1- or 2-gram that is the whole code or token: equalities that Spark can hash.
+    Codes first by length, then by name. Empty tokens and codes match nothing.
     """
-    side = lambda df, key, text: df.select(key, text, F.explode(F.array_distinct(grams(F.col(text), 3, 3))).alias("g"))
-    rare = side(catalog.select("code", F.lower("code").alias("c")), "code", "c")
-    asked = side(tokens.select("id", F.lower("token").alias("t")), "id", "t")
-    # the gram of a contained string that starts it is enough to meet
-    pairs = asked.join(rare, "g").where((F.instr(F.col("t"), F.col("c")) > 0) | (F.instr(F.col("c"), F.col("t")) > 0)).select("id", "code").distinct()
-    w = Window.partitionBy("id").orderBy(F.length("code").desc(), "code")
+    plain = _contained(tokens.select("id", F.lower("token").alias("t")), catalog.select("code", F.lower("code").alias("c")))
+    compact = _contained(tokens.select("id", compact_code(F.col("token")).alias("t")), catalog.select("code", compact_code(F.col("code")).alias("c")))
+    pairs = plain.withColumn("tier", F.lit(0)).unionByName(compact.withColumn("tier", F.lit(1)))
+    w = Window.partitionBy("id").orderBy("tier", F.length("code").desc(), "code")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "code")
 
 
+def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, code) of tokens (id, t) and codes (code, c) of which one contains the other; of the codes around a short token the first."""
+    side = lambda df, low, high, text: df.select("*", F.explode(F.array_distinct(grams(F.col(text), low, high))).alias("g"))
+    # the gram of a contained string that starts it is enough to meet
+    met = side(asked, 3, 3, "t").join(side(known, 3, 3, "c"), "g").where((F.instr(F.col("t"), F.col("c")) > 0) | (F.instr(F.col("c"), F.col("t")) > 0))
+    short = known.where(F.length("c") < 3).groupBy("c").agg(F.min_by("code", F.struct(-F.length("code"), "code")).alias("code"))
+    inside = side(asked, 1, 2, "t").join(short.withColumnRenamed("c", "g"), "g")
+    around = side(known, 1, 2, "c").groupBy("g").agg(F.min_by("code", F.struct(-F.length("code"), "code")).alias("code"))
+    outside = asked.where(F.length("t") < 3).join(around.withColumnRenamed("g", "t"), "t")
+    return met.select("id", "code").distinct().unionByName(inside.select("id", "code")).unionByName(outside.select("id", "code"))
+
+
 def _ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column("t").to_pylist(), batch.column("c").to_pylist(), strict=True)
@@ -65,14 +76,19 @@ def _ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fuzzy(tokens: DataFrame, catalog: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
     """(id, code, ratio): the most similar code by matching blocks, if similar enough.
 
-    Pairs share a 2-gram and pass the length bound 2 * min / (a + b) before Python compares them.
+    Pairs share a 2-gram, or a character if they are short, and pass the length bound 2 * min / (a + b) before
+    Python compares them.
     """
-    side = lambda df, key, text: df.select(key, text, F.explode(F.array_distinct(grams(F.col(text), 2, 2))).alias("g"))
-    a = side(tokens.select("id", compact_code(F.col("token")).alias("t")), "id", "t")
-    b = side(catalog.select("code", compact_code(F.col("code")).alias("c")), "code", "c")
+    side = lambda df, n, text: df.select("*", F.explode(F.array_distinct(grams(F.col(text), n, n))).alias("g"))
+    asked = tokens.select("id", compact_code(F.col("token")).alias("t"))
+    known = catalog.select("code", compact_code(F.col("code")).alias("c"))
     bound = 2 * F.least(F.length("t"), F.length("c")) >= least * (F.length("t") + F.length("c"))
-    pairs = a.join(b, "g").where(bound).groupBy("id", "code", "t", "c").agg(F.count("*").alias("n"))
-    # equal blocks of 2M/T >= least hold at least one common gram for every two of their characters
+    # M equal characters without a common 2-gram have M - 1 gaps: 2M / (3M - 1) >= least only in short pairs
+    most = 2 / (3 * least - 2) + 1e-9 if least > 2 / 3 else float("inf")
+    both = F.length("t") + F.length("c")
+    long = side(asked, 2, "t").join(side(known, 2, "c"), "g").where(bound)
+    short = side(asked.where(F.length("t") < most), 1, "t").join(side(known.where(F.length("c") < most), 1, "c"), "g").where(bound & (both <= most))
+    pairs = long.unionByName(short).select("id", "code", "t", "c").distinct()
     rated = pairs.select("id", "code", "t", "c").mapInArrow(_ratio, "id long, code string, ratio double").where(F.col("ratio") >= least)
     best = F.max_by(F.struct("code", "ratio"), F.struct(F.round("ratio", 6), F.col("code")))
     return rated.groupBy("id").agg(best.alias("b")).select("id", "b.code", F.round("b.ratio", 6).alias("ratio"))

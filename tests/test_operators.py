@@ -124,3 +124,15 @@ def test_kinds_that_change(spark):
     df = spark.createDataFrame(rows, "id int, chunk int, kind string, scalar string, list array<string>, map map<string,string>")
     got = {(r["id"], r["kind"]): r["value"] for r in R.consolidate(df, ["id"]).collect()}
     assert got == {(1, "list"): '["a","b"]', (2, "map"): "v", (3, "scalar"): "y"}
+
+
+def test_short_codes_are_contained(spark):
+    tokens = spark.createDataFrame([(1, "take OD now"), (2, "b"), (3, "no-1 2x"), (4, "zz"), (5, ""), (6, "xabcdx")], "id long, token string")
+    codes = spark.createDataFrame([("od",), ("BDS",), ("No 12",), ("abcd",)], "code string")
+    assert {r["id"]: r["code"] for r in E.containment(tokens, codes).collect()} == {1: "od", 2: "abcd", 3: "No 12", 6: "abcd"}
+
+
+def test_fuzzy_without_a_common_pair_of_letters(spark):
+    tokens = spark.createDataFrame([(1, "abc"), (2, "mxnyozp"), (3, "q"), (4, "rs")], "id long, token string")
+    codes = spark.createDataFrame([("ac",), ("mnop",), ("q",), ("tu",)], "code string")
+    assert {r["id"]: r["code"] for r in E.fuzzy(tokens, codes).collect()} == {1: "ac", 2: "mnop", 3: "q"}
