@@ -6,18 +6,22 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of (key, small payload) that may be broadcast; a larger side is shuffled instead.
+#: Rows and bytes of a side that may be broadcast; a larger side is shuffled instead.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is set (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a local session gets a temporary one."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-leafmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -32,7 +36,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a written right side: broadcast while its counted rows stay under the bound, shuffled beyond."""
-    small = most > 0 and right.limit(most + 1).count() <= most
-    return left.join(F.broadcast(right) if small else right.hint("merge"), list(on), how)
+def document_key(doc_id: Column, text: Column) -> list[Column]:
+    """The columns doc and tie: the place of a document in the order (null doc_id last) and its identity.
+
+    tie tells texts of one doc_id apart, and a null doc_id from the largest one.
+    """
+    last = F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
+    return [last.alias("doc"), F.xxhash64(doc_id.isNull(), F.coalesce(text, F.lit(""))).alias("tie")]
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of one value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(column), F.lit(0)) * 16 + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table stays under both bounds, by counting all of it."""
+    width = sum((_width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(0))
+    counted = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return counted[0] <= rows and counted[1] <= size
+
+
+def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a written right side: broadcast while its counted rows and bytes stay under the bounds, shuffled beyond."""
+    return left.join(F.broadcast(right) if is_small(right) else right.hint("merge"), list(on), how)

@@ -17,18 +17,23 @@ _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.
 _BASE = 0x9E3779B97F4A7C17
 _UNBASE = pow(_BASE, -1, 2**64)
 _STEP = 0xD6E8FEB86659FD93
+#: Bytes of text that are worked on at once, but for longer single texts.
+PIECE_BYTES = 512 << 10
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, factor in (("up", _BASE), ("down", _UNBASE)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    """base**i and base**-i modulo 2**64 for i < n; those that slices of usual size need are kept."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    found = []
+    for factor in (_BASE, _UNBASE):
+        steps = np.full(max(n, PIECE_BYTES + 1), factor, np.uint64)
+        steps[0] = 1
+        found.append(np.cumprod(steps))
+    if n <= PIECE_BYTES + 1:
+        _powers["up"], _powers["down"] = found
+    return found[0][:n], found[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(array: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(array: pa.Array, max_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Consecutive slices of whole texts of about max_bytes, with the index of their first row."""
     offsets = string_buffers(array)[1]
     start = 0
@@ -50,6 +55,7 @@ def pieces(array: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, pa.
         end = min(len(array), max(end, start + 1))
         yield start, array.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def string_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,14 @@
 
 Each rule looks at one statistic of a text and votes good, bad or abstains. Expectation-maximisation over
 the counts of vote patterns estimates how often each rule votes what on good and on bad texts; the
-posterior probability of "good" given a text's votes then replaces an all-must-pass filter.
+posterior probability of "good" given a text's votes then replaces an all-must-pass filter. Texts that fail
+the base test teach nothing: they go anyway, and the rules have to tell the others apart.
 
 Only pattern counts leave the executors: at most 3 ** len(RULES) rows, whatever the size of the corpus.
 
-Defined results: a null or empty text has no words and fails the base test; repeated rows are judged
-alike; an empty table gives an empty result; only the named columns are read, so other columns don't clash.
+Defined results: a null or empty text has no words and fails the base test; repeated rows are judged alike
+and each counts; very long texts are read whole; an empty table, or one in which all texts fail the base
+test, gives no posterior and keeps nothing; only the named columns are read, so other columns don't clash.
 """
 
 from __future__ import annotations
@@ -31,18 +33,18 @@ EM_STEPS = 200
 
 #: rule: (statistic, votes bad at or below, votes bad at or above, votes good from, votes good to).
 RULES = {
-    "word_length": ("mean_chars", 2.5, 11.0, 3.0, 9.0),
-    "symbols": ("symbol_share", -1.0, 0.2, 0.0, 0.05),
-    "duplicate_lines": ("dup_line_share", -1.0, 0.4, 0.0, 0.2),
-    "repeated_words": ("repeat_share", -1.0, 0.3, 0.0, 0.1),
-    "length": ("n_words", 4.0, 1e18, 20.0, 1e9),
+    "word_length": ("mean_chars", 2.0, 12.0, 3.0, 9.0),
+    "symbols": ("symbol_share", -1.0, 0.1, 0.0, 0.02),
+    "symbol_words": ("symbol_word_share", -1.0, 0.1, 0.0, 0.02),
+    "duplicate_lines": ("dup_line_share", -1.0, 0.5, 0.0, 0.2),
+    "repeated_words": ("repeat_share", -1.0, 0.25, 0.0, 0.1),
+    "stutter": ("adjacent_share", -1.0, 0.2, 0.0, 0.05),
     "upper_case": ("upper_share", -1.0, 0.4, 0.0, 0.2),
     "marks": ("mark_share", -1.0, 1.0, 0.02, 0.5),
-    "distinct_words": ("distinct_share", 0.3, 2.0, 0.45, 1.0),
+    "distinct_words": ("distinct_share", 0.15, 2.0, 0.45, 1.0),
 }
-STATS = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct")]
-)
+_LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct", "n_symbol_words", "n_adjacent")
+STATS = T.StructType([T.StructField(n, T.LongType()) for n in _LONGS])
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -88,6 +90,8 @@ def slice_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     covered = np.cumsum(cover)[:-1] > 0
     new_word = ~_again(hashes ^ salt[w.text])[1]
 
+    symbolic = np.unique(np.searchsorted(w.starts, np.flatnonzero(_SYMBOL[data]), "right") - 1)
+
     breaks = np.flatnonzero(data == 0x0A)
     line_starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
     owner = np.concatenate([np.arange(n), np.searchsorted(offsets, breaks, "right") - 1])
@@ -109,6 +113,8 @@ def slice_stats(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_upper": _per_text(_UPPER[data], offsets),
         "n_marks": _per_text(_MARK[data], offsets),
         "n_distinct": np.bincount(w.text[new_word], minlength=n),
+        "n_symbol_words": np.bincount(w.text[symbolic], minlength=n),
+        "n_adjacent": np.bincount(w.text[1:][(hashes[1:] == hashes[:-1]) & (w.text[1:] == w.text[:-1])], minlength=n),
     }
 
 
@@ -139,7 +145,8 @@ def pattern(stats: Column) -> Column:
         "symbol_share": share("n_symbols", "n_words"),
         "dup_line_share": share("n_dup_lines", "n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"),
-        "n_words": stats["n_words"].cast("double"),
+        "symbol_word_share": share("n_symbol_words", "n_words"),
+        "adjacent_share": share("n_adjacent", "n_words"),
         "upper_share": share("n_upper", "word_chars"),
         "mark_share": share("n_marks", "n_words"),
         "distinct_share": share("n_distinct", "n_words"),
@@ -155,19 +162,21 @@ def pattern(stats: Column) -> Column:
 def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS) -> np.ndarray:
     """Posterior probability of "good" for each pattern, by expectation-maximisation over pattern counts.
 
-    A rule that abstains says nothing. The start takes a text with any bad vote to be good with probability
-    0.1, one with only good votes with 0.9; one pseudo-vote of each kind keeps every estimate inside (0, 1).
+    A rule's accuracy on a class is how often it votes bad, abstains and votes good there. The start takes a
+    text with any bad vote to be good with probability 0.1, other texts with 0.9; a pseudo-vote of each kind,
+    good class and bad, keeps every estimate inside (0, 1).
     """
     votes = (patterns[:, None] // 3 ** np.arange(len(RULES))) % 3
-    good, bad = votes == 2, votes == 0
-    posterior = np.where(bad.any(1), 0.1, np.where(good.any(1), 0.9, 0.5))
+    kinds = [votes == v for v in range(3)]
+    posterior = np.where(kinds[0].any(1), 0.1, 0.9)
     weight = counts.astype(float)
     for _ in range(steps):
         log = np.zeros((2, len(patterns)))
         for c, p in enumerate((1 - posterior, posterior)):
             p = p * weight
-            up, down = p @ good + 1 + c, p @ bad + 2 - c
-            log[c] = np.log(p.sum() + 1) + good @ np.log(up / (up + down)) + bad @ np.log(down / (up + down))
+            told = np.stack([p @ kind + pseudo for kind, pseudo in zip(kinds, (1.0, 1.0, 1.0), strict=True)])
+            accuracy = np.log(told / told.sum(0))
+            log[c] = np.log(p.sum() + 1) + sum(kind @ accuracy[v] for v, kind in enumerate(kinds))
         after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
         moved, posterior = np.abs(after - posterior).max(initial=0), after
         if moved < 1e-9:
@@ -175,13 +184,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS) ->
     return posterior
 
 
-def fit(patterns: DataFrame) -> DataFrame:
-    """From a column `pattern`, the posterior of each pattern that occurs: (pattern, p_good)."""
-    spark = patterns.sparkSession
+def fit(rows: DataFrame, stats: str) -> DataFrame:
+    """From a struct column of statistics: (pattern, p_good) of each pattern of the texts that pass the base test."""
+    patterns = rows.where(~base_failed(F.col(stats))).select(pattern(F.col(stats)).alias("pattern"))
+    spark = rows.sparkSession
     seen = patterns.groupBy("pattern").count().toPandas()  # at most 3 ** len(RULES) rows
     p = estimate(seen["pattern"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)) if len(seen) else []
-    rows = [(int(a), float(b)) for a, b in zip(seen["pattern"], p, strict=True)]
-    return spark.createDataFrame(rows, "pattern int, p_good double")
+    known = [(int(a), float(b)) for a, b in zip(seen["pattern"], p, strict=True)]
+    return spark.createDataFrame(known, "pattern int, p_good double")
 
 
 def judge(rows: DataFrame, model: DataFrame, stats: str) -> DataFrame:
@@ -197,14 +207,12 @@ def judge(rows: DataFrame, model: DataFrame, stats: str) -> DataFrame:
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its base statistics, base_failed, the posterior p_good and kept."""
     stats = written(docs.select(F.col(doc_id).alias("doc_id"), text_stats(F.col(text)).alias("s")), "quality")
-    judged = judge(stats, fit(stats.select(pattern(F.col("s")).alias("pattern"))), "s")
+    judged = judge(stats, fit(stats, "s"), "s")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col("s")[c].alias(c) for c in base], "base_failed", "kept", "p_good")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns; one pass learns, one filters."""
-    stats = text_stats(F.col(text))
-    model = fit(docs.select(pattern(stats).alias("pattern")))
-    rows = docs.select(F.struct("*").alias("row"), stats.alias("s"))
-    return judge(rows, model, "s").where("kept").select("row.*")
+    """The rows of docs whose text is kept, with all their columns; statistics are written once beside the rows."""
+    rows = written(docs.select(F.struct("*").alias("row"), text_stats(F.col(text)).alias("s")), "quality")
+    return judge(rows, fit(rows, "s"), "s").where("kept").select("row.*")
