@@ -36,20 +36,29 @@ def test_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    library, encoder = Tokenizer.from_file(path), token_output.Encoder(path)
-    texts = odd_texts(random.Random(5))
-    for text, got in zip(texts, encoder(texts), strict=True):
-        assert np.frombuffer(got, f"<u{encoder.width}").tolist() == library.encode(text, add_special_tokens=False).ids + [1], text
+    library, encoder = Tokenizer.from_file(path), token_output.Encoder(path, remembered=3000)
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0xC0, 0x280)] + list("aZ\u0301\u0345ßΣ日")
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalpha()]
+    near = [f"{x}{c}{m}{y}" for c in letters for m in marks for x, y in [rng.choice([("", ""), ("a", "b"), ("É", ""), ("", c)])]]
+    made = ["".join(rng.choice(letters + marks + list("abc ")) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts = [t for t in odd_texts(rng) + near + made] + [None]
+    for start, part in W.pieces(pa.array(texts), 4000):
+        ids, sizes = encoder.encode(part)
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(part.to_pylist(), ends - sizes, ends, strict=True):
+            assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids + [1], (start, text)
 
 
 def test_perfect_hash_is_minimal_and_turns_others_away():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     h = token_output.PerfectHash.build(keys)
     assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
-    ids = [np.arange(k % 5 + 1, dtype="<u2").tobytes() for k in range(len(keys))]
-    shard = token_output.Shard(token_output._shard(keys.tolist(), ids, 2))
-    assert (shard.find(keys) == np.concatenate([[0], np.cumsum([k % 5 + 1 for k in range(len(keys))])])[:-1]).all()
-    assert (shard.find(np.arange(10**6, 10**6 + 2000)) == -1).mean() > 0.999
+    lengths = np.arange(len(keys)) % 5 + 1
+    shard = token_output.Index(token_output._shard(keys.tolist(), np.zeros(lengths.sum(), "<u2").tobytes(), lengths, 2))
+    at, n = shard.find(keys)
+    assert (at == np.concatenate([[0], np.cumsum(lengths)])[:-1]).all() and (n == lengths).all()
+    assert (shard.find(np.arange(10**6, 10**6 + 2000))[0] == -1).mean() > 0.999
     assert len(token_output.PerfectHash.build(keys[:0]).slots(keys[:0])) == 0
 
 
