@@ -1,16 +1,17 @@
 """Removal of repeated passages by level-wise doubling.
 
-Windows of half the wanted length come first. Of those, only anchors are counted: the lowest window hash of
-every run that one full window spans, so equal full windows always have equal anchors. Anchors found once
-are dropped; around the others the windows of twice the length are formed, and so on; an anchor whose
-neighbourhood repeats at one length alone goes no further. Windows of the full length that also start
-earlier are removed. `longest_repeats` goes on doubling until no candidate survives.
+Windows of a quarter of the wanted length come first, then of half of it, then whole ones. At the shorter
+lengths only anchors are counted: the lowest window hash of every full window, so equal full windows always
+have equal anchors. Anchors found once are dropped; only around the others are the windows of twice the length
+formed, and so on until no candidate survives or the full length is reached. Windows of the full length that
+also start earlier are removed. `longest_repeats` goes on doubling beyond it until no candidate survives.
 
 Exact copies are found first by a digest, so a text that a thousand documents share is compared once.
 
 Order: smaller doc_id first (null last), then a hash of the text, then the start. Rows with equal doc_id and
 equal text are one document and get equal results. Null and empty texts have no words and keep the empty
-string. Windows are compared by 96 bits of hash over 64-bit word hashes.
+string; very long texts are cut into windows whole; an empty table gives an empty result; only the named
+columns are read, so other columns don't clash. Windows are compared by 96 bits of hash over 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import _words as W
-from leafmill.llm._session import attach, written
+from leafmill.llm._session import attach, document_key, written
 
 WINDOW = 20
 KEY = ["doc", "tie"]
@@ -33,16 +34,29 @@ LAST = 2**63 - 1
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc and tie identify a document and give its place in the order."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"),
-        F.hash(F.coalesce(F.col(text), F.lit(""))).alias("tie"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).alias("doc_id"), *document_key(F.col(doc_id), F.col(text)), whole.alias("text"))
+
+
+def _near(w: W.Words, batch: pa.RecordBatch, start: int, size: int, window: int) -> np.ndarray:
+    """Which words start a full window around one of the surviving anchors `ats` of `size` words."""
+    n = len(w.starts)
+    whole = np.zeros(n, bool)
+    whole[w.whole(window)] = True
+    ats = batch.column("ats").slice(start, len(w.counts))
+    owner = np.repeat(np.arange(len(ats)), ats.value_lengths().to_numpy(zero_copy_only=False))
+    anchors = w.first[owner] + ats.flatten().to_numpy()
+    edge = np.zeros(n + window + 1, np.int64)
+    np.add.at(edge, np.maximum(anchors + size - window, w.first[owner]), 1)
+    np.add.at(edge, anchors + 1, -1)
+    return (np.cumsum(edge)[:n] > 0) & whole
 
 
-def _anchor_rows(size: int, window: int):
-    """(hash, doc, tie, at, several) of each anchor: the window of `size` words that starts at word `at`."""
+def _anchor_rows(size: int, window: int, before: int | None):
+    """(hash, doc, tie, at, several) of each anchor: the window of `size` words that starts at word `at`.
+
+    After the first level only full windows around surviving anchors of `before` words have anchors.
+    """
     span = window - size + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,12 +64,15 @@ def _anchor_rows(size: int, window: int):
             for start, part in W.pieces(batch.column("text")):
                 w = W.Words(part)
                 grams = W.mix(W.windows(w.hashes(), size))
+                wanted = None if before is None else _near(w, batch, start, before, window)
                 found = []
                 for first, n in zip(w.first, w.counts, strict=True):
                     if n < window:
                         continue
                     h = grams[first : first + n - size + 1]
                     low = W.lowest(h, span)  # of each full window
+                    if wanted is not None:
+                        low = np.where(wanted[first : first + len(low)], low, np.uint64(0))
                     edge = np.zeros(span - 1, np.uint64)
                     reached = W.highest(np.concatenate([edge, low, edge]), span)
                     found.append(first + np.flatnonzero(h == reached))
@@ -83,15 +100,7 @@ def _window_rows(size: int, window: int):
             for start, part in W.pieces(batch.column("text")):
                 w = W.Words(part)
                 hashes = w.hashes()
-                whole = np.zeros(len(hashes), bool)
-                whole[w.whole(window)] = True
-                wanted = np.zeros(len(hashes) + window + 1, np.int64)
-                ats = batch.column("ats").slice(start, len(part))
-                owner = np.repeat(np.arange(len(part)), ats.value_lengths().to_numpy(zero_copy_only=False))
-                anchors = w.first[owner] + ats.flatten().to_numpy()
-                np.add.at(wanted, np.maximum(anchors + size - window, w.first[owner]), 1)
-                np.add.at(wanted, anchors + 1, -1)
-                at = np.flatnonzero((np.cumsum(wanted)[: len(hashes)] > 0) & whole)
+                at = np.flatnonzero(_near(w, batch, start, size, window))
                 high = W.windows(hashes, window)[at]
                 low = W.windows(W.mix(hashes), window, _STEP2)[at]
                 row = pa.array(w.text[at] + start)
@@ -136,30 +145,34 @@ def _cut(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyed documents, the copies (doc, tie) of earlier texts, and (high, low, doc, tie, at) of all
-    windows of other documents that occur at least twice or may do so."""
-    size = max(1, window // 2)
-    digests = docs.select(*KEY, F.md5("text").alias("digest"))
+def levels(window: int) -> list[int]:
+    """The lengths before the full one: a quarter and a half of it."""
+    return sorted({max(1, window // 4), max(1, window // 2)})
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The copies (doc, tie) of earlier texts, and (high, low, doc, tie, at) of all windows of the other
+    documents that occur at least twice or may do so."""
+    digests = written(docs.select(*KEY, F.md5("text").alias("digest")), "digests")
     place = F.struct("doc", "tie")
-    first = digests.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    several = written(first, "texts")
-    copies = attach(digests, several, ["digest"], "inner").where(place > F.col("first")).select(*KEY).distinct()
-    copies = written(copies, "copies")
-    fresh = attach(docs, copies, KEY, "left_anti")
-
-    rows = fresh.select(*KEY, "text")
-    schema = "hash long, doc long, tie int, at int, several boolean"
-    anchors = rows.mapInArrow(_anchor_rows(size, window), schema)
-    counted = anchors.groupBy("hash").agg(
-        F.min("doc").alias("d"), F.max("doc").alias("e"), F.min("tie").alias("t"), F.max("tie").alias("u"), F.max("several").alias("several")
-    )
-    again = written(counted.where("several OR d < e OR t < u").select("hash"), "anchors")
-    survivors = attach(anchors.select("hash", *KEY, "at"), again, ["hash"], "left_semi", most=0)
-    survivors = written(survivors.groupBy(*KEY).agg(F.collect_list("at").alias("ats")), "survivors")
-    full = attach(rows, survivors, KEY, "inner").select(*KEY, "text", "ats")
-    found = full.mapInArrow(_window_rows(size, window), "high long, low int, doc long, tie int, at int")
-    return docs, copies, found
+    first = digests.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = attach(digests, written(first, "texts"), ["digest"], "inner").where(place > F.col("first"))
+    copies = written(copies.select(*KEY).distinct(), "copies")
+    texts = attach(docs.select(*KEY, "text"), copies, KEY, "left_anti")
+
+    rows, before = texts, None
+    for size in levels(window):
+        anchors = rows.mapInArrow(_anchor_rows(size, window, before), "hash long, doc long, tie long, at int, several boolean")
+        counted = anchors.groupBy("hash").agg(
+            F.min("doc").alias("d"), F.max("doc").alias("e"), F.min("tie").alias("t"), F.max("tie").alias("u"), F.max("several").alias("several")
+        )
+        again = written(counted.where("several OR d < e OR t < u").select("hash"), "anchors")
+        survivors = anchors.select("hash", *KEY, "at").join(again.hint("merge"), "hash", "left_semi")
+        survivors = written(survivors.groupBy(*KEY).agg(F.collect_list("at").alias("ats")), "survivors")
+        rows, before = attach(texts, survivors, KEY, "inner").select(*KEY, "text", "ats"), size
+        if survivors.isEmpty():
+            break
+    return copies, rows.mapInArrow(_window_rows(before, window), "high long, low int, doc long, tie long, at int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,10 +181,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     A word goes if a window of `window` words that covers it has an equal window that starts earlier.
     """
     docs = _keyed(docs, doc_id, text)
-    docs, copies, found = repeated_windows(docs, window)
+    copies, found = repeated_windows(docs, window)
+    found = written(found, "windows")
     place = F.struct(*KEY, "at")
-    firsts = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = attach(found, written(firsts, "firsts"), ["high", "low"], "inner", most=0).where(place > F.col("first"))
+    firsts = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(written(firsts, "firsts").hint("merge"), ["high", "low"]).where(place > F.col("first"))
     later = later.groupBy(*KEY).agg(F.collect_set("at").alias("ats"), F.lit(False).alias("copy"))
     marks = later.unionByName(copies.select(*KEY, F.array().cast("array<int>").alias("ats"), F.lit(True).alias("copy")))
     marked = attach(docs, written(marks, "marks"), KEY, "left")
@@ -189,7 +203,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
         rows = docs.select(*KEY, "text") if survivors is None else attach(docs.select(*KEY, "text"), survivors, KEY, "inner")
         if survivors is None:
             rows = rows.withColumn("ats", F.sequence(F.lit(0), F.size(F.split("text", r"[ \t-\r]+"))))
-        found = written(rows.mapInArrow(_window_rows(length, length), "high long, low int, doc long, tie int, at int").distinct(), "level")
+        found = written(rows.mapInArrow(_window_rows(length, length), "high long, low int, doc long, tie long, at int").distinct(), "level")
         many = found.groupBy("high", "low").count().where("count > 1").select("high", "low")
         level = written(found.join(many, ["high", "low"], "left_semi").select(*KEY, "at"), "repeats")
         if level.isEmpty():
