@@ -1,17 +1,21 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index holds a posting (document, position, term) for every training token whose term the benchmark uses,
-stored as Parquet. For each window of a benchmark item the rarest of its terms gives candidate places: its
-postings, moved back by the term's offset. The postings of all the item's terms are then intersected at
-these places by equi-joins, and runs of consecutive matches as long as a window are phrase matches.
-`proximity_matches` finds items whose terms all occur near each other in any order.
+The index holds a posting (document, position, term, term before, term after) for every training token whose
+term the benchmark uses, stored as Parquet. For each window of a benchmark item the rarest of its terms gives
+candidate places: its postings that have a neighbour of the item beside them, moved back by the term's offset.
+The postings of the item's terms within a window of that term are then intersected at these places by
+equi-joins, and runs of consecutive matches as long as a window are phrase matches. `proximity_matches` finds
+items whose terms all occur near each other in any order.
 
-Only DataFrame functions are used. Nothing but the benchmark's own terms and rarest-term anchors is ever
-broadcast, and only while counted rows stay under a bound.
+Only DataFrame functions are used. Nothing but the benchmark's own terms, items and rarest-term anchors and
+what was counted small is ever broadcast. A vocabulary of at most VOCABULARY terms is looked up inside the
+array of a document's words; a larger one is joined to the exploded words, with the same result.
 
 Words are maximal runs of letters, digits and non-ASCII characters after lower-casing A-Z. An item of fewer
 words than a window is one window; one without words matches nothing. Null texts have no words, a null
 item_id is named `null`, rows with equal doc_id and equal text are one document, and repeated items count once.
+Very long texts are read whole. With an empty benchmark no word is hit; empty documents give an empty result.
+Only the named columns are read, so other columns don't clash.
 """
 
 from __future__ import annotations
@@ -23,72 +27,92 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from leafmill.llm._session import attach, written
+from leafmill.llm._session import attach, document_key, written
 
 WINDOW = 13
+VOCABULARY = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between words, before lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LAST = 2**63 - 1
 NODE = ["doc", "tie"]
 
 
 def words(text: Column) -> Column:
-    """The words of a text, lower-cased."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, lower-cased; `lower` serves words without non-ASCII characters."""
+    low = lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN, -1), lambda w: w != ""), low)
 
 
 def node(doc_id: str, text: str) -> list[Column]:
     """The columns that identify a document."""
-    return [
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"),
-        F.hash(F.coalesce(F.col(text), F.lit(""))).alias("tie"),
-    ]
+    return document_key(F.col(doc_id), F.col(text))
 
 
 @dataclass
 class PositionalIndex:
-    """postings (doc, tie, pos, term) of the benchmark's terms; n_words (doc, tie, n_words) of all documents;
-    items (item, item_id, off, term, n): the words of the benchmark."""
+    """postings (doc, tie, pos, term, before, after) of the benchmark's terms; sizes (doc, tie, n_words) of all
+    documents; items (item, item_id, n, terms): the words of the benchmark."""
 
     postings: DataFrame
     sizes: DataFrame
     items: DataFrame
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> PositionalIndex:
+def build_index(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = VOCABULARY) -> PositionalIndex:
     """Store the postings of all documents for all terms of the benchmark."""
-    items = benchmark.select(F.col("item_id"), F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("w")).distinct()
-    items = items.select("item", F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.size("w").alias("n"), F.posexplode("w").alias("off", "word"))
-    items = written(items.withColumn("term", F.xxhash64("word")), "items")
-    end = docs.sparkSession.createDataFrame([("", None)], "word string, term long")  # marks the end of a text
-    vocabulary = written(items.select("word", "term").distinct().unionByName(end), "vocabulary")
-    tokens = docs.select(*node(doc_id, text), F.posexplode(F.concat(words(F.col(text)), F.array(F.lit("")))).alias("pos", "word"))
-    postings = written(attach(tokens, vocabulary, ["word"], "inner").select(*NODE, "pos", "term"), "postings")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("w"))
+    items = written(items.where(F.size("w") > 0).distinct(), "items")
+    vocabulary = written(items.select(F.explode("w").alias("word")).distinct(), "vocabulary")
+    tokens = docs.select(*node(doc_id, text), words(F.col(text)).alias("w"))
+    term = lambda i: F.xxhash64(F.get("w", i))
+    posting = lambda i: F.struct(i.alias("pos"), term(i).alias("term"), term(i - 1).alias("before"), term(i + 1).alias("after"))
+    end = F.struct(F.size("w").alias("pos"), *[F.lit(None).cast("long").alias(c) for c in ("term", "before", "after")])
+    if vocabulary.count() <= most:
+        known = [r["word"] for r in vocabulary.collect()]
+        posts = F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(known), posting(i))))
+        postings = tokens.select(*NODE, F.inline(F.array_append(posts, end)))
+    else:
+        used = tokens.select(*NODE, F.posexplode("w").alias("i", "word"), "w").select(*NODE, "word", posting(F.col("i")).alias("p"))
+        used = attach(used, vocabulary, ["word"], "left_semi").select(*NODE, "p.*")
+        postings = used.unionByName(tokens.select(*NODE, F.inline(F.array(end))))
+    postings = written(postings, "postings")
     sizes = postings.where("term IS NULL").select(*NODE, F.col("pos").alias("n_words"))
-    return PositionalIndex(postings.where("term IS NOT NULL"), sizes, items)
+    items = items.select("item", "item_id", F.size("w").alias("n"), F.transform("w", lambda w: F.xxhash64(w)).alias("terms"))
+    return PositionalIndex(postings.where("term IS NOT NULL"), sizes, written(items, "terms"))
 
 
 def rarest_terms(index: PositionalIndex, window: int = WINDOW) -> DataFrame:
-    """(item, off, term): of each window of each item, its rarest term; windows with an unseen term are left out."""
+    """(item, off, term, before, after): of each window of each item, its rarest term with its neighbours;
+    windows with an unseen term are left out."""
     seen = index.postings.groupBy("term").count()
-    counted = index.items.join(seen, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    spread = index.items.select("item", "n", "terms", F.posexplode("terms").alias("off", "term"))
+    beside = lambda i: F.get("terms", F.col("off") + i)
+    spread = spread.select("item", "n", "off", "term", beside(-1).alias("before"), beside(1).alias("after"))
+    counted = spread.join(seen, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     size = F.least(F.col("n"), F.lit(window))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - size + 1), F.least(F.col("off"), F.col("n") - size)))
-    spread = counted.select("item", "off", "term", "count", starts.alias("start"))
-    least = spread.groupBy("item", "start").agg(F.min(F.struct("count", "off", "term")).alias("r")).where("r.count > 0")
-    return written(least.select("item", "r.off", "r.term").distinct(), "rarest")
+    rows = counted.select("item", F.struct("count", "off", "term", "before", "after").alias("r"), starts.alias("start"))
+    least = rows.groupBy("item", "start").agg(F.min("r").alias("r")).where("r.count > 0")
+    return written(least.select("item", "r.off", "r.term", "r.before", "r.after").distinct(), "rarest")
 
 
 def phrase_matches(index: PositionalIndex, window: int = WINDOW) -> DataFrame:
     """(doc, tie, item, start, n_run, off): runs of at least a window of an item's words in a document."""
-    anchors = rarest_terms(index, window)
-    places = attach(index.postings, anchors.withColumnRenamed("off", "at"), ["term"], "inner")
-    places = places.select(*NODE, "item", (F.col("pos") - F.col("at")).alias("base")).distinct()
-    places = written(places, "places")
+    anchors = rarest_terms(index, window).select("item", "term", F.col("off").alias("at"), F.col("before").alias("b"), F.col("after").alias("a"))
+    beside = (F.col("before") == F.col("b")) | (F.col("after") == F.col("a")) | (F.col("b").isNull() & F.col("a").isNull())
+    if window > 1:
+        beside = F.coalesce(beside, F.lit(False))  # any window around the term has one of its neighbours
+    else:
+        beside = F.lit(True)
+    places = attach(index.postings, anchors, ["term"], "inner").where(beside)
+    places = written(places.select(*NODE, "item", (F.col("pos") - F.col("at")).alias("base"), "at").distinct(), "places")
     nodes = written(places.select(*NODE).distinct(), "nodes")
-    near = attach(index.postings, nodes, NODE, "left_semi")
-    wanted = attach(places, index.items.select("item", "off", "term", "n"), ["item"], "inner")
-    wanted = wanted.withColumn("pos", F.col("base") + F.col("off"))
+    near = attach(index.postings.select(*NODE, "pos", "term"), nodes, NODE, "left_semi")
+    first = F.greatest(F.lit(0), F.col("at") - (window - 1))
+    wanted = attach(places, index.items.select("item", "n", "terms"), ["item"], "inner")
+    wanted = wanted.select(*NODE, "item", "base", "n", first.alias("first"), F.posexplode(F.slice("terms", first + 1, F.col("at") - first + window)).alias("k", "term"))
+    wanted = wanted.withColumn("off", F.col("first") + F.col("k")).withColumn("pos", F.col("base") + F.col("off"))
     met = wanted.join(near.hint("merge"), [*NODE, "pos", "term"]).select(*NODE, "item", "base", "off", "n").distinct()
     run = Window.partitionBy(*NODE, "item", "base").orderBy("off")
     runs = met.withColumn("run", F.col("off") - F.row_number().over(run)).groupBy(*NODE, "item", "base", "n", "run")
@@ -100,7 +124,7 @@ def phrase_matches(index: PositionalIndex, window: int = WINDOW) -> DataFrame:
 def proximity_matches(index: PositionalIndex, slop: int) -> DataFrame:
     """(doc, tie, item): items all of whose distinct terms occur within `slop` words of a posting of the rarest."""
     seen = index.postings.groupBy("term").count()
-    terms = index.items.select("item", "term").distinct().join(seen, "term", "left")
+    terms = index.items.select("item", F.explode("terms").alias("term")).distinct().join(seen, "term", "left")
     rarest = terms.groupBy("item").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "term")).alias("r"), F.count("*").alias("n_terms")
     )
