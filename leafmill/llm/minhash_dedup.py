@@ -2,27 +2,28 @@
 
 The k-mers are windows of SHINGLE words, each labelled with its occurrence number in the text. A sketch holds
 the PICKS k-mers of lowest hash in the order in which the text has them, so it is sensitive to edits and to
-order. Texts that share a sketch are candidates. Sketches say little on texts of few windows, so pairs with a
-text of at most SHORT k-mers are found exactly: texts of a size that such pairs can have also share buckets by
-single k-mers, the rarest ones, as many as a pair that is alike cannot all differ in. Two texts are near duplicates if their best order-keeping
-alignment of labelled k-mers, c long, has c / (a + b - c) >= SIMILARITY; matched k-mers lie in a band that any
-alignment this good stays in.
+order. Texts that share a sketch are candidates. Two texts are near duplicates if their best order-keeping
+alignment of words, c long, has c / (a + b - c) >= SIMILARITY: at most about one word in nine changed. Only words
+in the band that such an alignment can't leave are matched. Sketches say little on texts of few windows, so pairs
+with a text of at most SHORT words are found exactly: texts of a size that such pairs can have also share buckets
+by size and single words, the rarest ones, as many as a pair that is alike cannot all differ in.
 
 Exact copies are folded into one representative first. Candidates are compared in stars: in each bucket of
 texts with an equal sketch one centre, the text with the most company, meets the others (ROUNDS times, later
-centres being others). Every pair that is still apart then is compared, block by block; lengths and the count
-of common k-mers, an upper bound of c, rule out most pairs before the alignment. In a bucket whose members form
+centres being others). Every pair that is still apart then is compared, block by block; sizes and the words
+that occur in both, an upper bound of c, rule out most pairs before the alignment. In a bucket whose members form
 one class nothing is left, so a group of thousands of alike copies costs a few comparisons for each member.
 
 Result: one row per document with the class it belongs to, class_id being the smallest doc_id of the class,
 class_size the number of its documents and n_links the number of its text's verified links to others.
 Texts without a word are alone, also when they are equal. Rows with equal doc_id and equal text are one
-document. A null doc_id sorts last. Classes are connected components: members need not all be alike.
+document. A null doc_id sorts last. Classes are connected components: members need not all be alike. Very long
+texts are sketched and aligned whole. An empty table gives an empty result; only the named columns are read,
+so other columns don't clash.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,36 +32,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import _words as W
-from leafmill.llm._session import attach, written
+from leafmill.llm._session import attach, document_key, written
 
 SHINGLE = 5
-PICKS = 5
+PICKS = 3
 SKETCHES = 32
 SIMILARITY = 0.8
-ROUNDS = 1
+ROUNDS = 3
 BLOCK = 32  # texts
-#: K-mers of a text up to which all its near duplicates are found, and of the largest text that can be one.
-SHORT = 24
+#: Words of a text up to which all its near duplicates are found, and of the largest text that can be one.
+SHORT = 32
 REACH = int(SHORT / SIMILARITY + 1e-9)
 LAST = 2**63 - 1
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def labelled(values: np.ndarray) -> np.ndarray:
+    """Values mixed with their occurrence number, so all are distinct."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    if fresh.all():
+        return values
+    at = np.arange(len(values))
+    label = np.zeros(len(values), np.uint64)
+    label[order] = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+    return W.mix(values + label * np.uint64(0xD6E8FEB86659FD93))
+
+
 def labelled_kmers(hashes: np.ndarray) -> np.ndarray:
     """Hashes of the occurrence-labelled k-mers of one text; shorter texts are one k-mer."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    grams = W.mix(W.windows(hashes, min(SHINGLE, len(hashes))))
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    fresh = np.ones(len(grams), bool)
-    fresh[1:] = ranked[1:] != ranked[:-1]
-    if fresh.all():
-        return grams
-    at = np.arange(len(grams))
-    label = np.zeros(len(grams), np.uint64)
-    label[order] = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
-    return W.mix(grams + label * np.uint64(0xD6E8FEB86659FD93))
+    return labelled(W.mix(W.windows(hashes, min(SHINGLE, len(hashes)))))
 
 
 def sketches(kmers: np.ndarray) -> np.ndarray:
@@ -79,28 +84,33 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """c / (a + b - c) of the best banded alignment of two lists of distinct k-mers; 0 if under `least`."""
-    if not len(a) or not len(b):
-        return 0.0
-    total = len(a) + len(b)
-    band = int(total - 2 * least * total / (1 + least)) + 1  # unmatched k-mers that are allowed
-    if abs(len(a) - len(b)) > band:
+    """c / (a + b - c) of the best banded alignment of two lists of words; 0 if under `least`.
+
+    The alignment is computed a word of b at a time, for all words of a at once in the bits of one integer: a
+    bit goes out where the best alignment grows.
+    """
+    n, m = len(a), len(b)
+    need = int(np.ceil(least * (n + m) / (1 + least) - 1e-9))  # matches
+    if not n or not m or min(n, m) < need:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) / (total - len(i)) < least:
+    if n == m and (a == b).all():
+        return 1.0
+    if np.isin(a, b).sum() < need or np.isin(b, a).sum() < need:
         return 0.0
-    j = j[np.argsort(i)]
-    if len(j) > 1 and not (np.diff(j) > 0).all():
-        tails: list[int] = []  # longest increasing run of positions
-        for x in j.tolist():
-            k = bisect.bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        c = len(tails)
-    else:
-        c = len(j)
-    found = c / (total - c)
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    ahead, behind = n - need, m - need
+    band = (1 << (ahead + behind + 1)) - 1
+    full = left = (1 << n) - 1
+    for j, y in enumerate(b.tolist()):
+        met = places.get(y, 0)
+        if met:
+            met &= band << (j - behind) if j > behind else band >> (behind - j)
+            met &= left
+            left = ((left + met) | (left - met)) & full
+    c = n - left.bit_count()
+    found = c / (n + m - c)
     return found if found >= least else 0.0
 
 
@@ -112,33 +122,33 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, sizes, values, packed, terms = [], [], [], [], []
             for k, (first, n) in enumerate(zip(w.first.tolist(), w.counts.tolist(), strict=True)):
                 if n:
-                    kmers = labelled_kmers(hashes[first : first + n])
+                    own = hashes[first : first + n]
                     rows.append(start + k)
-                    sizes.append(len(kmers))
-                    values.append((sketches(kmers) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    packed.append((kmers >> np.uint64(32)).astype("<u4").tobytes())
-                    terms.append(np.frombuffer(packed[-1] if len(kmers) <= REACH else b"", "<i4"))
+                    sizes.append(n)
+                    values.append((sketches(labelled_kmers(own)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    packed.append((own >> np.uint64(32)).astype("<u4").tobytes())
+                    terms.append((labelled(own) >> np.uint64(32)).astype("<u4").view("<i4") if n <= REACH else np.zeros(0, "<i4"))
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
             bounds = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCHES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(bounds, flat), pa.array(packed, pa.binary()), pa.array(terms, pa.list_(pa.int32()))],
-                names=["node", "n", "sketches", "kmers", "terms"],
+                names=["node", "n", "sketches", "words", "terms"],
             )
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (batch.column(c) for c in ("a_kmers", "b_kmers"))
+        a, b = (batch.column(c) for c in ("a_words", "b_words"))
         same = [similarity(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) > 0 for x, y in zip(a, b, strict=True)]
         kept = batch.filter(pa.array(same, pa.bool_()))
         yield kept.select(["a", "b"])
 
 
-def verified(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are alike."""
-    side = lambda c: kmers.select(F.col("node").alias(c), F.col("kmers").alias(f"{c}_kmers"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words"))
     node = pairs.schema["a"].dataType.simpleString()
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_kmers", "b_kmers")
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_words", "b_words")
     return written(full.mapInArrow(_verify, f"a {node}, b {node}"), "links")
 
 
@@ -175,31 +185,33 @@ def _alike_in_size(a: Column, b: Column) -> Column:
 
 
 def _rare_terms(rows: DataFrame) -> DataFrame:
-    """(node, n, band, value): the rarest k-mers of short texts, SKETCHES being their band.
+    """(node, n, band, value): the rarest words of short texts with each size that an alike one may have at
+    least, SKETCHES being their band.
 
-    Alike texts have at least SIMILARITY * n k-mers in common, so with all k-mers in one order, by frequency among
-    short texts, each has a common one among its first n - ceil(SIMILARITY * n) + 1. K-mers of one text only come
-    first and need no bucket.
+    Alike texts have at least SIMILARITY * n words in common, so with all words in one order, by frequency among
+    short texts, each has a common one among its first n - ceil(SIMILARITY * n) + 1. Words of one text only come
+    first and need no bucket. The smaller of the two gives the size of the bucket in which they meet.
     """
     terms = rows.where(F.size("terms") > 0).select("node", "n", F.explode("terms").alias("value"))
     often = written(terms.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
     ranked = attach(terms, often, ["value"], "inner").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("r"))
-    first = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("r"))
+    least = F.ceil(SIMILARITY * F.col("n") - 1e-9).cast("int")
+    first = F.col("n") - least + 1 - (F.col("n") - F.size("r"))
     ranked = ranked.withColumn("r", F.slice("r", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))
-    return written(ranked.select("node", "n", F.lit(SKETCHES).alias("band"), F.explode("r.value").alias("value")), "terms")
+    met = ranked.select("node", "n", F.explode("r.value").alias("term"), least.alias("least")).select("node", "n", "term", F.explode(F.sequence("least", "n")).alias("size"))
+    return written(met.select("node", "n", F.lit(SKETCHES).alias("band"), F.hash("term", "size").alias("value")), "terms")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For rows (node, text) of different texts: verified links (a, b), and (node, label) of the linked nodes."""
     node = docs.schema["node"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_sketch_rows, f"node {node}, n int, sketches array<int>, kmers binary, terms array<int>"), "sketches")
+    rows = written(docs.mapInArrow(_sketch_rows, f"node {node}, n int, sketches array<int>, words binary, terms array<int>"), "sketches")
     buckets = rows.select("node", "n", F.posexplode("sketches").alias("band", "value")).unionByName(_rare_terms(rows))
     shared = written(buckets.groupBy("band", "value").agg(F.count("*").alias("company")).where("company > 1"), "shared")
     members = written(attach(buckets, shared, ["band", "value"], "inner"), "members")
     company = written(members.groupBy("node").agg(F.sum("company").alias("company")), "company")
     members = written(attach(members.drop("company"), company, ["node"], "inner"), "ranked")
-    kmers = attach(rows.select("node", "kmers"), company.select("node"), ["node"], "left_semi")
-    kmers = written(kmers, "kmers")
+    texts = written(attach(rows.select("node", "words"), company.select("node"), ["node"], "left_semi"), "words")
     spark = docs.sparkSession
     links = spark.createDataFrame([], f"a {node}, b {node}")
     labels = spark.createDataFrame([], f"node {node}, label {node}")
@@ -213,7 +225,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             open_buckets = written(centres.where("least != most").select("band", "value", "c"), "centres")
             near = known.join(open_buckets.hint("merge"), ["band", "value"]).where((F.col("label") != F.col("c.label")) & _alike_in_size(F.col("n"), F.col("c.n")))
             pairs = near.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
-            new = verified(pairs, kmers)
+            new = verified(pairs, texts)
         else:
             new = _apart(known, rows)
         links = links.unionByName(new)
@@ -246,18 +258,11 @@ def _alike(x: pa.StructArray, y: pa.StructArray, band: int, same: bool) -> Itera
     equal = left[i] == right[j]
     first = np.where(equal.any(1), equal.argmax(1), SKETCHES) == band  # else met in an earlier bucket
     i, j = i[first], j[first]
-    if not len(i):
-        return
-    theirs = [np.frombuffer(v, "<u4") for v in y.field("kmers").to_pylist()]
-    for k in np.unique(i).tolist():
-        own, others = np.frombuffer(x.field("kmers")[k].as_py(), "<u4"), j[i == k]
-        ranked, flat = np.sort(own), np.concatenate([theirs[o] for o in others])
-        hits = ranked[np.minimum(np.searchsorted(ranked, flat), len(ranked) - 1)] == flat
-        sizes = m[others, 0]
-        common = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)  # at least the length of an alignment
-        for o in others[common >= SIMILARITY * (len(own) + sizes - common)].tolist():
-            if similarity(own, theirs[o]):
-                yield k, o
+    theirs = [np.frombuffer(t.as_py(), "<u4") for t in y.field("words")] if len(i) else []
+    own = [np.frombuffer(t.as_py(), "<u4") for t in x.field("words")] if len(i) else []
+    for k, o in zip(i.tolist(), j.tolist(), strict=True):
+        if similarity(own[k], theirs[o]):
+            yield k, o
 
 
 def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
@@ -271,9 +276,9 @@ def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
     open_buckets = sizes.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"), F.max("n").alias("insiders"))
     open_buckets = written(open_buckets.where("outsiders > 0"), "open")
     members = known.select(*bucket, "node", "n", "label").join(open_buckets.hint("merge"), bucket).withColumn("outside", F.col("label") != F.col("main"))
-    members = members.join(rows.select("node", "sketches", "kmers"), "node")
+    members = members.join(rows.select("node", "sketches", "words"), "node")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.when(F.col("outside"), F.col("outsiders")).otherwise(F.col("insiders")) / BLOCK)).alias("part")
-    blocks = members.select(*bucket, "outside", part, F.struct("node", "n", "label", "sketches", "kmers").alias("o"))
+    blocks = members.select(*bucket, "outside", part, F.struct("node", "n", "label", "sketches", "words").alias("o"))
     blocks = written(blocks.groupBy(*bucket, "outside", "part").agg(F.collect_list("o").alias("block")), "blocks")
     left = blocks.where("outside").select(*bucket, F.col("part").alias("p"), F.col("block").alias("left"))
     right = blocks.select(*bucket, "outside", "part", F.col("block").alias("right"))
@@ -284,7 +289,7 @@ def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, n_links, and `first`: is it the one to keep."""
-    node = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    node = F.struct(*document_key(F.col(doc_id), F.col(text)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), node.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return _classes(rows)
 
@@ -319,8 +324,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """The rows of docs, with all their columns, of which one stays for each class of near duplicates."""
     kept = near_duplicates(docs, doc_id, text).where("first").groupBy("node").agg(F.count("*").alias("n"))
     kept = written(kept.select(F.col("node.doc").alias("doc"), F.col("node.tie").alias("tie"), "n"), "kept")
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc")
-    rows = docs.select(F.struct("*").alias("row"), doc, F.hash(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    rows = docs.select(F.struct("*").alias("row"), *document_key(F.col(doc_id), F.col(text)))
     once = attach(rows, kept, ["doc", "tie"], "inner")
     if not kept.where("n > 1").isEmpty():  # the same row several times
         once = once.where("n = 1").unionByName(once.where("n > 1").dropDuplicates(["doc", "tie"]))

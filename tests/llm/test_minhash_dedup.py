@@ -8,12 +8,22 @@ from leafmill.llm import _words as W
 from leafmill.llm import minhash_dedup as M
 
 
-def kmers(text):
-    return M.labelled_kmers(W.Words(pa.array([text])).hashes())
+def words(text):
+    return (W.Words(pa.array([text])).hashes() >> np.uint64(32)).astype("<u4")
+
+
+def common(x, y):
+    """Length of the longest order-keeping alignment, by a plain dynamic program."""
+    row = [0] * (len(y) + 1)
+    for p in x:
+        last, row = row, [0]
+        for j, q in enumerate(y):
+            row.append(last[j] + 1 if p == q else max(last[j + 1], row[j]))
+    return row[-1]
 
 
 def brute(rows):
-    """Classes by comparing every pair with a plain dynamic program over labelled k-mers."""
+    """Classes by comparing every pair of texts word by word."""
     parent = {d: d for d, _ in rows}
 
     def root(d):
@@ -21,16 +31,12 @@ def brute(rows):
             d = parent[d]
         return d
 
-    found = {d: kmers(t or "").tolist() for d, t in rows}
+    found = {d: (t or "").split() for d, t in rows}
     for (a, x), (b, y) in itertools.combinations(found.items(), 2):
-        if not x or not y or len(set(x) & set(y)) < M.SIMILARITY * max(len(x), len(y)):
+        if not x or not y or len(set(x) & set(y)) < 0.3 * max(len(set(x)), len(set(y))):
             continue
-        row = [0] * (len(y) + 1)
-        for p in x:
-            last, row = row, [0]
-            for j, q in enumerate(y):
-                row.append(last[j] + 1 if p == q else max(last[j + 1], row[j]))
-        if row[-1] >= M.SIMILARITY * (len(x) + len(y) - row[-1]):
+        c = common(x, y)
+        if c >= M.SIMILARITY * (len(x) + len(y) - c):
             low, high = sorted((root(a), root(b)))
             parent[high] = low
     return {d: root(d) for d in parent}
@@ -55,13 +61,35 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_alignment_keeps_order():
-    a = np.arange(100, dtype=np.uint64)
+    a = np.arange(100, dtype=np.uint32)
     assert M.similarity(a, a) == 1.0
     assert M.similarity(a, np.concatenate([a[50:], a[:50]])) == 0.0
     assert 0.8 <= M.similarity(a, a[:85]) < 1.0
     assert M.similarity(a[:0], a) == 0.0
 
 
+def test_alignment_equals_a_plain_dynamic_program():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = [rng.randrange(rng.choice([3, 50])) for _ in range(rng.randrange(1, 70))]
+        b = [x if rng.random() > 0.08 else rng.randrange(60) for x in a if rng.random() > 0.05]
+        b[rng.randrange(len(b) + 1) : 0] = [1] * rng.randrange(4)
+        c = common(a, b)
+        want = c / (len(a) + len(b) - c)
+        assert M.similarity(np.array(a, "<u4"), np.array(b, "<u4")) == (want if want >= M.SIMILARITY else 0.0)
+
+
+def test_one_changed_word_is_a_near_copy(spark):
+    rng, rows = random.Random(3), []
+    for n in [20, 40, 60] * 25:
+        base = [f"w{rng.randrange(9999)}" for _ in range(n)]
+        copy = list(base)
+        copy[rng.randrange(n)] = "changed"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[d] == got[d + 1] for d in range(0, len(rows), 2)) == 75
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
     got = {r["node"]: r["label"] for r in M.components(edges).collect()}
@@ -78,13 +106,13 @@ def test_one_equal_sketch_outside_a_star_is_enough(spark):
     """Three texts of a bucket in three classes: the similar pair shares no other sketch."""
     texts = [np.arange(40), np.arange(3, 43), np.arange(100, 140)]
     rows = [((d, 0), len(t), [7, *range(100 * d, 100 * d + M.SKETCHES - 1)], t.astype("<u4").tobytes()) for d, t in enumerate(texts)]
-    rows = spark.createDataFrame(rows, "node struct<doc:bigint,tie:int>, n int, sketches array<int>, kmers binary")
+    rows = spark.createDataFrame(rows, "node struct<doc:bigint,tie:bigint>, n int, sketches array<int>, words binary")
     known = rows.selectExpr("0 AS band", "7 AS value", "node", "n", "node AS label")
     assert [(r["a"]["doc"], r["b"]["doc"]) for r in M._apart(known, rows).collect()] == [(1, 0)]
 
 
 def test_short_texts_are_found_exactly(spark):
-    """Texts of few windows and the same texts with some words more at either end."""
+    """Texts of few words and the same texts with some words more at either end."""
     rng, rows = random.Random(9), []
     for n in [7, 8, 8, 8, 9, 9, 10, 11, 12, 13, 14, 16, 20, 24, 28] * 4:
         base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
