@@ -1,95 +1,131 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary texts: each holds its class's words
-by document frequency, the commonest nearest its end. A window of a text is one word between blanks; its
-distance is its compressed length under the ordinary dictionary less that under the toxic one. A calibrated
-logistic model over the distribution of a text's distances gives the score.
-
-Labels are learned from at most about SAMPLE labelled rows (chosen by a hash of the identifier). Words are
-counted and distances measured on the executors; only MAX_WORDS words per class and one row of numbers for
-each sampled text reach the driver.
-
-Defined results: null and empty texts are scored as texts without windows; with one class or none to learn
-from, every score is the share of toxic labels (0 if there are none); repeated rows get equal rows.
+Two zstandard dictionaries are trained with its dictionary builder, one on toxic and one on ordinary text. The
+ordinary one is trained on windows of ordinary texts. The toxic one is the same content followed by what the
+builder finds in samples of toxic text: of each toxic text the words whose document frequency is higher among
+toxic texts than chance explains (a likelihood ratio). Text that both classes share is so compressed alike by
+both, and the distance of a window (WINDOW words), its compressed length under the ordinary dictionary less that
+under the toxic one, comes from toxic passages: words, parts of words, phrases, digits, in any script.
+
+A calibrated logistic model over a text's window distances (the largest ones, and how many windows reach each
+of the thresholds in CUTS) gives the score.
+
+Labels are learned from at most about SAMPLE labelled rows (chosen by a hash of the identifier); equal texts
+among them count once. Words are counted and distances measured on the executors. Only MAX_WORDS words, one
+sample of at most MAX_TEXT bytes for each toxic text, about WINDOWS windows and one row of numbers for each
+sampled text reach the driver.
+
+Defined results: null and empty texts are scored as texts without windows; very long texts are scored whole;
+with one class or none to learn from, every score is the share of toxic labels (0 if there are none); repeated
+rows get equal rows; of several labels of one doc_id the highest counts; an empty table gives an empty result;
+only the named columns are read, so other columns don't clash.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm import _words as W
 from leafmill.llm._session import written
 from leafmill.llm.language_id import held_out
 
 SAMPLE = 20_000
-MAX_WORDS = 20_000  # per class
-DICTIONARY_BYTES = 16_384
+WINDOW = 2  # words
+WINDOWS = 60_000
+MAX_WORDS = 4_000
+MAX_TEXT = 500  # bytes
+LEAST_RATIO = 12.0  # of twice the log likelihood
+COMMON_BYTES, TOXIC_BYTES = 65_536, 4_096
+MIN_TRAIN = 8  # samples; the builder needs some
+SEGMENT, GRAM = 16, 6  # bytes: what the builder picks, and the runs that it counts
 LEVEL, MIN_MATCH = 12, 3
 THRESHOLD = 0.3
-REMEMBERED = 1_000_000
+CUTS = (3, 4, 5, 6, 7, 8, 10)
+TOP = 14.0
+REMEMBERED = 100_000
 #: zstandard looks for matches only up to some bytes before the end; both dictionaries treat these alike.
 PAD = b"\n" * 12
-_WORD = re.compile(r"[^\W\d_]+")
-_CUTS = (2, 3, 4, 6)
-N_FEATURES = 2 + 2 * len(_CUTS) + 2
-
-
-def content(words: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary of words given from the commonest on, which end up last."""
-    out, n = [], 0
-    for word in words:
-        part = f"{word} ".encode()
-        n += len(part)
-        if n > size:
-            break
-        out.append(part)
-    return b" " + b"".join(reversed(out))
+N_FEATURES = 3 + 2 * len(CUTS)
+
+
+def _single(text: str | None) -> list[bytes]:
+    """The words of a text in lower case."""
+    return text.lower().encode(errors="replace").split() if text else []
+
+
+def windows(text: str | None) -> list[bytes]:
+    """The text in lower case as windows of WINDOW words."""
+    words = _single(text)
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary that zstandard trains; of few samples, the samples themselves."""
+    import zstandard
+
+    whole = b"".join(samples)[-size:]
+    if len(samples) < MIN_TRAIN or len(whole) < size // 4:
+        return whole
+    try:
+        made = zstandard.train_dictionary(min(size, len(b"".join(samples))), samples, d=GRAM, k=SEGMENT, f=20, split_point=1.0, accel=1).as_bytes()
+    except zstandard.ZstdError:  # too little in the samples
+        return whole
+    # the content follows the entropy tables, which end in the three fixed first offsets
+    tables = made.find(b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00")
+    return made[tables + 12 :] if tables >= 0 else made
 
 
 class Distance:
-    """Window distances of whole texts; remembers those of words."""
+    """Window distances of whole texts; remembers those of windows."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         self._sides = [self._compressor(ordinary), self._compressor(toxic)]
-        self._seen: dict[str, int] = {}
+        self._seen: dict[bytes, int] = {}
 
     @staticmethod
     def _compressor(data: bytes):
         import zstandard
 
+        data = data.rjust(8, b" ")  # the least that is a dictionary
         held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         how = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, dict_size=len(data), source_size=32, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
+            LEVEL, dict_size=len(data), source_size=64, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
         )
         held.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress
-
-    def _window(self, word: str) -> int:
-        window = f" {word} ".encode() + PAD
-        ordinary, toxic = (len(side(window)) for side in self._sides)
-        if len(self._seen) >= REMEMBERED:
-            self._seen.clear()
-        if len(word) <= 64:
-            self._seen[word] = ordinary - toxic
-        return ordinary - toxic
-
-    def features(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall(text.lower()) if text else []
-        if not words:
-            return np.zeros(N_FEATURES)
-        get = self._seen.get
-        d = np.array([v if (v := get(w)) is not None else self._window(w) for w in words], float)
-        shares = np.array([(d >= cut).mean() for cut in _CUTS])
-        top, n = min(d.max(), 12.0), np.log1p(len(d))
-        return np.concatenate([[top, d.mean()], shares, np.sqrt(shares), [n, top * n]])
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 40) -> np.ndarray:
+        return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """One row a text; the windows of all these texts are compressed together, equal ones once."""
+        split = [windows(t) for t in texts]
+        need = set().union(*split)
+        new = [w for w in need if w not in self._seen]
+        if len(self._seen) + len(new) > REMEMBERED:
+            self._seen, new = {}, list(need)
+        seen = self._seen
+        for start in range(0, len(new), 10_000):
+            part = new[start : start + 10_000]
+            padded = [w + PAD for w in part]
+            ordinary, toxic = (side.multi_compress_to_buffer(padded, threads=0) for side in self._sides)
+            seen.update(zip(part, (len(a) - len(b) for a, b in zip(ordinary, toxic, strict=True)), strict=True))
+        out = np.zeros((len(texts), N_FEATURES))
+        for row, found in zip(out, split, strict=True):
+            if found:
+                d = np.array([seen[w] for w in found])
+                best = np.partition(d, -2)[:-3:-1] if len(d) > 1 else d[[0, 0]]
+                over = np.array([np.count_nonzero(d >= cut) for cut in CUTS])
+                row[:] = np.concatenate([np.minimum(best, TOP), [np.log1p(len(d))], np.log1p(over), np.sqrt(over / len(d))])
+        if len(seen) > REMEMBERED:  # one very long text
+            self._seen = {}
+        return out
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 40) -> np.ndarray:
     """Weights of a logistic model (the last is the constant), by penalised Newton steps."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -106,8 +142,51 @@ def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int =
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            words = sorted(set(_WORD.findall((text.as_py() or "").lower())))
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
+            words = sorted(set(_single(text.as_py())))
+            yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(words), pa.int32()), "word": pa.array([w.decode() for w in words], pa.string())})
+
+
+def _toxic_samples(known: frozenset[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text the words that are typical of toxic ones, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [b" ".join(dict.fromkeys(w for w in _single(t.as_py()) if w in known))[:MAX_TEXT] for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"sample": pa.array([b" " + f + b" " for f in found if f], pa.binary())})
+
+    return run
+
+
+def _ordinary_windows(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A share of all windows, chosen by a hash of window and place."""
+    limit = int(share * 2**32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                found = [w for i, w in enumerate(windows(t.as_py())) if zlib.crc32(w, i) < limit]
+                yield pa.RecordBatch.from_pydict({"sample": pa.array(found, pa.binary())})
+
+    return run
+
+
+def dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary from rows (text, toxic)."""
+    n = {r["toxic"]: (r["n"], r["size"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    if len(n) < 2:
+        return b"", b""
+    ordinary, toxic = float(n[0][0]), float(n[1][0])
+    counted = rows.mapInArrow(_document_words, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    share = (F.col("a") + F.col("b")) / (ordinary + toxic)
+    part = lambda c, of: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * of))).otherwise(0.0)
+    ratio = 2 * (part("a", toxic) + part("b", ordinary))
+    typical = counted.where((F.col("a") >= 2) & (F.col("a") / toxic > F.col("b") / ordinary)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    known = frozenset(r["word"].encode() for r in typical.orderBy(F.desc("ratio"), "word").limit(MAX_WORDS).collect())
+    bad = rows.where("toxic = 1").mapInArrow(_toxic_samples(known), "sample binary").collect()
+    plain = rows.where("toxic = 0").mapInArrow(_ordinary_windows(min(1.0, WINDOWS * 12 / max(1, n[0][1] or 0))), "sample binary").collect()
+    bad, plain = (sorted(bytes(r["sample"]) for r in side) for side in (bad, plain))
+    common = trained(plain, COMMON_BYTES)
+    return common, common + trained(bad, TOXIC_BYTES)
 
 
 #: A worker process keeps the distances of the dictionaries that it met last.
@@ -122,7 +201,7 @@ def _features(shared) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
             _kept[ordinary, toxic] = Distance(ordinary, toxic)
         distance = _kept[ordinary, toxic]
         for texts in batches:
-            x = np.array([distance.features(t.as_py()) for t in texts]).reshape(len(texts), N_FEATURES)
+            x = np.concatenate([distance.features(part.to_pylist()) for _, part in W.pieces(texts)] or [np.zeros((0, N_FEATURES))])
             if weights is None:
                 yield pa.array(list(x), pa.list_(pa.float64()))
             else:
@@ -138,15 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes
     total = labels.count()
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1e6
     chosen = labels.where(part < min(1.0, sample / max(1, total)))  # about `sample` rows at most
-    rows = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxicity")
-    counted = rows.mapInArrow(_document_words, "toxic int, word string").groupBy("toxic", "word").count()
-    sides = [
-        [r["word"] for r in counted.where((F.col("toxic") == c) & (F.length("word") <= 64)).orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect()]
-        for c in (0, 1)
-    ]
-    ordinary, toxic = map(content, sides)
-    measured = F.arrow_udf(_features(spark.sparkContext.broadcast((ordinary, toxic, None))), "array<double>", functionType=F.ArrowUDFType.SCALAR_ITER)
-    table = rows.select("toxic", measured("text").alias("x")).toPandas()
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
+    rows = written(rows, "toxicity")
+    ordinary, toxic = dictionaries(rows)
+    table = rows.select("toxic", _udf(spark, (ordinary, toxic, None), "array<double>")("text").alias("x")).toPandas()
     y = table["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
@@ -156,11 +230,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes
     return ordinary, toxic, calibrate(np.array(table["x"].to_list()), y)
 
 
+def _udf(spark, model: tuple, kind: str) -> Callable[..., Column]:
+    return F.arrow_udf(_features(spark.sparkContext.broadcast(model)), kind, functionType=F.ArrowUDFType.SCALAR_ITER)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Held-out rows teach nothing."""
     docs = docs.select("doc_id", "text")
     labels = labels.select("doc_id", "toxic")
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
-    scored = F.arrow_udf(_features(docs.sparkSession.sparkContext.broadcast(model)), "double", functionType=F.ArrowUDFType.SCALAR_ITER)
+    scored = _udf(docs.sparkSession, model, "double")
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
