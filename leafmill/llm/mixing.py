@@ -5,13 +5,17 @@ target: rate = min(CAP, exp(l * size / mean size)), one multiplier l for each so
 the convex dual by Newton steps, kept inside a bracket; every step is one aggregation over (source, size)
 counts. Rates are then rounded into whole copies: a document's next copy is drawn where its place, a hash of
 its identifier, lies under the fraction of its rate plus a shift, and the shift of each source is refined
-until the words drawn meet the target; shorter documents then fill what is left.
+until the words drawn meet the target. Passes over shorter documents then fill what is left, until in no
+source a document that could still be drawn is as short as what is left.
 
 Only DataFrame functions are used; sources live in a DataFrame, so their number is not bounded by the driver.
+One small row a source is ordered in one task, since targets follow the order of sources.
 
 Defined results: null texts have size 0 and rate 1 at most (they take no words); a null source is a source of
-its own, last in order; rows with equal doc_id and equal text share one place; an empty table gives an empty
-result. A source whose target is 0 is left out, one whose target is CAP times its size is taken CAP times.
+its own, last in order; rows with equal doc_id and equal text share one place; very long texts are counted whole
+and are left out where they exceed what their source still needs; an empty table gives an empty result; only the
+named columns are read, so other columns don't clash. A source whose target is 0 is left out, one whose target
+is CAP times its size is taken CAP times.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm._session import attach, written
+from leafmill.llm._session import attach, document_key, is_small, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -28,7 +32,8 @@ CAP = 2.0
 STEPS = 40
 UNROLLED = 4  # Newton steps in one job
 TOLERANCE = 1e-9
-PASSES, LEVELS, BINS = 2, 2, 65_536
+LEVELS, BINS = 2, 65_536
+MOST_PASSES = 40  # each but the last draws a document of every source that one still fits
 LARGEST = 60.0  # of an exponent
 
 
@@ -105,17 +110,21 @@ def _drawn(passes: int, limit: int) -> Column:
     """Does the document get its next copy in one of the first passes."""
     drawn = F.lit(False)
     for k in range(passes):
-        drawn = drawn | (_eligible(drawn, k, limit) & (F.col("place") < F.col(f"shift{k}")))
-    return drawn
+        drawn = drawn | ((F.col("place") < F.col(f"shift{k}")) & _fits(k))
+    return drawn & (F.col("whole") < limit)
 
 
-def _eligible(drawn: Column, k: int, limit: int) -> Column:
-    eligible = ~drawn & (F.col("whole") < limit)
-    return eligible & (F.col("size") <= F.col(f"gap{k}")) if k else eligible
+def _fits(k: int) -> Column:
+    return F.col("size") <= F.col(f"gap{k}") if k else F.lit(True)
 
 
-def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """(source, gap0, shift0, gap1, shift1, ...): pass k draws the documents with place < shift k.
+def _eligible(k: int, limit: int) -> Column:
+    return ~_drawn(k, limit) & (F.col("whole") < limit) & (F.col("size") > 0) & _fits(k)
+
+
+def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """(source, gap0, shift0, gap1, shift1, ...) and the number of passes: pass k draws the documents with
+    place < shift k.
 
     A pass stops before the document with which the words drawn would exceed what the source still needs
     (its gap); the next pass goes on with those that are no longer than the gap. Within a pass each level
@@ -125,33 +134,40 @@ def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
     have = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("have"))
     have = wanted.join(have.withColumnRenamed("source", "s"), _same("source", "s"), "left")
     state = written(have.select("source", (F.col("target") - F.coalesce("have", F.lit(0))).alias("gap0")), "shift")
-    for k in range(PASSES):
+    for k in range(MOST_PASSES):
+        open_ = rated.join(F.broadcast(state.withColumnRenamed("source", "s")) if is_small(state) else state.withColumnRenamed("source", "s"), _same("source", "s"))
+        open_ = open_.where(_eligible(k, limit))
+        if k and open_.isEmpty():
+            return state, k
         fixed = state.columns
+        open_ = written(open_.select("source", "size", "place"), "open") if k else open_
         state = state.select("*", F.col(f"gap{k}").alias("need"), F.lit(-1.0).alias("low"), F.lit(2.0).alias("width"))
         for _ in range(LEVELS):
-            rows = rated.join(state.withColumnRenamed("source", "s"), _same("source", "s")).where(_eligible(_drawn(k, limit), k, limit))
-            bin_ = F.floor((F.col("place") - F.col("low")) / F.col("width") * BINS)
-            binned = rows.withColumn("bin", bin_).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
+            bounds = state.select(F.col("source").alias("s"), F.col("low").alias("l"), F.col("width").alias("w"))
+            rows = open_.select("source", "size", "place").join(bounds, _same("source", "s"))
+            binned = rows.withColumn("bin", F.floor((F.col("place") - F.col("l")) / F.col("w") * BINS)).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
             binned = binned.groupBy("source", "bin").agg(F.sum("size").alias("words"))
             run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a source
             summed = binned.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("source", "s")
             over = summed.join(state, _same("source", "s")).where(F.col("upto") > F.col("need"))
             passed = over.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("p"))
-            moved = state.join(passed.withColumnRenamed("source", "s"), _same("source", "s"), "left")
+            # without a bin that exceeds the need, all of the interval is drawn
+            total = binned.groupBy("source").agg(F.sum("words").alias("all")).withColumnRenamed("source", "t")
+            moved = state.join(passed.withColumnRenamed("source", "s"), _same("source", "s"), "left").join(total, _same("source", "t"), "left")
             state = moved.select(
                 *fixed,
-                (F.col("need") - F.coalesce("p.before", F.lit(0))).alias("need"),
+                (F.col("need") - F.coalesce("p.before", "all", F.lit(0))).alias("need"),
                 (F.col("low") + F.coalesce("p.bin", F.lit(BINS)) * F.col("width") / BINS).alias("low"),
                 (F.col("width") / BINS).alias("width"),
             )
             state = written(state, "shift")
-        state = state.select(*fixed, F.col("low").alias(f"shift{k}"), F.col("need").alias(f"gap{k + 1}"))
-    return state
+        state = written(state.select(*fixed, F.col("low").alias(f"shift{k}"), F.col("need").alias(f"gap{k + 1}")), "shift")
+    return state, MOST_PASSES
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies and the rate they round."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.col(source).alias("source"), size(F.col(text)).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), document_key(F.col(doc_id), F.col(text))[1], F.col(source).alias("source"), size(F.col(text)).alias("size"))
     rows = written(rows, "sizes")
     wanted = written(targets(rows, cap=cap), "targets")
     counts = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
@@ -166,9 +182,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rated = known.withColumn("rate", rate).withColumn("whole", F.least(F.floor("rate"), F.lit(limit)))
     rated = rated.withColumn("place", draw - (F.col("rate") - F.col("whole")))
     rated = written(rated.select("doc_id", "tie", "source", "size", "source_size", "target", "rate", "whole", "place"), "rates")
-    shift = written(shifts(rated, wanted, limit), "shifts")
+    shift, passes = shifts(rated, wanted, limit)
     drawn = _with(rated, shift)
-    copies = F.col("whole") + F.when(_drawn(PASSES, limit), 1).otherwise(0)
+    copies = F.col("whole") + F.when(_drawn(passes, limit), 1).otherwise(0)
     out = drawn.withColumn("copies", copies.cast("int"))
     return out.select("doc_id", "tie", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
 
@@ -182,8 +198,8 @@ def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with all their columns."""
-    tie = F.hash(F.coalesce(F.col("text"), F.lit("")))
-    copies = mix(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), "tie", "copies").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), tie.alias("tie"))
-    taken = attach(rows, written(copies, "copies"), ["k", "tie"], "inner")
+    key = document_key(F.col("doc_id"), F.col("text"))
+    copies = mix(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "tie", "copies").distinct()
+    rows = docs.select(F.struct("*").alias("row"), *key)
+    taken = attach(rows, written(copies, "copies"), ["doc", "tie"], "inner")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
