@@ -2,14 +2,17 @@
 
 Every slot of the filter holds a mask with one bit per language, so the AND of the slots of an n-gram is the
 set of all languages that have it. For each text the set bits are counted per language, less the share that
-false positives explain, and the language with the highest corrected count wins.
+false positives explain, and the language with the highest corrected count wins. Languages beyond the first
+64 have further masks.
 
 Fitting reads texts and languages of at most about SAMPLE texts per language (chosen by a hash of the
 identifier); the filter has a fixed size and is broadcast.
 
 Defined results: `und` and score 0 for null texts and texts without a letter; a text with letters but no
 known n-gram gets the commonest training language with score 1 / number of languages; `und` throughout if
-no row can be learned from. Ties go to the language that sorts first. Only the named columns are read.
+no row can be learned from. Ties go to the language that sorts first. Very long texts are scored whole; repeated
+rows get equal rows and each counts in training; an empty table gives an empty result; only the named columns
+are read, so other columns don't clash.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ LEAST_COUNT = 5
 LEAST_SHARE = 0.15  # of the n-gram's rate in the language where it is commonest
 SLOTS = 1 << 20
 HASHES = 3
+MASK = 64  # languages
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -60,20 +64,22 @@ class MaskFilter:
     """A Bloom filter whose slots are language masks."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]  # of up to MASK languages each
     false_rate: np.ndarray
 
     @classmethod
     def build(cls, languages: list[str], members: list[np.ndarray], size: int = SLOTS) -> MaskFilter:
-        bits = max(8, 1 << (len(languages) - 1).bit_length() if languages else 8)
-        if bits > 64:
-            raise ValueError("at most 64 languages")
-        slots = np.zeros(size, np.dtype(f"u{bits // 8}"))
-        for k, found in enumerate(members):
-            for at in cls._places(found, size):
-                slots[at] |= slots.dtype.type(1 << k)
-        fill = np.array([np.count_nonzero(slots >> k & 1) / size for k in range(len(languages))])
-        return cls(languages, slots, fill**HASHES)
+        slots, fill = [], []
+        for start in range(0, len(languages), MASK):
+            group = members[start : start + MASK]
+            bits = max(8, 1 << (len(group) - 1).bit_length())
+            part = np.zeros(size, np.dtype(f"u{bits // 8}"))
+            for k, found in enumerate(group):
+                for at in cls._places(found, size):
+                    part[at] |= part.dtype.type(1 << k)
+            slots.append(part)
+            fill += [np.count_nonzero(part >> k & 1) / size for k in range(len(group))]
+        return cls(languages, slots, np.array(fill) ** HASHES)
 
     @staticmethod
     def _places(found: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -82,12 +88,15 @@ class MaskFilter:
         for i in range(HASHES):
             yield ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
 
-    def masks(self, found: np.ndarray) -> np.ndarray:
-        """The languages that have each n-gram, as a mask."""
-        places = self._places(found, len(self.slots))
-        out = self.slots[next(places)]
-        for at in places:
-            out &= self.slots[at]
+    def masks(self, found: np.ndarray) -> list[np.ndarray]:
+        """The languages that have each n-gram, as one mask for each group of MASK languages."""
+        out = []
+        for part in self.slots:
+            places = self._places(found, len(part))
+            mask = part[next(places)]
+            for at in places:
+                mask &= part[at]
+            out.append(mask)
         return out
 
     def corrected(self, texts: pa.Array) -> np.ndarray:
@@ -96,7 +105,8 @@ class MaskFilter:
         masks, n = self.masks(found), np.bincount(text, minlength=len(texts))
         out = np.zeros((len(texts), len(self.languages)))
         for k, rate in enumerate(self.false_rate):
-            hits = np.bincount(text, weights=(masks >> masks.dtype.type(k)) & masks.dtype.type(1), minlength=len(texts))
+            mask = masks[k // MASK]
+            hits = np.bincount(text, weights=(mask >> mask.dtype.type(k % MASK)) & mask.dtype.type(1), minlength=len(texts))
             out[:, k] = np.maximum(0, (hits - n * rate) / (1 - rate))
         return out
 
@@ -145,7 +155,7 @@ def fit(train: DataFrame, per_language: int = SAMPLE) -> tuple[MaskFilter, int]:
     table["rate"] = table["n"] / table["lang"].map(sums)
     table = table[table["rate"] >= LEAST_SHARE * table.groupby("gram")["rate"].transform("max")]
     members = [table.loc[table["lang"] == name, "gram"].to_numpy(np.uint32) for name in languages]
-    return MaskFilter.build(languages, members), languages.index(max(languages, key=lambda x: (totals[x], x)))
+    return MaskFilter.build(languages, members), max(range(len(languages)), key=lambda k: (totals[languages[k]], -k))
 
 
 def predict(docs: DataFrame, model: MaskFilter, usual: int) -> DataFrame:

@@ -92,16 +92,27 @@ def test_em_finds_the_rules_that_tell():
 def test_masks_have_every_member_and_few_others():
     members = [np.arange(0, 5000, dtype=np.uint32), np.arange(4000, 9000, dtype=np.uint32)]
     model = language_id.MaskFilter.build(["a", "b"], members, 1 << 16)
-    masks = model.masks(np.arange(9000, dtype=np.uint32))
+    masks = model.masks(np.arange(9000, dtype=np.uint32))[0]
     assert (masks[:5000] & 1).all() and (masks[4000:] & 2).all()
-    assert (masks[5000:] & 1).mean() < 0.05 and abs((model.masks(np.arange(10**6, 10**6 + 50_000, dtype=np.uint32)) & 1).mean() - model.false_rate[0]) < 0.01
+    others = model.masks(np.arange(10**6, 10**6 + 50_000, dtype=np.uint32))[0]
+    assert (masks[5000:] & 1).mean() < 0.05 and abs((others & 1).mean() - model.false_rate[0]) < 0.01
+    many = language_id.MaskFilter.build([f"l{k:03}" for k in range(150)], [np.arange(50 * k, 50 * k + 50, dtype=np.uint32) for k in range(150)], 1 << 16)
+    for k in (0, 63, 64, 149):
+        mask = many.masks(np.arange(50 * k, 50 * k + 50, dtype=np.uint32))
+        assert (mask[k // 64] >> mask[k // 64].dtype.type(k % 64) & 1).all() and len(mask) == 3
     assert language_id.has_letter(pa.array(["1 2", "é", "", None, "a", "日"])).tolist() == [False, True, False, False, True, True]
 
 
 def test_distances_tell_the_dictionaries_apart():
-    d = toxicity.Distance(toxicity.content(["plain", "ordinary", "window"]), toxicity.content(["wretched", "ordinary", "window"]))
-    assert d.features("wretched ordinary")[0] > 2 >= d.features("plain ordinary")[0]
-    assert not d.features(None).any() and not d.features(" 1 2 ").any()
+    rng = random.Random(2)
+    plain = [f" {rng.choice('bcdfg')}{rng.choice('aeiou')}rd {rng.choice('klmnp')}{rng.choice('aeiou')}st ".encode() for _ in range(3000)]
+    common = toxicity.trained(plain, 2048)
+    bad = toxicity.trained([rng.choice([b" wretchedness ", b" no good 5511 "]) for _ in range(50)], 512)
+    d = toxicity.Distance(common, common + bad)
+    found = d.features(["such wretchedness bard kest", "bard kest bird most", "good 5511 1 2", None, " ", "a" * 200_000])
+    assert found[0][0] >= 6 > found[1][0] and found[2][0] >= 3  # phrases and digits tell as words do
+    assert not found[3].any() and not found[4].any() and len(d._seen) < toxicity.REMEMBERED
+    assert toxicity.windows("A b\nC") == [b" a b ", b" c "]
 
 
 def test_pieces_keep_whole_texts():
