@@ -19,6 +19,7 @@ An empty table gives no shards and no rows; only the named columns are read, so
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -37,8 +38,9 @@ from leafmill.llm._session import attach, shared_dir, written
 END_ID = 1
 SHARD_BYTES = 4 << 20
 PARTITION_ROWS = 20_000
-#: Parts of texts whose ids a worker process remembers; the table starts anew when it is full.
-REMEMBERED = 150_000
+#: Parts of texts whose ids a worker process remembers; when they are too many, the half used most often stays.
+REMEMBERED = 240_000
+ROW = 50  # runs of letters that are encoded as one text
 LEVELS = 48
 RANK_EVERY = 64  # bytes of bits between two stored ranks
 SCHEMA = (
@@ -129,32 +131,50 @@ class Encoder:
         self._closes = np.zeros(1 + max(self._tokenizer.get_vocab().values()), bool)  # ids that end a word
         self._closes[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._limit = remembered
-        self._forget()
-
-    def _forget(self) -> None:
         self._slot: dict[bytes, int] = {}
-        self._ids = [np.array([END_ID], f"<u{self.width}")]  # slot 0 is the end of a text
-        self._sizes = [np.ones(1, np.int64)]
+        self._ids = np.array([END_ID], f"<u{self.width}")  # slot 0 is the end of a text
+        self._sizes = np.ones(1, np.int64)
+        self._used = np.zeros(1, np.int64)  # slices that had the part
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with the end id, and the number of ids of each."""
         w = W.Words(texts)
         starts, ends, text = self._parts(w)
-        hashes = w.spans(starts, ends)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, which = np.unique(w.spans(starts, ends), return_index=True, return_inverse=True)
         data = w.data.tobytes()
         parts = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self._slot) + len(parts) > self._limit:
-            self._forget()
-        self._learn([p for p in parts if p not in self._slot])
-        slot = np.array([self._slot[p] for p in parts], np.int64)[which]
+        slot = self._slots(parts)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            if len(self._slot) + len(new) > self._limit:
+                self._forget()
+                slot = self._slots(parts)
+                new = np.flatnonzero(slot < 0)
+            self._learn([parts[i] for i in new.tolist()])
+            slot[new] = self._slots([parts[i] for i in new.tolist()])
+        self._used[slot] += 1
         per_text = np.bincount(text, minlength=len(texts))
-        slots = np.insert(slot, np.cumsum(per_text), 0)
-        sizes = np.concatenate(self._sizes)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[slots]
-        n = sizes[slots]
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.concatenate(self._ids)[at], np.bincount(np.repeat(np.arange(len(texts)), per_text + 1), weights=n, minlength=len(texts)).astype(np.int64)
+        slots = np.insert(slot[which], np.cumsum(per_text), 0)
+        begin, n = (np.cumsum(self._sizes) - self._sizes)[slots], self._sizes[slots]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        per_text = np.bincount(np.repeat(np.arange(len(texts)), per_text + 1), weights=n, minlength=len(texts))
+        return self._ids[at], per_text.astype(np.int64)
+
+    def _slots(self, parts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self._slot.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+
+    def _forget(self) -> None:
+        """Keep the half of the table that was used most often."""
+        kept = np.argsort(-self._used[1:], kind="stable")[: self._limit // 2] + 1
+        kept = np.concatenate([[0], np.sort(kept)])
+        place = np.zeros(len(self._sizes), np.int64)
+        place[kept] = np.arange(len(kept))
+        where = place.tolist()
+        self._slot = {p: where[slot] for p, slot in self._slot.items() if where[slot]}
+        stays = np.zeros(len(self._sizes), bool)
+        stays[kept] = True
+        self._ids = self._ids[np.repeat(stays, self._sizes)]
+        self._sizes, self._used = self._sizes[kept], self._used[kept] // 2
 
     @staticmethod
     def _parts(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,27 +192,30 @@ class Encoder:
         return starts, ends, np.insert(w.text, at, w.text[at])
 
     def _learn(self, parts: list[bytes]) -> None:
-        letters = [p for p in parts if p.isalpha()]  # ASCII
-        rows = [letters[i : i + 50] for i in range(0, len(letters), 50)]
-        alone = [p for p in parts if not p.isalpha()]
-        for row, ids in zip(rows, self._encoded([b" ".join(r) for r in rows]), strict=True):
+        texts = [p.decode() for p in parts]
+        rows = [[i for i in range(start, min(start + ROW, len(parts))) if texts[i].isalpha()] for start in range(0, len(parts), ROW)]
+        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        known, ids_of, sizes_of = [], [], []
+        for row, ids in zip(rows, self._encoded([" ".join([texts[i] for i in row]) for row in rows]), strict=True):
             ends = np.flatnonzero(self._closes[ids]) + 1
             if len(ends) == len(row):  # each run of letters is one word to the vocabulary
-                self._keep(row, ids, np.diff(ends, prepend=0))
+                known += [parts[i] for i in row]
+                ids_of.append(ids)
+                sizes_of.append(np.diff(ends, prepend=0))
             else:
                 alone += row
-        for part, ids in zip(alone, self._encoded(alone), strict=True):
-            self._keep([part], ids, np.array([len(ids)]))
-
-    def _keep(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        for part in parts:
-            self._slot[part] = 1 + len(self._slot)
-        self._ids.append(ids)
-        self._sizes.append(sizes)
-
-    def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for i, ids in zip(alone, self._encoded([texts[i] for i in alone]), strict=True):
+            known.append(parts[i])
+            ids_of.append(ids)
+            sizes_of.append(np.array([len(ids)]))
+        first = len(self._sizes)
+        self._slot.update(zip(known, range(first, first + len(known)), strict=True))
+        self._ids, self._sizes = np.concatenate([self._ids, *ids_of]), np.concatenate([self._sizes, *sizes_of])
+        self._used = np.concatenate([self._used, np.zeros(len(known), np.int64)])
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
         for start in range(0, len(texts), 2_000):
-            for coded in self._tokenizer.encode_batch_fast([t.decode() for t in texts[start : start + 2_000]], add_special_tokens=False):
+            for coded in self._tokenizer.encode_batch_fast(texts[start : start + 2_000], add_special_tokens=False):
                 yield np.array(coded.ids, f"<u{self.width}")
 
 
