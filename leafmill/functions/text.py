@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ DASHES = "–—−‑"
 BLANKS = ("", "null", "none", "n/a", "na", "—")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once a row, also where `then` uses it inside a loop over an array."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalize_code(c: Column) -> Column:
     """Trimmed, dashes unified, blanks collapsed, lower case."""
     return F.lower(F.regexp_replace(F.translate(F.trim(c), DASHES, "-" * len(DASHES)), r"\s+", " "))
@@ -50,9 +55,10 @@ def strip_bullet(c: Column) -> Column:
 
 
 def annotation(code: Column, kind: Column, name: Column, meaning: Column, timing: Column) -> Column:
-    """[code → text], the text depending on the kind of catalog entry."""
-    said = F.when(kind == "FREQUENCY", F.concat_ws("; ", meaning, timing)).otherwise(name)
-    return F.concat(F.lit("["), code, F.lit(" → "), F.coalesce(said, F.lit("")), F.lit("]"))
+    """[code → text], the text depending on the kind of catalog entry; [code] for unknown kinds."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    said = F.when(kind == "FREQUENCY", F.concat(empty(meaning), F.lit(" "), empty(timing))).when(kind.isin("ITEM", "SERVICE"), empty(name))
+    return F.when(said.isNull(), F.concat(F.lit("["), code, F.lit("]"))).otherwise(F.concat(F.lit("["), code, F.lit(" → "), said, F.lit("]")))
 
 
 def fuse_confidence(layout: Column, semantic: Column) -> Column:
@@ -103,13 +109,23 @@ def first_valid(columns: Sequence[str], least: int = 5) -> tuple[Column, Column]
     return F.coalesce(*[F.when(test, F.col(c)) for test, c in ok]), F.coalesce(*[F.when(test, F.lit(c)) for test, c in ok])
 
 
+#: What tokens of headers and forms start with.
+NOT_ENTITIES = (
+    "name", "patient name", "age", "sex", "gender", "address", "date", "time", "dob", "dr.", "dr ", "doctor", "ph:", "phone:", "email",
+    "mobile", "mr.", "mrs.", "ms.", "patient:", "referred by", "hospital",
+)
+
+
 def entity_candidate(c: Column, known: Column) -> Column:
-    """May a token be a catalog entry? Known codes are; prose, dates, clocks, counts and doses are not."""
+    """May a token be a catalog entry? Known codes are; form labels, dates, clocks, counts and doses are not."""
     t = F.trim(c)
+    low = F.lower(t)
     letters = F.length(F.regexp_replace(t, r"[^A-Za-z]", ""))
     upper = F.length(F.regexp_replace(t, r"[^A-Z]", ""))
-    shapes = [r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$", r"(?i)^\d{1,2}\s*(am|pm)$", r"^\d{1,2}:\d{2}$", r"^\d+\s+[A-Za-z]+$", r"(?i)^\d+(\.\d+)?\s*(mg|ml|mcg|g|iu)$"]
     out = F.when(known, True).when(F.length(t) < 2, False)
-    for shape in shapes:
+    out = out.when(F.exists(F.array(*map(F.lit, NOT_ENTITIES)), lambda p: F.startswith(low, p)), False)
+    for shape in (r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"(?i)^\d{1,2}\s*(am|pm)$", r"^\d{1,2}:\d{2}", r"(?i)^\d+\s+[a-z]+$"):
         out = out.when(t.rlike(shape), False)
-    return out.when(t.rlike(r"\d"), True).otherwise((letters > 0) & (upper >= 0.8 * letters) & F.length(t).between(2, 12))
+    dose = t.rlike(r"(?i)^\d+([./]\d+)?[a-z]{0,3}$") & ~t.rlike(r"[A-Z]{2,}")
+    out = out.when(dose, False).when(t.rlike(r"\d"), True)
+    return out.otherwise((upper >= 0.8 * F.greatest(letters, F.lit(1))) & F.length(t).between(2, 12))

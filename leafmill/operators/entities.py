@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions.text import compact_code, normalize_code
+from leafmill.functions.text import annotation, compact_code, entity_candidate, normalize_code
 
 ACCEPT = 0.55
 FUZZY_LEAST = 0.7
+#: Head cells of tables that are no entities.
+TABLE_LABELS = ("s.no", "test code/name", "sample type", "patient name", "age/sex")
+APPLY, SURE = 0.9, 0.85  # confidence of corrections
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -116,7 +120,7 @@ def tfidf_nearest(tokens: DataFrame, vocabulary: DataFrame, index: DataFrame, ac
     norms = weighted.groupBy("token").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(index, "gram").groupBy("token", "cat_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "token").select("token", "cat_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    best = scored.groupBy("token").agg(F.max_by(F.struct("cat_id", "score"), F.struct("score", -F.col("cat_id"))).alias("b"))
+    best = scored.groupBy("token").agg(F.min_by(F.struct("cat_id", "score"), F.struct(-F.col("score"), "cat_id")).alias("b"))
     near = best.select("token", "b.cat_id", "b.score").where(F.col("score") > accept)
     return tokens.join(near, "token").select("id", "cat_id", "score")
 
@@ -124,18 +128,23 @@ def tfidf_nearest(tokens: DataFrame, vocabulary: DataFrame, index: DataFrame, ac
 def apply_corrections(docs: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
     """docs (key, text) after its corrections (key, pos, wrong, right, confidence), in order.
 
-    A correction is applied from 0.9 confidence on where the word stands alone in any case; others are kept
-    as suggestions (a count); empty and identical ones are skipped.
+    A correction is applied from APPLY on where the word stands alone in any case; others are kept as
+    suggestions, under SURE as uncertain ones (counts); empty and identical ones are skipped. Both sides are
+    plain text: no character of them means anything to the search.
     """
-    real = corrections.where((F.trim("right") != "") & (F.col("wrong") != F.col("right")))
+    real = corrections.where((F.trim("right") != "") & (F.trim("wrong") != "") & (F.col("wrong") != F.col("right")))
     lists = real.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("confidence") >= 0.9, F.struct("pos", "wrong", "right")))).alias("c"),
-        F.count_if(F.col("confidence") < 0.9).alias("n_suggested"),
+        F.sort_array(F.collect_list(F.when(F.col("confidence") >= APPLY, F.struct("pos", "wrong", "right")))).alias("c"),
+        F.count_if(F.col("confidence") < APPLY).alias("n_suggested"),
+        F.count_if(F.col("confidence") < SURE).alias("n_uncertain"),
     )
     joined = docs.join(lists, key, "left")
-    pattern = lambda w: F.concat(F.lit(r"(?i)\b\Q"), w, F.lit(r"\E\b"))
-    text = F.aggregate(F.coalesce("c", F.array()), F.col("text"), lambda t, c: F.regexp_replace(t, pattern(c["wrong"]), c["right"]))
-    return joined.select(key, F.when(F.size("c") > 0, text).otherwise(F.col("text")).alias("text"), F.coalesce("n_suggested", F.lit(0)).alias("n_suggested"))
+    literal = lambda w: F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = lambda w: F.concat(F.lit(r"(?iuU)\b\Q"), literal(w), F.lit(r"\E\b"))
+    plain = lambda w: F.regexp_replace(w, r"([\\$])", r"\\$1")
+    text = F.aggregate(F.coalesce("c", F.array()), F.col("text"), lambda t, c: F.regexp_replace(t, pattern(c["wrong"]), plain(c["right"])))
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select(key, F.when(F.size("c") > 0, text).otherwise(F.col("text")).alias("text"), count("n_suggested"), count("n_uncertain"))
 
 
 def noise_variants(df: DataFrame, key: str, code: str) -> DataFrame:
@@ -146,3 +155,92 @@ def noise_variants(df: DataFrame, key: str, code: str) -> DataFrame:
         F.translate(c, "1", "I"), F.translate(c, "1", "l"), F.concat(c, F.lit(" x 5 days")), F.concat(F.lit("after meals "), c),
     ]
     return df.select(key, F.explode(F.array_distinct(F.array(*made))).alias("variant"))
+
+
+def code_regex(codes: Sequence[str]) -> str:
+    """One pattern for a dictionary of codes: longest first, blanks and dashes flexible, not inside a word."""
+
+    def flexible(code: str) -> str:
+        parts = re.split(r"( |-)", code)
+        return "".join({" ": r"[\s-]+", "-": r"[\s-]*"}.get(p) or re.escape(p) for p in parts if p)
+
+    ordered = sorted({c for c in codes if c}, key=lambda c: (-len(c), c))
+    inside = "|".join(map(flexible, ordered)) or r"\b\B"  # matches nothing
+    return rf"(?i)(?<![A-Za-z0-9])({inside})(?![A-Za-z0-9])"
+
+
+def code_mentions(docs: DataFrame, key: str, codes: Sequence[str], text: str = "text") -> DataFrame:
+    """(key, pos, raw) of every mention of a code, in order."""
+    return docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(code_regex(codes)), F.lit(1))).alias("pos", "raw"))
+
+
+def annotate_codes(docs: DataFrame, catalog: DataFrame, key: str, codes: Sequence[str], text: str = "text") -> DataFrame:
+    """(key, text) with `[Freq → meaning; Instr → instruction]` behind every mention of a catalog's code.
+
+    catalog has (code, meaning, instruction). Mentions that no code of it resolves stay as they are.
+    """
+    pattern = code_regex(codes)
+    cut = docs.select(key, F.split(text, pattern, -1).alias("gaps"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("pos", "raw"))
+    tier = resolve_codes(cut.where("raw IS NOT NULL").select(F.col("raw").alias("id"), F.col("raw").alias("token")).distinct(), catalog)
+    known = tier.where("code IS NOT NULL").join(catalog, "code").select(F.col("token").alias("raw"), "meaning", "instruction")
+    said = F.concat("raw", F.lit(" [Freq → "), F.coalesce("meaning", F.lit("")), F.lit("; Instr → "), F.coalesce("instruction", F.lit("")), F.lit("]"))
+    shown = cut.join(known.withColumn("met", F.lit(True)), "raw", "left").withColumn("shown", F.when(F.col("met"), said).otherwise(F.col("raw")))
+    gathered = shown.groupBy(key).agg(F.first("gaps").alias("gaps"), F.sort_array(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", "shown"))))["shown"].alias("s"))
+    pieces = F.zip_with("gaps", "s", lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    return gathered.select(key, F.array_join(pieces, "").alias("text"))
+
+
+def annotations(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, code, meaning): annotated text back to a table of its `[code → meaning]` marks."""
+    mark = F.lit(r"\[([^\[\]]*?)\s→\s(.*?)\]")
+    both = F.arrays_zip(F.regexp_extract_all(text, mark, F.lit(1)).alias("code"), F.regexp_extract_all(text, mark, F.lit(2)).alias("meaning"))
+    return docs.select(key, F.posexplode(both).alias("pos", "a")).select(key, "pos", "a.code", "a.meaning")
+
+
+def entity_cells(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line_no, cell_no, raw, token): lines of prose whole, without their bullet, and table rows by cell."""
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
+    in_table = F.contains("line", F.lit("|")) & ~F.col("line").rlike(r"^[\s|-]+$")
+    cells = lines.withColumn("in_table", in_table).select(key, "line_no", "in_table", F.posexplode(F.when(in_table, F.split("line", r"\|")).otherwise(F.array("line"))).alias("cell_no", "raw"))
+    trimmed = F.trim("raw")
+    prose = F.regexp_replace(F.regexp_replace(trimmed, r"^[-*•]\s+", ""), r"^\d+\.\s+", "")
+    token = F.when(F.col("in_table"), trimmed).otherwise(prose)
+    skipped = (F.col("in_table") & F.lower(trimmed).isin(*TABLE_LABELS)) | F.col("raw").rlike(r"^[\s|-]*$")
+    return cells.select(key, "line_no", "cell_no", "in_table", "raw", F.when(~skipped, token).alias("token"))
+
+
+def resolve_entities(docs: DataFrame, catalog: DataFrame, key: str, text: str = "text", accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+    """Predictions (key, line_no, cell_no, text, code, name, type, confidence) and the annotated (key, text).
+
+    catalog has (cat_id, code, type, name, meaning, timing). A token that may be an entity is looked up by its
+    exact code, else by the nearest name above `accept`; the term found takes its place, with the annotation.
+    """
+    cells = entity_cells(docs, key, text)
+    upper = F.upper(F.trim("code"))
+    exact = catalog.groupBy(upper.alias("upper")).agg(F.min("cat_id").alias("exact_id"))
+    tokens = cells.where("token IS NOT NULL").select("token").distinct().withColumn("upper", F.upper("token")).join(exact, "upper", "left")
+    asked = tokens.where(entity_candidate(F.col("token"), F.col("exact_id").isNotNull()))
+    names = catalog.where("name IS NOT NULL").select("cat_id", "name")
+    near = tfidf_nearest(asked.where("exact_id IS NULL").select(F.col("token").alias("id"), "token"), *tfidf_fit(names), accept)
+    found = asked.where("exact_id IS NOT NULL").select("token", F.col("exact_id").alias("cat_id"), F.lit(1.0).alias("score"))
+    found = found.unionByName(near.select(F.col("id").alias("token"), "cat_id", "score")).join(catalog, "cat_id")
+    known = found.select("token", "code", F.coalesce("name", "meaning", F.lit("")).alias("name"), "type", "score", F.coalesce("name", "meaning", "token").alias("term"),
+                         annotation(F.col("code"), F.col("type"), F.col("name"), F.col("meaning"), F.col("timing")).alias("mark"))
+    judged = cells.join(known, "token", "left")
+    rows = judged.where("code IS NOT NULL").select(key, "line_no", "cell_no", F.col("token").alias("text"), "code", "name", "type", F.format_number("score", 2).alias("confidence"))
+    in_cell = F.concat(F.lit(" "), "term", F.lit(" "), "mark", F.lit(" "))
+    in_line = F.concat(F.replace("raw", "token", "term"), F.lit(" "), "mark")
+    shown = F.when(F.col("code").isNull(), F.col("raw")).when(F.col("in_table"), in_cell).otherwise(in_line)
+    lines = judged.groupBy(key, "line_no").agg(F.array_join(F.sort_array(F.collect_list(F.struct("cell_no", shown.alias("s"))))["s"], "|").alias("line"))
+    whole = lines.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
+    return rows, whole
+
+
+def save_index(vocabulary: DataFrame, index: DataFrame, path: str) -> None:
+    """Keep a fitted n-gram index: its vocabulary and its weights."""
+    vocabulary.write.parquet(f"{path}/vocabulary")
+    index.write.parquet(f"{path}/index")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/index")

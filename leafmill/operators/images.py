@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.functions.text import let
+
 INK, LEAST_SCORE, MARGIN = 0.01, 0.5, 1.3
 
 
@@ -13,23 +15,27 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def quantile(px: Column, q: float) -> Column:
-    """Linear-interpolated quantile of an array, inside the row."""
-    s, at = F.array_sort(px), (F.size(px) - 1) * F.lit(q)
-    low, high = F.element_at(s, (F.floor(at) + 1).cast("int")), F.element_at(s, (F.ceil(at) + 1).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+def quantiles(px: Column, *shares: float) -> Column:
+    """Linear-interpolated quantiles of an array as an array; the pixels are sorted once. Null without pixels."""
+
+    def at(s: Column, q: float) -> Column:
+        place = (F.size(s) - 1) * F.lit(q)
+        low, high = F.get(s, F.floor(place).cast("int")), F.get(s, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return let(F.array_sort(px), lambda s: F.array(*[at(s, q) for q in shares]))
 
 
 def blank_pages(images: DataFrame, px: str = "px", threshold: float = INK) -> DataFrame:
     """images with ink, the share of pixels darker than the median less 30, and is_blank."""
-    dark = F.size(F.filter(px, lambda p: p < quantile(F.col(px), 0.5) - 30)) / F.size(px)
+    dark = let(quantiles(F.col(px), 0.5)[0], lambda m: F.size(F.filter(px, lambda p: p < m - 30))) / F.size(px)
     return images.withColumn("ink", F.round(dark, 6)).withColumn("is_blank", F.col("ink") < threshold)
 
 
 def stretch(px: Column) -> Column:
     """Contrast stretched from the 2nd to the 98th percentile, clipped to 0..255."""
-    low, high = quantile(px, 0.02), quantile(px, 0.98)
-    return F.transform(px, lambda p: F.greatest(F.lit(0.0), F.least(F.lit(255.0), (p - low) * 255.0 / F.greatest(high - low, F.lit(1.0)))))
+    value = lambda p, q: F.greatest(F.lit(0.0), F.least(F.lit(255.0), (p - q[0]) * 255.0 / F.greatest(q[1] - q[0], F.lit(1.0))))
+    return let(quantiles(px, 0.02, 0.98), lambda q: F.transform(px, lambda p: value(p, q)))
 
 
 def projection_variance(px: Column, width: int, height: int) -> Column:

@@ -81,25 +81,21 @@ def line_bins(boxes: DataFrame, height: int = 20) -> DataFrame:
 
 
 def _merge_page(rows: list[dict]) -> list[dict]:
-    """Greedy merging in order: a box that grows keeps absorbing later ones."""
-    out = []
-    while rows:
-        head, rest, absorbed = rows[0], rows[1:], True
-        while absorbed:
-            absorbed, keep = False, []
-            for other in rest:
-                w = min(head["x2"], other["x2"]) - max(head["x1"], other["x1"])
-                h = min(head["y2"], other["y2"]) - max(head["y1"], other["y1"])
-                small = min((r["x2"] - r["x1"]) * (r["y2"] - r["y1"]) for r in (head, other))
-                if w > 0 and h > 0 and small > 0 and w * h / small > OVERLAP:
-                    kind = other["kind"] if head["kind"] == "Paragraph" else head["kind"]
-                    low = {c: min(head[c], other[c]) for c in ("x1", "y1")}
-                    high = {c: max(head[c], other[c]) for c in ("x2", "y2")}
-                    head, absorbed = head | low | high | {"kind": kind}, True
-                else:
-                    keep.append(other)
-            rest = keep
-        rows = rest
+    """Greedy merging: each box that is left goes once over those after it and grows by what it overlaps enough."""
+    out, left = [], rows
+    while left:
+        head, rest, left = left[0], left[1:], []
+        for other in rest:
+            w = min(head["x2"], other["x2"]) - max(head["x1"], other["x1"])
+            h = min(head["y2"], other["y2"]) - max(head["y1"], other["y1"])
+            small = min((r["x2"] - r["x1"]) * (r["y2"] - r["y1"]) for r in (head, other))
+            if w > 0 and h > 0 and small > 0 and w * h / small > OVERLAP:
+                kind = other["kind"] if head["kind"] == "Paragraph" else head["kind"]
+                low = {c: min(head[c], other[c]) for c in ("x1", "y1")}
+                high = {c: max(head[c], other[c]) for c in ("x2", "y2")}
+                head = head | low | high | {"kind": kind}
+            else:
+                left.append(other)
         out.append(head)
     return out
 

@@ -10,6 +10,7 @@ from leafmill.operators.chunking import joined
 
 TOKEN = r"[a-z0-9à-ÿ]+"
 K1, B = 1.2, 0.75
+QUERY_TERMS = 20_000
 FLOOR = 0.015  # of the best rerank score
 BROAD = r"(?i)^\s*(summari[sz]e|summary|overview|what is this|tell me about|describe|list all)"
 
@@ -41,19 +42,28 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, tenant: str, k: int) ->
     return top_k(scored, ["query_id"], "score", ["vec_id"], k)
 
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, use_idf: bool = True) -> DataFrame:
+def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, use_idf: bool = True, most: int = QUERY_TERMS) -> DataFrame:
     """(query_id, chunk_id, score, rank) of chunks (chunk_id, text) for queries (query_id, text).
 
-    Only postings of the queries' terms are scored; statistics cover all chunks.
+    Only postings of the queries' terms are made and scored; statistics cover all chunks. Up to `most` terms
+    are looked up inside the array of a chunk's tokens, more are joined to the exploded tokens. Chunks are read
+    and cut once: lengths travel with the postings as a row without term, and the three uses share one exchange.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    toks = tokens(F.col("text"))
-    sized = chunks.select("chunk_id", toks.alias("t"), F.size(toks).alias("dl"))
-    stats = sized.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("chunk_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    terms = asked.select("term").distinct()
+    known = [r["term"] for r in terms.limit(most + 1).collect()]
+    cut = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
+    if len(known) <= most:
+        held = F.filter("t", lambda x: x.isin(known))
+    else:
+        held = F.col("t")
+    rows = cut.select("chunk_id", F.size("t").alias("dl"), F.explode(F.array_append(held, F.lit(None).cast("string"))).alias("term"))
+    if len(known) > most:
+        rows = rows.join(terms.select("term", F.lit(True).alias("met")), "term", "left").where("met OR term IS NULL").drop("met")
+    counts = rows.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    stats = counts.where("term IS NULL").agg(F.count_if(F.col("tf") > 0).alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    df = counts.where("term IS NOT NULL").groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    weighted = counts.where("term IS NOT NULL").join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if use_idf else F.lit(1.0)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = asked.join(weighted.select("term", "chunk_id", weight.alias("w")), "term")

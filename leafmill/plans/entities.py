@@ -64,7 +64,7 @@ def fuzzy_match(spark, d):
 
 
 GRAMS = "unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, length({0}) - n + 2), lambda i: substr({0}, i, n)))))"
-FIT = f"""cat AS (SELECT row_number() OVER (ORDER BY name) AS cat_id, name FROM (SELECT DISTINCT p_name AS name FROM part)),
+FIT = f"""cat AS (SELECT DISTINCT p_name AS cat_id, p_name AS name FROM part),
  tf AS (SELECT cat_id, g AS gram, count(*) AS tf FROM (SELECT cat_id, {GRAMS.format("lower(name)")} AS g FROM cat) GROUP BY 1, 2),
  df AS (SELECT gram, count(*) AS df, ln((1 + (SELECT count(*) FROM cat)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY 1),
  cw AS (SELECT cat_id, tf.gram, tf * idf AS w FROM tf JOIN df ON df.gram = tf.gram),
@@ -72,10 +72,8 @@ FIT = f"""cat AS (SELECT row_number() OVER (ORDER BY name) AS cat_id, name FROM
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    distinct = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return distinct.withColumn("cat_id", F.row_number().over(Window.orderBy("name")).cast("long"))  # a small catalog
+    """(cat_id, name): distinct names, which are their own keys."""
+    return table(spark, d, "part").select(F.col("p_name").alias("cat_id"), F.col("p_name").alias("name")).distinct()
 
 
 @register(f"WITH {FIT} SELECT gram, df, round(idf, 6) AS idf FROM df")
@@ -98,23 +96,70 @@ def tfidf_nn(spark, d):
 TOKENS = "(SELECT doc_id, i AS pos, w[i] AS token FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM documents))"
 
 
-@register(f"""SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (CASE
- WHEN length(trim(token)) < 2 THEN false WHEN regexp_matches(trim(token), '^\\d{{1,4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,4}}$') THEN false
- WHEN regexp_matches(trim(token), '(?i)^\\d{{1,2}}\\s*(am|pm)$') THEN false WHEN regexp_matches(trim(token), '^\\d{{1,2}}:\\d{{2}}$') THEN false
- WHEN regexp_matches(trim(token), '^\\d+\\s+[A-Za-z]+$') THEN false WHEN regexp_matches(trim(token), '(?i)^\\d+(\\.\\d+)?\\s*(mg|ml|mcg|g|iu)$') THEN false
- WHEN regexp_matches(trim(token), '\\d') THEN true
- ELSE length(regexp_replace(token, '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(token, '[^A-Z]', '', 'g')) >= 0.8 * length(regexp_replace(token, '[^A-Za-z]', '', 'g')) AND length(trim(token)) BETWEEN 2 AND 12 END) AS n_candidates
- FROM {TOKENS} GROUP BY 1""")
+PREFIXES = ", ".join(f"'{p}'" for p in X.NOT_ENTITIES)
+CANDIDATE = f"""CASE WHEN known THEN true WHEN length(t) < 2 THEN false WHEN list_bool_or(list_transform([{PREFIXES}], lambda p: starts_with(lower(t), p))) THEN false
+ WHEN regexp_matches(t, '^\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}}') THEN false WHEN regexp_matches(t, '(?i)^\\d{{1,2}}\\s*(am|pm)$') THEN false
+ WHEN regexp_matches(t, '^\\d{{1,2}}:\\d{{2}}') THEN false WHEN regexp_matches(t, '(?i)^\\d+\\s+[a-z]+$') THEN false
+ WHEN regexp_matches(t, '(?i)^\\d+([./]\\d+)?[a-z]{{0,3}}$') AND NOT regexp_matches(t, '[A-Z]{{2,}}') THEN false WHEN regexp_matches(t, '\\d') THEN true
+ ELSE length(regexp_replace(t, '[^A-Z]', '', 'g')) >= 0.8 * greatest(1, length(regexp_replace(t, '[^A-Za-z]', '', 'g'))) AND length(t) BETWEEN 2 AND 12 END"""
+
+
+@register(f"""WITH k AS (SELECT DISTINCT upper(event_type) AS code FROM events UNION SELECT 'THE'),
+ t AS (SELECT doc_id, trim(token) AS t, upper(trim(token)) IN (SELECT code FROM k) AS known FROM {TOKENS})
+ SELECT doc_id, count(*) AS n_tokens, count(*) FILTER ({CANDIDATE}) AS n_candidates, count(*) FILTER (known) AS n_known FROM t GROUP BY 1""")
 def entity_candidates(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"))
-    return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(X.entity_candidate(F.col("token"), F.lit(False))).alias("n_candidates"))
+    """Tokens of documents that may be entities; event types and one word are the known codes."""
+    codes = table(spark, d, "events").select(F.upper("event_type").alias("code")).union(spark.range(1).select(F.lit("THE"))).distinct()
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token")).withColumn("code", F.upper(F.trim("token")))
+    met = tokens.join(codes.withColumn("_met", F.lit(True)), "code", "left").withColumn("known", F.coalesce("_met", F.lit(False)))
+    return met.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(X.entity_candidate(F.col("token"), F.col("known"))).alias("n_candidates"), F.count_if("known").alias("n_known"))
+
+
+def prescriptions(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text): a table with a code, a header line and a code in a bulleted line."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    rows = ["| S.No | Test Code/Name |", "|---|---|", F.concat(F.lit("| "), "id", F.lit(" | item"), "id", F.lit(" |")), "Name: ITEM1", F.concat(F.lit("- ITEM"), F.col("id") + 1), "plain words", "DATE 2020"]
+    return p.select("id", F.array_join(F.array(*[F.lit(r) if isinstance(r, str) else r for r in rows]), "\n").alias("text"))
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").cast("long").alias("cat_id"), F.concat(F.lit("ITEM"), "p_partkey").alias("code"), F.lit("ITEM").alias("type"), F.col("p_name").alias("name"), none.alias("meaning"), none.alias("timing"))
+
+
+@register("""WITH c AS (SELECT p_partkey AS id, unnest([2, 4]) AS line_no FROM part), f AS (SELECT id, line_no, CASE line_no WHEN 2 THEN id ELSE id + 1 END AS k FROM c)
+ SELECT id, line_no, CASE line_no WHEN 2 THEN 2 ELSE 0 END AS cell_no, CASE line_no WHEN 2 THEN 'item' ELSE 'ITEM' END || k AS text, 'ITEM' || k AS code, p_name AS name, 'ITEM' AS type, '1.00' AS confidence FROM f JOIN part ON p_partkey = k""")
+def entity_predictions(spark, d):
+    """Entities in lines and table cells by exact code; labels, counts and prose are left alone."""
+    rows = E.resolve_entities(prescriptions(spark, d), items(spark, d), "id")[0]
+    return rows.where("confidence = '1.00'").select("id", "line_no", "cell_no", "text", "code", "name", "type", "confidence")
+
+
+@register("""SELECT p_partkey AS id, unnest([0, 1]) AS pos, unnest(['view - ' || (p_partkey % 10), 'Click ' || (p_partkey % 7)]) AS raw FROM part""")
+def code_mentions(spark, d):
+    """Codes of a dictionary in running text, however blanks and dashes are set; not inside words."""
+    p = table(spark, d, "part")
+    text = F.concat(F.lit("took view - "), F.col("p_partkey") % 10, F.lit(", preview-1x or (Click "), F.col("p_partkey") % 7, F.lit(") daily"))
+    codes = [f"view-{i}" for i in range(10)] + [f"click {i}" for i in range(7)]
+    return E.code_mentions(p.select(F.col("p_partkey").alias("id"), text.alias("text")), "id", codes)
+
+
+@register("""SELECT p_partkey AS id, unnest([0, 1]) AS pos, 'Freq' AS code, unnest(['every ' || (p_partkey % 10) || ' hours; Instr → with water', 'every 3 hours; Instr → with water']) AS meaning FROM part""")
+def annotations_back(spark, d):
+    """Annotated mentions, and the table of annotations read back from the text."""
+    p = table(spark, d, "part")
+    codes = [f"Q{i}H" for i in range(10)]
+    catalog = spark.range(10).select(F.concat(F.lit("Q"), "id", F.lit("H")).alias("code"), F.concat(F.lit("every "), "id", F.lit(" hours")).alias("meaning"), F.lit("with water").alias("instruction"))
+    docs = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("take q"), F.col("p_partkey") % 10, F.lit("h, then Q3H [note] or Q33H")).alias("text"))
+    return E.annotations(E.annotate_codes(docs, catalog, "id", codes), "id")
 
 
-@register("""SELECT p_partkey AS id, 'buy ' || CASE WHEN p_partkey % 2 = 0 THEN p_brand || '!' ELSE p_type END || ' now' AS text, CAST(p_partkey % 2 AS BIGINT) AS n_suggested FROM part""")
+@register("""SELECT p_partkey AS id, 'buy ' || CASE WHEN p_partkey % 3 = 0 THEN '$' || p_brand || '\\1!' ELSE p_type END || ' now' AS text, CAST(least(p_partkey % 3, 1) AS BIGINT) AS n_suggested, CAST(p_partkey % 3 // 2 AS BIGINT) AS n_uncertain FROM part""")
 def corrections_applied(spark, d):
     p = table(spark, d, "part").withColumn("id", F.col("p_partkey"))
     docs = p.select("id", F.concat(F.lit("buy "), "p_type", F.lit(" now")).alias("text"))
-    made = p.select("id", F.lit(0).alias("pos"), F.lower("p_type").alias("wrong"), F.concat("p_brand", F.lit("!")).alias("right"), F.when(F.col("p_partkey") % 2 == 0, 0.95).otherwise(0.5).alias("confidence"))
+    made = p.select("id", F.lit(0).alias("pos"), F.lower("p_type").alias("wrong"), F.concat(F.lit("$"), "p_brand", F.lit("\\1!")).alias("right"), F.element_at(F.array(F.lit(0.95), F.lit(0.87), F.lit(0.5)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("confidence"))
     return E.apply_corrections(docs, made, "id")
 
 

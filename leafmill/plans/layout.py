@@ -69,7 +69,15 @@ def page_coverage(spark, d):
     return L.coverage(boxes(spark, d), SIDE, SIDE)
 
 
-@register()
+MERGED = f"""{BOX}, l AS (SELECT page, list({{'region': region, 'kind': CASE WHEN region % 3 = 0 THEN 'Table' ELSE 'Paragraph' END, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY region) AS bx FROM b GROUP BY 1),
+ s AS (SELECT page, bx[1] AS h, bx[2:] AS rest, bx[1:0] AS kept FROM l UNION ALL SELECT page,
+ CASE WHEN len(rest) = 0 THEN kept[1] WHEN o THEN {{'region': h.region, 'kind': CASE WHEN h.kind = 'Paragraph' THEN r.kind ELSE h.kind END, 'x1': least(h.x1, r.x1), 'y1': least(h.y1, r.y1), 'x2': greatest(h.x2, r.x2), 'y2': greatest(h.y2, r.y2)}} ELSE h END,
+ CASE WHEN len(rest) = 0 THEN kept[2:] ELSE rest[2:] END, CASE WHEN len(rest) = 0 THEN kept[1:0] WHEN o THEN kept ELSE list_append(kept, r) END
+ FROM (SELECT *, greatest(0, least(h.x2, r.x2) - greatest(h.x1, r.x1)) * greatest(0, least(h.y2, r.y2) - greatest(h.y1, r.y1)) / least((h.x2 - h.x1) * (h.y2 - h.y1), (r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE > 0.3 AS o
+ FROM (SELECT *, rest[1] AS r FROM s)) WHERE len(rest) + len(kept) > 0)"""
+
+
+@register(f"WITH RECURSIVE {MERGED} SELECT page, h.region, h.kind, h.x1, h.y1, h.x2, h.y2 FROM s WHERE len(rest) = 0")
 def merge_boxes(spark, d):
     kinds = F.when(F.col("region") % 3 == 0, "Table").otherwise("Paragraph")
     return L.merge_boxes(boxes(spark, d).withColumn("kind", kinds))

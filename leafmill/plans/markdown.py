@@ -127,33 +127,57 @@ def page_groups(spark, d):
     return C.joined(grouped, ["doc_id", "group_no"], "page_no", F.col("text"), C.PAGE_BREAK).select("doc_id", "group_no", F.md5("text").alias("h"))
 
 
-@register(f"""WITH fp AS (SELECT doc_id, page_no, md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS f FROM {PAGES})
- SELECT doc_id, page_no, CASE WHEN c < page_no THEN 'Page ' || page_no || ' (duplicate of Page ' || c || ')' ELSE 'Page ' || page_no END AS label
+@register(f"""WITH fp AS (SELECT doc_id, page_no, text, md5(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS f FROM {PAGES})
+ SELECT doc_id, page_no, CASE WHEN c < page_no THEN 'Page ' || page_no || ' (duplicate of Page ' || c || ')' ELSE 'Page ' || page_no END AS label,
+ md5(first_value(text) OVER (PARTITION BY doc_id, f ORDER BY page_no)) AS h, 'p' || c AS predictions
  FROM (SELECT *, min(page_no) OVER (PARTITION BY doc_id, f) AS c FROM fp)""")
 def duplicate_pages(spark, d):
-    """Pages with equal normalised text take the place of the first; they keep their own label."""
+    """Pages with equal normalised text take over text and predictions of the first; they keep their own label."""
     fp = F.md5(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")))
-    rows = pages(spark, d).select("doc_id", "page_no", "label", fp.alias("fp"))
-    first = rows.groupBy("doc_id", "fp").agg(F.min("page_no").alias("first"))
-    label = F.when(F.col("first") < F.col("page_no"), F.concat("label", F.lit(" (duplicate of Page "), "first", F.lit(")"))).otherwise(F.col("label"))
-    return rows.join(first, ["doc_id", "fp"]).select("doc_id", "page_no", label.alias("label"))
+    rows = pages(spark, d).withColumn("predictions", F.concat(F.lit("p"), "page_no"))
+    return C.duplicates(rows, "doc_id", fp).select("doc_id", "page_no", "label", F.md5("text").alias("h"), "predictions")
 
 
-@register()
+@register("""SELECT doc_id, CAST(i AS INTEGER) AS page_no, CASE doc_id % 3 WHEN 0 THEN 'Sheet ' || i WHEN 1 THEN 'Page ' || (i + 1) ELSE 'Document' END AS label,
+ md5(CASE WHEN doc_id % 3 = 2 THEN text WHEN i = 0 THEN lang ELSE source END) AS h
+ FROM (SELECT *, unnest(CASE WHEN doc_id % 3 = 2 THEN [0] ELSE [0, 1] END) AS i FROM documents)""")
+def page_shapes(spark, d):
+    """Pages from a list, from a map or from the whole text, as the metadata has them."""
+    docs = table(spark, d, "documents")
+    listed = F.to_json(F.struct(F.array(*[F.struct(F.lit(f"Sheet {i}").alias("label"), F.col(c).alias("text")) for i, c in enumerate(("lang", "source"))]).alias("pages")))
+    mapped = F.to_json(F.struct(F.create_map(F.lit("1"), F.col("lang"), F.lit("2"), F.col("source")).alias("page_texts")))
+    docs = docs.withColumn("metadata", F.when(F.col("doc_id") % 3 == 0, listed).when(F.col("doc_id") % 3 == 1, mapped))
+    return C.pages_of(docs, "doc_id").select("doc_id", "page_no", "label", F.md5("text").alias("h"))
+
+
+PACKED = """SELECT k, o, n, x, length(x) AS at, 0 AS part FROM u WHERE n = 1 UNION ALL
+ SELECT u.k, u.o, u.n, u.x, CASE WHEN f.at + 2 + length(u.x) > 2000 THEN length(u.x) ELSE f.at + 2 + length(u.x) END, CASE WHEN f.at + 2 + length(u.x) > 2000 THEN part + 1 ELSE part END
+ FROM f JOIN u ON u.k = f.k AND u.o = f.o AND u.n = f.n + 1"""
+
+
+@register(f"""WITH RECURSIVE p AS (SELECT doc_id AS k, page_no AS o, replace(text, chr(10), chr(10) || chr(10)) AS t FROM {PAGES} WHERE length(trim(replace(text, chr(10), chr(10) || chr(10)))) >= 10),
+ w AS (SELECT k, o, x, i FROM (SELECT k, o, unnest(string_split(t, chr(10) || chr(10))) AS x, unnest(range(0, len(string_split(t, chr(10) || chr(10))))) AS i FROM p WHERE length(t) > 2000)),
+ u AS (SELECT k, o, x, row_number() OVER (PARTITION BY k, o ORDER BY i) AS n FROM w WHERE regexp_matches(x, '[^ \\n\\t\\r]')), f AS ({PACKED}),
+ c AS (SELECT k, o, 0 AS part, t FROM p WHERE length(t) <= 2000 UNION ALL SELECT k, o, part, string_agg(x, chr(10) || chr(10) ORDER BY n) FROM f GROUP BY 1, 2, 3)
+ SELECT k AS doc_id, o AS page_no, CAST(part AS INTEGER) AS chunk_index, CAST(length(t) AS INTEGER) AS n, md5(t) AS h FROM c""")
 def chunk_pack(spark, d):
     """Pages whose lines are paragraphs, packed to chunks of 2000 characters."""
     paras = pages(spark, d).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     return C.chunks(paras, ["doc_id", "page_no"]).select("doc_id", "page_no", "chunk_index", F.length("text").alias("n"), F.md5("text").alias("h"))
 
 
-@register("SELECT count(*) AS n_rows, sum(l_partkey) AS parts FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+LINES = f"""(SELECT l_orderkey AS k, row_no AS n, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_returnflag || ' |' AS x FROM {NUMBERED})"""
+
+
+@register(f"""WITH RECURSIVE u AS {LINES}, f AS (SELECT k, n, x, 12 + length(x) AS at, 0 AS part FROM u WHERE n = 1 UNION ALL
+ SELECT u.k, u.n, u.x, CASE WHEN f.at + 1 + length(u.x) > 70 THEN 12 + length(u.x) ELSE f.at + 1 + length(u.x) END, CASE WHEN f.at + 1 + length(u.x) > 70 THEN part + 1 ELSE part END
+ FROM f JOIN u ON u.k = f.k AND u.n = f.n + 1)
+ SELECT k AS order_id, CAST(part AS INTEGER) AS part_no, '| a |' || chr(10) || '|---|' || chr(10) || string_agg(x, chr(10) ORDER BY n) AS part FROM f GROUP BY 1, 2""")
 def table_split(spark, d):
-    """Oversized tables cut between rows: no row is lost or doubled, no part over the limit."""
+    """Oversized tables cut between rows; every part has the header."""
     rows = M.table_rows(rendered(spark, d), "order_id").where("row_no > 0").groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "line"))).alias("r"))
-    parts = C.split_table(F.lit("| a |"), F.lit("|---|"), F.col("r.line"), 120)
-    body = rows.select(F.explode(parts).alias("part")).where(F.length("part") <= 120)
-    lines = body.select(F.explode(F.slice(F.split("part", "\n"), 3, 1000)).alias("line"))
-    return lines.agg(F.count("*").alias("n_rows"), F.sum(M.cells(F.col("line"))[1].cast("long")).alias("parts"))
+    parts = C.split_table(F.lit("| a |"), F.lit("|---|"), F.col("r.line"), 70)
+    return rows.select("order_id", F.posexplode(parts).alias("part_no", "part"))
 
 
 @register("""SELECT l_orderkey AS k, l_linenumber AS n, 'item' || l_partkey AS compact, CASE WHEN l_linenumber % 4 IN (0, 1) THEN 'item' || CASE WHEN l_linenumber % 4 = 1 THEN ' ' ELSE '' END || l_partkey ELSE 'item-' || l_partkey END AS normal FROM lineitem""")
@@ -172,24 +196,25 @@ def spelled(part, n):
     )
 
 
-@register("""SELECT doc_id, regexp_replace(substr(text, 1, 40), '<\\|.*?\\|>', '', 'g') AS cleaned, '{"k": ' || doc_id || '}' AS payload, 'Bullet ' || doc_id AS bullet,
+@register("""SELECT doc_id, md5(regexp_replace(text, '<\\|.*?\\|>', '', 'g')) AS cleaned, '{"k": ' || doc_id || '}' AS payload, 'Bullet ' || doc_id AS bullet,
  '[' || doc_id || ' → ' || lang || ']' AS note,
  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN CAST(round(n_chars / 1024) AS BIGINT) || ' KB' ELSE '' END AS bytes,
  CASE doc_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS media,
- trim(substr(text, 1, 40)) AS said FROM documents""")
+ md5(trim(text)) AS said FROM documents""")
 def sc_5_7_15_16_27_29_text(spark, d):
+    """Marks of a model around and inside whole texts, taken off again."""
     docs = table(spark, d, "documents")
-    head = F.substring("text", 1, 40)
-    raw = F.concat(F.lit("noise<|text|><think>hm\nso</think>"), head, F.lit("</|text|>tail"))
+    raw = F.concat(F.lit("noise<|text|><think>hm\nso</think>"), "text", F.lit("</|text|>tail"))
+    inside = F.regexp_replace("text", " ", " <|a|>")  # all over the text
     return docs.select(
         "doc_id",
-        X.strip_controls(F.concat(F.lit("<|a|>"), head)).alias("cleaned"),
+        F.md5(X.strip_controls(inside)).alias("cleaned"),
         X.json_payload(F.concat(F.lit('Sure:\n```json\n{"k": '), "doc_id", F.lit("}\n```"))).alias("payload"),
         X.strip_bullet(F.concat(F.lit("- 3) Bullet "), "doc_id")).alias("bullet"),
         X.annotation(F.col("doc_id").cast("string"), F.lit("ITEM"), F.col("lang"), F.lit(None), F.lit(None)).alias("note"),
         X.byte_size(F.col("n_chars")).alias("bytes"),
         X.media_type(F.element_at(F.array(F.lit("a.PDF"), F.lit("b.jpeg"), F.lit("c")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("media"),
-        X.clean_output(raw).alias("said"),
+        F.md5(X.clean_output(raw)).alias("said"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +81,13 @@ def resume_missing_chunks(spark, d):
 @register("SELECT doc_id, md5(text) AS h FROM documents")
 def decrypt_or_passthrough(spark, d):
     """Every second payload is encrypted, the others are still plain."""
-    key = F.unhex(F.substring(F.sha2(F.lit(spark.conf.get("leafmill.key", "test")), 256), 1, 32))
+    secret = spark.conf.get("leafmill.key", None) or uuid.uuid4().hex  # a key of its own where none is set
+    key = F.unhex(F.substring(F.sha2(F.lit(secret), 256), 1, 32))
     held = F.when(F.col("doc_id") % 2 == 0, S.encrypted(F.col("text"), key)).otherwise(F.col("text").cast("binary"))
     return table(spark, d, "documents").select("doc_id", held.alias("held")).select("doc_id", F.md5(S.decrypted_or_plain(F.col("held"), key)).alias("h"))
 
 
-@register("""SELECT conv_id * 1000 + turn AS session, string_agg(text, ' ' ORDER BY text) AS x, count(*) AS n FROM conversations GROUP BY 1""")
+@register("""SELECT conv_id * 1000 + turn AS session, string_agg(text, ' ' ORDER BY text) AS x, 'turn ' || conv_id * 1000 + turn AS cited, count(*) AS n FROM conversations GROUP BY conv_id, turn""")
 def assemble_turns(spark, d):
     """Token lines of a stream put together again; the batch twin."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("session"), "text")
@@ -92,7 +95,9 @@ def assemble_turns(spark, d):
     words = turns.select("session", "n", F.posexplode(F.split("x", " ")).alias("seq", "token"))
     line = lambda kind, seq, token: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit(kind).alias("type"), "session", seq.alias("seq"), token.alias("token"))))
     lines = words.select(line("token", F.col("seq"), F.col("token")).alias("l")).unionByName(turns.select(line("done", F.lit(-1), F.lit("")).alias("l")))
-    return ST.assemble(lines.select(ST.sse_tokens(F.col("l")).alias("t")).select("t.*")).withColumnRenamed("text", "x").join(turns.select("session", "n"), "session")
+    cites = F.to_json(F.struct(F.lit("citations").alias("type"), "session", F.lit(-1).alias("seq"), F.array(F.concat(F.lit("turn "), "session")).alias("citations")))
+    lines = lines.unionByName(turns.select(F.concat(F.lit("data: "), cites).alias("l")))
+    return ST.assemble(lines.select(ST.sse_tokens(F.col("l")).alias("t")).select("t.*")).select("session", F.col("text").alias("x"), F.col("citations")[0].alias("cited")).join(turns.select("session", "n"), "session")
 
 
 @register(f"SELECT o_orderkey AS job_id, CASE WHEN {STATUS_SQL} = 'COMPLETED' THEN 'COMPLETED' ELSE 'FAILED' END AS status, 'no priority' AS reason FROM orders WHERE o_orderpriority = '1-URGENT'")

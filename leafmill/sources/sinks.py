@@ -27,8 +27,11 @@ def deleted(old: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def updated(old: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
-    """old with the changed values of one column, and whether a change met the row."""
-    new = changes.select(key, F.col(column).alias("_new"), F.lit(True).alias("_met"))
+    """old with the changed values of one column, and whether a change met the row.
+
+    Of several changes of one key the highest value wins, so no row is doubled.
+    """
+    new = changes.groupBy(key).agg(F.max(column).alias("_new"), F.lit(True).alias("_met"))
     rows = old.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).withColumn("changed", F.coalesce("_met", F.lit(False)))
     return rows.drop("_new", "_met")
 
@@ -61,8 +64,11 @@ def write_table(df: DataFrame, path: str) -> int:
     return version
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str) -> int:
+    """Add rows to a table as part of its newest version, so read_table sees them; starts it if there is none."""
+    version = max(1, latest_version(df.sparkSession, path))
+    df.write.mode("append").parquet(f"{path}/v={version}")
+    return version
 
 
 def export_markdown(df: DataFrame, column: str, path: str) -> None:

@@ -23,9 +23,12 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start()
 
 
-def completed(pages: DataFrame, job: str, total: str) -> DataFrame:
-    """Jobs whose pages have all arrived (update mode): the expected total travels with each page."""
-    counts = pages.groupBy(job).agg(F.count("*").alias("done"), F.max(total).alias("total"))
+def completed(pages: DataFrame, job: str, total: str, page: str) -> DataFrame:
+    """Jobs whose pages have all arrived (update mode): the expected total travels with each page.
+
+    A replayed page counts once. The state is the page numbers of each job seen.
+    """
+    counts = pages.groupBy(job).agg(F.size(F.collect_set(page)).cast("long").alias("done"), F.max(total).alias("total"))
     return counts.where(F.col("done") >= F.col("total"))
 
 
@@ -41,27 +44,34 @@ def rate_limited(events: DataFrame, key: str, ts: str, limit: int, late: str = "
 
 def sse_tokens(lines: Column) -> Column:
     """The payload of `data: {...}` lines."""
-    return F.from_json(F.substring(lines, 7, 1_000_000), "type string, session long, seq long, token string")
+    return F.from_json(F.regexp_replace(lines, r"^data:\s*", ""), "type string, session long, seq long, token string, citations array<string>")
 
 
 def assemble(tokens: DataFrame) -> DataFrame:
-    """(session, text) of tokens (session, seq, token, type) of finished sessions, in order.
+    """(session, text, citations) of tokens (session, seq, token, type, citations) of finished sessions, in order.
 
-    Works on batches and, in update or complete mode, on streams; a session's state is its own tokens.
+    Citations come once, in a row of type `citations`. Works on batches and, in update or complete mode, on
+    streams; a session's state is its own tokens.
     """
-    gathered = tokens.groupBy("session").agg(
-        F.collect_list(F.when(F.col("type") == "token", F.struct("seq", "token"))).alias("t"), F.max((F.col("type") == "done").cast("int")).alias("done")
-    )
-    return gathered.where("done = 1").select("session", F.array_join(F.array_sort("t")["token"], " ").alias("text"))
+    token = F.when(F.col("type") == "token", F.struct("seq", "token"))
+    cited = F.when(F.col("type") == "citations", F.struct(F.col("seq").alias("seq"), "citations"))
+    gathered = tokens.groupBy("session").agg(F.collect_list(token).alias("t"), F.min(cited).alias("c"), F.max((F.col("type") == "done").cast("int")).alias("done"))
+    return gathered.where("done = 1").select("session", F.array_join(F.array_sort("t")["token"], " ").alias("text"), F.coalesce("c.citations", F.array()).alias("citations"))
 
 
 def upsert_to(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces rows with its keys in a versioned table; replays give the same table."""
+    """Each micro-batch replaces rows with its keys in a versioned table; replays give the same table.
+
+    Of several rows of one key in a batch the one with the highest other columns stays. Each batch writes a new
+    version, so it suits tables of a size that a batch interval can rewrite.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         old = sinks.read_table(spark, path) if sinks.latest_version(spark, path) else batch.limit(0)
-        sinks.write_table(sinks.upserted(old, batch.dropDuplicates(keys), keys), path)
+        rest = [c for c in batch.columns if c not in keys]
+        last = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest]) if rest else batch.distinct()
+        sinks.write_table(sinks.upserted(old, last.select(*batch.columns), keys), path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

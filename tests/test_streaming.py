@@ -38,14 +38,14 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
 
 
 def test_sessions_are_assembled(spark, tmp_path):
-    lines = [{"type": "token", "session": 1, "seq": i, "token": w} for i, w in enumerate("a b c".split())] + [{"type": "done", "session": 1, "seq": -1, "token": ""}, {"type": "token", "session": 2, "seq": 0, "token": "x"}]
+    lines = [{"type": "token", "session": 1, "seq": i, "token": w} for i, w in enumerate("a b c".split())] + [{"type": "citations", "session": 1, "seq": -1, "citations": ["[1]"]}, {"type": "done", "session": 1, "seq": -1, "token": ""}, {"type": "token", "session": 2, "seq": 0, "token": "x"}]
     df = spark.createDataFrame([("data: " + json.dumps(x),) for x in lines], "l string")
     df.write.parquet(str(tmp_path / "src"))
     stream = S.read_parquet(spark, str(tmp_path / "src"), df.schema).select(S.sse_tokens(F.col("l")).alias("t")).select("t.*")
     q = S.assemble(stream).writeStream.format("memory").queryName("said").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert [tuple(r) for r in spark.table("said").collect()] == [(1, "a b c")]
+    assert [tuple(r) for r in spark.table("said").collect()] == [(1, "a b c", ["[1]"])]
 
 
 def test_versions_and_binary_files(spark, tmp_path):
@@ -53,6 +53,7 @@ def test_versions_and_binary_files(spark, tmp_path):
     assert sinks.write_table(spark.range(3), path) == 1
     assert sinks.write_table(sinks.deleted(sinks.read_table(spark, path), spark.range(1), ["id"]), path) == 2
     assert sinks.read_table(spark, path).count() == 2
+    assert sinks.append(spark.range(7, 9), path) == 2 and sinks.read_table(spark, path).count() == 4
     for name, text in (("a", "x"), ("b", "x"), ("c", "y")):
         (tmp_path / f"{name}.bin").write_text(text)
     assert sorted(r["n"] for r in catalogs.read_files(spark, str(tmp_path / "*.bin")).collect()) == [1, 2]
@@ -63,3 +64,19 @@ def test_bad_rows_are_set_aside(spark):
     good, bad = S.quarantine(df, F.col("v").try_cast("int").isNotNull(), F.lit("no number"))
     assert [r["id"] for r in good.collect()] == [1]
     assert {r["id"]: r["status"] for r in bad.collect()} == {2: "FAILED", 3: "COMPLETED"}
+
+
+def test_replayed_pages_count_once(spark, tmp_path):
+    rows = [("j1", 1, 2), ("j1", 1, 2), ("j2", 1, 2), ("j2", 2, 2), ("j2", 2, 2)]
+    df = spark.createDataFrame(rows, "job string, page int, total int")
+    df.write.parquet(str(tmp_path / "src"))
+    q = S.completed(S.read_parquet(spark, str(tmp_path / "src"), df.schema), "job", "total", "page").writeStream.format("memory").queryName("full").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in spark.table("full").collect()] == [("j2", 2, 2)] == [tuple(r) for r in S.completed(df, "job", "total", "page").collect()]
+
+
+def test_two_changes_of_a_key_update_one_row(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    got = sinks.updated(old, spark.createDataFrame([(1, "x"), (1, "y")], "id int, v string"), "id", "v")
+    assert sorted((r["id"], r["v"], r["changed"]) for r in got.collect()) == [(1, "y", True), (2, "b", False)]
