@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Fixed value: a field between bars.
+META_FIELD = r"^\*{0,2}([^*:|]+):\*{0,2}\s*(.*)$"
 META = r"\*\*([^*:]+):\*\*\s*(.*)"
 
 
@@ -77,6 +79,37 @@ def key_values(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pairs.groupBy(key, "name").agg(F.max_by("value", F.struct("pos", "part")).alias("value"))
 
 
+def is_meta_line(line: Column) -> Column:
+    """Are all segments of a line between bars `Label: value` fields?"""
+    return F.forall(F.split(line, r"\|"), lambda part: F.trim(part).rlike(META_FIELD))
+
+
+def is_section_heading(line: Column) -> Column:
+    """A line that is one bold text without colon or bar."""
+    return F.trim(line).rlike(r"^\*\*((?!\*\*)[^:|])*\*\*$")
+
+
+def meta_fields(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, part, label, value) of the fields of all lines that consist of fields.
+
+    Where a value is a field itself, as behind a section label, the inner one counts.
+    """
+    parts = lines(docs, key, text).where((F.trim("line") != "") & is_meta_line(F.col("line"))).select(key, "pos", F.posexplode(F.split("line", r"\|")).alias("part", "segment"))
+    take = lambda c, k: F.trim(F.regexp_extract(c, META_FIELD, k))
+    outer = parts.select(key, "pos", "part", take(F.trim("segment"), 1).alias("label"), take(F.trim("segment"), 2).alias("value"))
+    nested = F.col("value").rlike(META_FIELD) & (take(F.col("value"), 1) != "")
+    return outer.select(key, "pos", "part", F.when(nested, take(F.col("value"), 1)).otherwise(F.col("label")).alias("label"), F.when(nested, take(F.col("value"), 2)).otherwise(F.col("value")).alias("value"))
+
+
+def other_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, part, value): what is in no table and no `**Name:** value` segment, trimmed, in order."""
+    rows = lines(docs, key, text).select(key, "pos", F.trim("line").alias("line")).where((F.col("line") != "") & ~F.startswith("line", F.lit("|")))
+    fields = F.contains("line", F.lit("**")) & F.contains("line", F.lit(":"))
+    parts = rows.select(key, "pos", F.posexplode(F.when(fields, F.split("line", r"\|")).otherwise(F.array("line"))).alias("part", "segment"), fields.alias("fields"))
+    plain = ~F.col("fields") | (F.size(F.split("segment", r"\*\*")) < 3)
+    return parts.where(plain & (F.trim("segment") != "")).select(key, "pos", "part", F.trim("segment").alias("value"))
+
+
 def form_blocks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, block_start, n_fields, block): runs of consecutive `Label: Value` lines."""
     line = F.col("line")
@@ -97,9 +130,25 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def as_json(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, json): {metadata{}, tables[[{}]]} of each document."""
+    """(key, json): {metadata{}, tables[[{}]], text[]} of each document."""
     meta = key_values(docs, key, text).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("metadata"))
     rows = table_cells(docs, key, text).groupBy(key, "table_start", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("r"))
     tables = rows.groupBy(key, "table_start").agg(F.sort_array(F.collect_list(F.struct("row_no", F.to_json("r").alias("r")))).alias("rows"))
     tables = tables.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("table_start", F.col("rows.r").alias("rows")))).alias("t"))
-    return docs.select(key).join(meta, key, "left").join(tables, key, "left").select(key, F.to_json(F.struct("metadata", F.col("t.rows").alias("tables"))).alias("json"))
+    other = other_text(docs, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "part", "value")))["value"].alias("text"))
+    joined = docs.select(key).join(meta, key, "left").join(tables, key, "left").join(other, key, "left")
+    return joined.select(key, F.to_json(F.struct("metadata", F.col("t.rows").alias("tables"), F.coalesce("text", F.array()).alias("text"))).alias("json"))
+
+
+def as_long(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, section, row_no, header, value): form fields, table cells, other text and raw lines of each document."""
+    cells = table_cells(docs, key, text).select(key, F.lit("table").alias("section"), "row_no", "header", "value")
+    form = key_values(docs, key, text).select(key, F.lit("form").alias("section"), F.lit(0).alias("row_no"), F.col("name").alias("header"), "value")
+    other = other_text(docs, key, text).select(key, F.lit("other").alias("section"), F.col("pos").alias("row_no"), F.lit("text").alias("header"), "value")
+    raw = lines(docs, key, text).select(key, F.lit("raw").alias("section"), F.col("pos").alias("row_no"), F.lit("line").alias("header"), F.col("line").alias("value"))
+    return cells.unionByName(form).unionByName(other).unionByName(raw)
+
+
+def export_long(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
+    """Write the long form as CSV, one folder for each section."""
+    as_long(docs, key, text).write.partitionBy("section").option("header", True).option("escape", '"').csv(path)

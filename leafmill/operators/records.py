@@ -51,14 +51,32 @@ def consolidate(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _filled(kind: Column, value: Column, items: Column) -> Column:
+    """Does a field of a record say something? Structured values are JSON: maps of items, rows of a table."""
+    marks = F.from_json(value, "map<string,string>")
+    asked = lambda ok: F.exists(items, lambda i: F.coalesce(ok(F.element_at(marks, i)), F.lit(False)))
+    return (
+        F.when(kind == "checkbox", is_marked(value))
+        .when(kind == "checklist", asked(is_marked))
+        .when(kind == "checklist_kv", asked(lambda v: ~is_blank(v)))
+        .when(kind == "table", F.size(F.from_json(value, "array<map<string,string>>")) > 0)
+        .otherwise(~is_blank(value))
+    )
+
+
+def is_marked(state: Column) -> Column:
+    return F.coalesce(F.lower(state).isin("checked", "unchecked"), F.lit(False))
+
+
 def completeness(records: DataFrame, fields: DataFrame, key: str) -> DataFrame:
-    """records (key, name, value), fields (name, type): (key, total, filled, blank) over all fields.
+    """records (key, name, value), fields (name, type, items): (key, total, filled, blank) over all fields.
 
-    A checkbox counts only if checked or unchecked. fields is a blueprint, small by its nature.
+    A checkbox counts only if checked or unchecked, a checklist if one of its items is, a list of keys and
+    values if one of its items has a value, a table if it has a row. fields is a blueprint, small by its nature.
     """
     every = records.select(key).distinct().crossJoin(F.broadcast(fields))  # every record times the blueprint's fields
     joined = every.join(records, [key, "name"], "left")
-    filled = F.when(F.col("type") == "checkbox", F.lower("value").isin("checked", "unchecked")).otherwise(~is_blank(F.col("value")))
+    filled = _filled(F.col("type"), F.col("value"), F.coalesce("items", F.array().cast("array<string>")))
     counts = joined.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.coalesce(filled, F.lit(False))).alias("filled"))
     return counts.withColumn("blank", F.col("total") - F.col("filled"))
 
@@ -73,41 +91,80 @@ def timeline(events: DataFrame, key: str) -> DataFrame:
     return lists.select(key, F.array_join(F.transform("l", line), "\n").alias("timeline"))
 
 
-def render(records: DataFrame, fields: DataFrame, key: str, include_blank: bool = False) -> DataFrame:
-    """(key, markdown): fields (section, pos, name, label, type) of a record, blank ones left out."""
-    rows = records.join(F.broadcast(fields), "name")
-    shown = rows if include_blank else rows.where(~is_blank(F.col("value")))
-    band = F.when(F.col("value").cast("double") >= 7, "high").when(F.col("value").cast("double") >= 4, "medium").otherwise("low")
-    value = F.when(F.col("type") == "score", F.concat("value", F.lit(" ("), band, F.lit(")"))).otherwise(F.coalesce("value", F.lit("")))
-    line = F.concat(F.lit("- **"), F.col("label"), F.lit(":** "), value)
+BOXES = {"checked": "☑", "unchecked": "☐"}
+MISSING = "—"
+
+
+def render(records: DataFrame, fields: DataFrame, key: str) -> DataFrame:
+    """(key, markdown): fields (section, pos, name, label, type, items) of a record, blank ones and empty sections
+    left out. Checklists and tables render their items; for a table, items are its columns."""
+    rows = records.join(F.broadcast(fields), "name").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    shown = rows.where(F.coalesce(_filled(F.col("type"), F.col("value"), F.col("items")), F.lit(False)))
+    head = F.concat(F.lit("- **"), F.col("label"), F.lit(":**"))
+    box = lambda state: F.when(F.lower(state) == "checked", BOXES["checked"]).otherwise(BOXES["unchecked"])
+    marks = F.from_json("value", "map<string,string>")
+    states = F.filter("items", lambda i: is_marked(F.element_at(marks, i)))
+    listed = F.transform(states, lambda i: F.concat(F.lit("    - "), box(F.element_at(marks, i)), F.lit(" "), i))
+    valued = F.transform(F.filter("items", lambda i: ~is_blank(F.element_at(marks, i))), lambda i: F.concat(F.lit("    - "), i, F.lit(": "), F.element_at(marks, i)))
+    cells = lambda row: F.array_join(F.transform("items", lambda c: F.coalesce(F.nullif(F.element_at(row, c), F.lit("")), F.lit(MISSING))), " | ")
+    bar = lambda inside: F.concat(F.lit("| "), inside, F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.transform("items", lambda _: F.lit("---")), "|"), F.lit("|"))
+    body = F.transform(F.from_json("value", "array<map<string,string>>"), lambda r: bar(cells(r)))
+    table = F.array_join(F.concat(F.array(F.concat(F.lit("**"), F.col("label"), F.lit(":**")), bar(F.array_join("items", " | ")), rule), body), "\n")
+    scored = F.from_json("value", "value string, band string")
+    score = F.concat(F.when(is_blank(scored["value"]), F.lit(MISSING)).otherwise(scored["value"]), F.when(is_blank(scored["band"]), F.lit("")).otherwise(F.concat(F.lit(" ("), scored["band"], F.lit(")"))))
+    kind = F.col("type")
+    line = (
+        F.when(kind == "checkbox", F.concat(head, F.lit(" "), box(F.col("value"))))
+        .when(kind == "checklist", F.array_join(F.concat(F.array(head), listed), "\n"))
+        .when(kind == "checklist_kv", F.array_join(F.concat(F.array(head), valued), "\n"))
+        .when(kind == "table", table)
+        .when((kind == "score") & F.col("value").startswith("{"), F.concat(head, F.lit(" "), score))
+        .otherwise(F.concat(head, F.lit(" "), F.col("value")))
+    )
     sections = shown.groupBy(key, "section").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
-    body = F.concat(F.lit("## "), "section", F.lit("\n"), F.array_join("l.line", "\n"))
-    whole = sections.select(key, F.struct(F.col("l")[0]["pos"].alias("pos"), body.alias("b")).alias("s")).groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    body_of = F.concat(F.lit("## "), "section", F.lit("\n"), F.array_join("l.line", "\n"))
+    whole = sections.select(key, F.struct(F.col("l")[0]["pos"].alias("pos"), body_of.alias("b")).alias("s")).groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("s"))
     return whole.select(key, F.array_join("s.b", "\n\n").alias("markdown"))
 
 
-PREDICTION = "array<struct<`Original Text`:string,text:string,`Predicted Code`:string,code:string,Type:string,Confidence:string>>"
+PREDICTION = (
+    "array<struct<`Original Text`:string,text:string,`Predicted Code/Name`:string,`Predicted Name`:string,`Predicted Code`:string,code:string,Type:string,Confidence:string,"
+    "region_id:string,region_type:string,bbox:array<double>,page:string,dataset_source:string,ocr_confidence:string,ocr_model_used:string>>"
+)
 
 
 def predictions(docs: DataFrame, key: str, raw: str) -> DataFrame:
-    """(key, ord, text, code, type, confidence) of JSON prediction lists; alternate keys and bad numbers are mended."""
-    rows = docs.select(key, F.posexplode(F.from_json(raw, PREDICTION)).alias("ord", "p"))
+    """The region predictions in a JSON list, one row each in order; alternate keys, defaults and bad numbers are mended."""
+    rows = docs.select(key, F.posexplode(F.from_json(raw, PREDICTION)).alias("reading_order", "p"))
+    p = lambda name: F.col("p")[name]
+    said = lambda name: F.nullif(p(name), F.lit(""))
+    number = lambda name: F.coalesce(p(name).try_cast("double"), F.lit(0.0))
     return rows.select(
-        key, "ord",
-        F.coalesce(F.col("p.`Original Text`"), F.col("p.text"), F.lit("")).alias("text"),
-        F.coalesce(F.col("p.`Predicted Code`"), F.col("p.code"), F.lit("")).alias("code"),
-        F.coalesce(F.col("p.Type"), F.lit("UNKNOWN")).alias("type"),
-        F.coalesce(F.col("p.Confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
+        key, "reading_order",
+        F.coalesce(said("region_id"), F.concat(F.lit("pred_"), "reading_order")).alias("region_id"),
+        F.coalesce(said("region_type"), p("Type"), F.lit("Unknown")).alias("region_type"),
+        F.coalesce(p("bbox"), F.array().cast("array<double>")).alias("bbox"),
+        F.coalesce(p("page").try_cast("int"), F.lit(0)).alias("page_number"),
+        F.coalesce(p("Original Text"), p("text")).alias("text_content"),
+        number("Confidence").alias("confidence_score"),
+        p("Type").alias("entity_classification"),
+        F.coalesce(said("Predicted Code/Name"), said("Predicted Name"), said("Predicted Code"), said("code")).alias("resolved_name"),
+        p("dataset_source").alias("dataset_source"),
+        number("Confidence").alias("resolution_confidence"),
+        number("ocr_confidence").alias("ocr_confidence"),
+        F.coalesce(p("ocr_model_used"), F.lit("unknown")).alias("ocr_model_used"),
     )
 
 
 def patient_meta(text: Column) -> list[Column]:
-    """Name, number and doctor from a header, with defaults."""
-    take = lambda p, default: F.coalesce(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")), F.lit(default))
+    """Name, number, doctor and nurse from a header, with defaults."""
+    take = lambda p, default: F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, p, 1), r"^\s+|\s+$", "")), F.lit("")), F.lit(default))
     return [
-        F.initcap(take(r"(?i)name\s*:\**\s*([A-Za-z#0-9 .]+)", "Unknown")).alias("name"),
-        take(r"(?i)ip\s*no\.?\s*:\**\s*([A-Za-z0-9/-]+)", "N/A").alias("ip_no"),
-        F.initcap(take(r"(?i)doctor\s*:\**\s*(?:dr\.?\s*)?([A-Za-z .]+)", "N/A")).alias("doctor"),
+        F.initcap(take(r"(?i)(?:name|patient)[:\s*_]+([A-Z][A-Z\s]+)", "Patient")).alias("name"),
+        take(r"(?i)IP\s*(?:No|Number)?[:\s._]+([A-Z0-9]+)", MISSING).alias("ip_no"),
+        F.initcap(take(r"(?i)(?:Treating Doctor|Consultant)[:\s*_]+([A-Z][A-Za-z\s.]+)", MISSING)).alias("doctor"),
+        F.initcap(take(r"(?i)(?:Treating Nurse|Staff)[:\s*_]+([A-Z][A-Za-z\s.]+)", MISSING)).alias("nurse"),
     ]
 
 

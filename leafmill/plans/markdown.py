@@ -50,13 +50,15 @@ def table_segments(spark, d):
  CASE h WHEN 'Line' THEN CAST(l_linenumber AS VARCHAR) WHEN 'Part' THEN CAST(l_partkey AS VARCHAR) WHEN 'Supplier' THEN CAST(l_suppkey AS VARCHAR) ELSE l_returnflag END AS value
  FROM {NUMBERED}, (SELECT unnest(['Line', 'Part', 'Supplier', 'Flag']) AS h)
  UNION ALL SELECT o_orderkey, 'form', 0, 'Order', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
- UNION ALL SELECT o_orderkey, 'form', 0, 'Customer', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+ UNION ALL SELECT o_orderkey, 'form', 0, 'Customer', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+ UNION ALL SELECT l_orderkey, 'other', count(*) + 3, 'text', 'Note: order ' || l_orderkey FROM {NUMBERED} GROUP BY 1
+ UNION ALL SELECT l_orderkey, 'raw', count(*) + 3, 'line', 'Note: order ' || l_orderkey FROM {NUMBERED} GROUP BY 1
+ UNION ALL SELECT l_orderkey, 'raw', 0, 'line', '**Order:** ' || l_orderkey || ' | **Customer:** ' || any_value(o_custkey) FROM {NUMBERED} GROUP BY 1
+ UNION ALL SELECT l_orderkey, 'raw', i, 'line', CASE i WHEN 1 THEN '| Line | Part | Supplier | Flag |' ELSE '|---|---|---|---|' END FROM (SELECT DISTINCT l_orderkey FROM {NUMBERED}), (SELECT unnest([1, 2]) AS i)
+ UNION ALL SELECT l_orderkey, 'raw', row_no + 2, 'line', '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' || l_returnflag || ' |' FROM {NUMBERED}""")
 def export_tables_long(spark, d):
-    """Table cells and form fields of every document, long."""
-    docs = rendered(spark, d)
-    table_ = M.table_cells(docs, "order_id").select("order_id", F.lit("table").alias("section"), "row_no", "header", "value")
-    form = M.key_values(docs, "order_id").select("order_id", F.lit("form").alias("section"), F.lit(0).alias("row_no"), F.col("name").alias("header"), "value")
-    return table_.unionByName(form)
+    """Form fields, table cells, other text and raw lines of every document, long."""
+    return M.as_long(rendered(spark, d), "order_id")
 
 
 @register(f"""SELECT l_orderkey AS order_id, row_no, '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_suppkey || ' | ' ||
@@ -71,16 +73,23 @@ def widest_table(spark, d):
     return rows.withColumn("landscape", F.col("widest") > 6)
 
 
-@register(f"""SELECT l_orderkey AS order_id, CAST(any_value(o_custkey) AS VARCHAR) AS customer, count(*) AS n_rows,
- sum(l_partkey) AS parts FROM {NUMBERED} GROUP BY 1""")
+@register(f"""SELECT l_orderkey AS order_id, md5('{{"Customer":"' || any_value(o_custkey) || '","Order":"' || l_orderkey || '"}}') AS metadata,
+ md5(string_agg(l_linenumber || ',' || l_partkey || ',' || l_suppkey || ',' || l_returnflag, ';' ORDER BY row_no)) AS cells, 'Note: order ' || l_orderkey AS said FROM {NUMBERED} GROUP BY 1""")
 def export_json(spark, d):
-    """The JSON export, read back and compared by its cells."""
+    """The JSON export, read back and compared cell by cell."""
     out = M.as_json(rendered(spark, d), "order_id")
-    parsed = F.from_json("json", "metadata map<string,string>, tables array<array<string>>")
-    rows = out.select("order_id", parsed.alias("j")).select("order_id", "j.metadata", F.explode(F.flatten("j.tables")).alias("row"))
-    return rows.groupBy("order_id").agg(
-        F.first(F.col("metadata")["Customer"]).alias("customer"), F.count("*").alias("n_rows"), F.sum(F.get_json_object("row", "$.Part").cast("long")).alias("parts")
-    )
+    parsed = out.select("order_id", "json", F.from_json("json", "metadata map<string,string>, tables array<array<string>>, text array<string>").alias("j"))
+    rows = F.transform(F.flatten("j.tables"), lambda r: F.from_json(r, "map<string,string>"))
+    line = lambda r: F.array_join(F.array(*[F.element_at(r, F.lit(h)) for h in HEADS]), ",")
+    return parsed.select("order_id", F.md5(F.to_json("j.metadata")).alias("metadata"), F.md5(F.array_join(F.transform(rows, line), ";")).alias("cells"), F.array_join("j.text", "|").alias("said"))
+
+
+@register("""SELECT c_custkey AS id, unnest([0, 0, 3]) AS pos, unnest([0, 1, 0]) AS part, unnest(['Name', 'Segment', 'Executive']) AS label, unnest([c_name, c_mktsegment, 'N' || c_nationkey]) AS value FROM customer""")
+def meta_fields(spark, d):
+    """Fields of header and footer lines; a field behind a section label takes the label's place."""
+    parts = [F.concat(F.lit("**Name:** "), "c_name", F.lit(" | Segment: "), "c_mktsegment"), F.lit("**Heading**"), F.lit("no field | here"), F.concat(F.lit("**Footer:** Executive: N"), "c_nationkey")]
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(F.array(*parts), "\n").alias("text"))
+    return M.meta_fields(docs, "id")
 
 
 @register("""SELECT c_custkey AS id, 0 AS block_start, 2 AS n_fields, 'Name: ' || c_name || chr(10) || 'Segment: ' || c_mktsegment AS block FROM customer

@@ -60,27 +60,39 @@ def consolidate_mixed(spark, d):
 
 
 def fields(spark: SparkSession) -> DataFrame:
-    rows = [("Who", 0, "name", "Name", "text"), ("Who", 1, "segment", "Segment", "text"), ("State", 2, "score", "Score", "score"), ("State", 3, "active", "Active", "checkbox")]
-    return spark.createDataFrame(rows, "section string, pos int, name string, label string, type string")
+    rows = [
+        ("Who", 0, "name", "Name", "text", None), ("Who", 1, "segment", "Segment", "text", None), ("State", 2, "score", "Score", "score", None), ("State", 3, "active", "Active", "checkbox", None),
+        ("More", 4, "checks", "Checks", "checklist", ["one", "two"]), ("More", 5, "pairs", "Pairs", "checklist_kv", ["a", "b"]), ("More", 6, "rows", "Rows", "table", ["x", "y"]),
+    ]
+    return spark.createDataFrame(rows, "section string, pos int, name string, label string, type string, items array<string>")
 
 
 def customer_records(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    active = F.when(F.col("c_custkey") % 2 == 0, "checked").otherwise("maybe")
-    score = F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") % 10).cast("string"))
-    pairs = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.when(F.col("c_custkey") % 3 == 0, "N/A").otherwise(F.col("c_mktsegment")), F.lit("score"), score, F.lit("active"), active)
-    return c.select(F.col("c_custkey").alias("record"), F.explode(pairs).alias("name", "value"))
+    k = F.col("c_custkey")
+    active = F.when(k % 2 == 0, "checked").otherwise("maybe")
+    score = F.when(k % 7 != 0, F.to_json(F.struct((k % 10).cast("string").alias("value"), F.when(k % 10 >= 7, "high").alias("band"))))
+    checks = F.when(k % 4 == 0, F.lit('{"one":"unchecked","two":"maybe"}')).otherwise(F.lit('{"three":"checked"}'))
+    pairs = F.when(k % 5 == 0, F.lit('{"a":"n/a"}')).otherwise(F.concat(F.lit('{"b":"'), k, F.lit('"}')))
+    rows = F.when(k % 3 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"x":"'), k, F.lit('"},{"y":"last"}]')))
+    said = {"name": F.col("c_name"), "segment": F.when(k % 3 == 0, "N/A").otherwise(F.col("c_mktsegment")), "score": score, "active": active, "checks": checks, "pairs": pairs, "rows": rows}
+    return c.select(k.alias("record"), F.explode(F.create_map(*[x for n, v in said.items() for x in (F.lit(n), v)])).alias("name", "value"))
 
 
-@register("""SELECT c_custkey AS record, 4 AS total, 1 + CAST(c_custkey % 3 <> 0 AS INTEGER) + CAST(c_custkey % 7 <> 0 AS INTEGER) + CAST(c_custkey % 2 = 0 AS INTEGER) AS filled,
- 3 - CAST(c_custkey % 3 <> 0 AS INTEGER) - CAST(c_custkey % 7 <> 0 AS INTEGER) - CAST(c_custkey % 2 = 0 AS INTEGER) AS blank FROM customer""")
+N_FILLED = "1 + CAST(c_custkey % 3 <> 0 AS INTEGER) * 2 + CAST(c_custkey % 7 <> 0 AS INTEGER) + CAST(c_custkey % 2 = 0 AS INTEGER) + CAST(c_custkey % 4 = 0 AS INTEGER) + CAST(c_custkey % 5 <> 0 AS INTEGER)"
+
+
+@register(f"SELECT c_custkey AS record, 7 AS total, {N_FILLED} AS filled, 7 - ({N_FILLED}) AS blank FROM customer")
 def field_completeness(spark, d):
-    return R.completeness(customer_records(spark, d), fields(spark).select("name", "type"), "record")
+    return R.completeness(customer_records(spark, d), fields(spark).select("name", "type", "items"), "record")
 
 
-@register("""SELECT c_custkey AS record, '## Who' || chr(10) || '- **Name:** ' || c_name || CASE WHEN c_custkey % 3 <> 0 THEN chr(10) || '- **Segment:** ' || c_mktsegment ELSE '' END || chr(10) || chr(10) || '## State' || chr(10) ||
- CASE WHEN c_custkey % 7 <> 0 THEN '- **Score:** ' || c_custkey % 10 || ' (' || CASE WHEN c_custkey % 10 >= 7 THEN 'high' WHEN c_custkey % 10 >= 4 THEN 'medium' ELSE 'low' END || ')' || chr(10) ELSE '' END ||
- '- **Active:** ' || CASE WHEN c_custkey % 2 = 0 THEN 'checked' ELSE 'maybe' END AS markdown FROM customer""")
+@register("""WITH s AS (SELECT c_custkey AS k, [
+ '## Who' || chr(10) || '- **Name:** ' || c_name || CASE WHEN c_custkey % 3 <> 0 THEN chr(10) || '- **Segment:** ' || c_mktsegment ELSE '' END,
+ '## State' || chr(10) || nullif(array_to_string(list_filter([CASE WHEN c_custkey % 7 <> 0 THEN '- **Score:** ' || c_custkey % 10 || CASE WHEN c_custkey % 10 >= 7 THEN ' (high)' ELSE '' END END, CASE WHEN c_custkey % 2 = 0 THEN '- **Active:** ☑' END], lambda x: x IS NOT NULL), chr(10)), ''),
+ '## More' || chr(10) || nullif(array_to_string(list_filter([CASE WHEN c_custkey % 4 = 0 THEN '- **Checks:**' || chr(10) || '    - ☐ one' END, CASE WHEN c_custkey % 5 <> 0 THEN '- **Pairs:**' || chr(10) || '    - b: ' || c_custkey END,
+ CASE WHEN c_custkey % 3 <> 0 THEN '**Rows:**' || chr(10) || '| x | y |' || chr(10) || '|---|---|' || chr(10) || '| ' || c_custkey || ' | — |' || chr(10) || '| — | last |' END], lambda x: x IS NOT NULL), chr(10)), '')] AS parts FROM customer)
+ SELECT k AS record, array_to_string(list_filter(parts, lambda x: x IS NOT NULL), chr(10) || chr(10)) AS markdown FROM s""")
 def render_record(spark, d):
     return R.render(customer_records(spark, d), fields(spark), "record")
 
@@ -94,23 +106,28 @@ def timeline(spark, d):
     return R.timeline(o.select(F.col("o_custkey").alias("record"), date.alias("date"), F.col("o_orderstatus").alias("event")), "record")
 
 
-@register("""SELECT o_orderkey AS id, i AS ord, CASE i WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS text, CASE i WHEN 0 THEN 'A' ELSE 'B' END AS code,
- CASE i WHEN 0 THEN 'ITEM' ELSE 'UNKNOWN' END AS type, CASE i WHEN 0 THEN round((o_orderkey % 100) / 100.0::DOUBLE, 2) ELSE 0.0 END AS confidence FROM orders, range(2) r(i)""")
+@register("""SELECT o_orderkey AS id, i AS reading_order, CASE i WHEN 0 THEN 'pred_0' ELSE 'r' || o_orderkey END AS region_id, CASE i WHEN 0 THEN 'ITEM' ELSE 'Table' END AS region_type, CASE i WHEN 0 THEN 0 ELSE 3 END AS page_number,
+ CASE i WHEN 0 THEN 0 ELSE 4 END AS n_bbox, CASE i WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS text_content, CASE i WHEN 0 THEN 'ITEM' END AS entity_classification, CASE i WHEN 0 THEN 'A' ELSE 'B' END AS resolved_name,
+ CASE i WHEN 0 THEN NULL ELSE 'sheet' END AS dataset_source, CASE i WHEN 0 THEN round((o_orderkey % 100) / 100.0::DOUBLE, 2) ELSE 0.0 END AS confidence_score, CASE i WHEN 0 THEN round((o_orderkey % 100) / 100.0::DOUBLE, 2) ELSE 0.0 END AS resolution_confidence,
+ CASE i WHEN 0 THEN 0.0::DOUBLE ELSE 0.5 END AS ocr_confidence, CASE i WHEN 0 THEN 'unknown' ELSE 'm1' END AS ocr_model_used FROM orders, range(2) r(i)""")
 def sc_19_predictions(spark, d):
     o = table(spark, d, "orders")
     raw = F.concat(
-        F.lit('[{"Original Text":"'), "o_orderstatus", F.lit('","Predicted Code":"A","Type":"ITEM","Confidence":"'), F.round(F.col("o_orderkey") % 100 / 100, 2).cast("string"),
-        F.lit('"},{"text":"'), "o_orderpriority", F.lit('","code":"B","Confidence":"high"}]'),
+        F.lit('[{"Original Text":"'), "o_orderstatus", F.lit('","Predicted Code":"A","Predicted Name":"","Type":"ITEM","Confidence":"'), F.round(F.col("o_orderkey") % 100 / 100, 2).cast("string"),
+        F.lit('"},{"text":"'), "o_orderpriority", F.lit('","code":"B","Confidence":"high","region_id":"r'), "o_orderkey",
+        F.lit('","region_type":"Table","page":3,"bbox":[1,2,3,4],"dataset_source":"sheet","ocr_confidence":0.5,"ocr_model_used":"m1"}]'),
     )
-    return R.predictions(o.select(F.col("o_orderkey").alias("id"), raw.alias("raw")), "id", "raw")
+    rows = R.predictions(o.select(F.col("o_orderkey").alias("id"), raw.alias("raw")), "id", "raw")
+    return rows.withColumn("n_bbox", F.size("bbox")).drop("bbox")
 
 
-@register("SELECT c_custkey AS id, 'Customer ' || lower(c_mktsegment[1:1]) AS x, CASE WHEN c_custkey % 2 = 0 THEN 'IP/' || c_custkey ELSE 'N/A' END AS ip_no, 'John Smith' AS doctor FROM customer")
+@register("""SELECT c_custkey AS id, 'Customer ' || c_mktsegment[1:1] AS name, CASE WHEN c_custkey % 2 = 0 THEN 'IP' || c_custkey ELSE '—' END AS ip_no, 'Dr. John Smith' AS doctor, CASE WHEN c_custkey % 3 = 0 THEN 'Ann Lee' ELSE '—' END AS nurse FROM customer""")
 def sc_14_patient_meta(spark, d):
     c = table(spark, d, "customer")
-    text = F.concat(F.lit("**Name:** customer "), F.substring("c_mktsegment", 1, 1), F.lit("\nDoctor: Dr. JOHN smith\n"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("IP No: IP/"), "c_custkey")).otherwise(""))
-    rows = c.select(F.col("c_custkey").alias("id"), *R.patient_meta(text))
-    return rows.select("id", F.concat(F.lit("Customer "), F.lower(F.element_at(F.split("name", " "), 2))).alias("x"), "ip_no", "doctor")
+    k = F.col("c_custkey")
+    parts = [F.concat(F.lit("**Name:** CUSTOMER "), F.substring("c_mktsegment", 1, 1), F.lit(" 7")), F.lit("Treating Doctor: dr. JOHN smith 1"), F.when(k % 2 == 0, F.concat(F.lit("IP No: IP"), k)), F.when(k % 3 == 0, F.lit("**Staff:** ann lee 2"))]
+    text = F.concat_ws("\n", *parts)
+    return c.select(k.alias("id"), *R.patient_meta(text))
 
 
 @register("""SELECT c_custkey AS id, 1 AS rule_id, 'high' AS severity FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL
