@@ -50,6 +50,12 @@ def json_payload(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def string_list(c: Column, most: int) -> Column:
+    """The first strings of a JSON list, inside fences or not; null if it is none."""
+    bare = F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$|```", ""))
+    return F.slice(F.filter(F.from_json(bare, "array<string>"), lambda x: x.isNotNull()), 1, most)
+
+
 def strip_bullet(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^[-*•]+\s*", ""), r"^\d+[.)]\s*", ""))
 

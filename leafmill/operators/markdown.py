@@ -152,3 +152,37 @@ def as_long(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def export_long(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
     """Write the long form as CSV, one folder for each section."""
     as_long(docs, key, text).write.partitionBy("section").option("header", True).option("escape", '"').csv(path)
+
+
+def doc_blocks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, block_no, kind, title, lines): key-value, table, section and text blocks in order.
+
+    A blank line ends every block. A line of several cells belongs to the table of its run of such lines (rules
+    between them don't count; a table of one line is text). A line that ends in its only colon starts a section,
+    which takes all lines up to the next blank line or table. Else `key: value` lines are key-value blocks, and
+    what is left is text.
+    """
+    in_order = Window.partitionBy(key).orderBy("pos")
+    line = F.col("t")
+    rows = lines(docs, key, text).withColumn("t", F.trim("line")).where(~(F.contains("t", F.lit("|")) & F.col("t").rlike(r"^[|\-\s]+$")))
+    full = F.filter(F.split(line, r"\|"), lambda c: F.trim(c) != "")
+    row = F.contains(line, F.lit("|")) & (F.size(full) > 1)
+    title = line.rlike(r"^[^:]+:$") & ~row
+    blank = line == ""
+    rows = rows.withColumn("row", row & ~blank)
+    lone = ~F.coalesce(F.lag("row").over(in_order), F.lit(False)) & ~F.coalesce(F.lead("row").over(in_order), F.lit(False))
+    rows = rows.withColumn("table", F.col("row") & ~lone).withColumn("head", title)
+    # a section lasts from its title to the next blank line, table or title
+    rows = rows.withColumn("stretch", F.sum((blank | F.col("row") | title).cast("int")).over(in_order))
+    opened = F.first("head").over(Window.partitionBy(key, "stretch").orderBy("pos"))
+    pair = line.rlike(r"^[^:]*[^:\s][^:]*:\s*\S") & ~F.col("row")
+    kind = F.when(blank, None).when(F.col("table"), "table").when(opened, "section").when(pair, "key-value").otherwise("text")
+    rows = rows.withColumn("kind", kind)
+    fresh = ~F.col("kind").eqNullSafe(F.lag("kind").over(in_order)) | F.col("head") | (F.col("kind").isin("text", "section") & F.col("row"))
+    rows = rows.withColumn("block", F.sum(fresh.cast("int")).over(in_order)).where("kind IS NOT NULL")
+    made = rows.groupBy(key, "block", "kind").agg(
+        F.max(F.when(F.col("head"), F.regexp_replace("t", r"\s*:$", ""))).alias("title"),
+        F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", "t"))))["t"].alias("lines"),
+    )
+    number = F.row_number().over(Window.partitionBy(key).orderBy("block")) - 1
+    return made.select(key, number.alias("block_no"), "kind", "title", "lines")

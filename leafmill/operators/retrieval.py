@@ -11,6 +11,7 @@ from leafmill.operators.chunking import joined
 TOKEN = r"[a-z0-9à-ÿ]+"
 K1, B = 1.2, 0.75
 QUERY_TERMS = 20_000
+SLICES = 16
 FLOOR = 0.015  # of the best rerank score
 BROAD = r"(?i)^\s*(summari[sz]e|summary|overview|what is this|tell me about|describe|list all)"
 
@@ -30,16 +31,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, tenant: str, k: int) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, tenant: str, k: int, slices: int = SLICES) -> DataFrame:
     """(query_id, vec_id, score, rank): cosine within a tenant. queries and vectors have (id, tenant, v).
 
-    The tenant is an equality of the join, norms are computed once per vector.
+    Exact: a query meets all vectors of its tenant. A tenant's vectors are dealt to slices by their id, so one
+    large tenant spreads over tasks; the k best of each slice are kept before the best of all are ranked.
+    Norms are computed once per vector.
     """
     unit = lambda df: df.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = unit(queries).select(F.col("id").alias("query_id"), tenant, F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    pairs = unit(vectors).withColumnRenamed("id", "vec_id").join(q, tenant).where(F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
-    return top_k(scored, ["query_id"], "score", ["vec_id"], k)
+    q = unit(queries).select(F.col("id").alias("query_id"), tenant, F.col("v").alias("qv"), F.col("norm").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    dealt = unit(vectors).withColumnRenamed("id", "vec_id").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
+    pairs = dealt.join(q, [tenant, "slice"]).where(F.col("vec_id") != F.col("query_id"))
+    scored = pairs.select("query_id", "slice", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / (F.col("norm") * F.col("qn")), 6).alias("score"))
+    best = top_k(scored, ["query_id", "slice"], "score", ["vec_id"], k).drop("slice", "rank")
+    return top_k(best, ["query_id"], "score", ["vec_id"], k)
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, use_idf: bool = True, most: int = QUERY_TERMS) -> DataFrame:

@@ -9,6 +9,7 @@ from leafmill.functions import text as X
 from leafmill.operators import entities as E
 from leafmill.plans.markdown import spelled
 from leafmill.plans.tables import query, table
+from leafmill.sources import catalogs as S
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -16,17 +17,20 @@ register = query(QUERIES, ORACLES)
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Three record shapes under one key, missing columns null, blank codes dropped."""
-    item = table(spark, d, "part").select(F.lit("ITEM").alias("TYPE"), F.concat(F.lit("ITEM"), "p_partkey").alias("CODE"), F.concat_ws(" ", "p_name", "p_brand").alias("NAME"))
-    service = table(spark, d, "supplier").select(F.lit("SERVICE").alias("TYPE"), F.concat(F.lit("SVC"), "s_suppkey").alias("CODE"), F.col("s_name").alias("NAME"), F.lit("suppliers").alias("SHEET"))
+    """Three sheets of different shapes under one key, missing columns null, blank and `nan` codes dropped."""
+    p = table(spark, d, "part")
+    odd = F.when(F.col("p_partkey") % 50 == 0, " ").when(F.col("p_partkey") % 50 == 1, "NaN")
+    item = p.select(F.lit("ITEM").alias("TYPE"), F.concat(F.lit("ITEM"), "p_partkey").alias("CODE"), F.concat_ws(" ", "p_name", "p_brand").alias("NAME"))
+    item = item.unionByName(p.where(odd.isNotNull()).select(F.lit("ITEM").alias("TYPE"), odd.alias("CODE"), F.col("p_name").alias("NAME")))
+    service = table(spark, d, "supplier").select(F.lit("SERVICE").alias("TYPE"), F.concat(F.lit("SVC"), "s_suppkey").alias("CODE"), F.col("s_name").alias("NAME"))
     frequency = table(spark, d, "events").select("event_type").distinct().select(F.lit("FREQUENCY").alias("TYPE"), F.col("event_type").alias("CODE"), F.concat(F.lit("on "), "event_type").alias("MEANING"))
-    rows = item.unionByName(service, allowMissingColumns=True).unionByName(frequency, allowMissingColumns=True)
-    return rows.where(~X.is_blank(F.col("CODE")) & (F.lower("CODE") != "nan")).withColumn("KEY", F.concat_ws("|", "TYPE", "CODE"))
+    rows = S.union_sheets({"items": item, "services": service, "frequencies": frequency}, "CODE")
+    return rows.where(~X.is_blank(F.col("CODE"))).withColumn("KEY", F.concat_ws("|", "TYPE", "CODE"))
 
 
-@register("""SELECT 'ITEM|ITEM' || p_partkey AS "KEY", 'ITEM' AS "TYPE", 'ITEM' || p_partkey AS "CODE", p_name || ' ' || p_brand AS "NAME", NULL AS "SHEET", NULL AS "MEANING" FROM part
- UNION ALL SELECT 'SERVICE|SVC' || s_suppkey, 'SERVICE', 'SVC' || s_suppkey, s_name, 'suppliers', NULL FROM supplier
- UNION ALL SELECT DISTINCT 'FREQUENCY|' || event_type, 'FREQUENCY', event_type, NULL, NULL, 'on ' || event_type FROM events""")
+@register("""SELECT 'ITEM|ITEM' || p_partkey AS "KEY", 'ITEM' AS "TYPE", 'ITEM' || p_partkey AS "CODE", p_name || ' ' || p_brand AS "NAME", 'items' AS "SHEET", NULL AS "MEANING" FROM part
+ UNION ALL SELECT 'SERVICE|SVC' || s_suppkey, 'SERVICE', 'SVC' || s_suppkey, s_name, 'services', NULL FROM supplier
+ UNION ALL SELECT DISTINCT 'FREQUENCY|' || event_type, 'FREQUENCY', event_type, NULL, 'frequencies', 'on ' || event_type FROM events""")
 def unified_catalog(spark, d):
     return catalog(spark, d).select("KEY", "TYPE", "CODE", "NAME", "SHEET", "MEANING")
 

@@ -100,6 +100,15 @@ def form_blocks(spark, d):
     return M.form_blocks(docs, "id")
 
 
+@register("""SELECT c_custkey AS id, i AS block_no, ['text', 'key-value', 'table', 'section', 'text'][i + 1] AS kind, CASE i WHEN 3 THEN 'Findings' END AS title,
+ [c_name, 'Name: ' || c_name || ';Segment: ' || c_mktsegment, 'a | b;1 | ' || c_nationkey, 'seen: ok;end', 'last'][i + 1] AS said FROM customer, (SELECT unnest(range(5)) AS i)""")
+def doc_blocks(spark, d):
+    """Blocks of a page by kind: text, fields, a table, a titled section, text after a blank line."""
+    parts = ["c_name", F.concat(F.lit("Name: "), "c_name"), F.concat(F.lit("Segment: "), "c_mktsegment"), F.lit("a | b"), F.lit("--|--"), F.concat(F.lit("1 | "), "c_nationkey"), F.lit("Findings:"), F.lit("seen: ok"), F.lit("end"), F.lit(""), F.lit("last")]
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(F.array(*parts), "\n").alias("text"))
+    return M.doc_blocks(docs, "id").select("id", "block_no", "kind", "title", F.array_join("lines", ";").alias("said"))
+
+
 @register("""SELECT c_custkey AS id, 0 AS section_no, 'Summary' AS title, 'Intro ' || c_name AS body FROM customer
  UNION ALL SELECT c_custkey, 1, 'Segment', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 2, 'Nation', CAST(c_nationkey AS VARCHAR) FROM customer""")
 def sc_13_sections(spark, d):
@@ -205,7 +214,7 @@ def spelled(part, n):
     )
 
 
-@register("""SELECT doc_id, md5(regexp_replace(text, '<\\|.*?\\|>', '', 'g')) AS cleaned, '{"k": ' || doc_id || '}' AS payload, 'Bullet ' || doc_id AS bullet,
+@register("""SELECT doc_id, md5(regexp_replace(text, '<\\|.*?\\|>', '', 'g')) AS cleaned, '{"k": ' || doc_id || '}' AS payload, 'Bullet ' || doc_id AS bullet, 'a,b' || doc_id AS asked,
  '[' || doc_id || ' → ' || lang || ']' AS note,
  CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN CAST(round(n_chars / 1024) AS BIGINT) || ' KB' ELSE '' END AS bytes,
  CASE doc_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS media,
@@ -220,6 +229,7 @@ def sc_5_7_15_16_27_29_text(spark, d):
         F.md5(X.strip_controls(inside)).alias("cleaned"),
         X.json_payload(F.concat(F.lit('Sure:\n```json\n{"k": '), "doc_id", F.lit("}\n```"))).alias("payload"),
         X.strip_bullet(F.concat(F.lit("- 3) Bullet "), "doc_id")).alias("bullet"),
+        F.array_join(X.string_list(F.concat(F.lit('```json\n["a", "b'), "doc_id", F.lit('", "c"]\n```')), 2), ",").alias("asked"),
         X.annotation(F.col("doc_id").cast("string"), F.lit("ITEM"), F.col("lang"), F.lit(None), F.lit(None)).alias("note"),
         X.byte_size(F.col("n_chars")).alias("bytes"),
         X.media_type(F.element_at(F.array(F.lit("a.PDF"), F.lit("b.jpeg"), F.lit("c")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("media"),
