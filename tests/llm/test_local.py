@@ -118,3 +118,18 @@ def test_distances_tell_the_dictionaries_apart():
 def test_pieces_keep_whole_texts():
     array = pa.array(["a" * 10, None, "", "b" * 50, "c"]).slice(1)
     assert [(s, p.to_pylist()) for s, p in W.pieces(array, 20)] == [(0, [None, ""]), (2, ["b" * 50]), (3, ["c"])]
+
+
+def test_language_counts_equal_sets_of_grams():
+    """Without collisions in the filter the counts are those of plain sets, and the largest one wins."""
+    texts = {"en": ["The other thing", "there with"], "fr": ["était leçon", "près voilà été"], "de": ["über die straße", "ÜBER den"]}
+    cut = lambda t: [bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in t.encode())[i : i + 4] for i in range(len(t.encode()) - 3)]
+    number = lambda g: int.from_bytes(g, "little")
+    names = sorted(texts)
+    members = [{g for t in texts[n] for g in cut(t) if g != b"    "} for n in names]
+    model = language_id.MaskFilter.build(names, [np.array(sorted(map(number, m)), np.uint32) for m in members])
+    asked = ["the thing is there", "voilà une leçon", "die Straße", "12 34", "", "TH"]
+    counts = model.corrected(pa.array(asked))
+    for row, text in zip(counts, asked, strict=True):
+        want = [sum(g in m for g in cut(text)) for m in members]
+        assert np.abs(row - want).max() < 0.01
