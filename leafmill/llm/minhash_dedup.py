@@ -9,9 +9,11 @@ with a text of at most SHORT words are found exactly: texts of a size that such
 by size and single words, the rarest ones, as many as a pair that is alike cannot all differ in.
 
 Exact copies are folded into one representative first. Candidates are compared in stars: in each bucket of
-texts with an equal sketch one centre, the text with the most company, meets the others (ROUNDS times, later
-centres being others). Every pair that is still apart then is compared, block by block; sizes and the words
-that occur in both, an upper bound of c, rule out most pairs before the alignment. In a bucket whose members form
+texts with an equal sketch one centre, the text with the most company, meets the others. Every pair that is
+still apart then is compared, block by block; sizes and counts of words that occur in both, upper bounds of c,
+rule out most pairs before the alignment. A bucket of more than LARGE such texts, as a passage that many share
+makes it, is first divided by the rarest words of its texts, by the same rule as for short texts: no pair that
+can be alike is lost, and texts that have only the passage in common don't meet. In a bucket whose members form
 one class nothing is left, so a group of thousands of alike copies costs a few comparisons for each member.
 
 Result: one row per document with the class it belongs to, class_id being the smallest doc_id of the class,
@@ -38,8 +40,9 @@ SHINGLE = 5
 PICKS = 3
 SKETCHES = 32
 SIMILARITY = 0.8
-ROUNDS = 3
 BLOCK = 32  # texts
+LARGE = 4096  # texts of a bucket in which all pairs may meet
+BINS = 512  # of words, for an upper bound of those that two texts have in common
 #: Words of a text up to which all its near duplicates are found, and of the largest text that can be one.
 SHORT = 32
 REACH = int(SHORT / SIMILARITY + 1e-9)
@@ -155,12 +158,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of edges (a, b), the label being the least node of the component.
 
-    Large-star and small-star steps alternate; each writes its edges, and the loop ends when a pass
-    changes none of them.
+    Large-star and small-star steps alternate until the edges are stars: every node has one edge, to a node
+    that has none itself.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _fingerprint(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -168,37 +170,53 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "small")
-        before, state = state, _fingerprint(edges)
-        if state == before:
-            break
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").isEmpty()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) of the classes so far, joined by new links (a, b)."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    ends = ends.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    found = written(components(ends), "components")
+    moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    fresh = found.join(labels.select("node"), "node", "left_anti")
+    return written(moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(fresh), "labels")
 
 
 def _alike_in_size(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
+def _rarest(terms: DataFrame) -> DataFrame:
+    """From terms (node, n, term), all distinct words of texts: of each text the rarest ones, as (node, n, term).
+
+    Alike texts have at least SIMILARITY * n words in common, so with all words in one order, by frequency, each
+    has a common one among its first n - ceil(SIMILARITY * n) + 1. Words of one text only come first and are left out.
+    """
+    often = written(terms.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = attach(terms, often, ["term"], "inner").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("r"))
+    first = F.col("n") - _least_size() + 1 - (F.col("n") - F.size("r"))
+    return ranked.select("node", "n", F.explode(F.slice("r", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))["term"]).alias("term"))
+
+
+def _least_size() -> Column:
+    return F.ceil(SIMILARITY * F.col("n") - 1e-9).cast("int")
+
+
 def _rare_terms(rows: DataFrame) -> DataFrame:
     """(node, n, band, value): the rarest words of short texts with each size that an alike one may have at
-    least, SKETCHES being their band.
-
-    Alike texts have at least SIMILARITY * n words in common, so with all words in one order, by frequency among
-    short texts, each has a common one among its first n - ceil(SIMILARITY * n) + 1. Words of one text only come
-    first and need no bucket. The smaller of the two gives the size of the bucket in which they meet.
+    least, SKETCHES being their band. The smaller of two texts gives the size of the bucket in which they meet.
     """
-    terms = rows.where(F.size("terms") > 0).select("node", "n", F.explode("terms").alias("value"))
-    often = written(terms.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    ranked = attach(terms, often, ["value"], "inner").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("r"))
-    least = F.ceil(SIMILARITY * F.col("n") - 1e-9).cast("int")
-    first = F.col("n") - least + 1 - (F.col("n") - F.size("r"))
-    ranked = ranked.withColumn("r", F.slice("r", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))
-    met = ranked.select("node", "n", F.explode("r.value").alias("term"), least.alias("least")).select("node", "n", "term", F.explode(F.sequence("least", "n")).alias("size"))
+    terms = _rarest(rows.where(F.size("terms") > 0).select("node", "n", F.explode("terms").alias("term")))
+    met = terms.select("node", "n", "term", F.explode(F.sequence(_least_size(), "n")).alias("size"))
     return written(met.select("node", "n", F.lit(SKETCHES).alias("band"), F.hash("term", "size").alias("value")), "terms")
 
 
@@ -215,21 +233,22 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     links = spark.createDataFrame([], f"a {node}, b {node}")
     labels = spark.createDataFrame([], f"node {node}, label {node}")
-    for turn in range(ROUNDS + 1):
-        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if turn else members.withColumn("label", F.col("node"))
-        if turn < ROUNDS:
-            rank = F.col("company") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            centres = known.groupBy("band", "value").agg(
-                F.max_by(F.struct("node", "n", "label"), F.struct(rank, "node")).alias("c"), F.min("label").alias("least"), F.max("label").alias("most")
-            )
-            open_buckets = written(centres.where("least != most").select("band", "value", "c"), "centres")
+    for last in (False, True):
+        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        centres = known.groupBy("band", "value").agg(
+            F.max_by(F.struct("node", "n", "label"), F.struct("company", "node")).alias("c"), F.min("label").alias("least"), F.max("label").alias("most")
+        )
+        open_buckets = written(centres.where("least != most").select("band", "value", "c"), "centres")
+        if open_buckets.isEmpty():
+            break
+        if last:
+            new = _apart(known, rows)
+        else:
             near = known.join(open_buckets.hint("merge"), ["band", "value"]).where((F.col("label") != F.col("c.label")) & _alike_in_size(F.col("n"), F.col("c.n")))
             pairs = near.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
             new = verified(pairs, texts)
-        else:
-            new = _apart(known, rows)
         links = links.unionByName(new)
-        labels = written(components(links), "labels")
+        labels = _joined(labels, new)
     return links, labels
 
 
@@ -258,13 +277,47 @@ def _alike(x: pa.StructArray, y: pa.StructArray, band: int, same: bool) -> Itera
     equal = left[i] == right[j]
     first = np.where(equal.any(1), equal.argmax(1), SKETCHES) == band  # else met in an earlier bucket
     i, j = i[first], j[first]
-    theirs = [np.frombuffer(t.as_py(), "<u4") for t in y.field("words")] if len(i) else []
-    own = [np.frombuffer(t.as_py(), "<u4") for t in x.field("words")] if len(i) else []
+    if not len(i):
+        return
+    own, theirs = ([np.frombuffer(t.as_py(), "<u4") for t in block.field("words")] for block in (x, y))
+    counts = [np.array([np.bincount(t % BINS, minlength=BINS) for t in block], np.int32) for block in (own, theirs)]
+    common = np.minimum(counts[0][i], counts[1][j]).sum(1)  # at least as many as words in common
+    total = n[i, 0] + m[j, 0]
+    enough = common >= SIMILARITY * (total - common)
+    i, j = i[enough], j[enough]
     for k, o in zip(i.tolist(), j.tolist(), strict=True):
         if similarity(own[k], theirs[o]):
             yield k, o
 
 
+def _open_members(known: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, with outside (are they of another than the commonest
+    class of their bucket) and the numbers of outsiders and insiders."""
+    bucket = ["band", "value"]
+    sizes = known.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
+    found = sizes.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"), F.max("n").alias("insiders"))
+    found = written(found.where("outsiders > 0"), "open")
+    members = known.select(*bucket, "node", "n", "label").join(found.hint("merge"), bucket)
+    return members.withColumn("outside", F.col("label") != F.col("main"))
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [labelled(np.frombuffer(t.as_py(), "<u4").astype(np.uint64)).view(np.int64) for t in batch.column("words")]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+        flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(row), batch.column("n").take(row), flat], names=["node", "n", "term"])
+
+
+def _divided(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """members of large buckets in smaller ones: by bucket and rare word."""
+    node = rows.schema["node"].dataType.simpleString()
+    texts = rows.select("node", "n", "words").join(members.select("node").distinct(), "node", "left_semi")
+    terms = written(_rarest(texts.mapInArrow(_word_rows, f"node {node}, n int, term long")).select("node", "term"), "rarest")
+    met = members.select("band", "value", "node", "n", "label").join(terms, "node")
+    return written(met.select("band", F.xxhash64("value", "term").alias("value"), "node", "n", "label"), "divided")
+
+
 def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
     """Links between members of one bucket that are still in different classes.
 
@@ -272,10 +325,12 @@ def _apart(known: DataFrame, rows: DataFrame) -> DataFrame:
     block of outsiders meets itself and every other block, so no pair is left out and only links are emitted.
     """
     bucket = ["band", "value"]
-    sizes = known.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
-    open_buckets = sizes.groupBy(*bucket).agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outsiders"), F.max("n").alias("insiders"))
-    open_buckets = written(open_buckets.where("outsiders > 0"), "open")
-    members = known.select(*bucket, "node", "n", "label").join(open_buckets.hint("merge"), bucket).withColumn("outside", F.col("label") != F.col("main"))
+    known = known.withColumn("value", F.col("value").cast("long"))
+    members = _open_members(known)
+    large = members.where(F.col("outsiders") + F.col("insiders") > LARGE)
+    members = members.where(F.col("outsiders") + F.col("insiders") <= LARGE)
+    if not large.isEmpty():
+        members = members.unionByName(_open_members(_divided(large, rows)))
     members = members.join(rows.select("node", "sketches", "words"), "node")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.when(F.col("outside"), F.col("outsiders")).otherwise(F.col("insiders")) / BLOCK)).alias("part")
     blocks = members.select(*bucket, "outside", part, F.struct("node", "n", "label", "sketches", "words").alias("o"))

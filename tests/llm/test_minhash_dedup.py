@@ -121,3 +121,16 @@ def test_short_texts_are_found_exactly(spark):
     rows += [(5000 + k, f"one two three four five six seven end{k}") for k in range(50)]
     got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_divided_buckets_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(d, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(60))} {passage}") for d in range(60)]
+    for d in range(60, 90):
+        words = rows[d % 7][1].split()
+        words[rng.randrange(60)] = words[rng.randrange(60)] = f"x{d}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(M, "LARGE", 3)
+    assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(docs).collect()} == brute(rows)
