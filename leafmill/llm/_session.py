@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: The folders of tables written inside each open `scratch`.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end, but for lasting ones. Nothing lazy may read them later."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, _scratch.pop()):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: compact, columnar, no lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    owners = _scratch[:-1] if lasting else _scratch
+    if owners:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

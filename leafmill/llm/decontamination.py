@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from leafmill.llm._session import attach, document_key, written
+from leafmill.llm._session import attach, document_key, scratch, written
 
 WINDOW = 13
 VOCABULARY = 20_000
@@ -168,6 +168,7 @@ def digest(judged: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = written(contamination(docs, benchmark).where("contaminated").select(*NODE).distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        bad = written(contamination(docs, benchmark).where("contaminated").select(*NODE).distinct(), "contaminated", lasting=True)
     rows = docs.select(F.struct("*").alias("row"), *node("doc_id", "text"))
     return attach(rows, bad, NODE, "left_anti").select("row.*")

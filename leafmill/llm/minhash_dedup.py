@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import _words as W
-from leafmill.llm._session import attach, document_key, written
+from leafmill.llm._session import attach, document_key, scratch, written
 
 SHINGLE = 5
 PICKS = 3
@@ -377,8 +377,9 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of which one stays for each class of near duplicates."""
-    kept = near_duplicates(docs, doc_id, text).where("first").groupBy("node").agg(F.count("*").alias("n"))
-    kept = written(kept.select(F.col("node.doc").alias("doc"), F.col("node.tie").alias("tie"), "n"), "kept")
+    with scratch(docs.sparkSession):
+        kept = near_duplicates(docs, doc_id, text).where("first").groupBy("node").agg(F.count("*").alias("n"))
+        kept = written(kept.select(F.col("node.doc").alias("doc"), F.col("node.tie").alias("tie"), "n"), "kept", lasting=True)
     rows = docs.select(F.struct("*").alias("row"), *document_key(F.col(doc_id), F.col(text)))
     once = attach(rows, kept, ["doc", "tie"], "inner")
     if not kept.where("n > 1").isEmpty():  # the same row several times

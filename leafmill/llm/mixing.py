@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm._session import attach, document_key, is_small, written
+from leafmill.llm._session import attach, document_key, is_small, scratch, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -199,7 +199,9 @@ def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with all their columns."""
     key = document_key(F.col("doc_id"), F.col("text"))
-    copies = mix(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "tie", "copies").distinct()
+    with scratch(docs.sparkSession):
+        copies = mix(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "tie", "copies").distinct()
+        copies = written(copies, "copies", lasting=True)
     rows = docs.select(F.struct("*").alias("row"), *key)
-    taken = attach(rows, written(copies, "copies"), ["doc", "tie"], "inner")
+    taken = attach(rows, copies, ["doc", "tie"], "inner")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

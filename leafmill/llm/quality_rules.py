@@ -128,7 +128,8 @@ def _stats_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def text_stats(text: Column) -> Column:
     """A struct of the statistics of each whole text."""
-    return F.arrow_udf(_stats_batches, STATS, functionType=F.ArrowUDFType.SCALAR_ITER)(text)
+    found = F.arrow_udf(_stats_batches, STATS, functionType=F.ArrowUDFType.SCALAR_ITER)
+    return found.asNondeterministic()(text)  # so that no filter repeats it
 
 
 def base_failed(stats: Column) -> Column:
@@ -213,6 +214,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns; statistics are written once beside the rows."""
-    rows = written(docs.select(F.struct("*").alias("row"), text_stats(F.col(text)).alias("s")), "quality")
-    return judge(rows, fit(rows, "s"), "s").where("kept").select("row.*")
+    """The rows of docs whose text is kept, with all their columns.
+
+    One pass over the texts writes statistics to learn from, another filters, so no text is written in between.
+    """
+    stats = text_stats(F.col(text))
+    model = fit(written(docs.select(stats.alias("s")), "quality"), "s")
+    return judge(docs.select(F.struct("*").alias("row"), stats.alias("s")), model, "s").where("kept").select("row.*")
