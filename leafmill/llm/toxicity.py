@@ -36,15 +36,16 @@ from leafmill.llm._session import written
 from leafmill.llm.language_id import held_out
 
 SAMPLE = 20_000
-WINDOW = 2  # words
+WINDOW = 3  # words
 WINDOWS = 60_000
+WORD_BYTES = 6  # about, with the blank
 MAX_WORDS = 4_000
 MAX_TEXT = 500  # bytes
 LEAST_RATIO = 12.0  # of twice the log likelihood
 COMMON_BYTES, TOXIC_BYTES = 65_536, 4_096
 MIN_TRAIN = 8  # samples; the builder needs some
 SEGMENT, GRAM = 16, 6  # bytes: what the builder picks, and the runs that it counts
-LEVEL, MIN_MATCH = 12, 3
+LEVEL, MIN_MATCH = 11, 3
 THRESHOLD = 0.3
 CUTS = (3, 4, 5, 6, 7, 8, 10)
 TOP = 14.0
@@ -183,8 +184,8 @@ def dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
     typical = counted.where((F.col("a") >= 2) & (F.col("a") / toxic > F.col("b") / ordinary)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
     known = frozenset(r["word"].encode() for r in typical.orderBy(F.desc("ratio"), "word").limit(MAX_WORDS).collect())
     bad = rows.where("toxic = 1").mapInArrow(_toxic_samples(known), "sample binary").collect()
-    plain = rows.where("toxic = 0").mapInArrow(_ordinary_windows(min(1.0, WINDOWS * 12 / max(1, n[0][1] or 0))), "sample binary").collect()
-    bad, plain = (sorted(bytes(r["sample"]) for r in side) for side in (bad, plain))
+    plain = rows.where("toxic = 0").mapInArrow(_ordinary_windows(min(1.0, WINDOWS * WINDOW * WORD_BYTES / max(1, n[0][1] or 0))), "sample binary").collect()
+    bad, plain = (sorted((bytes(r["sample"]) for r in side), key=lambda s: (zlib.crc32(s), s)) for side in (bad, plain))  # mixed, and alike in each run
     common = trained(plain, COMMON_BYTES)
     return common, common + trained(bad, TOXIC_BYTES)
 

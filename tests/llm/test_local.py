@@ -112,7 +112,7 @@ def test_distances_tell_the_dictionaries_apart():
     found = d.features(["such wretchedness bard kest", "bard kest bird most", "good 5511 1 2", None, " ", "a" * 200_000])
     assert found[0][0] >= 6 > found[1][0] and found[2][0] >= 3  # phrases and digits tell as words do
     assert not found[3].any() and not found[4].any() and len(d._seen) < toxicity.REMEMBERED
-    assert toxicity.windows("A b\nC") == [b" a b ", b" c "]
+    assert toxicity.windows("A b\nC d") == [b" a b c ", b" d "]
 
 
 def test_pieces_keep_whole_texts():
