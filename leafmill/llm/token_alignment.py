@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm._session import written
 
-SLICE = 12 << 20
+SLICE = 8 << 20
 #: Characters of a text that are cut into pieces at once.
 STRETCH = 1 << 20
 #: Pieces of each of the two generations that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 ROW = 50  # pieces that are encoded as one text
 _CUT = re.compile(r"(?<=[\w!-~])(?= .)", re.S)
 _PLAIN = re.compile(r"(?s).*[\w!-~]")
@@ -90,7 +90,7 @@ class Aligner:
                 found = old.get(piece, 0)
                 if found == 0:
                     missing.append(k)
-                else:
+                elif len(young) < self._limit:
                     young[piece] = found
             out.append(found)
         plain = [k for k in missing if _PLAIN.fullmatch(pieces[k])]
@@ -100,10 +100,10 @@ class Aligner:
         for row, found in zip(rows, self._rows([[pieces[k] for k in row] for row in rows]), strict=True):
             for k, entry in zip(row, found, strict=True):
                 out[k] = entry
-                if len(pieces[k]) <= 64:
+                if len(pieces[k]) <= 64 and len(young) < self._limit:
                     young[pieces[k]] = entry
-        if len(young) > self._limit:
-            self._old, self._young = young if len(young) <= 2 * self._limit else dict(list(young.items())[: 2 * self._limit]), {}
+        if len(young) >= self._limit:
+            self._old, self._young = young, {}
         return out
 
     def _rows(self, rows: list[list[str]]) -> Iterator[list]:
