@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 #: Rows and bytes of a side that may be broadcast; a larger side is shuffled instead.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 8 << 20
+LAST = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,19 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: The folders of tables written inside each open `scratch`.
-_scratch: list[list[str]] = []
+#: The folders of tables written inside each open `scratch`, of each thread or task of the driver.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at its end, but for lasting ones. Nothing lazy may read them later."""
-    _scratch.append([])
+    own: list[str] = []
+    before = _scratch.set((*_scratch.get(), own))
     try:
         yield
     finally:
+        _scratch.reset(before)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, _scratch.pop()):
+        for path in map(jvm.org.apache.hadoop.fs.Path, own):
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -50,7 +54,7 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    owners = _scratch[:-1] if lasting else _scratch
+    owners = _scratch.get()[:-1] if lasting else _scratch.get()
     if owners:
         owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,10 +63,17 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 def document_key(doc_id: Column, text: Column) -> list[Column]:
     """The columns doc and tie: the place of a document in the order (null doc_id last) and its identity.
 
-    tie tells texts of one doc_id apart, and a null doc_id from the largest one.
+    tie tells texts of one doc_id apart. It is negative but for null doc_ids, so these come after the largest one.
     """
-    last = F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
-    return [last.alias("doc"), F.xxhash64(doc_id.isNull(), F.coalesce(text, F.lit(""))).alias("tie")]
+    number = doc_id.cast("long")
+    hashed = F.xxhash64(F.coalesce(text, F.lit("")))
+    tie = F.when(number.isNull(), hashed.bitwiseAND(F.lit(LAST))).otherwise(hashed.bitwiseOR(F.lit(-LAST - 1)))
+    return [F.coalesce(number, F.lit(LAST)).alias("doc"), tie.alias("tie")]
+
+
+def original_id(doc: Column, tie: Column) -> Column:
+    """The doc_id behind a document key."""
+    return F.when(tie < 0, doc)
 
 
 def _width(column: Column, kind: T.DataType) -> Column:

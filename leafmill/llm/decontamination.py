@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from leafmill.llm._session import attach, document_key, scratch, written
+from leafmill.llm._session import attach, document_key, original_id, scratch, written
 
 WINDOW = 13
 VOCABULARY = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what stands between words, before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-LAST = 2**63 - 1
 NODE = ["doc", "tie"]
 
 
@@ -157,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
 def digest(judged: DataFrame) -> DataFrame:
     """The contract's columns."""
     return judged.select(
-        F.nullif("doc", F.lit(LAST)).alias("doc_id"),
+        original_id(F.col("doc"), F.col("tie")).alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

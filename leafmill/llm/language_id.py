@@ -29,6 +29,7 @@ from leafmill.llm import _words as W
 
 GRAM = 4  # bytes
 SAMPLE = 3000  # texts per language to learn from, about
+MOST_BROADCAST = 100_000  # languages
 LEAST_COUNT = 5
 LEAST_SHARE = 0.15  # of the n-gram's rate in the language where it is commonest
 SLOTS = 1 << 20
@@ -145,10 +146,8 @@ def fit(train: DataFrame, per_language: int = SAMPLE) -> tuple[MaskFilter, int]:
         return MaskFilter.build([], []), 0
     languages = sorted(totals)
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) / 1e6
-    share = F.lit(0.0)
-    for name, n in totals.items():
-        share = F.when(F.col("lang") == name, min(1.0, per_language / n)).otherwise(share)
-    sample = train.where(part < share).select("text", "lang")
+    shares = train.sparkSession.createDataFrame([(name, min(1.0, per_language / n)) for name, n in totals.items()], "lang string, share double")
+    sample = train.join(shares.hint("broadcast" if len(totals) <= MOST_BROADCAST else "merge"), "lang").where(part < F.col("share")).select("text", "lang")
     counted = sample.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.where(F.col("n") >= LEAST_COUNT).toPandas()  # bounded by the sample
     sums = table.groupby("lang")["n"].sum()

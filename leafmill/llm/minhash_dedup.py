@@ -26,6 +26,7 @@ so other columns don't clash.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import _words as W
-from leafmill.llm._session import attach, document_key, scratch, written
+from leafmill.llm._session import attach, document_key, original_id, scratch, written
 
 SHINGLE = 5
 PICKS = 3
@@ -46,7 +47,8 @@ BINS = 512  # of words, for an upper bound of those that two texts have in commo
 #: Words of a text up to which all its near duplicates are found, and of the largest text that can be one.
 SHORT = 32
 REACH = int(SHORT / SIMILARITY + 1e-9)
-LAST = 2**63 - 1
+WHOLE = 2048  # words up to which a text is aligned over all its bits
+FREQUENT = 64  # places in a longer text
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -100,11 +102,19 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
         return 1.0
     if np.isin(a, b).sum() < need or np.isin(b, a).sum() < need:
         return 0.0
+    c = _aligned_whole(a, b, need) if n <= WHOLE else _aligned_sliding(a, b, need)
+    found = c / (n + m - c)
+    return found if found >= least else 0.0
+
+
+def _aligned_whole(a: np.ndarray, b: np.ndarray, need: int) -> int:
+    """Length of the best alignment within the band, over the bits of all of a: len(a) bits for each distinct word."""
+    n, m = len(a), len(b)
     places: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | 1 << i
-    ahead, behind = n - need, m - need
-    band = (1 << (ahead + behind + 1)) - 1
+    behind = m - need
+    band = (1 << (n + m - 2 * need + 1)) - 1
     full = left = (1 << n) - 1
     for j, y in enumerate(b.tolist()):
         met = places.get(y, 0)
@@ -112,9 +122,46 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
             met &= band << (j - behind) if j > behind else band >> (behind - j)
             met &= left
             left = ((left + met) | (left - met)) & full
-    c = n - left.bit_count()
-    found = c / (n + m - c)
-    return found if found >= least else 0.0
+    return n - left.bit_count()
+
+
+def _aligned_sliding(a: np.ndarray, b: np.ndarray, need: int) -> int:
+    """The same over the bits of the band alone, which slides along: a bit that went out counts when it leaves.
+
+    Memory grows with the words, not their square: of words that are frequent in a the bits within the band are
+    kept, others are looked up in the list of their places.
+    """
+    n, m = len(a), len(b)
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        if x in places:
+            places[x].append(i)
+        else:
+            places[x] = [i]
+    width = n + m - 2 * need + 1
+    top, full, c = 1 << (width - 1), (1 << width) - 1, 0
+    left, kept = full, {}
+    for base, y in enumerate(b.tolist(), need - m):  # the place in a of the lowest bit
+        own = places.get(y)
+        if own:
+            k, last, met = 0, base, 0
+            if len(own) > FREQUENT:
+                met, last, k = kept.get(y, (0, base, 0))
+                met >>= base - last
+            elif own[0] < base:
+                k = bisect.bisect_left(own, base)
+            while k < len(own) and own[k] < base + width:
+                if own[k] >= base:
+                    met |= 1 << (own[k] - base)
+                k += 1
+            if len(own) > FREQUENT:
+                kept[y] = met, base, k
+            met &= left
+            if met:
+                left = ((left + met) | (left - met)) & full
+        c += 1 - (left & 1)
+        left = left >> 1 | top
+    return c + width - left.bit_count()
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +414,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     out = attach(known, several, ["label"], "left")
     return out.select(
         "doc_id",
-        F.nullif(F.coalesce("keep", "node")["doc"], F.lit(LAST)).alias("class_id"),
+        original_id(F.coalesce("keep", "node")["doc"], F.coalesce("keep", "node")["tie"]).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (F.coalesce("keep", "node") == F.col("node")).alias("first"),
@@ -383,5 +430,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.struct("*").alias("row"), *document_key(F.col(doc_id), F.col(text)))
     once = attach(rows, kept, ["doc", "tie"], "inner")
     if not kept.where("n > 1").isEmpty():  # the same row several times
-        once = once.where("n = 1").unionByName(once.where("n > 1").dropDuplicates(["doc", "tie"]))
+        once = once.where("n = 1").unionByName(once.where("n > 1").groupBy("doc", "tie").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row", "doc", "tie", F.lit(1).alias("n")))
     return once.select("row.*")

@@ -5,14 +5,15 @@ target: rate = min(CAP, exp(l * size / mean size)), one multiplier l for each so
 the convex dual by Newton steps, kept inside a bracket; every step is one aggregation over (source, size)
 counts. Rates are then rounded into whole copies: a document's next copy is drawn where its place, a hash of
 its identifier, lies under the fraction of its rate plus a shift, and the shift of each source is refined
-until the words drawn meet the target. Passes over shorter documents then fill what is left, until in no
-source a document that could still be drawn is as short as what is left.
+until the words drawn meet the target. Shorter documents then fill what is left, the largest that fit first, until
+in no source a document that could still be drawn is as short as what is left; one fold over the sizes of a
+source decides how many of each.
 
 Only DataFrame functions are used; sources live in a DataFrame, so their number is not bounded by the driver.
 One small row a source is ordered in one task, since targets follow the order of sources.
 
 Defined results: null texts have size 0 and rate 1 at most (they take no words); a null source is a source of
-its own, last in order; rows with equal doc_id and equal text share one place; very long texts are counted whole
+its own, last in order; rows equal in doc_id, text and source share one place and are drawn together; very long texts are counted whole
 and are left out where they exceed what their source still needs; an empty table gives an empty result; only the
 named columns are read, so other columns don't clash. A source whose target is 0 is left out, one whose target
 is CAP times its size is taken CAP times.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm._session import attach, document_key, is_small, scratch, written
+from leafmill.llm._session import attach, document_key, scratch, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -33,7 +34,6 @@ STEPS = 40
 UNROLLED = 4  # Newton steps in one job
 TOLERANCE = 1e-9
 LEVELS, BINS = 2, 65_536
-MOST_PASSES = 40  # each but the last draws a document of every source that one still fits
 LARGEST = 60.0  # of an exponent
 
 
@@ -106,63 +106,77 @@ def _same_source(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["source"])
 
 
-def _drawn(passes: int, limit: int) -> Column:
-    """Does the document get its next copy in one of the first passes."""
-    drawn = F.lit(False)
-    for k in range(passes):
-        drawn = drawn | ((F.col("place") < F.col(f"shift{k}")) & _fits(k))
-    return drawn & (F.col("whole") < limit)
+def _bin(place: Column, low: Column, width: Column) -> Column:
+    return F.floor((place - low) / width * BINS)
 
 
-def _fits(k: int) -> Column:
-    return F.col("size") <= F.col(f"gap{k}") if k else F.lit(True)
+def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """(source, gap, shift): documents with place < shift get their next copy, and gap words are then missing.
 
-
-def _eligible(k: int, limit: int) -> Column:
-    return ~_drawn(k, limit) & (F.col("whole") < limit) & (F.col("size") > 0) & _fits(k)
+    Drawing stops before the document with which the words drawn would exceed what the source needs. Each level counts
+    words in BINS equal bins of an interval and goes on with the bin in which their running sum exceeds the need.
+    """
+    have = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("have"))
+    have = wanted.join(have.withColumnRenamed("source", "s"), _same("source", "s"), "left")
+    state = have.select("source", (F.col("target") - F.coalesce("have", F.lit(0))).alias("need"), F.lit(-1.0).alias("low"), F.lit(2.0).alias("width"))
+    state = written(state, "shift")
+    open_ = rated.where((F.col("whole") < limit) & (F.col("size") > 0)).select("source", "size", "place")
+    for _ in range(LEVELS):
+        bounds = state.select(F.col("source").alias("s"), F.col("low").alias("l"), F.col("width").alias("w"))
+        binned = open_.join(bounds, _same("source", "s")).withColumn("bin", _bin(F.col("place"), F.col("l"), F.col("w"))).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
+        binned = binned.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+        run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a source
+        summed = binned.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("source", "s")
+        # without a bin that exceeds the need, all of the interval is drawn
+        passed = summed.join(state, _same("source", "s")).groupBy("source").agg(
+            F.min(F.when(F.col("upto") > F.col("need"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("p"), F.sum("words").alias("all")
+        )
+        moved = state.join(passed.withColumnRenamed("source", "s"), _same("source", "s"), "left")
+        state = moved.select(
+            "source",
+            (F.col("need") - F.coalesce("p.before", "all", F.lit(0))).alias("need"),
+            (F.col("low") + F.coalesce("p.bin", F.lit(BINS)) * F.col("width") / BINS).alias("low"),
+            (F.col("width") / BINS).alias("width"),
+        )
+        state = written(state, "shift")
+    return state.select("source", F.col("need").alias("gap"), F.col("low").alias("shift"))
 
 
-def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """(source, gap0, shift0, gap1, shift1, ...) and the number of passes: pass k draws the documents with
-    place < shift k.
+def fillings(open_: DataFrame) -> DataFrame:
+    """(source, size, n): how many documents of which size fill the gap of each source, from rows (source, size, gap).
 
-    A pass stops before the document with which the words drawn would exceed what the source still needs
-    (its gap); the next pass goes on with those that are no longer than the gap. Within a pass each level
-    counts words in BINS equal bins of an interval and goes on with the bin in which their running sum
-    exceeds the gap.
+    Sizes are taken from the largest that fits downward, of each as many documents as fit. So the gap falls below every
+    size of which a document is left. A source has at most as many sizes as words are missing, fewer than its longest
+    document has, and takes of at most sqrt(2 * gap) of them.
     """
-    have = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("have"))
-    have = wanted.join(have.withColumnRenamed("source", "s"), _same("source", "s"), "left")
-    state = written(have.select("source", (F.col("target") - F.coalesce("have", F.lit(0))).alias("gap0")), "shift")
-    for k in range(MOST_PASSES):
-        open_ = rated.join(F.broadcast(state.withColumnRenamed("source", "s")) if is_small(state) else state.withColumnRenamed("source", "s"), _same("source", "s"))
-        open_ = open_.where(_eligible(k, limit))
-        if k and open_.isEmpty():
-            return state, k
-        fixed = state.columns
-        open_ = written(open_.select("source", "size", "place"), "open") if k else open_
-        state = state.select("*", F.col(f"gap{k}").alias("need"), F.lit(-1.0).alias("low"), F.lit(2.0).alias("width"))
-        for _ in range(LEVELS):
-            bounds = state.select(F.col("source").alias("s"), F.col("low").alias("l"), F.col("width").alias("w"))
-            rows = open_.select("source", "size", "place").join(bounds, _same("source", "s"))
-            binned = rows.withColumn("bin", F.floor((F.col("place") - F.col("l")) / F.col("w") * BINS)).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
-            binned = binned.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-            run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a source
-            summed = binned.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("source", "s")
-            over = summed.join(state, _same("source", "s")).where(F.col("upto") > F.col("need"))
-            passed = over.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("p"))
-            # without a bin that exceeds the need, all of the interval is drawn
-            total = binned.groupBy("source").agg(F.sum("words").alias("all")).withColumnRenamed("source", "t")
-            moved = state.join(passed.withColumnRenamed("source", "s"), _same("source", "s"), "left").join(total, _same("source", "t"), "left")
-            state = moved.select(
-                *fixed,
-                (F.col("need") - F.coalesce("p.before", "all", F.lit(0))).alias("need"),
-                (F.col("low") + F.coalesce("p.bin", F.lit(BINS)) * F.col("width") / BINS).alias("low"),
-                (F.col("width") / BINS).alias("width"),
-            )
-            state = written(state, "shift")
-        state = written(state.select(*fixed, F.col("low").alias(f"shift{k}"), F.col("need").alias(f"gap{k + 1}")), "shift")
-    return state, MOST_PASSES
+    sizes = open_.where(F.col("size") <= F.col("gap")).groupBy("source", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+    sizes = sizes.groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    taken = lambda state, x: F.least(x["n"], F.floor(state["gap"] / x["size"]).cast("long"))
+
+    def step(state: Column, x: Column) -> Column:
+        n = taken(state, x)
+        more = F.array(F.struct(x["size"].alias("size"), n.alias("n")))
+        return F.struct((state["gap"] - n * x["size"]).alias("gap"), F.when(n > 0, F.concat(state["t"], more)).otherwise(state["t"]).alias("t"))
+
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("t"))
+    return sizes.select("source", F.inline(F.aggregate("sizes", start, step)["t"]))
+
+
+def filled(rated: DataFrame, shift: DataFrame, limit: int) -> DataFrame:
+    """(source, size, until): documents not yet drawn with place <= until fill what is left."""
+    rows = _with(rated, shift).where((F.col("whole") < limit) & (F.col("size") > 0) & (F.col("place") >= F.col("shift")))
+    rows = written(rows.where(F.col("size") <= F.col("gap")).select("source", "size", "place", "gap"), "fitting")
+    wanted = written(fillings(rows).withColumnsRenamed({"source": "s", "size": "words"}), "fillings")
+    chosen = rows.join(wanted, _same("source", "s") & (F.col("size") == F.col("words"))).select("source", "size", "place", "n")
+    # the places up to the bin that holds the last one wanted, then their exact order
+    bins = chosen.groupBy("source", "size", _bin(F.col("place"), F.lit(-1.0), F.lit(2.0)).alias("bin")).agg(F.count("*").alias("m"), F.first("n").alias("n"))
+    run = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    last = bins.withColumn("upto", F.sum("m").over(run)).where(F.col("upto") >= F.col("n")).groupBy("source", "size").agg(F.min("bin").alias("last"))
+    last = last.withColumnsRenamed({"source": "s", "size": "words"})
+    near = chosen.join(last, _same("source", "s") & (F.col("size") == F.col("words"))).where(_bin(F.col("place"), F.lit(-1.0), F.lit(2.0)) <= F.col("last"))
+    ties = Window.partitionBy("source", "size").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    fits = near.withColumn("upto", F.count("*").over(ties)).where(F.col("upto") <= F.col("n"))
+    return fits.groupBy("source", "size").agg(F.max("place").alias("until"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
@@ -182,26 +196,34 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rated = known.withColumn("rate", rate).withColumn("whole", F.least(F.floor("rate"), F.lit(limit)))
     rated = rated.withColumn("place", draw - (F.col("rate") - F.col("whole")))
     rated = written(rated.select("doc_id", "tie", "source", "size", "source_size", "target", "rate", "whole", "place"), "rates")
-    shift, passes = shifts(rated, wanted, limit)
-    drawn = _with(rated, shift)
-    copies = F.col("whole") + F.when(_drawn(passes, limit), 1).otherwise(0)
-    out = drawn.withColumn("copies", copies.cast("int"))
-    return out.select("doc_id", "tie", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
+    shift = shifts(rated, wanted, limit)
+    until = written(filled(rated, shift, limit).select(_source_key("source").alias("source_key"), "size", "until"), "until")
+    rows = attach(_with(rated, shift).withColumn("source_key", _source_key("source")), until, ["source_key", "size"])
+    drawn = (F.col("whole") < limit) & (F.col("size") > 0) & ((F.col("place") < F.col("shift")) | F.coalesce(F.col("place") <= F.col("until"), F.lit(False)))
+    out = rows.withColumn("copies", (F.col("whole") + drawn.cast("int")).cast("int"))
+    return out.select("doc_id", "tie", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
 
 
 def _with(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     """rows with the columns of their source, null sources included."""
-    key = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(c, F.lit("")))
-    right = written(by_source.select(key("source").alias("source_key"), *[c for c in by_source.columns if c != "source"]), "by-source")
-    return attach(rows.withColumn("source_key", key("source")), right, ["source_key"]).drop("source_key")
+    right = written(by_source.select(_source_key("source").alias("source_key"), *[c for c in by_source.columns if c != "source"]), "by-source")
+    return attach(rows.withColumn("source_key", _source_key("source")), right, ["source_key"]).drop("source_key")
+
+
+def _source_key(source: str) -> Column:
+    return F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(source, F.lit("")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with all their columns."""
+    """The mix itself: the rows of docs, each as often as it is taken, with all their columns.
+
+    Rows equal in doc_id, text and source are taken equally often. Null texts and texts without words are never taken;
+    an empty table gives an empty one; columns of any name stay as they are.
+    """
     key = document_key(F.col("doc_id"), F.col("text"))
     with scratch(docs.sparkSession):
-        copies = mix(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "tie", "copies").distinct()
+        copies = mix(docs).where("copies > 0").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "tie", _source_key("source").alias("source_key"), "copies").distinct()
         copies = written(copies, "copies", lasting=True)
-    rows = docs.select(F.struct("*").alias("row"), *key)
-    taken = attach(rows, copies, ["doc", "tie"], "inner")
+    rows = docs.select(F.struct("*").alias("row"), *key, _source_key("source").alias("source_key"))
+    taken = attach(rows, copies, ["doc", "tie", "source_key"], "inner")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import _words as W
-from leafmill.llm._session import attach, document_key, written
+from leafmill.llm._session import attach, document_key, original_id, written
 
 WINDOW = 20
 KEY = ["doc", "tie"]
 _STEP2 = 0xC2B2AE3D27D4EB4F
-LAST = 2**63 - 1
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -215,7 +214,7 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, at int, n_words int")
     longest = out.groupBy(*KEY, "at").agg(F.max("n_words").alias("n_words"))
-    return longest.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "at", "n_words")
+    return longest.select(original_id(F.col("doc"), F.col("tie")).alias("doc_id"), "at", "n_words")
 
 
 def digest(kept: DataFrame) -> DataFrame:

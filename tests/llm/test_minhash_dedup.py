@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,28 @@ def test_divided_buckets_give_the_same_classes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(M, "LARGE", 3)
     assert {r["doc_id"]: r["class_id"] for r in M.near_duplicates(docs).collect()} == brute(rows)
+
+
+def test_sliding_band_equals_whole_alignment():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a = rng.integers(0, rng.integers(2, 300), rng.integers(10, 400)).astype(np.uint32)
+        b = a.copy()
+        b[rng.random(len(b)) < 0.08] = 1
+        b = np.delete(b, rng.integers(0, len(b), rng.integers(0, 9)))
+        need = int(np.ceil(0.8 * (len(a) + len(b)) / 1.8 - 1e-9))
+        if min(len(a), len(b)) >= need:
+            whole = M._aligned_whole(a, b, need)
+            assert M._aligned_sliding(a, b, need) == whole
+
+
+def test_texts_of_300000_words_are_aligned_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    a = np.minimum(rng.zipf(1.2, 300_000), 2**31).astype(np.uint32)
+    b = a.copy()
+    b[::30] = 5
+    tracemalloc.start()
+    found = M.similarity(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0.9 < found < 0.97 and peak < 300e6
