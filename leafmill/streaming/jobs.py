@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators.jobs import over_limit
-from leafmill.sources import sinks
+from leafmill.sources.keyed import BUCKETS, KeyedTable
 
 
 def read_json(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -59,19 +59,16 @@ def assemble(tokens: DataFrame) -> DataFrame:
     return gathered.where("done = 1").select("session", F.array_join(F.array_sort("t")["token"], " ").alias("text"), F.coalesce("c.citations", F.array()).alias("citations"))
 
 
-def upsert_to(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces rows with its keys in a versioned table; replays give the same table.
+def upsert_to(stream: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each micro-batch replaces rows with its keys in a keyed table; a replayed batch changes nothing.
 
-    Of several rows of one key in a batch the one with the highest other columns stays. Each batch writes a new
-    version, so it suits tables of a size that a batch interval can rewrite.
+    Only the buckets that a batch touches are rewritten. Of several rows of one key in a batch the one with the
+    highest other columns stays.
     """
+    table = KeyedTable.create(stream.sparkSession, path, stream.schema, keys, buckets)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        old = sinks.read_table(spark, path) if sinks.latest_version(spark, path) else batch.limit(0)
-        rest = [c for c in batch.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest]) if rest else batch.distinct()
-        sinks.write_table(sinks.upserted(old, last.select(*batch.columns), keys), path)
+    def merge(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, checkpoint, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

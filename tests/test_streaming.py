@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.jobs import over_limit
 from leafmill.sources import catalogs, sinks
+from leafmill.sources.keyed import KeyedTable
 from leafmill.streaming import jobs as S
 
 
@@ -22,8 +23,9 @@ def test_upserts_are_idempotent(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string").write.parquet(src)
     for ck in ("c1", "c2"):  # a fresh checkpoint replays everything
         S.upsert_to(S.read_parquet(spark, src, "id long, v string"), out, ["id"], str(tmp_path / ck)).awaitTermination()
-    assert sorted(map(tuple, sinks.read_table(spark, out).collect())) == [(1, "a"), (2, "b")]
-    assert sinks.latest_version(spark, out) == 2
+    table = KeyedTable(spark, out)
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (2, "b")]
+    assert table.versions() == [0, 1, 2]
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
