@@ -36,7 +36,7 @@ from leafmill.llm._session import written
 from leafmill.llm.language_id import held_out
 
 SAMPLE = 20_000
-WINDOW = 3  # words
+WINDOW = 2  # words
 WINDOWS = 60_000
 WORD_BYTES = 6  # about, with the blank
 MAX_WORDS = 4_000
@@ -45,7 +45,7 @@ LEAST_RATIO = 12.0  # of twice the log likelihood
 COMMON_BYTES, TOXIC_BYTES = 65_536, 4_096
 MIN_TRAIN = 8  # samples; the builder needs some
 SEGMENT, GRAM = 16, 6  # bytes: what the builder picks, and the runs that it counts
-LEVEL, MIN_MATCH = 11, 3
+LEVEL, MIN_MATCH = 12, 3
 THRESHOLD = 0.3
 CUTS = (3, 4, 5, 6, 7, 8, 10)
 TOP = 14.0
