@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
-import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import annotation, compact_code, entity_candidate, normalize_code
+from leafmill.operators.patterns import mentions, with_mentions
 
 ACCEPT = 0.55
 FUZZY_LEAST = 0.7
@@ -59,43 +60,121 @@ def containment(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, code) of tokens (id, t) and codes (code, c) of which one contains the other; of the codes around a short token the first."""
+    """(id, code) of tokens (id, t) and codes (code, c) of which one contains the other; of the codes around a short token the first.
+
+    All 3-grams of the longer text meet one of the shorter, the one that fewest of the longer have: once in each direction.
+    """
     side = lambda df, low, high, text: df.select("*", F.explode(F.array_distinct(grams(F.col(text), low, high))).alias("g"))
-    # the gram of a contained string that starts it is enough to meet
-    met = side(asked, 3, 3, "t").join(side(known, 3, 3, "c"), "g").where((F.instr(F.col("t"), F.col("c")) > 0) | (F.instr(F.col("c"), F.col("t")) > 0))
+
+    def within(inner: DataFrame, small: str, outer: DataFrame, big: str) -> DataFrame:
+        all_grams = side(outer, 3, 3, big)
+        often = all_grams.groupBy("g").agg(F.count("*").alias("df"))
+        own = side(inner.where(F.length(small) >= 3), 3, 3, small).join(often, "g", "left")  # a gram that no outer text has ends the search
+        rare = own.groupBy(*inner.columns).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))["g"].alias("g"))
+        return rare.join(all_grams, "g").where(F.instr(F.col(big), F.col(small)) > 0).select("id", "code")
+
     short = known.where(F.length("c") < 3).groupBy("c").agg(F.min_by("code", F.struct(-F.length("code"), "code")).alias("code"))
     inside = side(asked, 1, 2, "t").join(short.withColumnRenamed("c", "g"), "g")
     around = side(known, 1, 2, "c").groupBy("g").agg(F.min_by("code", F.struct(-F.length("code"), "code")).alias("code"))
     outside = asked.where(F.length("t") < 3).join(around.withColumnRenamed("g", "t"), "t")
-    return met.select("id", "code").distinct().unionByName(inside.select("id", "code")).unionByName(outside.select("id", "code"))
+    met = within(known, "c", asked, "t").unionByName(within(asked, "t", known, "c")).distinct()
+    return met.unionByName(inside.select("id", "code")).unionByName(outside.select("id", "code"))
+
 
+def _histogram(text: str) -> Counter:
+    """Characters and pairs of neighbours of a text."""
+    return Counter(text) + Counter(zip(text, text[1:], strict=False))
+
+
+def most_matched(a: str, b: str, parts: Counter, others: Counter) -> int:
+    """The most characters that matching blocks of two texts can hold.
+
+    Blocks match characters that both have, C at most. M characters in n blocks are M - n pairs of neighbours that both
+    have, and n blocks have at least n - 1 characters between them: with G common pairs, M <= (G + len(a) + len(b) + 1) / 3.
+    """
+    common = parts & others
+    pairs = sum(n for x, n in common.items() if isinstance(x, tuple))
+    return min(sum(common.values()) - pairs, (pairs + len(a) + len(b) + 1) // 3)
 
-def _ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The highest ratio that each pair can have."""
     for batch in batches:
-        pairs = zip(batch.column("t").to_pylist(), batch.column("c").to_pylist(), strict=True)
-        ratios = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), pa.array(ratios, pa.float64())], names=["id", "code", "ratio"])
+        t, c = batch.column("t").to_pylist(), batch.column("c").to_pylist()
+        parts = {x: _histogram(x) for x in {*t, *c}}
+        bounds = [2 * most_matched(x, y, parts[x], parts[y]) / (len(x) + len(y)) for x, y in zip(t, c, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.float64())], names=[*batch.schema.names, "bound"])
+
+
+def _best_so_far(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ratios of pairs in the order of t and bound; a pair is compared while its bound reaches the best of its token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, best = None, least
+        for batch in batches:
+            kept, ratios = [], []
+            for k, (t, c, bound) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("t", "c", "bound")), strict=True)):
+                if t != token:
+                    token, best = t, least
+                if bound >= best - 1e-9:
+                    ratio = difflib.SequenceMatcher(None, t, c).ratio()
+                    if ratio >= least:
+                        best = max(best, ratio)
+                        kept.append(k)
+                        ratios.append(ratio)
+            yield pa.RecordBatch.from_arrays([*[batch.column(x).take(pa.array(kept, pa.int64())) for x in ("t", "code")], pa.array(ratios, pa.float64())], names=["t", "code", "ratio"])
+
+    return run
+
+
+def _rare_characters(texts: DataFrame, often: DataFrame, text: str, least: float) -> DataFrame:
+    """texts with n of their rarest numbered characters (the second `e` is another than the first), as rows.
+
+    Texts of ratio `least` have M >= least * (a + b) / 2 characters in common, and b >= a * least / (2 - least). So of
+    len - M + 1 characters of each, the rarest in one order, one is common to both.
+    """
+    numbered = _numbered_characters(texts, text).join(often, "x")
+    ranked = numbered.groupBy(text).agg(F.sort_array(F.collect_list(F.struct("df", "x")))["x"].alias("xs"))
+    need = F.ceil(F.length(text) * (least / (2 - least)) - 1e-9)  # least * (a + a * least / (2 - least)) / 2
+    return ranked.select(text, F.explode(F.slice("xs", F.lit(1), (F.length(text) - need + 1).cast("int"))).alias("x"))
+
+
+def _numbered_characters(texts: DataFrame, text: str) -> DataFrame:
+    chars = texts.select(text, F.explode(F.split(text, "")).alias("x")).where("x <> ''").groupBy(text, "x").agg(F.count("*").alias("n"))
+    return chars.select(text, F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat(F.col("x"), i.cast("string")))).alias("x"))
+
+
+def fuzzy_pairs(asked: DataFrame, known: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
+    """(t, c, code): pairs of texts that may have the ratio; asked has (t), known (code, c), both distinct."""
+    asked, known = asked.where("t <> ''"), known.where("c <> ''")
+    often = _numbered_characters(known, "c").groupBy("x").agg(F.count("*").alias("df"))
+    a, b = F.length("t"), F.length("c")
+    met = _rare_characters(asked, often.unionByName(_absent(asked, often)), "t", least).join(_rare_characters(known.select("c").distinct(), often, "c", least), "x")
+    met = met.where(2 * F.least(a, b) >= least * (a + b)).select("t", "c").distinct()
+    return met.join(known, "c").select("t", "c", "code")
+
+
+def _absent(asked: DataFrame, often: DataFrame) -> DataFrame:
+    """Numbered characters that no code has: the rarest of all."""
+    own = _numbered_characters(asked, "t").select("x").distinct().join(often, "x", "left_anti")
+    return own.select("x", F.lit(0).cast("long").alias("df"))
 
 
 def fuzzy(tokens: DataFrame, catalog: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """(id, code, ratio): the most similar code by matching blocks, if similar enough.
+    """(id, code, ratio): the most similar code by matching blocks, if similar enough; of equal ones the last by name.
 
-    Pairs share a 2-gram, or a character if they are short, and pass the length bound 2 * min / (a + b) before
-    Python compares them.
+    Pairs meet by their rarest characters, then bounds of what they can have in common rule most of them out; of what
+    is left a token's pairs are compared from the highest bound on, until no bound reaches the best ratio found. Equal
+    tokens are compared once. `least` is above 0; empty tokens and codes match nothing.
     """
-    side = lambda df, n, text: df.select("*", F.explode(F.array_distinct(grams(F.col(text), n, n))).alias("g"))
     asked = tokens.select("id", compact_code(F.col("token")).alias("t"))
-    known = catalog.select("code", compact_code(F.col("code")).alias("c"))
-    bound = 2 * F.least(F.length("t"), F.length("c")) >= least * (F.length("t") + F.length("c"))
-    # M equal characters without a common 2-gram have M - 1 gaps: 2M / (3M - 1) >= least only in short pairs
-    most = 2 / (3 * least - 2) + 1e-9 if least > 2 / 3 else float("inf")
-    both = F.length("t") + F.length("c")
-    long = side(asked, 2, "t").join(side(known, 2, "c"), "g").where(bound)
-    short = side(asked.where(F.length("t") < most), 1, "t").join(side(known.where(F.length("c") < most), 1, "c"), "g").where(bound & (both <= most))
-    pairs = long.unionByName(short).select("id", "code", "t", "c").distinct()
-    rated = pairs.select("id", "code", "t", "c").mapInArrow(_ratio, "id long, code string, ratio double").where(F.col("ratio") >= least)
-    best = F.max_by(F.struct("code", "ratio"), F.struct(F.round("ratio", 6), F.col("code")))
-    return rated.groupBy("id").agg(best.alias("b")).select("id", "b.code", F.round("b.ratio", 6).alias("ratio"))
+    known = catalog.select("code", compact_code(F.col("code")).alias("c")).distinct()
+    pairs = fuzzy_pairs(asked.select("t").distinct(), known, least)
+    bounded = pairs.mapInArrow(_bounds, "t string, c string, code string, bound double").where(F.col("bound") >= least - 1e-9)
+    ordered = bounded.repartition("t").sortWithinPartitions("t", F.desc("bound"))
+    rated = ordered.mapInArrow(_best_so_far(least), "t string, code string, ratio double")
+    best = rated.groupBy("t").agg(F.max_by(F.struct("code", "ratio"), F.struct(F.round("ratio", 6), F.col("code"))).alias("b"))
+    return asked.join(best, "t").select("id", "b.code", F.round("b.ratio", 6).alias("ratio"))
 
 
 def tfidf_fit(catalog: DataFrame, low: int = 2, high: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -109,17 +188,44 @@ def tfidf_fit(catalog: DataFrame, low: int = 2, high: int = 4) -> tuple[DataFram
     return vocabulary, weighted.join(norms, "cat_id").select("cat_id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def tfidf_nearest(tokens: DataFrame, vocabulary: DataFrame, index: DataFrame, accept: float = ACCEPT, low: int = 2, high: int = 4) -> DataFrame:
-    """(id, cat_id, score): the nearest catalog entry of each token (id, token) above `accept`; first wins ties.
+def _rare_grams(weights: DataFrame, often: DataFrame, key: str, accept: float) -> DataFrame:
+    """Of each vector the grams, rarest first, without which a cosine of `accept` can't be reached.
 
-    Equal tokens are scored once.
+    weights has (key, gram, weight), of norm 1. The most frequent grams that together have a norm under `accept` are
+    left out: what they add to any cosine stays under it. So two vectors as close as that have their rarest common gram
+    among these on both sides.
     """
-    texts = tokens.select("token").distinct()
+    ranked = weights.join(often, "gram")
+    mass = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key).orderBy(F.desc("df"), "gram"))
+    return ranked.withColumn("mass", mass).where(F.col("mass") >= accept * accept - 1e-9).select(key, "gram", "weight")
+
+
+def cosine_candidates(asked: DataFrame, index: DataFrame, vocabulary: DataFrame, accept: float) -> DataFrame:
+    """(token, cat_id): pairs that may have a cosine of `accept`, from vectors of norm 1 (token or cat_id, gram, weight)."""
+    often = vocabulary.select("gram", "df")
+    left = _rare_grams(asked, often, "token", accept).select("token", "gram")
+    right = _rare_grams(index, often, "cat_id", accept).select("cat_id", "gram")
+    return left.join(right, "gram").select("token", "cat_id").distinct()
+
+
+def token_vectors(texts: DataFrame, vocabulary: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
+    """(token, gram, weight) of distinct tokens (token), of norm 1 over the grams that the vocabulary has."""
     counts = texts.select("token", F.explode(grams(F.col("token"), low, high)).alias("gram")).groupBy("token", "gram").agg(F.count("*").alias("tf"))
     weighted = counts.join(vocabulary, "gram").select("token", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("token").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(index, "gram").groupBy("token", "cat_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "token").select("token", "cat_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return weighted.join(norms, "token").select("token", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_nearest(tokens: DataFrame, vocabulary: DataFrame, index: DataFrame, accept: float = ACCEPT, low: int = 2, high: int = 4) -> DataFrame:
+    """(id, cat_id, score): the nearest catalog entry of each token (id, token) above `accept`; first wins ties.
+
+    A thresholded join: pairs meet by their rare grams alone, frequent grams only add to the pairs found. Equal tokens
+    are scored once.
+    """
+    asked = token_vectors(tokens.select("token").distinct(), vocabulary, low, high)
+    pairs = cosine_candidates(asked, index, vocabulary, accept)
+    both = pairs.join(asked, "token").join(index.withColumnRenamed("weight", "v"), ["cat_id", "gram"])
+    scored = both.groupBy("token", "cat_id").agg(F.round(F.sum(F.col("weight") * F.col("v")), 6).alias("score"))
     best = scored.groupBy("token").agg(F.min_by(F.struct("cat_id", "score"), F.struct(-F.col("score"), "cat_id")).alias("b"))
     near = best.select("token", "b.cat_id", "b.score").where(F.col("score") > accept)
     return tokens.join(near, "token").select("id", "cat_id", "score")
@@ -157,37 +263,56 @@ def noise_variants(df: DataFrame, key: str, code: str) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(F.array(*made))).alias("variant"))
 
 
-def code_regex(codes: Sequence[str]) -> str:
-    """One pattern for a dictionary of codes: longest first, blanks and dashes flexible, not inside a word."""
-
-    def flexible(code: str) -> str:
-        parts = re.split(r"( |-)", code)
-        return "".join({" ": r"[\s-]+", "-": r"[\s-]*"}.get(p) or re.escape(p) for p in parts if p)
-
-    ordered = sorted({c for c in codes if c}, key=lambda c: (-len(c), c))
-    inside = "|".join(map(flexible, ordered)) or r"\b\B"  # matches nothing
-    return rf"(?i)(?<![A-Za-z0-9])({inside})(?![A-Za-z0-9])"
-
-
 def code_mentions(docs: DataFrame, key: str, codes: Sequence[str], text: str = "text") -> DataFrame:
     """(key, pos, raw) of every mention of a code, in order."""
-    return docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(code_regex(codes)), F.lit(1))).alias("pos", "raw"))
+    known = docs.sparkSession.createDataFrame([(c,) for c in codes], "code string")
+    return mentions(docs, key, known, text).select(key, "pos", "raw")
 
 
-def annotate_codes(docs: DataFrame, catalog: DataFrame, key: str, codes: Sequence[str], text: str = "text") -> DataFrame:
-    """(key, text) with `[Freq → meaning; Instr → instruction]` behind every mention of a catalog's code.
+def resolve_chain(tokens: DataFrame, catalog: DataFrame, classify: Callable[[DataFrame], DataFrame] | None = None, least: float = FUZZY_LEAST) -> DataFrame:
+    """tokens (id, token) with code and tier: the first tier that knows a code of the catalog (code).
 
-    catalog has (code, meaning, instruction). Mentions that no code of it resolves stay as they are.
+    Tiers: exact, compact, containment, classifier and fuzzy. `classify` takes (id, token) and gives (id, code); codes
+    that the catalog doesn't have don't count. Only what a tier leaves open reaches the next one. Equal tokens are
+    resolved once; null tokens have no code.
+    """
+    known = catalog.select("code").where("code IS NOT NULL").distinct()
+    texts = tokens.where("token IS NOT NULL").select("token").distinct().select(F.col("token").alias("id"), "token")
+    done = resolve_codes(texts, known)
+    out = done.where("code IS NOT NULL")
+    open_ = done.where("code IS NULL").select("id", "token")
+    tiers: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [("containment", lambda t: containment(t, known)), ("fuzzy", lambda t: fuzzy(t, known, least))]
+    if classify is not None:
+        tiers.insert(1, ("classifier", lambda t: classify(t).select("id", "code").join(known, "code", "left_semi")))
+    for name, tier in tiers:
+        found = open_.join(tier(open_).select("id", "code"), "id", "left")
+        out = out.unionByName(found.where("code IS NOT NULL").select("id", "token", "code", F.lit(name).alias("tier")))
+        open_ = found.where("code IS NULL").select("id", "token")
+    return tokens.join(out.select("token", "code", "tier"), "token", "left").select("id", "token", "code", "tier")
+
+
+def annotate_codes(
+    docs: DataFrame, catalog: DataFrame, key: str, codes: Sequence[str] | None = None, text: str = "text", classify: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(key, text) with `[Freq → meaning; Instr → instruction]` behind every mention of a code.
+
+    catalog has (code, meaning, instruction). Mentions are those of `codes`, or of the catalog's own, and go through all
+    tiers of `resolve_chain`; those that none resolves stay as they are.
     """
-    pattern = code_regex(codes)
-    cut = docs.select(key, F.split(text, pattern, -1).alias("gaps"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("pos", "raw"))
-    tier = resolve_codes(cut.where("raw IS NOT NULL").select(F.col("raw").alias("id"), F.col("raw").alias("token")).distinct(), catalog)
-    known = tier.where("code IS NOT NULL").join(catalog, "code").select(F.col("token").alias("raw"), "meaning", "instruction")
+    known = catalog.select("code") if codes is None else docs.sparkSession.createDataFrame([(c,) for c in codes], "code string")
+    cut = with_mentions(docs.select(key, F.col(text).alias("text")), key, known, "text").select(key, "text", F.posexplode_outer("found").alias("pos", "m"))
+    place = lambda start, end: F.substring(F.col("text"), start + 1, end - start)
+    cut = cut.withColumn("raw", place(F.col("m.start"), F.col("m.end")))
+    asked = cut.where("raw IS NOT NULL").select(F.col("raw").alias("id"), F.col("raw").alias("token")).distinct()
+    tier = resolve_chain(asked, catalog, classify).where("code IS NOT NULL").join(catalog, "code").select(F.col("token").alias("raw"), "meaning", "instruction")
     said = F.concat("raw", F.lit(" [Freq → "), F.coalesce("meaning", F.lit("")), F.lit("; Instr → "), F.coalesce("instruction", F.lit("")), F.lit("]"))
-    shown = cut.join(known.withColumn("met", F.lit(True)), "raw", "left").withColumn("shown", F.when(F.col("met"), said).otherwise(F.col("raw")))
-    gathered = shown.groupBy(key).agg(F.first("gaps").alias("gaps"), F.sort_array(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", "shown"))))["shown"].alias("s"))
-    pieces = F.zip_with("gaps", "s", lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
-    return gathered.select(key, F.array_join(pieces, "").alias("text"))
+    shown = cut.join(tier.withColumn("met", F.lit(True)), "raw", "left").withColumn("shown", F.when(F.col("met"), said).otherwise(F.col("raw")))
+    marks = F.sort_array(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "shown"))))
+    gathered = shown.groupBy(key).agg(F.first("text").alias("text"), marks.alias("s"))
+    before = lambda m: F.when(m["pos"] > 0, F.get("s", m["pos"] - 1)["end"]).otherwise(0)
+    pieces = F.transform("s", lambda m: F.concat(place(before(m), m["start"]), m["shown"]))
+    rest = F.coalesce(F.get("s", F.size("s") - 1)["end"], F.lit(0))
+    return gathered.select(key, F.when(F.size("s") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), place(rest, F.length("text")))).alias("text"))
 
 
 def annotations(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
