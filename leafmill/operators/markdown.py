@@ -86,7 +86,15 @@ def is_meta_line(line: Column) -> Column:
 
 def is_section_heading(line: Column) -> Column:
     """A line that is one bold text without colon or bar."""
-    return F.trim(line).rlike(r"^\*\*((?!\*\*)[^:|])*\*\*$")
+    s = F.regexp_replace(line, r"^\s+|\s+$", "")
+    marks = (F.length(s) - F.length(F.replace(s, F.lit("**"), F.lit("")))) / 2
+    return F.startswith(s, F.lit("**")) & F.endswith(s, F.lit("**")) & (marks == 2) & ~s.rlike("[:|]")
+
+
+def headings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, title) of the lines that are section headings."""
+    found = lines(docs, key, text).where(is_section_heading(F.col("line")))
+    return found.select(key, "pos", F.regexp_replace(F.regexp_replace("line", r"^\s+|\s+$", ""), r"^\*\*|\*\*$", "").alias("title"))
 
 
 def meta_fields(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

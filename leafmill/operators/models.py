@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,21 +11,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.entities import grams
+from leafmill.sources.keyed import BUCKETS, KeyedTable
 
 RETRY_UNDER, SMALL = 0.75, 0.3
+KEPT = 4  # models of a worker process
 
 
 def map_model(df: DataFrame, load: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """Apply a model to batches; `load` runs once per task, its result once per batch."""
+    """Apply a model to batches; `load` runs once in each worker process, its result once per batch.
+
+    A worker runs many tasks and keeps the models that it used last.
+    """
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
+        model = _loaded(number, load)
         for batch in batches:
             yield model(batch)
 
     return df.mapInArrow(run, schema)
 
 
+#: The models of a worker process.
+_models: dict[str, Callable[[pa.RecordBatch], pa.RecordBatch]] = {}
+
+
+def _loaded(number: str, load: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    if number not in _models:
+        while len(_models) >= KEPT:
+            _models.pop(next(iter(_models)))
+        _models[number] = load()
+    return _models[number]
+
+
+def input_digest(df: DataFrame, inputs: Sequence[str]) -> Column:
+    """A digest of the inputs of a row, null and empty ones apart."""
+    return F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256)
+
+
+def map_model_resumed(
+    df: DataFrame, load: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str, inputs: Sequence[str], path: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """df with the model's outputs, computed only for inputs that have no result under path yet.
+
+    The model gets the columns `inputs` and `digest` of distinct inputs, and gives `digest` and the outputs of schema.
+    Results are kept in a keyed table by digest, which a run that was cut short leaves as it was before.
+    """
+    spark = df.sparkSession
+    outputs = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    held = T.StructType([T.StructField("digest", T.StringType()), *outputs.fields])
+    table = KeyedTable.create(spark, path, held, ["digest"], buckets)
+    asked = df.select(*inputs).distinct().withColumn("digest", input_digest(df, inputs))
+    new = asked.join(table.read().select("digest"), "digest", "left_anti").select("digest", *inputs)
+    if not new.isEmpty():
+        table.upsert(map_model(new, load, held))
+    return df.withColumn("digest", input_digest(df, inputs)).join(table.read(), "digest", "left").drop("digest")
+
+
 def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     """(key, v): L2-normalised counts of hashed character 3-grams of names and lines, an embedding without a model."""
     places = df.select(key, F.explode(grams(F.col(text), 3, 3)).alias("g")).groupBy(key, F.pmod(F.xxhash64("g"), F.lit(size)).cast("int").alias("k")).agg(F.count("*").alias("n"))

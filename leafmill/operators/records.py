@@ -93,6 +93,8 @@ def timeline(events: DataFrame, key: str) -> DataFrame:
 
 BOXES = {"checked": "☑", "unchecked": "☐"}
 MISSING = "—"
+YEAR_BITS = 16  # ages and thresholds count up to this many bits of whole years
+MOST_YEARS = 2**YEAR_BITS - 2
 
 
 def render(records: DataFrame, fields: DataFrame, key: str) -> DataFrame:
@@ -168,14 +170,35 @@ def patient_meta(text: Column) -> list[Column]:
     ]
 
 
+def _blocks_below(age: Column) -> Column:
+    """The blocks of 1, 2, 4, ... whole years that together cover the years from 0 to an age: one for each bit set."""
+    years = F.least(F.greatest(F.floor(age), F.lit(-1)), F.lit(MOST_YEARS)).cast("long") + 1
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(YEAR_BITS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", years, k).alias("block"))), lambda b: b["block"] % 2 == 1)
+    return F.transform(bits, lambda b: F.struct(b["level"].alias("level"), (b["block"] - 1).alias("block")))
+
+
+def _blocks_around(age: Column) -> Column:
+    """The block of each size that holds the year of an age threshold."""
+    year = F.least(F.greatest(F.floor(age), F.lit(0)), F.lit(MOST_YEARS)).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(YEAR_BITS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", year, k).alias("block")))
+
+
 def rule_alerts(facts: DataFrame, ages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """facts (key, field, value), ages (key, age), rules (rule_id, fields, values, age_threshold, severity).
 
     A rule fires if one of its values is in one of its fields (in any field if it lists none), or from its age
-    on. Values meet by equality; rules with an age are few and meet ages by a threshold join.
+    on. Rules are indexed by (field, value), those without fields by value alone, and ages by blocks of years: the years
+    up to an age are a few such blocks, and a threshold is in one block of each size. So all joins are equalities, and
+    rules may be many. Ages that are equal meet the rules once.
     """
-    wanted = rules.select("rule_id", "fields", F.explode("values").alias("value"))
-    met = facts.join(F.broadcast(wanted), "value").where((F.size("fields") == 0) | F.array_contains("fields", F.col("field")))
-    old = ages.join(F.broadcast(rules.where("age_threshold IS NOT NULL")), F.col("age") >= F.col("age_threshold"))
-    fired = met.select(key, "rule_id").unionByName(old.select(key, "rule_id")).distinct()
-    return fired.join(F.broadcast(rules.select("rule_id", "severity")), "rule_id").select(key, "rule_id", "severity")
+    pairs = rules.select("rule_id", "severity", "fields", F.explode(F.array_distinct("values")).alias("value"))
+    named = pairs.where(F.size("fields") > 0).select("rule_id", "severity", F.explode(F.array_distinct("fields")).alias("field"), "value")
+    said = facts.select(key, "field", "value").distinct()
+    met = said.join(named, ["field", "value"]).select(key, "rule_id", "severity")
+    anywhere = pairs.where(F.coalesce(F.size("fields"), F.lit(0)) <= 0).select("rule_id", "severity", "value")
+    met = met.unionByName(said.select(key, "value").distinct().join(anywhere, "value").select(key, "rule_id", "severity"))
+    reached = ages.where("age IS NOT NULL").select("age").distinct().select("age", F.inline(_blocks_below(F.col("age"))))
+    starts = rules.where("age_threshold IS NOT NULL").select("rule_id", "severity", "age_threshold", F.inline(_blocks_around(F.col("age_threshold"))))
+    old = reached.join(starts, ["level", "block"]).where(F.col("age") >= F.col("age_threshold")).select("age", "rule_id", "severity")
+    fired = met.unionByName(ages.select(key, "age").join(old, "age").select(key, "rule_id", "severity"))
+    return fired.groupBy(key, "rule_id").agg(F.first("severity").alias("severity"))

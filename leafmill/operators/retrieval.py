@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,9 +92,13 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, F.size(F.array_intersect(x, y)) / either).otherwise(0.0)
 
 
-def rerank(candidates: DataFrame, question: str, text: str, k: int, item: str) -> DataFrame:
-    """The k best candidates by a second score, the share of common tokens by default."""
-    scored = candidates.withColumn("rerank", F.round(token_jaccard(F.col(question), F.col(text)), 6))
+def rerank(candidates: DataFrame, question: str, text: str, k: int, item: str, scorer: Callable[[Column, Column], Column] = token_jaccard) -> DataFrame:
+    """The k best candidates by a second score, the share of common tokens by default.
+
+    `scorer` takes the columns of questions and texts and gives the score: an expression, or a pandas or Arrow UDF around
+    a model. A candidate that it gives no score comes last.
+    """
+    scored = candidates.withColumn("rerank", F.round(scorer(F.col(question), F.col(text)).cast("double"), 6))
     return top_k(scored.drop("rank"), ["query_id"], "rerank", [item], k)
 
 

@@ -258,3 +258,18 @@ def sc_17_24_maps_first_valid(spark, d):
     name = F.when(F.col("c_custkey") % 5 == 0, "big_Table_1").when(F.col("c_custkey") % 5 == 1, "Image block").otherwise("text")
     rows = c.withColumn("a", F.when(F.col("c_custkey") % 2 == 0, " no ").otherwise("a long one")).withColumn("b", F.lit("second"))
     return rows.select(F.col("c_custkey").alias("id"), m["nation"].alias("nation"), m["extra"].alias("extra"), X.region_type(name).alias("region"), X.first_valid(["a", "b"])[1].alias("winner"))
+
+
+HEADED = """unnest(['**' || p_type || '**', '  **' || p_name || '** ', '**Brand:** ' || p_brand, '**' || p_name || ' | ' || p_type || '**', '**a** and **' || p_type || '**', '***' || p_brand || '***', p_name || '**', '****'])"""
+
+
+@register(f"""WITH l AS (SELECT p_partkey AS id, unnest(range(0, 8)) AS pos, {HEADED} AS line FROM part), t AS (SELECT id, pos, trim(line) AS s FROM l)
+ SELECT id, CAST(pos AS INTEGER) AS pos, regexp_replace(regexp_replace(s, '^\\*\\*', ''), '\\*\\*$', '') AS title FROM t
+ WHERE starts_with(s, '**') AND ends_with(s, '**') AND length(s) - length(replace(s, '**', '')) = 4 AND NOT contains(s, ':') AND NOT contains(s, '|')""")
+def section_headings(spark, d):
+    p = table(spark, d, "part")
+    made = [
+        F.concat(F.lit("**"), "p_type", F.lit("**")), F.concat(F.lit("  **"), "p_name", F.lit("** ")), F.concat(F.lit("**Brand:** "), "p_brand"), F.concat(F.lit("**"), "p_name", F.lit(" | "), "p_type", F.lit("**")),
+        F.concat(F.lit("**a** and **"), "p_type", F.lit("**")), F.concat(F.lit("***"), "p_brand", F.lit("***")), F.concat("p_name", F.lit("**")), F.lit("****"),
+    ]
+    return M.headings(p.select(F.col("p_partkey").alias("id"), F.array_join(F.array(*made), "\n").alias("text")), "id")

@@ -196,3 +196,15 @@ def hashed_embeddings(spark, d):
     """Unit vectors of part names."""
     v = M.hashed_embedding(table(spark, d, "part"), "p_partkey", "p_name")
     return v.select("p_partkey", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
+@register("""SELECT vec_id, unnest([0, 1, 2, 3, 4]) AS page_no, unnest([0, 0, 0, 3, 3]) AS canonical_page FROM embeddings""")
+def perceptual_pages(spark, d):
+    """An image, its copies of twice the size and of other brightness and contrast, its negative and a copy of that."""
+    px = pixels(spark, d)
+    twice = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda r: F.flatten(F.transform(F.slice("px", F.floor(r / 2).cast("int") * 8 + 1, F.lit(8)), lambda p: F.array(p, p)))))
+    changed = lambda f: F.transform("px", f)
+    made = [F.col("px"), twice, changed(lambda p: p * 0.9 + 20), changed(lambda p: 255 - p), changed(lambda p: 265 - p)]
+    images = F.array(*[F.struct(F.lit(k).alias("page_no"), F.transform(x, lambda p: p.cast("double")).alias("px"), F.lit(16 if k == 1 else 8).alias("width")) for k, x in enumerate(made)])
+    pages = px.select("vec_id", F.inline(images)).select("vec_id", "page_no", I.page_fingerprint(F.col("px"), F.col("width")).alias("fp"))
+    return I.canonical_pages(pages, "vec_id", "page_no", "fp").select("vec_id", "page_no", "canonical_page")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators import lexical_index as LX
 from leafmill.operators import retrieval as R
+from leafmill.operators import vector_index as VX
 from leafmill.plans.markdown import PAGES, pages
 from leafmill.plans.tables import query, table
+from leafmill.sources.shared import folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 register = query(QUERIES, ORACLES)
 
+CANDIDATES, KEPT = 20, 5
 CHUNK = "doc_id || ':' || page_no"
 BM25 = f"""p AS (SELECT {CHUNK} AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9à-ÿ]+') AS t FROM {PAGES} WHERE length(trim(text)) >= 10),
  st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM p),
@@ -22,7 +26,7 @@ BM25 = f"""p AS (SELECT {CHUNK} AS chunk_id, regexp_extract_all(lower(text), '[a
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  w AS (SELECT tf.term, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df ON df.term = tf.term, st),
  sc AS (SELECT query_id, chunk_id, round(sum(w), 6) AS score FROM q JOIN w ON q.term = w.term GROUP BY 1, 2),
- bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 5)"""
+ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 20)"""
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
@@ -33,14 +37,23 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def lexical(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_top_k(questions(spark, d), chunk_table(spark, d), 5)
+def lexical(spark: SparkSession, d: str, k: int = CANDIDATES) -> DataFrame:
+    return R.bm25_top_k(questions(spark, d), chunk_table(spark, d), k)
 
 
-@register(f"WITH {BM25} SELECT query_id, chunk_id, rank FROM bm")
+@register(f"WITH {BM25} SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 5")
 def bm25_topk(spark, d):
     """Which pages hold this passage? The flagship query."""
-    return lexical(spark, d).select("query_id", "chunk_id", "rank")
+    return lexical(spark, d, 5).select("query_id", "chunk_id", "rank")
+
+
+@register(f"WITH {BM25} SELECT query_id, chunk_id, rank FROM bm")
+def bm25_index_topk(spark, d):
+    """The same from an index that is kept: two batches are written, then searched without their texts."""
+    rows = chunk_table(spark, d).select("chunk_id", "doc_id", "text")
+    built = LX.create(rows.where("doc_id % 3 <> 0"), folder(spark, "lexical"), ranges=32)
+    LX.append(rows.where("doc_id % 3 = 0"), built)
+    return LX.search(questions(spark, d), LX.LexicalIndex(spark, built.path), CANDIDATES).select("query_id", "chunk_id", "rank")
 
 
 DENSE = """dn AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score,
@@ -58,6 +71,15 @@ def dense_topk(spark, d):
     return dense(spark, d).select("query_id", "vec_id", "score", "rank")
 
 
+@register(f"WITH {DENSE} SELECT query_id, vec_id, score, rank FROM dn")
+def dense_index_topk(spark, d):
+    """The same from codes of all cells of an index that is kept, the best compared exactly."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("tenant"), F.col("embedding").alias("v"))
+    path = folder(spark, "vectors")
+    VX.build_index(v, "tenant", path)
+    return VX.search(v.where("id % 50 = 0"), VX.load_index(spark, path), "tenant", 20, probed=1.0)
+
+
 @register(f"""WITH {DENSE}, near AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM dn),
  f AS (SELECT query_id, vec_id AS item, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, vec_id, rank FROM dn UNION ALL SELECT query_id, vec_id, rank FROM near) GROUP BY 1, 2)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM f) WHERE rank <= 10""")
@@ -71,12 +93,12 @@ def rrf_fusion(spark, d):
 JAC = """rr AS (SELECT bm.query_id, bm.chunk_id, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS rerank
  FROM bm JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9à-ÿ]+')) AS t FROM benchmark) a ON a.item_id = bm.query_id
  JOIN (SELECT chunk_id, list_distinct(t) AS t FROM p) b ON b.chunk_id = bm.chunk_id),
- top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS rank FROM rr) WHERE rank <= 3)"""
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS rank FROM rr) WHERE rank <= 5)"""
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
     found = lexical(spark, d).join(chunk_table(spark, d), "chunk_id").join(questions(spark, d).withColumnRenamed("text", "question"), "query_id")
-    return R.rerank(found, "question", "text", 3, "chunk_id")
+    return R.rerank(found, "question", "text", KEPT, "chunk_id")
 
 
 @register(f"WITH {BM25}, {JAC} SELECT query_id, chunk_id, rerank, rank FROM top")

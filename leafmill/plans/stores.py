@@ -8,11 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators import classify as C
 from leafmill.operators import models as MD
+from leafmill.operators.entities import noise_variants
 from leafmill.plans.tables import STATUS_SQL, query, status, table
 from leafmill.sources import catalogs as S
 from leafmill.sources import sinks as K
+from leafmill.sources.keyed import KeyedTable
+from leafmill.sources.shared import folder
 from leafmill.streaming import jobs as ST
+from leafmill.streaming import stateful as SF
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +107,53 @@ def assemble_turns(spark, d):
     return ST.assemble(lines.select(ST.sse_tokens(F.col("l")).alias("t")).select("t.*")).select("session", F.col("text").alias("x"), F.col("citations")[0].alias("cited")).join(turns.select("session", "n"), "session")
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, run, files: int = 2) -> DataFrame:
+    """What a stream over rows, read a file at a time, has appended at its end."""
+    src, out = folder(spark, "lines"), folder(spark, "stream")
+    rows.repartition(files).write.parquet(src)
+    SF.with_state_store(spark)
+    ST.append_to(run(ST.read_parquet(spark, src, rows.schema, 1)), out, folder(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("""SELECT conv_id * 1000 + turn AS session, string_agg(text, ' ' ORDER BY text) AS text, 'turn ' || conv_id * 1000 + turn AS cited, true AS ended FROM conversations GROUP BY conv_id, turn""")
+def assemble_stream(spark, d):
+    """Tokens dealt to files at random, assembled by a stream with ending state: each session is appended once."""
+    turns = table(spark, d, "conversations").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("session")).agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("x"))
+    none, at = F.lit(None), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts")
+    words = turns.select("session", F.posexplode(F.split("x", " ")).alias("seq", "token"), F.lit("token").alias("type"), none.cast("array<string>").alias("citations"))
+    done = turns.select("session", F.size(F.split("x", " ")).alias("seq"), none.cast("string").alias("token"), F.lit("done").alias("type"), none.cast("array<string>").alias("citations"))
+    cites = turns.select("session", F.lit(-1).alias("seq"), none.cast("string").alias("token"), F.lit("citations").alias("type"), F.array(F.concat(F.lit("turn "), "session")).alias("citations"))
+    rows = words.unionByName(done).unionByName(cites).select("session", F.col("seq").cast("long").alias("seq"), "token", "type", "citations", at)
+    return _streamed(spark, rows, SF.assembled).select("session", "text", F.col("citations")[0].alias("cited"), "ended")
+
+
+@register("""SELECT l_orderkey AS job, count(DISTINCT l_linenumber) AS done, count(DISTINCT l_linenumber) AS total, true AS ended FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1""")
+def completion_stream(spark, d):
+    """Pages of jobs, some of them twice; every seventh job lacks one. Complete jobs are appended once."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("page")).distinct()
+    total = lines.groupBy("job").agg((F.count("*") + F.when(F.col("job") % 7 == 0, 1).otherwise(0)).alias("total"))
+    pages = lines.join(total, "job").select("job", "total", "page", F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    twice = pages.unionByName(pages.where("page % 2 = 0"))
+    return _streamed(spark, twice, lambda s: SF.completed_once(s, "job", "total", "page", "ts"))
+
+
+@register("""SELECT o_orderkey AS chunk_id, o_custkey AS user_id, CASE WHEN o_orderkey % 100 = 0 THEN 'late' WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS text FROM orders WHERE o_custkey % 10 <> 0
+ UNION ALL SELECT -o_orderkey, o_custkey, 'added' FROM orders WHERE o_orderkey % 50 = 1""")
+def keyed_changes(spark, d):
+    """Upserts, a delete and an update of one keyed table, each rewriting the buckets that it touches."""
+    rows = _orders(spark, d)
+    keyed = KeyedTable.create(spark, folder(spark, "orders"), rows.schema, ["chunk_id", "user_id"], 32)
+    keyed.upsert(rows)
+    new = rows.where("chunk_id % 3 = 0").withColumn("text", F.lit("new"))
+    keyed.upsert(new, "stream", 0)
+    keyed.upsert(rows.withColumn("text", F.lit("replayed")), "stream", 0)
+    keyed.upsert(rows.where("chunk_id % 50 = 1").select((-F.col("chunk_id")).alias("chunk_id"), "user_id", F.lit("added").alias("text")))
+    keyed.delete(rows.where("user_id % 10 = 0"))
+    keyed.update(rows.where("chunk_id % 100 = 0").withColumn("text", F.lit("late")), "text")
+    return keyed.read()
+
+
 @register(f"SELECT o_orderkey AS job_id, CASE WHEN {STATUS_SQL} = 'COMPLETED' THEN 'COMPLETED' ELSE 'FAILED' END AS status, 'no priority' AS reason FROM orders WHERE o_orderpriority = '1-URGENT'")
 def quarantine(spark, d):
     jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), status(F.col("o_orderstatus")).alias("status"), "o_orderpriority")
@@ -122,25 +174,33 @@ def _stub_model():
 
 @register("SELECT doc_id, length(coalesce(text, '')) || ' characters' AS answer, round(least(1.0, length(coalesce(text, '')) / 1000.0::DOUBLE), 6) AS confidence FROM documents")
 def model_map(spark, d):
-    """A model loaded once a task and applied to batches of whole texts."""
+    """A model loaded once a worker and applied to batches of whole texts."""
     rows = table(spark, d, "documents").select("doc_id", "text")
     return MD.map_model(rows, _stub_model, "doc_id long, answer string, confidence double").withColumn("confidence", F.round("confidence", 6))
 
 
+def _spellings(spark: SparkSession, d: str, code) -> tuple[DataFrame, DataFrame]:
+    """(code, variant) to learn from and (id, token, truth) that are held out: no spelling is in both."""
+    codes = table(spark, d, "part").select(code.alias("code")).distinct().withColumn("c", F.col("code"))
+    spellings = noise_variants(codes, "c", "code").select(F.col("c").alias("code"), "variant")
+    held = F.pmod(F.xxhash64("variant"), F.lit(5)) == 0
+    return spellings.where(~held), spellings.where(held).select(F.col("variant").alias("id"), F.col("variant").alias("token"), F.col("code").alias("truth"))
+
+
+def _predicted(spark: SparkSession, d: str, code, kind: str) -> DataFrame:
+    known, asked = _spellings(spark, d, code)
+    said = C.predict(C.fit(known, kind), asked).select(F.col("id").alias("variant"), F.col("code").alias("predicted"))
+    return asked.select(F.col("token").alias("variant"), F.col("truth").alias("code")).join(said, "variant")
+
+
 @register()
 def classifier_accuracy(spark, d):
-    """Noisy spellings to their codes by hashed character n-grams and logistic regression; is the accuracy on held-out
-    spellings, which no training row has, at least 0.8."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+    """Noisy spellings of brands and types to their codes, by logistic regression: the code predicted for each spelling
+    that is held out."""
+    return _predicted(spark, d, F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-"), "p_type"), "logistic")
 
-    from leafmill.operators.entities import grams, noise_variants
 
-    code = F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-"), "p_type")
-    codes = table(spark, d, "part").select(code.alias("code")).distinct().withColumn("c", F.col("code"))
-    tokens = noise_variants(codes, "c", "code").select(F.col("c").alias("code"), "variant", grams(F.concat(F.lit(" "), "variant", F.lit(" ")), 2, 4).alias("grams"))
-    held = F.pmod(F.xxhash64("variant"), F.lit(5)) == 0
-    steps = [StringIndexer(inputCol="code", outputCol="label", handleInvalid="skip"), HashingTF(inputCol="grams", outputCol="tf", numFeatures=4096), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=20)]
-    model = Pipeline(stages=steps).fit(tokens.where(~held))
-    return model.transform(tokens.where(held)).agg((F.avg((F.col("label") == F.col("prediction")).cast("double")) >= 0.8).alias("accurate"), F.count("*").alias("n"))
+@register()
+def classifier_margin(spark, d):
+    """The same for brands alone, by a linear support vector machine for each code."""
+    return _predicted(spark, d, F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-code")), "svc")
