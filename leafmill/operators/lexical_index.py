@@ -56,10 +56,10 @@ def create(chunks: DataFrame, path: str, ranges: int | None = None) -> LexicalIn
 
 
 def append(chunks: DataFrame, index: LexicalIndex) -> LexicalIndex:
-    """Add a batch of new chunks; old files stay as they are. Null texts count as empty."""
+    """Add a batch of new chunks; old files stay as they are. Null texts are no chunks, empty ones are."""
     ranges = index.spark.read.parquet(f"{index.path}/ranges").first()[0]
     batch = uuid.uuid4().hex
-    cut = chunks.select("chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    cut = chunks.where("text IS NOT NULL").select("chunk_id", tokens(F.col("text")).alias("t"))
     counted = cut.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
     dealt = counted.withColumn("range", F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int"))
     rows = dealt.groupBy("term", "range").agg(F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("chunks"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.entities import grams
+from leafmill.operators.sized import if_small
 from leafmill.sources.keyed import BUCKETS, KeyedTable
 
 RETRY_UNDER, SMALL = 0.75, 0.3
@@ -93,8 +94,8 @@ def best_of_two(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 
 def prompts(df: DataFrame, templates: DataFrame, kind: str) -> DataFrame:
-    """Rows with the prompt of their kind, {name} filled from the column of that name; templates are few."""
-    joined = df.join(F.broadcast(templates), kind)
+    """Rows with the prompt of their kind, {name} filled from the column of that name; a template or two is broadcast, many are not."""
+    joined = df.join(if_small(templates), kind)
     prompt = F.col("template")
     for name in df.columns:
         prompt = F.replace(prompt, F.lit("{" + name + "}"), F.coalesce(F.col(name).cast("string"), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import is_blank, parse_date
+from leafmill.operators.sized import if_small
 
 
 def consolidate_scalars(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,13 +73,15 @@ def completeness(records: DataFrame, fields: DataFrame, key: str) -> DataFrame:
     """records (key, name, value), fields (name, type, items): (key, total, filled, blank) over all fields.
 
     A checkbox counts only if checked or unchecked, a checklist if one of its items is, a list of keys and
-    values if one of its items has a value, a table if it has a row. fields is a blueprint, small by its nature.
+    values if one of its items has a value, a table if it has a row. A field that a record names twice counts twice.
     """
-    every = records.select(key).distinct().crossJoin(F.broadcast(fields))  # every record times the blueprint's fields
-    joined = every.join(records, [key, "name"], "left")
     filled = _filled(F.col("type"), F.col("value"), F.coalesce("items", F.array().cast("array<string>")))
-    counts = joined.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.coalesce(filled, F.lit(False))).alias("filled"))
-    return counts.withColumn("blank", F.col("total") - F.col("filled"))
+    met = records.join(if_small(fields), "name").groupBy(key, "name").agg(F.count("*").alias("n"), F.count_if(F.coalesce(filled, F.lit(False))).alias("filled"))
+    sums = met.groupBy(key).agg(F.sum(F.col("n") - 1).alias("again"), F.sum("filled").alias("filled"))
+    size = fields.agg(F.count("*").alias("fields"))  # one row
+    counts = records.select(key).distinct().join(sums, key, "left").crossJoin(F.broadcast(size))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return counts.select(key, (F.col("fields") + zero("again")).alias("total"), zero("filled").alias("filled")).withColumn("blank", F.col("total") - F.col("filled"))
 
 
 def timeline(events: DataFrame, key: str) -> DataFrame:
@@ -100,7 +103,7 @@ MOST_YEARS = 2**YEAR_BITS - 2
 def render(records: DataFrame, fields: DataFrame, key: str) -> DataFrame:
     """(key, markdown): fields (section, pos, name, label, type, items) of a record, blank ones and empty sections
     left out. Checklists and tables render their items; for a table, items are its columns."""
-    rows = records.join(F.broadcast(fields), "name").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows = records.join(if_small(fields), "name").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     shown = rows.where(F.coalesce(_filled(F.col("type"), F.col("value"), F.col("items")), F.lit(False)))
     head = F.concat(F.lit("- **"), F.col("label"), F.lit(":**"))
     box = lambda state: F.when(F.lower(state) == "checked", BOXES["checked"]).otherwise(BOXES["unchecked"])

@@ -25,7 +25,7 @@ SAMPLE = 50_000  # vectors that the cells are learned from, about
 MOST_CELLS = 4_096
 BLOCK = 4_096  # vectors
 QUERY_BLOCK = 256
-PROBED = 0.5  # of the cells
+PROBED = 0.8  # of the cells
 SPARE = 8  # times k: candidates by code that are compared exactly
 FEW = 64  # queries whose blocks a filter names
 

@@ -68,11 +68,11 @@ def fuzzy_match(spark, d):
 
 
 GRAMS = "unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, length({0}) - n + 2), lambda i: substr({0}, i, n)))))"
-FIT = f"""cat AS (SELECT DISTINCT p_name AS cat_id, p_name AS name FROM part),
- tf AS (SELECT cat_id, g AS gram, count(*) AS tf FROM (SELECT cat_id, {GRAMS.format("lower(name)")} AS g FROM cat) GROUP BY 1, 2),
+WEIGHTS = f"""tf AS (SELECT cat_id, g AS gram, count(*) AS tf FROM (SELECT cat_id, {GRAMS.format("lower(name)")} AS g FROM cat) GROUP BY 1, 2),
  df AS (SELECT gram, count(*) AS df, ln((1 + (SELECT count(*) FROM cat)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY 1),
  cw AS (SELECT cat_id, tf.gram, tf * idf AS w FROM tf JOIN df ON df.gram = tf.gram),
  cn AS (SELECT cat_id, sqrt(sum(w * w)) AS n FROM cw GROUP BY 1)"""
+FIT = f"cat AS (SELECT DISTINCT p_name AS cat_id, p_name AS name FROM part), {WEIGHTS}"
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
@@ -120,9 +120,9 @@ def entity_candidates(spark, d):
 
 
 def prescriptions(spark: SparkSession, d: str) -> DataFrame:
-    """(id, text): a table with a code, a header line and a code in a bulleted line."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
-    rows = ["| S.No | Test Code/Name |", "|---|---|", F.concat(F.lit("| "), "id", F.lit(" | item"), "id", F.lit(" |")), "Name: ITEM1", F.concat(F.lit("- ITEM"), F.col("id") + 1), "plain words", "DATE 2020"]
+    """(id, text): a table with a code, a header line, a code and a name with a dose in bulleted lines."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    rows = ["| S.No | Test Code/Name |", "|---|---|", F.concat(F.lit("| "), "id", F.lit(" | item"), "id", F.lit(" |")), "Name: ITEM1", F.concat(F.lit("- ITEM"), F.col("id") + 1), "plain words", "DATE 2020", F.concat(F.lit("- "), "p_name", F.lit(" 5x"))]
     return p.select("id", F.array_join(F.array(*[F.lit(r) if isinstance(r, str) else r for r in rows]), "\n").alias("text"))
 
 
@@ -132,12 +132,19 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("long").alias("cat_id"), F.concat(F.lit("ITEM"), "p_partkey").alias("code"), F.lit("ITEM").alias("type"), F.col("p_name").alias("name"), none.alias("meaning"), none.alias("timing"))
 
 
-@register("""WITH c AS (SELECT p_partkey AS id, unnest([2, 4]) AS line_no FROM part), f AS (SELECT id, line_no, CASE line_no WHEN 2 THEN id ELSE id + 1 END AS k FROM c)
- SELECT id, line_no, CASE line_no WHEN 2 THEN 2 ELSE 0 END AS cell_no, CASE line_no WHEN 2 THEN 'item' ELSE 'ITEM' END || k AS text, 'ITEM' || k AS code, p_name AS name, 'ITEM' AS type, '1.00' AS confidence FROM f JOIN part ON p_partkey = k""")
+@register(f"""WITH c AS (SELECT p_partkey AS id, unnest([2, 4]) AS line_no FROM part), f AS (SELECT id, line_no, CASE line_no WHEN 2 THEN id ELSE id + 1 END AS k FROM c),
+ cat AS (SELECT p_partkey AS cat_id, p_name AS name FROM part), {WEIGHTS},
+ t AS (SELECT DISTINCT p_name || ' 5x' AS token FROM part),
+ qf AS (SELECT token, g AS gram, count(*) AS tf FROM (SELECT token, {GRAMS.format("lower(token)")} AS g FROM t) GROUP BY 1, 2),
+ qw AS (SELECT token, qf.gram, tf * idf AS w FROM qf JOIN df ON df.gram = qf.gram), qn AS (SELECT token, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
+ s AS (SELECT qw.token, cw.cat_id, round(sum(qw.w * cw.w) / (any_value(qn.n) * any_value(cn.n)), 6) AS score FROM qw JOIN cw ON cw.gram = qw.gram JOIN qn ON qn.token = qw.token JOIN cn ON cn.cat_id = cw.cat_id GROUP BY 1, 2),
+ b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, cat_id) AS r FROM s)
+ SELECT id, line_no, CASE line_no WHEN 2 THEN 2 ELSE 0 END AS cell_no, CASE line_no WHEN 2 THEN 'item' ELSE 'ITEM' END || k AS text, 'ITEM' || k AS code, p_name AS name, 'ITEM' AS type, '1.00' AS confidence FROM f JOIN part ON p_partkey = k
+ UNION ALL SELECT q.p_partkey, 7, 0, token, 'ITEM' || cat_id, n.p_name, 'ITEM', printf('%.2f', score) FROM part q JOIN b ON token = q.p_name || ' 5x' JOIN part n ON n.p_partkey = cat_id WHERE r = 1 AND score > 0.55""")
 def entity_predictions(spark, d):
-    """Entities in lines and table cells by exact code; labels, counts and prose are left alone."""
+    """Entities in lines and table cells by exact code and by the nearest name; labels, counts and prose are left alone."""
     rows = E.resolve_entities(prescriptions(spark, d), items(spark, d), "id")[0]
-    return rows.where("confidence = '1.00'").select("id", "line_no", "cell_no", "text", "code", "name", "type", "confidence")
+    return rows.select("id", "line_no", "cell_no", "text", "code", "name", "type", "confidence")
 
 
 @register("""SELECT p_partkey AS id, unnest([0, 1]) AS pos, unnest(['view - ' || (p_partkey % 10), 'Click ' || (p_partkey % 7)]) AS raw FROM part""")
