@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -38,6 +39,55 @@ def test_language_is_learned_from_other_rows(docs):
     assert language_id.identify(docs.where("doc_id > 900")).count() == 0
 
 
+def test_languages_equal_exact_sets_of_grams(spark, docs):
+    """The whole query with sets instead of filters: at this size hardly a false positive is left."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    fold = lambda t: re.sub(rb"[^a-z\x80-\xff]", b" ", (t or "").encode().lower())
+    found = lambda t: [g for i in range(len(fold(t)) - 3) if (g := fold(t)[i : i + 4]) != b"    "]
+    counts = {}
+    for d, t, lang in rows:
+        if lang and t is not None and not (d is not None and zlib.crc32(str(d).encode()) % 4 == 2):
+            counts.setdefault(lang, Counter()).update(found(t))
+    rates = {lang: {g: n / sum(n for n in c.values() if n >= 5) for g, n in c.items() if n >= 5} for lang, c in counts.items()}
+    most = {g: max(r.get(g, 0) for r in rates.values()) for r in rates.values() for g in r}
+    sets = {lang: {g for g, x in r.items() if x >= 0.15 * most[g]} for lang, r in rates.items()}
+    same = 0
+    got = {(r["doc_id"], r["held_out"]): r["lang_pred"] for r in language_id.identify(docs).collect()}
+    for d, t, _ in rows:
+        hits = {lang: sum(g in s for g in found(t)) for lang, s in sets.items()}
+        if t and any(c.isalpha() for c in t) and max(hits.values()) > 0 and len(set(hits.values())) == len(hits):
+            held = d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+            assert got[d, held] == max(hits, key=hits.get), (d, hits)
+            same += 1
+    assert same > 100
+    tied = spark.createDataFrame([(k, "abcd " * 9, lang) for k, lang in enumerate(["zz", "aa"] * 20)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(tied).collect()} == {"aa"}  # a tie goes to the first
+
+
+def test_empty_tables_give_empty_results(spark):
+    empty = spark.createDataFrame([], SCHEMA + ", n_tokens int, spans string, toxic int")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert token_counts.count_tokens(empty, P.path("piece_bpe_32k.model")).collect() == []
+    assert secret_scan.digest(secret_scan.scan(empty)).collect() == [] and toxicity.score_documents(empty, labels).collect() == []
+
+
+def test_texts_of_20000_words_and_clashing_columns(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(20_000))
+    rows = [(1, long, "en", "s"), (2, long + " api_key = abcdefgh12345678", "en", "s"), (3, None, None, None), (4, "short", "en", "t")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("n_tokens", "spans", "base", "score", "size", "tie", "doc", "words"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    tokens = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()}
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert tokens == {d: len(library.encode(t or "")) for d, t, *_ in rows}
+    assert {r["doc_id"]: r["n_assign"] for r in secret_scan.digest(secret_scan.scan(docs)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs, labels).count() == 4
+
+
 def test_token_counts(docs):
     got = {r["doc_id"]: r for r in token_counts.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()}
     assert got[200]["n_tokens"] == got[201]["n_tokens"] == got[200]["n_bytes"] == 0 and got[202]["n_bytes"] == 5
