@@ -7,7 +7,8 @@ counts. Rates are then rounded into whole copies: a document's next copy is draw
 its identifier, lies under the fraction of its rate plus a shift, and the shift of each source is refined
 until the words drawn meet the target. Shorter documents then fill what is left, the largest that fit first, until
 in no source a document that could still be drawn is as short as what is left; one fold over the sizes of a
-source decides how many of each.
+source decides how many of each. Where a drawn document is a little shorter than the least one left, that one
+takes its place.
 
 Only DataFrame functions are used; sources live in a DataFrame, so their number is not bounded by the driver.
 One small row a source is ordered in one task, since targets follow the order of sources.
@@ -142,32 +143,43 @@ def shifts(rated: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
     return state.select("source", F.col("need").alias("gap"), F.col("low").alias("shift"))
 
 
-def fillings(open_: DataFrame) -> DataFrame:
-    """(source, size, n): how many documents of which size fill the gap of each source, from rows (source, size, gap).
+def fillings(open_: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(source, taken, given): how many documents of which size fill the gap of each source, as arrays of (size, n).
 
-    Sizes are taken from the largest that fits downward, of each as many documents as fit. So the gap falls below every
-    size of which a document is left. A source has at most as many sizes as words are missing, fewer than its longest
-    document has, and takes of at most sqrt(2 * gap) of them.
+    open_ has (source, size, gap) of the documents not drawn, drawn (source, size, place) of the others. Sizes are taken
+    from the largest that fits downward, of each as many documents as fit, so the gap falls below the least size that is
+    left. If a drawn document is shorter than that by at most the gap, the shortest such (size, place) is given for it.
+    A source has at most as many sizes as its longest document has words, and takes of at most sqrt(2 * gap) of them.
     """
-    sizes = open_.where(F.col("size") <= F.col("gap")).groupBy("source", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+    sizes = open_.groupBy("source", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
     sizes = sizes.groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
-    taken = lambda state, x: F.least(x["n"], F.floor(state["gap"] / x["size"]).cast("long"))
 
     def step(state: Column, x: Column) -> Column:
-        n = taken(state, x)
+        n = F.greatest(F.lit(0), F.least(x["n"], F.floor(state["gap"] / x["size"]).cast("long")))
         more = F.array(F.struct(x["size"].alias("size"), n.alias("n")))
-        return F.struct((state["gap"] - n * x["size"]).alias("gap"), F.when(n > 0, F.concat(state["t"], more)).otherwise(state["t"]).alias("t"))
-
-    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("t"))
-    return sizes.select("source", F.inline(F.aggregate("sizes", start, step)["t"]))
-
-
-def filled(rated: DataFrame, shift: DataFrame, limit: int) -> DataFrame:
-    """(source, size, until): documents not yet drawn with place <= until fill what is left."""
-    rows = _with(rated, shift).where((F.col("whole") < limit) & (F.col("size") > 0) & (F.col("place") >= F.col("shift")))
-    rows = written(rows.where(F.col("size") <= F.col("gap")).select("source", "size", "place", "gap"), "fitting")
-    wanted = written(fillings(rows).withColumnsRenamed({"source": "s", "size": "words"}), "fillings")
-    chosen = rows.join(wanted, _same("source", "s") & (F.col("size") == F.col("words"))).select("source", "size", "place", "n")
+        taken = F.when(n > 0, F.concat(state["t"], more)).otherwise(state["t"])
+        return F.struct((state["gap"] - n * x["size"]).alias("gap"), taken.alias("t"), F.when(n < x["n"], x["size"]).otherwise(state["least"]).alias("least"))
+
+    none = F.array().cast("array<struct<size:bigint,n:bigint>>")
+    start = F.struct(F.col("gap").alias("gap"), none.alias("t"), F.lit(None).cast("long").alias("least"))
+    state = sizes.select("source", F.aggregate("sizes", start, step).alias("f"))
+    held = drawn.groupBy("source", "size").agg(F.max("place").alias("place"))
+    held = held.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("size", "place"))).alias("drawn"))
+    both = state.join(held, _same("source", "s"), "left")
+    given = F.get(F.filter("drawn", lambda x: (x["size"] < F.col("f.least")) & (x["size"] >= F.col("f.least") - F.col("f.gap"))), 0)
+    both = both.withColumn("given", given)
+    last = F.when(F.col("given").isNotNull(), F.array(F.struct(F.col("f.least").alias("size"), F.lit(1).cast("long").alias("n")))).otherwise(none)
+    return both.select("source", F.concat("f.t", last).alias("taken"), "given")
+
+
+def filled(rated: DataFrame, shift: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(source, size, until): documents not yet drawn with place <= until fill what is left; and (source, given), a
+    document of each source that is drawn no more."""
+    rows = _with(rated, shift).where((F.col("whole") < limit) & (F.col("size") > 0)).select("source", "size", "place", "gap", (F.col("place") < F.col("shift")).alias("drawn"))
+    rows = written(rows, "fitting")
+    found = written(fillings(rows.where("NOT drawn"), rows.where("drawn")), "fillings")
+    wanted = found.select(F.col("source").alias("s"), F.inline("taken")).groupBy("s", F.col("size").alias("words")).agg(F.sum("n").alias("n"))
+    chosen = rows.where("NOT drawn").join(wanted, _same("source", "s") & (F.col("size") == F.col("words"))).select("source", "size", "place", "n")
     # the places up to the bin that holds the last one wanted, then their exact order
     bins = chosen.groupBy("source", "size", _bin(F.col("place"), F.lit(-1.0), F.lit(2.0)).alias("bin")).agg(F.count("*").alias("m"), F.first("n").alias("n"))
     run = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -176,7 +188,7 @@ def filled(rated: DataFrame, shift: DataFrame, limit: int) -> DataFrame:
     near = chosen.join(last, _same("source", "s") & (F.col("size") == F.col("words"))).where(_bin(F.col("place"), F.lit(-1.0), F.lit(2.0)) <= F.col("last"))
     ties = Window.partitionBy("source", "size").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
     fits = near.withColumn("upto", F.count("*").over(ties)).where(F.col("upto") <= F.col("n"))
-    return fits.groupBy("source", "size").agg(F.max("place").alias("until"))
+    return fits.groupBy("source", "size").agg(F.max("place").alias("until")), found.select("source", "given")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
@@ -197,9 +209,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rated = rated.withColumn("place", draw - (F.col("rate") - F.col("whole")))
     rated = written(rated.select("doc_id", "tie", "source", "size", "source_size", "target", "rate", "whole", "place"), "rates")
     shift = shifts(rated, wanted, limit)
-    until = written(filled(rated, shift, limit).select(_source_key("source").alias("source_key"), "size", "until"), "until")
-    rows = attach(_with(rated, shift).withColumn("source_key", _source_key("source")), until, ["source_key", "size"])
-    drawn = (F.col("whole") < limit) & (F.col("size") > 0) & ((F.col("place") < F.col("shift")) | F.coalesce(F.col("place") <= F.col("until"), F.lit(False)))
+    until, given = filled(rated, shift, limit)
+    until = written(until.select(_source_key("source").alias("source_key"), "size", "until"), "until")
+    moved = shift.join(given.withColumnRenamed("source", "s"), _same("source", "s"), "left").drop("s")
+    rows = attach(_with(rated, moved).withColumn("source_key", _source_key("source")), until, ["source_key", "size"])
+    fills = (F.col("place") >= F.col("shift")) & (F.col("place") <= F.col("until"))
+    gone = (F.col("size") == F.col("given.size")) & (F.col("place") == F.col("given.place"))
+    true = lambda c: F.coalesce(c, F.lit(False))
+    drawn = (F.col("whole") < limit) & (F.col("size") > 0) & (((F.col("place") < F.col("shift")) & ~true(gone)) | true(fills))
     out = rows.withColumn("copies", (F.col("whole") + drawn.cast("int")).cast("int"))
     return out.select("doc_id", "tie", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
 

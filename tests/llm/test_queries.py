@@ -124,15 +124,22 @@ def test_mixed_takes_no_row_more_often_than_the_cap(spark):
 def test_fillings_are_the_largest_that_fit(spark):
     rng = random.Random(6)
     rows = [(s, rng.randrange(1, 60), g) for s, g in (("a", 500), ("b", 7), (None, 90), ("d", 0)) for _ in range(40)]
-    got = {}
-    for r in mixing.fillings(spark.createDataFrame(rows, "source string, size long, gap double")).collect():
-        got.setdefault(r["source"], []).append((r["size"], r["n"]))
+    drawn = [(s, rng.randrange(1, 90), rng.random()) for s in ("a", "b", None) for _ in range(30)] + [("d", 5, 0.5), ("d", 3, 0.5)]
+    found = mixing.fillings(spark.createDataFrame(rows, "source string, size long, gap long"), spark.createDataFrame(drawn, "source string, size long, place double"))
+    got = {r["source"]: ([tuple(t) for t in r["taken"]], tuple(r["given"]) if r["given"] else None) for r in found.collect()}
     want = {}
-    for s, gap in (("a", 500), ("b", 7), (None, 90)):
-        for size, n in sorted(Counter(r[1] for r in rows if r[0] == s and r[1] <= gap).items(), reverse=True):
+    for s, gap in (("a", 500), ("b", 7), (None, 90), ("d", 0)):
+        taken, least, given = [], None, None
+        for size, n in sorted(Counter(r[1] for r in rows if r[0] == s).items(), reverse=True):
             if take := min(n, gap // size):
-                want.setdefault(s, []).append((size, take))
+                taken.append((size, take))
                 gap -= take * size
+            least = size if take < n else least
+        shorter = [r[1:] for r in drawn if r[0] == s and least - gap <= r[1] < least] if least else []
+        if shorter:
+            given = max(x for x in shorter if x[0] == min(shorter)[0])
+            taken.append((least, 1))
+        want[s] = (taken, given)
     assert got == want
 
 
