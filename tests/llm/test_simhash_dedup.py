@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, fingerprint string, fp long"
 
 def plain_print(text):
     """Bit by bit over all shingles."""
-    words = (text or "").lower().encode().split()
+    words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
     hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
