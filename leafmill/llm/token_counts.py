@@ -9,7 +9,7 @@ Texts are cut where no vocabulary entry spans the cut, so counts of pieces add u
 table of pieces seen by a worker process saves most merges.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows get equal rows; an empty
-table gives an empty result; only the named columns are read.
+table gives an empty result; very long texts are counted whole; only the named columns are read, so other columns don't clash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN_LIMIT = 4096
-#: Pieces whose counts a worker process remembers; the table starts anew when it is full.
+#: Pieces of at most 64 characters whose counts a worker process remembers; the table starts anew when it is full.
 REMEMBERED = 1_000_000
 SPACE = "▁"
 
