@@ -111,8 +111,8 @@ def _streamed(spark: SparkSession, rows: DataFrame, run, files: int = 2) -> Data
     """What a stream over rows, read a file at a time, has appended at its end."""
     src, out = folder(spark, "lines"), folder(spark, "stream")
     rows.repartition(files).write.parquet(src)
-    SF.with_state_store(spark)
-    ST.append_to(run(ST.read_parquet(spark, src, rows.schema, 1)), out, folder(spark, "checkpoint")).awaitTermination()
+    with SF.state_store(spark):
+        ST.append_to(run(ST.read_parquet(spark, src, rows.schema, 1)), out, folder(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -202,5 +202,5 @@ def classifier_accuracy(spark, d):
 
 @register()
 def classifier_margin(spark, d):
-    """The same for brands alone, by a linear support vector machine for each code."""
-    return _predicted(spark, d, F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("-code")), "svc")
+    """The same for types alone, by a linear support vector machine for each code."""
+    return _predicted(spark, d, F.concat("p_type", F.lit("-1")), "svc")

@@ -5,12 +5,13 @@ only a mark, so that replays within the idle time give nothing; when the waterma
 state go. A key that never finishes gives one row saying so, and goes too. So the state holds what is open or was
 closed within the idle time, however long the stream runs.
 
-The queries run in append mode and need the RocksDB state store (`with_state_store`).
+The queries run in append mode and need the RocksDB state store (`state_store`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,19 @@ IDLE = "10 minutes"
 MS = "unix_millis(ts) AS ms"  # timers count in these
 
 
-def with_state_store(spark: SparkSession) -> None:
-    """Let the streams that start from now on keep their state in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's own setting comes back at the end."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STORE)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def milliseconds(interval: str) -> int:

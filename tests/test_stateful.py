@@ -14,9 +14,8 @@ TOKENS = "session long, seq long, token string, type string, citations array<str
 
 @pytest.fixture(autouse=True)
 def store(spark):
-    S.with_state_store(spark)
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with S.state_store(spark):
+        yield
 
 
 def at(minute, second=0):
