@@ -5,7 +5,7 @@ cut the id lists into groups; within a group each pair of tokens whose byte rang
 
 Texts are cut where both tokenizers always cut (before a blank that follows a letter, digit or ASCII mark), so
 the alignment of a text is that of its pieces one after the other, and a worker remembers pieces. Texts are worked
-on in slices of about SLICE bytes. A slice is a row of a written table: the pieces of each text as indexes, what each
+on in slices of about SLICE characters. A slice is a row of a written table: the pieces of each text as indexes, what each
 piece consists of once, and how often each pair of ids is linked in the slice. Counts of pairs over the corpus are an
 aggregate over slices; each slice gets back the counts of its own pairs, so nothing that grows with the corpus is
 broadcast or held by one task, and no text is encoded twice.
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm._session import written
 
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Characters of a text that are cut into pieces at once.
 STRETCH = 1 << 20
 #: Pieces of each of the two generations that a worker remembers.
-REMEMBERED = 120_000
+REMEMBERED = 100_000
 ROW = 50  # pieces that are encoded as one text
 _CUT = re.compile(r"(?<=[\w!-~])(?= .)", re.S)
 _PLAIN = re.compile(r"(?s).*[\w!-~]")
