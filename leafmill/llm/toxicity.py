@@ -4,8 +4,10 @@ Two zstandard dictionaries are trained with its dictionary builder, one on toxic
 ordinary one is trained on windows of ordinary texts. The toxic one is the same content followed by what the
 builder finds in samples of toxic text: of each toxic text the words whose document frequency is higher among
 toxic texts than chance explains (a likelihood ratio). Text that both classes share is so compressed alike by
-both, and the distance of a window (WINDOW words), its compressed length under the ordinary dictionary less that
-under the toxic one, comes from toxic passages: words, parts of words, phrases, digits, in any script.
+both, and the distance of a window (WINDOW words, one window from each word on), its compressed length under the
+ordinary dictionary less that under the toxic one, comes from toxic passages: words, parts of words, phrases, digits, in
+any script. A window that shares no run of GRAM bytes (the builder's own unit) with what the toxic dictionary adds has
+distance 0 and is not compressed; runs are looked up as hashes of GRAM_BITS bits.
 
 A calibrated logistic model over a text's window distances (the largest ones, and how many windows reach each
 of the thresholds in CUTS) gives the score.
@@ -45,6 +47,8 @@ LEAST_RATIO = 12.0  # of twice the log likelihood
 COMMON_BYTES, TOXIC_BYTES = 65_536, 4_096
 MIN_TRAIN = 8  # samples; the builder needs some
 SEGMENT, GRAM = 16, 6  # bytes: what the builder picks, and the runs that it counts
+GRAM_BITS = 20
+SLICE = 100_000  # words
 LEVEL, MIN_MATCH = 12, 3
 THRESHOLD = 0.3
 CUTS = (3, 4, 5, 6, 7, 8, 10)
@@ -61,9 +65,21 @@ def _single(text: str | None) -> list[bytes]:
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The text in lower case as windows of WINDOW words."""
+    """The text in lower case as windows of WINDOW words, one from each word on; the last ones are shorter."""
     words = _single(text)
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(len(words))]
+
+
+def grams(data: bytes) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on."""
+    flat = np.frombuffer(data, np.uint8)
+    n = len(flat) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    packed = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        packed = packed << np.uint64(8) | flat[i : i + n]
+    return (packed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -83,10 +99,12 @@ def trained(samples: list[bytes], size: int) -> bytes:
 
 
 class Distance:
-    """Window distances of whole texts; remembers those of windows."""
+    """Window distances of whole texts; remembers those of windows. The toxic dictionary starts with the ordinary one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
         self._sides = [self._compressor(ordinary), self._compressor(toxic)]
+        self._added = np.zeros(1 << GRAM_BITS, bool)
+        self._added[grams(toxic[len(ordinary) :])] = True
         self._seen: dict[bytes, int] = {}
 
     @staticmethod
@@ -101,29 +119,66 @@ class Distance:
         held.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
+    def _slices(self, texts: list[str | None]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """About SLICE words at a time: their bytes, and the text, start and end of each window in them."""
+        parts, owners, counts, words = [], [], [], []
+        size = 0
+        for k, text in enumerate(texts):
+            found = _single(text)
+            for at in range(0, len(found), SLICE):
+                part = found[at : at + SLICE + WINDOW - 1]  # the last windows of a slice end in the next one
+                parts.append(b" " + b" ".join(part) + b" ")
+                owners.append(k)
+                words.append(len(part))
+                counts.append(min(SLICE, len(found) - at))
+                size += len(part)
+                if size >= SLICE:
+                    yield self._placed(parts, owners, counts, words)
+                    parts, owners, counts, words, size = [], [], [], [], 0
+        if parts:
+            yield self._placed(parts, owners, counts, words)
+
+    @staticmethod
+    def _placed(parts: list[bytes], owners: list[int], counts: list[int], words: list[int]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        data = b"".join(parts)
+        blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)  # one before each word and one behind the last of a part
+        n, words = np.array(counts), np.array(words)
+        first = np.cumsum(words + 1) - (words + 1)
+        index = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        behind = np.minimum(index + WINDOW, np.repeat(first + words, n))
+        return data, np.repeat(np.array(owners), n), blanks[index], blanks[behind] + 1
+
+    def _distances(self, new: list[bytes]) -> list[int]:
+        padded = [w + PAD for w in new]
+        ordinary, toxic = (side.multi_compress_to_buffer(padded, threads=0) for side in self._sides)
+        return [len(a) - len(b) for a, b in zip(ordinary, toxic, strict=True)]
+
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """One row a text; the windows of all these texts are compressed together, equal ones once."""
-        split = [windows(t) for t in texts]
-        need = set().union(*split)
-        new = [w for w in need if w not in self._seen]
-        if len(self._seen) + len(new) > REMEMBERED:
-            self._seen, new = {}, list(need)
-        seen = self._seen
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            padded = [w + PAD for w in part]
-            ordinary, toxic = (side.multi_compress_to_buffer(padded, threads=0) for side in self._sides)
-            seen.update(zip(part, (len(a) - len(b) for a, b in zip(ordinary, toxic, strict=True)), strict=True))
-        out = np.zeros((len(texts), N_FEATURES))
-        for row, found in zip(out, split, strict=True):
-            if found:
-                d = np.array([seen[w] for w in found])
-                best = np.partition(d, -2)[:-3:-1] if len(d) > 1 else d[[0, 0]]
-                over = np.array([np.count_nonzero(d >= cut) for cut in CUTS])
-                row[:] = np.concatenate([np.minimum(best, TOP), [np.log1p(len(d))], np.log1p(over), np.sqrt(over / len(d))])
-        if len(seen) > REMEMBERED:  # one very long text
-            self._seen = {}
-        return out
+        """One row a text; equal windows are compressed once."""
+        n = np.zeros(len(texts))
+        owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for data, owner, start, end in self._slices(texts):
+            n += np.bincount(owner, minlength=len(texts))
+            shared = np.concatenate([[0], np.cumsum(self._added[grams(data)])])
+            before, behind = (np.minimum(at, len(shared) - 1) for at in (start, np.maximum(end - GRAM + 1, start)))
+            met = np.flatnonzero(shared[behind] > shared[before])
+            held = [data[a:b] for a, b in zip(start[met].tolist(), end[met].tolist(), strict=True)]
+            new = list(dict.fromkeys(w for w in held if w not in self._seen))
+            if len(self._seen) + len(new) > REMEMBERED:
+                self._seen, new = {}, list(dict.fromkeys(held))
+            for at in range(0, len(new), 10_000):
+                part = new[at : at + 10_000]
+                self._seen.update(zip(part, self._distances(part), strict=True))
+            owners.append(owner[met])
+            found.append(np.array([self._seen[w] for w in held], np.int64))
+        owner, d = np.concatenate(owners), np.maximum(0, np.concatenate(found))
+        order = np.lexsort((-d, owner))
+        owner, d = owner[order], d[order]
+        place = np.arange(len(d)) - np.searchsorted(owner, owner)
+        best = np.zeros((len(texts), 2))
+        best[owner[place < 2], place[place < 2]] = d[place < 2]
+        over = np.stack([np.bincount(owner[d >= cut], minlength=len(texts)) for cut in CUTS], axis=1)
+        return np.c_[np.minimum(best, TOP), np.log1p(n), np.log1p(over), np.sqrt(over / np.maximum(n, 1)[:, None])]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 40) -> np.ndarray:
@@ -159,13 +214,13 @@ def _toxic_samples(known: frozenset[bytes]) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _ordinary_windows(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A share of all windows, chosen by a hash of window and place."""
+    """A share of all windows that don't overlap, chosen by a hash of window and place."""
     limit = int(share * 2**32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column("text"):
-                found = [w for i, w in enumerate(windows(t.as_py())) if zlib.crc32(w, i) < limit]
+                found = [w for i, w in enumerate(windows(t.as_py())[::WINDOW]) if zlib.crc32(w, i) < limit]
                 yield pa.RecordBatch.from_pydict({"sample": pa.array(found, pa.binary())})
 
     return run

@@ -112,7 +112,27 @@ def test_distances_tell_the_dictionaries_apart():
     found = d.features(["such wretchedness bard kest", "bard kest bird most", "good 5511 1 2", None, " ", "a" * 200_000])
     assert found[0][0] >= 6 > found[1][0] and found[2][0] >= 3  # phrases and digits tell as words do
     assert not found[3].any() and not found[4].any() and len(d._seen) < toxicity.REMEMBERED
-    assert toxicity.windows("A b\nC d") == [b" a b c ", b" d "]
+    assert toxicity.windows("A b\nC d") == [b" a b ", b" b c ", b" c d ", b" d "]
+
+
+@pytest.mark.parametrize("size", [3, 7, 100_000])
+def test_features_equal_plain_loops_over_windows(monkeypatch, size):
+    monkeypatch.setattr(toxicity, "SLICE", size)
+    rng = random.Random(5)
+    vocabulary = ["bard", "kest", "wretchedness", "wretch", "no", "good", "5511", "é", "x" * 40]
+    texts = [" \n".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))) for _ in range(60)] + [None, "", " \t", "no", "x"]
+    common = b" bard kest good no bard most kest "
+    d = toxicity.Distance(common, common + b" wretchedness no good 5511 ")
+    added = set(toxicity.grams(b" wretchedness no good 5511 ").tolist())
+    got = d.features(texts)
+    assert len(got) == len(texts)
+    for row, text in zip(got, texts, strict=True):
+        found = toxicity.windows(text)
+        plain = sorted((max(0, d._distances([w])[0]) if added & set(toxicity.grams(w).tolist()) else 0 for w in found), reverse=True)
+        over = np.array([sum(x >= cut for x in plain) for cut in toxicity.CUTS])
+        best = [min(x, toxicity.TOP) for x in (plain + [0, 0])[:2]]
+        assert np.allclose(row, [*best, np.log1p(len(found)), *np.log1p(over), *np.sqrt(over / max(1, len(found)))])
+    assert got[:, 0].max() >= 6
 
 
 def test_pieces_keep_whole_texts():
