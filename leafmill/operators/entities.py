@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from leafmill.functions.text import annotation, compact_code, entity_candidate, normalize_code
 from leafmill.operators.patterns import mentions, with_mentions
+from leafmill.operators.sized import is_small, shuffled
 
 ACCEPT = 0.55
 FUZZY_LEAST = 0.7
@@ -50,13 +51,15 @@ def containment(tokens: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, code): the longest code that contains the token or is part of it, else the same by compact forms.
 
     Candidates share a 3-gram, or a 1- or 2-gram that is the whole code or token: equalities that Spark can hash.
-    Codes first by length, then by name. Empty tokens and codes match nothing.
+    Codes first by length, then by name. Empty tokens and codes match nothing. Equal tokens are matched once.
     """
-    plain = _contained(tokens.select("id", F.lower("token").alias("t")), catalog.select("code", F.lower("code").alias("c")))
-    compact = _contained(tokens.select("id", compact_code(F.col("token")).alias("t")), catalog.select("code", compact_code(F.col("code")).alias("c")))
+    texts = tokens.where("token IS NOT NULL").select("token").distinct().select(F.col("token").alias("id"), "token")
+    plain = _contained(texts.select("id", F.lower("token").alias("t")), catalog.select("code", F.lower("code").alias("c")))
+    compact = _contained(texts.select("id", compact_code(F.col("token")).alias("t")), catalog.select("code", compact_code(F.col("code")).alias("c")))
     pairs = plain.withColumn("tier", F.lit(0)).unionByName(compact.withColumn("tier", F.lit(1)))
     w = Window.partitionBy("id").orderBy("tier", F.length("code").desc(), "code")
-    return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "code")
+    found = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("id").alias("token"), "code")
+    return tokens.join(F.broadcast(found) if is_small(texts) else shuffled(found), "token").select("id", "code")
 
 
 def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -69,9 +72,9 @@ def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
     def within(inner: DataFrame, small: str, outer: DataFrame, big: str) -> DataFrame:
         all_grams = side(outer, 3, 3, big)
         often = all_grams.groupBy("g").agg(F.count("*").alias("df"))
-        own = side(inner.where(F.length(small) >= 3), 3, 3, small).join(often, "g", "left")  # a gram that no outer text has ends the search
+        own = side(inner.where(F.length(small) >= 3), 3, 3, small).join(shuffled(often), "g", "left")  # a gram that no outer text has ends the search
         rare = own.groupBy(*inner.columns).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))["g"].alias("g"))
-        return rare.join(all_grams, "g").where(F.instr(F.col(big), F.col(small)) > 0).select("id", "code")
+        return rare.join(shuffled(all_grams), "g").where(F.instr(F.col(big), F.col(small)) > 0).select("id", "code")
 
     short = known.where(F.length("c") < 3).groupBy("c").agg(F.min_by("code", F.struct(-F.length("code"), "code")).alias("code"))
     inside = side(asked, 1, 2, "t").join(short.withColumnRenamed("c", "g"), "g")
@@ -178,14 +181,18 @@ def fuzzy(tokens: DataFrame, catalog: DataFrame, least: float = FUZZY_LEAST) ->
 
 
 def tfidf_fit(catalog: DataFrame, low: int = 2, high: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(gram, df, idf) and (cat_id, gram, weight): L2-normalised weights of catalog names (cat_id, name)."""
-    counts = catalog.select("cat_id", F.explode(grams(F.col("name"), low, high)).alias("gram")).groupBy("cat_id", "gram").agg(F.count("*").alias("tf"))
-    total = catalog.agg(F.count("*").alias("n"))  # one row
-    df = counts.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
+    """(gram, df, idf) and (cat_id, gram, weight): L2-normalised weights of catalog names (cat_id, name).
+
+    A column n, if there is one, says how many entries have the name; they count in df and idf.
+    """
+    catalog = catalog.select("cat_id", "name", F.col("n") if "n" in catalog.columns else F.lit(1).cast("long").alias("n"))
+    counts = catalog.select("cat_id", "n", F.explode(grams(F.col("name"), low, high)).alias("gram")).groupBy("cat_id", "gram").agg(F.count("*").alias("tf"), F.max("n").alias("times"))
+    total = catalog.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))  # one row
+    df = counts.groupBy("gram").agg(F.sum("times").alias("df")).crossJoin(F.broadcast(total))
     vocabulary = df.select("gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(vocabulary, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = counts.drop("times").join(shuffled(vocabulary), "gram").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("cat_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return vocabulary, weighted.join(norms, "cat_id").select("cat_id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    return vocabulary, weighted.join(shuffled(norms), "cat_id").select("cat_id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def _rare_grams(weights: DataFrame, often: DataFrame, key: str, accept: float) -> DataFrame:
@@ -195,7 +202,7 @@ def _rare_grams(weights: DataFrame, often: DataFrame, key: str, accept: float) -
     left out: what they add to any cosine stays under it. So two vectors as close as that have their rarest common gram
     among these on both sides.
     """
-    ranked = weights.join(often, "gram")
+    ranked = weights.join(shuffled(often), "gram")
     mass = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key).orderBy(F.desc("df"), "gram"))
     return ranked.withColumn("mass", mass).where(F.col("mass") >= accept * accept - 1e-9).select(key, "gram", "weight")
 
@@ -205,15 +212,15 @@ def cosine_candidates(asked: DataFrame, index: DataFrame, vocabulary: DataFrame,
     often = vocabulary.select("gram", "df")
     left = _rare_grams(asked, often, "token", accept).select("token", "gram")
     right = _rare_grams(index, often, "cat_id", accept).select("cat_id", "gram")
-    return left.join(right, "gram").select("token", "cat_id").distinct()
+    return left.join(shuffled(right), "gram").select("token", "cat_id").distinct()
 
 
 def token_vectors(texts: DataFrame, vocabulary: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     """(token, gram, weight) of distinct tokens (token), of norm 1 over the grams that the vocabulary has."""
     counts = texts.select("token", F.explode(grams(F.col("token"), low, high)).alias("gram")).groupBy("token", "gram").agg(F.count("*").alias("tf"))
-    weighted = counts.join(vocabulary, "gram").select("token", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = counts.join(shuffled(vocabulary), "gram").select("token", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("token").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "token").select("token", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    return weighted.join(shuffled(norms), "token").select("token", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def tfidf_nearest(tokens: DataFrame, vocabulary: DataFrame, index: DataFrame, accept: float = ACCEPT, low: int = 2, high: int = 4) -> DataFrame:
@@ -222,13 +229,14 @@ def tfidf_nearest(tokens: DataFrame, vocabulary: DataFrame, index: DataFrame, ac
     A thresholded join: pairs meet by their rare grams alone, frequent grams only add to the pairs found. Equal tokens
     are scored once.
     """
-    asked = token_vectors(tokens.select("token").distinct(), vocabulary, low, high)
+    texts = tokens.select("token").distinct()
+    asked = token_vectors(texts, vocabulary, low, high)
     pairs = cosine_candidates(asked, index, vocabulary, accept)
-    both = pairs.join(asked, "token").join(index.withColumnRenamed("weight", "v"), ["cat_id", "gram"])
+    both = pairs.join(shuffled(asked), "token").join(shuffled(index.withColumnRenamed("weight", "v")), ["cat_id", "gram"])
     scored = both.groupBy("token", "cat_id").agg(F.round(F.sum(F.col("weight") * F.col("v")), 6).alias("score"))
     best = scored.groupBy("token").agg(F.min_by(F.struct("cat_id", "score"), F.struct(-F.col("score"), "cat_id")).alias("b"))
     near = best.select("token", "b.cat_id", "b.score").where(F.col("score") > accept)
-    return tokens.join(near, "token").select("id", "cat_id", "score")
+    return tokens.join(F.broadcast(near) if is_small(texts) else shuffled(near), "token").select("id", "cat_id", "score")
 
 
 def apply_corrections(docs: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
@@ -338,20 +346,21 @@ def resolve_entities(docs: DataFrame, catalog: DataFrame, key: str, text: str =
     """Predictions (key, line_no, cell_no, text, code, name, type, confidence) and the annotated (key, text).
 
     catalog has (cat_id, code, type, name, meaning, timing). A token that may be an entity is looked up by its
-    exact code, else by the nearest name above `accept`; the term found takes its place, with the annotation.
+    exact code, else by the nearest name above `accept`; the term found takes its place, with the annotation. Equal
+    names are one entry of the index, which stands for the first of them and weighs as many.
     """
     cells = entity_cells(docs, key, text)
     upper = F.upper(F.trim("code"))
     exact = catalog.groupBy(upper.alias("upper")).agg(F.min("cat_id").alias("exact_id"))
-    tokens = cells.where("token IS NOT NULL").select("token").distinct().withColumn("upper", F.upper("token")).join(exact, "upper", "left")
+    tokens = cells.where("token IS NOT NULL").select("token").distinct().withColumn("upper", F.upper("token")).join(shuffled(exact), "upper", "left")
     asked = tokens.where(entity_candidate(F.col("token"), F.col("exact_id").isNotNull()))
-    names = catalog.where("name IS NOT NULL").select("cat_id", "name")
+    names = catalog.where("name IS NOT NULL").groupBy("name").agg(F.min("cat_id").alias("cat_id"), F.count("*").alias("n"))
     near = tfidf_nearest(asked.where("exact_id IS NULL").select(F.col("token").alias("id"), "token"), *tfidf_fit(names), accept)
     found = asked.where("exact_id IS NOT NULL").select("token", F.col("exact_id").alias("cat_id"), F.lit(1.0).alias("score"))
-    found = found.unionByName(near.select(F.col("id").alias("token"), "cat_id", "score")).join(catalog, "cat_id")
+    found = found.unionByName(near.select(F.col("id").alias("token"), "cat_id", "score")).join(shuffled(catalog), "cat_id")
     known = found.select("token", "code", F.coalesce("name", "meaning", F.lit("")).alias("name"), "type", "score", F.coalesce("name", "meaning", "token").alias("term"),
                          annotation(F.col("code"), F.col("type"), F.col("name"), F.col("meaning"), F.col("timing")).alias("mark"))
-    judged = cells.join(known, "token", "left")
+    judged = cells.join(shuffled(known), "token", "left")
     rows = judged.where("code IS NOT NULL").select(key, "line_no", "cell_no", F.col("token").alias("text"), "code", "name", "type", F.format_number("score", 2).alias("confidence"))
     in_cell = F.concat(F.lit(" "), "term", F.lit(" "), "mark", F.lit(" "))
     in_line = F.concat(F.replace("raw", "token", "term"), F.lit(" "), "mark")

@@ -137,3 +137,25 @@ def test_chain_asks_each_tier_for_what_is_open(spark):
     got = {r["id"]: (r["code"], r["tier"]) for r in rows}
     assert got == {0: ("OD", "exact"), 1: ("B-D", "compact"), 2: ("after meals", "containment"), 3: ("OD", "classifier"), 4: ("twice daily", "fuzzy"), 5: (None, None), 6: (None, None), 7: ("OD", "exact")}
     assert "od" not in asked and "guess" in asked
+
+
+def test_equal_tokens_are_contained_once(spark, monkeypatch):
+    asked, plain = [], E._contained
+    monkeypatch.setattr(E, "_contained", lambda tokens, known: asked.append(tokens.count()) or plain(tokens, known))
+    tokens = spark.createDataFrame([(i, ["xx alpha yy", "alph", "zzz", None][i % 4]) for i in range(80)], "id long, token string")
+    got = E.containment(tokens, spark.createDataFrame([("Alpha",), ("Beta",)], "code string")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, "Alpha") for i in range(80) if i % 4 < 2] and asked == [3, 3]
+
+
+def test_equal_names_are_one_entry_that_weighs_as_many(spark, monkeypatch):
+    fitted, plain = [], E.tfidf_fit
+    monkeypatch.setattr(E, "tfidf_fit", lambda names: fitted.append(names) or plain(names))
+    names = ["red ring", "red ring", "blue bolt", "red ring", "old plate"]
+    rows = [(i, f"ITEM{i}", "ITEM", n, None, None) for i, n in enumerate(names)]
+    catalog = spark.createDataFrame(rows, "cat_id long, code string, type string, name string, meaning string, timing string")
+    docs = spark.createDataFrame([(1, "- red ring 5x\n- blue bolt 5x")], "id long, text string")
+    got = {r["text"]: (r["code"], r["confidence"]) for r in E.resolve_entities(docs, catalog, "id")[0].collect()}
+    every = catalog.select("cat_id", "name")
+    tokens = spark.createDataFrame([("red ring 5x", "red ring 5x"), ("blue bolt 5x", "blue bolt 5x")], "id string, token string")
+    want = {r["id"]: (f"ITEM{r['cat_id']}", f"{r['score']:.2f}") for r in E.tfidf_nearest(tokens, *plain(every)).collect()}
+    assert got == want and len(got) == 2 and fitted[0].count() == 3
