@@ -87,14 +87,15 @@ class TokenAssembly(Ending):
     """The tokens of one session, put in order as they come.
 
     Tokens wait in a reorder buffer for the number that is missing; those in order are kept as text. The `done` row
-    carries the number of tokens. The session is whole when it is there and no number is missing.
+    carries the number of tokens. The session is whole when it is there, no number is missing and the citations have
+    come, which may be last. A session without citations waits for them until it is idle.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self._next = handle.getValueState("next", "seq long")
         self._said = handle.getListState("said", "text string")
-        self._waiting = handle.getMapState("waiting", "seq long", "token string")
+        self._waiting = handle.getListState("waiting", "seqs array<long>, tokens array<string>")
         self._cited = handle.getValueState("cited", "seq long, citations array<string>")
         self._count = handle.getValueState("count", "n long")
 
@@ -113,32 +114,32 @@ class TokenAssembly(Ending):
             return
         held = self._next.get()
         start = at = held[0] if held else 0
-        had = self._waiting.exists()
+        waiting = {}  # the whole buffer in few calls
+        for seqs, tokens in self._waiting.get() if held or self._ends.exists() else ():
+            waiting.update(zip(seqs, tokens, strict=True))
+        rest = {seq: token for seq, token in (waiting | fresh).items() if seq >= at}
         run = []
-        while True:
-            if at in fresh:
-                run.append(fresh.pop(at))
-            elif had and self._waiting.containsKey((at,)):
-                run.append(self._waiting.getValue((at,))[0])
-                self._waiting.removeKey((at,))
-            else:
-                break
+        while at in rest:
+            run.append(rest.pop(at))
             at += 1
-        for seq, token in fresh.items():
-            if seq > at:
-                self._waiting.updateValue((seq,), (token,))
+        if run and waiting:
+            self._waiting.clear()
+        added = rest if run else {seq: token for seq, token in rest.items() if waiting.get(seq) != token}
+        if added:
+            self._waiting.appendValue((list(added), list(added.values())))
         if run:
             self._said.appendValue((" ".join(run),))
         if at != start:
             self._next.update((at,))
-        if cited is not None and not self._cited.exists():
+        known = self._cited.exists()
+        if cited is not None and not known:
             self._cited.update(cited)
         if count is None:
-            known = self._count.get()
-            count = known[0] if known else None
+            said = self._count.get()
+            count = said[0] if said else None
         else:
             self._count.update((count,))
-        whole = count is not None and at >= count
+        whole = count is not None and at >= count and (known or cited is not None)
         if whole:
             yield self._row(key, True)
             self.forget()
@@ -149,7 +150,8 @@ class TokenAssembly(Ending):
         return Row(session=key[0], text=" ".join(r[0] for r in self._said.get()), citations=list(cited[1]) if cited else [], ended=ended)
 
     def unfinished(self, key) -> Iterator[Row]:
-        yield self._row(key, False)
+        count, at = self._count.get(), self._next.get()
+        yield self._row(key, bool(count and (at[0] if at else 0) >= count[0]))
 
     def forget(self) -> None:
         for state in (self._next, self._said, self._waiting, self._cited, self._count):
@@ -160,6 +162,7 @@ def assembled(tokens: DataFrame, late: str = IDLE, idle: str = IDLE) -> DataFram
     """(session, text, citations, ended) of a stream of tokens (session, seq, token, type, citations, ts), once a session.
 
     ended is false for sessions whose `done` or tokens didn't come within the idle time: they give what was in order.
+    Sessions without citations are given once they are idle, since citations may be the last to come.
     Rows without a session or time are left out; of several tokens of one number in a batch the highest counts.
     """
     rows = tokens.where("session IS NOT NULL AND ts IS NOT NULL").select("session", "seq", "token", "type", "citations", "ts", F.expr(MS)).withWatermark("ts", late)

@@ -56,6 +56,13 @@ def test_token_streams_append_each_session_once(spark, tmp_path):
     assert state[-1] < max(state) and state[-1] <= 4  # what is left is of the last session alone
 
 
+def test_citations_may_come_last(spark, tmp_path):
+    batches = [[(1, 0, "a", "token", None, at(0)), (1, 1, None, "done", None, at(0)), (2, 0, "b", "token", None, at(0)), (2, 1, None, "done", None, at(0))],
+               [(1, -1, None, "citations", ["[1]"], at(1))], [(3, 0, None, "done", None, at(300))], [(4, 0, None, "done", None, at(300))]]
+    got, _ = played(spark, tmp_path, batches, TOKENS, lambda s: S.assembled(s, "30 minutes", "60 minutes"), "tokens")
+    assert sorted((r[0], r[1], list(r[2]), r[3]) for r in got) == [(1, "a", ["[1]"], True), (2, "b", [], True)]
+
+
 def test_jobs_complete_once_over_restarts(spark, tmp_path):
     schema = "job string, page int, total int, t string"
     pages = [(j, p, n, at(k)) for k, (j, n) in enumerate([("a", 3), ("b", 1), ("c", 70)]) for p in range(1, n + 1)]
