@@ -12,6 +12,7 @@ from leafmill.operators.entities import grams
 
 WIDTH = 4_096  # of the hashed n-gram counts
 STEPS = 20
+TASK_ROWS = 20_000  # spellings that a task learns from in each step
 
 
 def _counted(rows: DataFrame, text: str, low: int, high: int) -> DataFrame:
@@ -23,8 +24,10 @@ def fit(spellings: DataFrame, kind: str = "logistic", low: int = 2, high: int =
     """A model from (code, variant). kind is `logistic` or `svc`; both learn on the cluster."""
     if kind not in ("logistic", "svc"):
         raise ValueError(f"no classifier of kind {kind}")
-    rows = _counted(spellings.where("code IS NOT NULL"), "variant", low, high)
-    learner = LogisticRegression(maxIter=STEPS) if kind == "logistic" else OneVsRest(classifier=LinearSVC(maxIter=STEPS, regParam=0.01))
+    named = spellings.where("code IS NOT NULL")
+    # every step runs a task for each part, so there are no more parts than the rows need
+    rows = _counted(named.repartition(max(1, -(-named.count() // TASK_ROWS))), "variant", low, high)
+    learner = LogisticRegression(maxIter=STEPS) if kind == "logistic" else OneVsRest(classifier=LinearSVC(maxIter=STEPS, regParam=0.01), parallelism=4)
     index = StringIndexer(inputCol="code", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     steps: list[Transformer] = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=WIDTH), IDF(inputCol="tf", outputCol="features"), learner]
     learned = Pipeline(stages=steps).fit(index.transform(rows))

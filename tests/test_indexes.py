@@ -159,3 +159,10 @@ def test_classifier_inputs(spark):
     assert got[1] == "OD" and got[2] == "BD" and got[3] is None and len(got) == 4
     with pytest.raises(ValueError):
         C.fit(known, "other")
+
+
+def test_classifier_steps_run_no_more_tasks_than_rows_need(spark, monkeypatch):
+    parts, plain = [], C._counted
+    monkeypatch.setattr(C, "_counted", lambda rows, *rest: parts.append(rows.rdd.getNumPartitions()) or plain(rows, *rest))
+    C.fit(spark.createDataFrame([("OD", "od"), ("BD", "bd")] * 8, "code string, variant string").repartition(16))
+    assert parts == [1]
