@@ -27,47 +27,64 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def table_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, table_start, row_no, pos, line, cells) of all tables; row 0 is the header, rules are left out.
+def tables(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, table_start, rows): one row a table, its rows as structs (pos, line); the first is the header, rules are left out.
 
-    A table starts at a row whose next line is a rule and goes on over rows with bars; text with bars
-    before the header is not part of it.
+    A table starts at a row whose next line is a rule and goes on over rows with bars; text with bars before the header
+    is not part of it. Each document is read by itself: no line is sorted or shuffled.
     """
-    in_order = Window.partitionBy(key).orderBy("pos")
-    rows = lines(docs, key, text).withColumn("bar", F.col("line").contains("|"))
-    rows = rows.withColumn("rule", is_separator(F.col("line")))
-    head = F.col("bar") & ~F.col("rule") & F.coalesce(F.lead("rule").over(in_order), F.lit(False))
-    rows = rows.withColumn("head", head).withColumn("run", F.sum((~F.col("bar")).cast("int")).over(in_order))
-    run = Window.partitionBy(key, "run")
-    rows = rows.where("bar").withColumn("table_start", F.min(F.when(F.col("head"), F.col("pos"))).over(run))
-    rows = rows.where((F.col("pos") >= F.col("table_start")) & ~F.col("rule"))
-    number = F.row_number().over(Window.partitionBy(key, "table_start").orderBy("pos")) - 1
-    return rows.select(key, "table_start", number.alias("row_no"), "pos", "line", cells(F.col("line")).alias("cells"))
+    cut = docs.where(F.col(text).isNotNull()).select(key, F.split(text, "\n").alias("_l"))
+    plain = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: ~F.contains(F.get("_l", i), F.lit("|")))
+    cut = cut.select(key, "_l", F.concat(F.array(F.lit(-1)), plain, F.array(F.size("_l"))).alias("_b"))  # lines without bar
+    after = lambda k: F.get("_b", k + 1)
+    wide = F.filter(F.sequence(F.lit(0), F.size("_b") - 2), lambda k: after(k) - F.get("_b", k) > 1)
+    run = lambda k: F.struct(
+        (F.get("_b", k) + 1).alias("_start"), F.slice("_l", F.get("_b", k) + 2, after(k) - F.get("_b", k) - 1).alias("_lines"), F.coalesce(is_separator(F.get("_l", after(k))), F.lit(False)).alias("_next")
+    )
+    runs = cut.select(key, F.inline(F.transform(wide, run)))
+    runs = runs.select(key, "_start", "_lines", F.array_append(F.transform("_lines", is_separator), F.col("_next")).alias("_rules"))
+    heads = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_rules", i) & F.get("_rules", i + 1))
+    runs = runs.withColumn("_head", F.array_min(heads)).where("_head IS NOT NULL")
+    numbered = F.transform("_lines", lambda x, i: F.struct((F.col("_start") + i).alias("pos"), x.alias("line")))
+    # no lambda names _head: Spark would find the header anew for each line
+    kept = F.filter(F.slice(numbered, F.col("_head") + 1, F.size("_lines")), lambda r: ~is_separator(r["line"]))
+    return runs.select(key, (F.col("_start") + F.col("_head")).alias("table_start"), kept.alias("rows"))
+
+
+def table_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, table_start, row_no, pos, line, cells) of all tables; row 0 is the header, rules are left out."""
+    rows = tables(docs, key, text).select(key, "table_start", F.posexplode("rows").alias("row_no", "r"))
+    return rows.select(key, "table_start", "row_no", "r.pos", "r.line", cells(F.col("r.line")).alias("cells"))
 
 
 def table_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, table_start, n_rows, n_columns)."""
-    rows = table_rows(docs, key, text)
-    return rows.groupBy(key, "table_start").agg((F.count("*") - 1).alias("n_rows"), F.max(F.size("cells")).alias("n_columns"))
+    widths = F.transform("rows", lambda r: F.size(cells(r["line"])))
+    return tables(docs, key, text).select(key, "table_start", (F.size("rows") - 1).cast("long").alias("n_rows"), F.array_max(widths).alias("n_columns"))
+
+
+def _fitted(row: Column, width: Column) -> Column:
+    """Cells cut or padded with empty strings to a width."""
+    return F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)
+
+
+def _rows_under_heads(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, table_start, heads, row_no, cells) of all rows, each with its table's header."""
+    found = tables(docs, key, text).select(key, "table_start", cells(F.get("rows", F.lit(0))["line"]).alias("heads"), F.posexplode("rows").alias("row_no", "r"))
+    return found.select(key, "table_start", "heads", "row_no", cells(F.col("r.line")).alias("cells"))
 
 
 def table_cells(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, table_start, row_no, header, value): short rows are padded with empty strings."""
-    rows = table_rows(docs, key, text)
-    heads = rows.where("row_no = 0").select(key, "table_start", F.col("cells").alias("heads"))
-    body = rows.where("row_no > 0").join(heads, [key, "table_start"])
-    padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.size("heads"))), F.lit(1), F.size("heads"))
-    return body.select(key, "table_start", "row_no", F.explode(F.arrays_zip(F.col("heads").alias("header"), padded.alias("value"))).alias("c")).select(
-        key, "table_start", "row_no", "c.header", "c.value"
-    )
+    body = _rows_under_heads(docs, key, text).where("row_no > 0")
+    pairs = F.arrays_zip(F.col("heads").alias("header"), _fitted(F.col("cells"), F.size("heads")).alias("value"))
+    return body.select(key, "table_start", "row_no", F.explode(pairs).alias("c")).select(key, "table_start", "row_no", "c.header", "c.value")
 
 
 def repaired_rows(docs: DataFrame, key: str, text: str = "text", blank: str = "&nbsp;") -> DataFrame:
     """(key, table_start, row_no, line): rows fitted to the header's width, blank cells filled."""
-    rows = table_rows(docs, key, text)
-    width = F.first(F.size("cells")).over(Window.partitionBy(key, "table_start").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
-    fitted = F.slice(F.concat("cells", F.array_repeat(F.lit(""), width)), F.lit(1), width)
-    filled = F.transform(fitted, lambda c: F.when(c == "", blank).otherwise(c))
+    rows = _rows_under_heads(docs, key, text)
+    filled = F.transform(_fitted(F.col("cells"), F.size("heads")), lambda c: F.when(c == "", blank).otherwise(c))
     return rows.select(key, "table_start", "row_no", F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |")).alias("line"))
 
 
@@ -140,11 +157,12 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def as_json(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, json): {metadata{}, tables[[{}]], text[]} of each document."""
     meta = key_values(docs, key, text).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("metadata"))
-    rows = table_cells(docs, key, text).groupBy(key, "table_start", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("r"))
-    tables = rows.groupBy(key, "table_start").agg(F.sort_array(F.collect_list(F.struct("row_no", F.to_json("r").alias("r")))).alias("rows"))
-    tables = tables.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("table_start", F.col("rows.r").alias("rows")))).alias("t"))
+    found = tables(docs, key, text).select(key, "table_start", "rows", cells(F.get("rows", F.lit(0))["line"]).alias("heads")).where(F.size("rows") > 1)
+    named = lambda r: F.to_json(F.map_from_arrays(F.col("heads"), _fitted(cells(r["line"]), F.size("heads"))))
+    body = F.transform(F.slice("rows", F.lit(2), F.size("rows") - 1), named)
+    held = found.select(key, "table_start", body.alias("rows")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("table_start", "rows"))).alias("t"))
     other = other_text(docs, key, text).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "part", "value")))["value"].alias("text"))
-    joined = docs.select(key).join(meta, key, "left").join(tables, key, "left").join(other, key, "left")
+    joined = docs.select(key).join(meta, key, "left").join(held, key, "left").join(other, key, "left")
     return joined.select(key, F.to_json(F.struct("metadata", F.col("t.rows").alias("tables"), F.coalesce("text", F.array()).alias("text"))).alias("json"))
 
 

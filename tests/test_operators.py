@@ -221,3 +221,28 @@ def test_candidates_by_rule(spark):
     no = ["a", "Name OD", "AGE:45", "DOB:1990", "12/10/2020 X", "10 PM", "10:30 A", "5 days", "500mg", "plain", "VERYLONGUPPERCASE", ""]
     df = spark.createDataFrame([(t, t == "known one") for t in yes + no], "t string, known boolean")
     assert {r["t"] for r in df.where(X.entity_candidate(F.col("t"), F.col("known"))).collect()} == set(yes)
+
+
+def test_tables_are_read_from_their_document_alone(spark):
+    rng = random.Random(3)
+    pieces = ["| a | b |", "|---|", "---", "x", "", "a | b", "|", "| - |", "- | c", "|:-:|"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    rule = lambda s: "-" in s and set(s) <= set(" \t|:-")
+    want = set()
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        start = n = None
+        for p, line in enumerate(lines):
+            if "|" not in line:
+                start = None
+                continue
+            if start is None and not rule(line) and p + 1 < len(lines) and rule(lines[p + 1]):
+                start, n = p, 0
+            if start is not None and not rule(line):
+                want.add((i, start, n, p, line))
+                n += 1
+    docs = spark.createDataFrame([*enumerate(texts), (999, None)], "id long, text string")
+    rows = M.table_rows(docs, "id")
+    assert {tuple(r)[:5] for r in rows.collect()} == want and len(want) > 100
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
