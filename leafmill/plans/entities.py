@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import entities as E
+from leafmill.operators.sized import if_small
 from leafmill.plans.markdown import spelled
 from leafmill.plans.tables import query, table
 from leafmill.sources import catalogs as S
@@ -115,7 +116,7 @@ def entity_candidates(spark, d):
     """Tokens of documents that may be entities; event types and one word are the known codes."""
     codes = table(spark, d, "events").select(F.upper("event_type").alias("code")).union(spark.range(1).select(F.lit("THE"))).distinct()
     tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token")).withColumn("code", F.upper(F.trim("token")))
-    met = tokens.join(codes.withColumn("_met", F.lit(True)), "code", "left").withColumn("known", F.coalesce("_met", F.lit(False)))
+    met = tokens.join(if_small(codes.withColumn("_met", F.lit(True))), "code", "left").withColumn("known", F.coalesce("_met", F.lit(False)))
     return met.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(X.entity_candidate(F.col("token"), F.col("known"))).alias("n_candidates"), F.count_if("known").alias("n_known"))
 
 

@@ -166,3 +166,16 @@ def test_classifier_steps_run_no_more_tasks_than_rows_need(spark, monkeypatch):
     monkeypatch.setattr(C, "_counted", lambda rows, *rest: parts.append(rows.rdd.getNumPartitions()) or plain(rows, *rest))
     C.fit(spark.createDataFrame([("OD", "od"), ("BD", "bd")] * 8, "code string, variant string").repartition(16))
     assert parts == [1]
+
+
+def test_texts_of_few_candidates_and_tokens_are_not_shuffled(spark):
+    from leafmill.plans import entities, retrieval
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (retrieval.reranked(spark, "/root/testdata/sf0.001"), entities.entity_candidates(spark, "/root/testdata/sf0.001")):
+            joins = rows._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
