@@ -1,6 +1,6 @@
 """Streams whose state ends: token assembly, completion barriers and job states by stateful processors.
 
-Each key has an event-time timer that moves with its newest event. A key that finishes gives its row once and keeps
+Each key (a session, a job, or a bucket of jobs) has an event-time timer that moves with its newest event. A key that finishes gives its row once and keeps
 only a mark, so that replays within the idle time give nothing; when the watermark passes the timer, mark and
 state go. A key that never finishes gives one row saying so, and goes too. So the state holds what is open or was
 closed within the idle time, however long the stream runs.
@@ -13,12 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE = "10 minutes"
+BUCKETS = 4096  # of jobs
 MS = "unix_millis(ts) AS ms"  # timers count in these
 
 
@@ -169,53 +172,97 @@ def assembled(tokens: DataFrame, late: str = IDLE, idle: str = IDLE) -> DataFram
     return rows.groupBy("session").transformWithState(TokenAssembly(milliseconds(idle)), "session long, text string, citations array<string>, ended boolean", "Append", "EventTime")
 
 
-class PageBarrier(Ending):
-    """The pages of one job as a bitset; the job is done when all are there."""
+class PageBarrier(StatefulProcessor):
+    """The pages of jobs as bitsets; a job is done when all its pages are there.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self._pages = handle.getValueState("pages", "bits binary, total long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest, pages, total = 0, set(), 0
-        for r in rows:
-            newest = max(newest, r.ms)
-            total = max(total, r.total or 0)
-            if r.page is not None and r.page >= 0:
-                pages.add(r.page)
-        done = False
-        if not self.closed():
-            held = self._pages.get()
-            bits = int.from_bytes(held[0], "little") if held else 0
-            total = max(total, held[1] if held else 0)
-            for p in pages:
-                bits |= 1 << p
-            done = bits.bit_count() >= total > 0
-            if done:
-                yield Row(job=key[0], done=bits.bit_count(), total=total, ended=True)
-                self._pages.clear()
-            else:
-                self._pages.update((bits.to_bytes((bits.bit_length() + 7) // 8, "little"), total))
-        self.touch(newest, done)
-
-    def unfinished(self, key) -> Iterator[Row]:
-        held = self._pages.get()
-        if held:
-            yield Row(job=key[0], done=int.from_bytes(held[0], "little").bit_count(), total=held[1], ended=False)
+    A key is a bucket of jobs, whose states are read and written as one value, since a call for each job costs more than
+    its rows. The bucket's timer is not later than the first job's end; jobs that end leave the bucket.
+    """
 
-    def forget(self) -> None:
-        self._pages.clear()
+    def __init__(self, idle: int) -> None:
+        self._idle = idle
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getValueState("held", "at long, jobs binary")
 
-def completed_once(pages: DataFrame, job: str, total: str, page: str, ts: str, late: str = IDLE, idle: str = IDLE) -> DataFrame:
+    def _read(self) -> tuple[int | None, dict]:
+        """The timer, and by job when it ends, whether it was given, its pages and its total."""
+        held = self._held.get()
+        if not held:
+            return None, {}
+        table = pa.ipc.open_stream(bytes(held[1])).read_all()
+        job, ends, closed, bits, total = (c.to_pylist() for c in table.columns)
+        return held[0], {j: [e, c, int.from_bytes(b, "little"), t] for j, e, c, b, t in zip(job, ends, closed, bits, total, strict=True)}
+
+    def _write(self, timer: int | None, jobs: dict) -> None:
+        if not jobs:
+            self._held.clear()
+            return
+        first = min(j[0] for j in jobs.values())
+        if timer is None or first < timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(first)
+            timer = first
+        ends, closed, bits, total = zip(*jobs.values(), strict=True)
+        kept = [b.to_bytes((b.bit_length() + 7) // 8, "little") for b in bits]
+        table = pa.table({"job": pa.array(list(jobs)), "ends": pa.array(ends, pa.int64()), "closed": pa.array(closed), "bits": pa.array(kept, pa.binary()), "total": pa.array(total, pa.int64())})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as stream:
+            stream.write_table(table)
+        self._held.update((timer, out.getvalue().to_pybytes()))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        timer, jobs = self._read()
+        pages: dict = {}
+        for part in rows:
+            for job, total, page, ms in zip(part["job"].tolist(), part["total"].tolist(), part["page"].tolist(), part["ms"].tolist(), strict=True):
+                held = jobs.get(job)
+                if held is None:
+                    held = jobs[job] = [ms + self._idle, False, 0, 0]
+                elif ms + self._idle > held[0]:
+                    held[0] = ms + self._idle
+                if not held[1]:
+                    if total > held[3]:
+                        held[3] = total
+                    found = pages.setdefault(job, set())
+                    if page >= 0:
+                        found.add(page)
+        done = []
+        for job, found in pages.items():
+            held = jobs[job]
+            for p in found:
+                held[2] |= 1 << p
+            if held[2].bit_count() >= held[3] > 0:
+                done.append((job, held[2].bit_count(), held[3], True))
+                held[1:] = [True, 0, 0]
+        self._write(timer, jobs)
+        yield _given(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = timerValues.getCurrentWatermarkInMs()
+        jobs = self._read()[1]
+        open_ = [(job, bits.bit_count(), total, False) for job, (ends, closed, bits, total) in jobs.items() if ends <= over and not closed]
+        self._write(None, {job: held for job, held in jobs.items() if held[0] > over})
+        yield _given(open_)
+
+
+def _given(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["job", "done", "total", "ended"])
+
+
+def completed_once(pages: DataFrame, job: str, total: str, page: str, ts: str, late: str = IDLE, idle: str = IDLE, buckets: int = BUCKETS) -> DataFrame:
     """(job, done, total, ended): each job once, when all its pages have come, or as not ended when none came any more.
 
-    Pages are numbered from 0 or 1; repeated ones count once; the highest total counts.
+    Pages are numbered from 0 or 1; repeated ones count once; the highest total counts. Jobs are dealt to `buckets` by
+    a hash; a batch rewrites the buckets that it touches, which hold what is open or was closed within the idle time.
     """
-    rows = pages.select(F.col(job).alias("job"), F.col(total).cast("long").alias("total"), F.col(page).cast("long").alias("page"), F.col(ts).alias("ts"))
-    rows = rows.where("job IS NOT NULL AND ts IS NOT NULL").select("*", F.expr(MS)).withWatermark("ts", late)
+    number = lambda c, none: F.coalesce(F.col(c).cast("long"), F.lit(none))
+    rows = pages.select(F.col(job).alias("job"), number(total, 0).alias("total"), number(page, -1).alias("page"), F.col(ts).alias("ts"))
+    rows = rows.where("job IS NOT NULL AND ts IS NOT NULL").select("*", F.expr(MS), F.pmod(F.xxhash64("job"), F.lit(buckets)).alias("bucket")).withWatermark("ts", late)
     kind = pages.schema[job].dataType.simpleString()
-    return rows.groupBy("job").transformWithState(PageBarrier(milliseconds(idle)), f"job {kind}, done long, total long, ended boolean", "Append", "EventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(PageBarrier(milliseconds(idle)), f"job {kind}, done long, total long, ended boolean", "Append", "EventTime")
 
 
 class LatestState(Ending):

@@ -92,3 +92,13 @@ def test_status_changes_end_with_the_latest(spark, tmp_path):
     for job, status, _ in sorted(got, key=lambda r: r[2]):
         last[job] = status
     assert last == twin
+
+
+def test_jobs_share_the_state_of_their_bucket(spark, tmp_path):
+    schema = "job long, page long, total long, t string"
+    pages = [(j, p, 3, at(1)) for j in range(300) for p in range(1, 4) if (j, p) != (7, 2)]
+    random.Random(3).shuffle(pages)
+    batches = [pages[:400], pages[400:] + pages[:100], [(1000, 1, 1, at(300))], [(1001, 1, 1, at(301))]]
+    got, state = played(spark, tmp_path, batches, schema, lambda s: S.completed_once(s, "job", "total", "page", "ts", "30 minutes", "60 minutes", buckets=4), "pages")
+    assert sorted(got) == sorted([(j, 3, 3, True) for j in range(300) if j != 7] + [(7, 2, 3, False), (1000, 1, 1, True), (1001, 1, 1, True)])
+    assert max(state) <= 4 * 3  # not a row for each of the 300 jobs
