@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import annotation, compact_code, entity_candidate, normalize_code
-from leafmill.operators.patterns import mentions, with_mentions
+from leafmill.operators.patterns import marked, mentions, with_mentions
 from leafmill.operators.sized import is_small, shuffled
+from leafmill.sources.shared import folder
 
 ACCEPT = 0.55
 FUZZY_LEAST = 0.7
@@ -305,16 +306,22 @@ def annotate_codes(
     """(key, text) with `[Freq → meaning; Instr → instruction]` behind every mention of a code.
 
     catalog has (code, meaning, instruction). Mentions are those of `codes`, or of the catalog's own, and go through all
-    tiers of `resolve_chain`; those that none resolves stay as they are.
+    tiers of `resolve_chain`; those that none resolves stay as they are. Of several entries of a code the first by text counts.
     """
     known = catalog.select("code") if codes is None else docs.sparkSession.createDataFrame([(c,) for c in codes], "code string")
-    cut = with_mentions(docs.select(key, F.col(text).alias("text")), key, known, "text").select(key, "text", F.posexplode_outer("found").alias("pos", "m"))
     place = lambda start, end: F.substring(F.col("text"), start + 1, end - start)
-    cut = cut.withColumn("raw", place(F.col("m.start"), F.col("m.end")))
-    asked = cut.where("raw IS NOT NULL").select(F.col("raw").alias("id"), F.col("raw").alias("token")).distinct()
-    tier = resolve_chain(asked, catalog, classify).where("code IS NOT NULL").join(catalog, "code").select(F.col("token").alias("raw"), "meaning", "instruction")
-    said = F.concat("raw", F.lit(" [Freq → "), F.coalesce("meaning", F.lit("")), F.lit("; Instr → "), F.coalesce("instruction", F.lit("")), F.lit("]"))
-    shown = cut.join(tier.withColumn("met", F.lit(True)), "raw", "left").withColumn("shown", F.when(F.col("met"), said).otherwise(F.col("raw")))
+    rows = with_mentions(docs.select(key, F.col(text).alias("text")), key, known, "text")
+    # spellings and what is said of them are kept, so that texts are not read anew by each tier
+    spark, raws, said_of = docs.sparkSession, folder(docs.sparkSession, "mentions"), folder(docs.sparkSession, "marks")
+    rows.select(F.explode(F.transform("found", lambda m: place(m["start"], m["end"]))).alias("id")).distinct().withColumn("token", F.col("id")).write.parquet(raws)
+    tier = resolve_chain(spark.read.parquet(raws), catalog, classify).where("code IS NOT NULL").join(catalog, "code")
+    mark = F.concat(F.lit(" [Freq → "), F.coalesce("meaning", F.lit("")), F.lit("; Instr → "), F.coalesce("instruction", F.lit("")), F.lit("]"))
+    tier.groupBy(F.col("token").alias("raw")).agg(F.min(mark).alias("mark")).write.parquet(said_of)
+    tier = spark.read.parquet(said_of)
+    if is_small(tier):
+        return marked(rows, key, "text", {r["raw"]: r["mark"] for r in tier.collect()})
+    cut = rows.select(key, "text", F.posexplode_outer("found").alias("pos", "m")).withColumn("raw", place(F.col("m.start"), F.col("m.end")))
+    shown = cut.join(shuffled(tier), "raw", "left").withColumn("shown", F.concat("raw", F.coalesce("mark", F.lit(""))))
     marks = F.sort_array(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "shown"))))
     gathered = shown.groupBy(key).agg(F.first("text").alias("text"), marks.alias("s"))
     before = lambda m: F.when(m["pos"] > 0, F.get("s", m["pos"] - 1)["end"]).otherwise(0)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 32 << 20
+BLOCK_CHARS = 1 << 20  # of texts that are read as one
+END = "\0"  # between them; no match goes over it
 SEPARATORS = " \t\n\x0b\f\r-"
 MATCH = "array<struct<start:int,end:int,size:int,code:string>>"
 _FIELDS = [("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("code", pa.string())]
@@ -60,28 +62,42 @@ class Codes:
             self._automaton.make_automaton()
         self._empty = not forms
 
-    def matches(self, text: str | None) -> list[Found]:
-        """All matches that stand, also those that overlap."""
-        if not text or self._empty:
-            return []
-        core, kept, chars = compacted(text)
-        out = []
-        gaps = np.diff(kept) - 1
-        for last, (n, found) in self._automaton.iter(core):
-            first = last - n + 1
-            start, end = int(kept[first]), int(kept[last]) + 1
-            if (start and _in_word(chars[start - 1])) or (end < len(chars) and _in_word(chars[end])):
-                continue
-            there = gaps[first:last]
-            wide = {int(i): int(there[i]) for i in np.flatnonzero(there)}
-            for code, demands in found:
-                if wide.keys() <= demands.keys() and all(wide.get(i, 0) >= least for i, least in demands.items()):
-                    out.append((start, end, -len(code), code))
+    def matches(self, texts: list[str | None]) -> list[list[Found]]:
+        """All matches of each text that stand, also those that overlap; the texts are read as one, BLOCK_CHARS at a time."""
+        out: list[list[Found]] = [[] for _ in texts]
+        lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
+        block = (np.cumsum(lengths) - lengths) // BLOCK_CHARS if len(texts) else lengths
+        for lo in np.flatnonzero(np.diff(block, prepend=-1)).tolist() if not self._empty else []:
+            hi = int(np.searchsorted(block, block[lo], "right"))
+            self._read([t or "" for t in texts[lo:hi]], lengths[lo:hi], out[lo:hi])
         return out
 
+    def _read(self, texts: list[str], lengths: np.ndarray, out: list[list[Found]]) -> None:
+        core, kept, chars = compacted(END.join(texts))
+        hits = [(last, *found) for last, found in self._automaton.iter(core)]
+        if not hits:
+            return
+        last, n = (np.array([h[k] for h in hits]) for k in (0, 1))
+        first = last - n + 1
+        start, end = kept[first], kept[last] + 1
+        begins = np.cumsum(lengths + 1) - (lengths + 1)
+        owner = np.searchsorted(begins, start, "right") - 1
+        edge = np.concatenate([chars, [0]])  # what is before the first is what is behind the last
+        stands = ~_in_word(edge[start - 1]) & ~_in_word(edge[end]) & (owner == np.searchsorted(begins, end - 1, "right") - 1)
+        gaps = np.diff(kept) - 1
+        before = np.concatenate([[0], np.cumsum(gaps)])
+        plain = before[last] == before[first]
+        for i in np.flatnonzero(stands).tolist():
+            there = gaps[first[i] : last[i]] if not plain[i] else ()
+            wide = {int(k): int(there[k]) for k in np.flatnonzero(there)} if not plain[i] else {}
+            k = int(owner[i])
+            for code, demands in hits[i][2]:
+                if wide.keys() <= demands.keys() and all(wide.get(g, 0) >= least for g, least in demands.items()):
+                    out[k].append((int(start[i] - begins[k]), int(end[i] - begins[k]), -len(code), code))
+
 
-def _in_word(char: int) -> bool:
-    return 48 <= char <= 57 or 65 <= char <= 90 or 97 <= char <= 122
+def _in_word(chars: np.ndarray) -> np.ndarray:
+    return ((chars >= 48) & (chars <= 57)) | ((chars >= 65) & (chars <= 90)) | ((chars >= 97) & (chars <= 122))
 
 
 def chosen(found: list[Found]) -> list[Found]:
@@ -113,7 +129,7 @@ def _matcher(shared, number: int, final: bool) -> Callable[[Iterator[pa.Array]],
             _automata[number] = Codes(shared.value)
         codes = _automata[number]
         for batch in batches:
-            found = [codes.matches(t.as_py()) for t in batch]
+            found = codes.matches(batch.to_pylist())
             yield _structs([chosen(f) for f in found] if final else found)
 
     return run
@@ -156,3 +172,24 @@ def mentions(docs: DataFrame, key: str, codes: DataFrame, text: str = "text", mo
     """(key, pos, start, end, raw, code) of every mention, in order."""
     rows = with_mentions(docs, key, codes, text, most).select(key, text, F.posexplode("found").alias("pos", "m"))
     return rows.select(key, "pos", "m.start", "m.end", F.substring(F.col(text), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("raw"), "m.code")
+
+
+def marked(rows: DataFrame, key: str, text: str, marks: dict[str, str]) -> DataFrame:
+    """(key, text) of rows with `found`: behind each mention what `marks` says of it, if anything."""
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            yield pa.array([_with_marks(t, f, shared.value) for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+
+    return rows.select(key, _udf(run, "string")(text, "found").alias(text))
+
+
+def _with_marks(text: str | None, found: list[dict] | None, marks: dict[str, str]) -> str | None:
+    if not text or not found:
+        return text
+    out, at = [], 0
+    for m in found:
+        out += [text[at : m["end"]], marks.get(text[m["start"] : m["end"]], "")]
+        at = m["end"]
+    return "".join(out) + text[at:]

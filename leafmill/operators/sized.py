@@ -23,3 +23,10 @@ def if_small(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
 def shuffled(df: DataFrame) -> DataFrame:
     """df marked for a shuffled join: sizes that Spark guesses from files know nothing of compression and exploded rows."""
     return df.hint("merge")
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = 250_000, least: int = 2_000) -> DataFrame:
+    """df by its keys in parts of about so many rows, so that a task's memory doesn't grow with the table; in fewer rows
+    where that gives each core a part, since a small file is one part whatever is made of its rows."""
+    spark, n = df.sparkSession, df.count()
+    return df.repartition(max(1, -(-n // rows), min(spark.sparkContext.defaultParallelism, -(-n // least))), *keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import entities as E
-from leafmill.operators.sized import if_small
+from leafmill.operators.sized import dealt, if_small
 from leafmill.plans.markdown import spelled
 from leafmill.plans.tables import query, table
 from leafmill.sources import catalogs as S
@@ -151,7 +151,7 @@ def entity_predictions(spark, d):
 @register("""SELECT p_partkey AS id, unnest([0, 1]) AS pos, unnest(['view - ' || (p_partkey % 10), 'Click ' || (p_partkey % 7)]) AS raw FROM part""")
 def code_mentions(spark, d):
     """Codes of a dictionary in running text, however blanks and dashes are set; not inside words."""
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part").select("p_partkey"), "p_partkey")
     text = F.concat(F.lit("took view - "), F.col("p_partkey") % 10, F.lit(", preview-1x or (Click "), F.col("p_partkey") % 7, F.lit(") daily"))
     codes = [f"view-{i}" for i in range(10)] + [f"click {i}" for i in range(7)]
     return E.code_mentions(p.select(F.col("p_partkey").alias("id"), text.alias("text")), "id", codes)
@@ -160,7 +160,7 @@ def code_mentions(spark, d):
 @register("""SELECT p_partkey AS id, unnest([0, 1]) AS pos, 'Freq' AS code, unnest(['every ' || (p_partkey % 10) || ' hours; Instr → with water', 'every 3 hours; Instr → with water']) AS meaning FROM part""")
 def annotations_back(spark, d):
     """Annotated mentions, and the table of annotations read back from the text."""
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part").select("p_partkey"), "p_partkey")
     codes = [f"Q{i}H" for i in range(10)]
     catalog = spark.range(10).select(F.concat(F.lit("Q"), "id", F.lit("H")).alias("code"), F.concat(F.lit("every "), "id", F.lit(" hours")).alias("meaning"), F.lit("with water").alias("instruction"))
     docs = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("take q"), F.col("p_partkey") % 10, F.lit("h, then Q3H [note] or Q33H")).alias("text"))

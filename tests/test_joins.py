@@ -159,3 +159,11 @@ def test_equal_names_are_one_entry_that_weighs_as_many(spark, monkeypatch):
     tokens = spark.createDataFrame([("red ring 5x", "red ring 5x"), ("blue bolt 5x", "blue bolt 5x")], "id string, token string")
     want = {r["id"]: (f"ITEM{r['cat_id']}", f"{r['score']:.2f}") for r in E.tfidf_nearest(tokens, *plain(every)).collect()}
     assert got == want and len(got) == 2 and fitted[0].count() == 3
+
+
+def test_texts_read_as_one_keep_their_mentions_apart():
+    texts = ["x Q1H", "Q2 H", None, "", "aQ1H", "Q1", "H q2-h", "q1h\0Q1H", "Q1Hb Q1H"]
+    codes = P.Codes(["Q1H", "Q2 H", "H\0Q1", "Q1\0H"])
+    apart = [codes.matches([t])[0] for t in texts]
+    assert codes.matches(texts) == apart
+    assert apart == [[(2, 5, -3, "Q1H")], [(0, 4, -4, "Q2 H")], [], [], [], [], [(2, 6, -4, "Q2 H")], [(0, 3, -3, "Q1H"), (4, 7, -3, "Q1H")], [(5, 8, -3, "Q1H")]]
