@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.operators.sized import shuffled
+
 WIDE, GAP, OVERLAP, COVER = 0.6, 0.03, 0.3, 0.4
 
 
@@ -37,21 +39,21 @@ def overlap_pairs(boxes: DataFrame, threshold: float = OVERLAP) -> DataFrame:
 
 
 def bands(boxes: DataFrame, page_width: int, page_height: int) -> DataFrame:
-    """(page, band, y_start, y_end): the page cut at the tops and bottoms of wide boxes."""
-    wide = boxes.where(F.col("x2") - F.col("x1") >= WIDE * page_width)
-    edges = wide.select("page", F.explode(F.array("y1", "y2")).alias("y"))
-    ends = boxes.select("page").distinct().select("page", F.explode(F.array(F.lit(0), F.lit(page_height))).alias("y"))
-    w = Window.partitionBy("page").orderBy("y")
-    cuts = edges.unionByName(ends).distinct().withColumn("y_end", F.lead("y").over(w)).where("y_end > y")
-    return cuts.select("page", (F.row_number().over(w) - 1).alias("band"), F.col("y").alias("y_start"), "y_end")
+    """(page, band, y_start, y_end): the page cut at the tops and bottoms of wide boxes. A page is gathered once, its edges alone."""
+    wide = F.col("x2") - F.col("x1") >= WIDE * page_width
+    edges = boxes.groupBy("page").agg(F.flatten(F.collect_list(F.when(wide, F.array("y1", "y2")))).alias("e"))
+    cuts = edges.select("page", F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(F.lit(0), F.lit(page_height)).cast(edges.schema["e"].dataType), "e")))).alias("y"))
+    n = F.size("y") - 1
+    pairs = F.zip_with(F.slice("y", F.lit(1), n), F.slice("y", F.lit(2), n), lambda a, b: F.struct(a.alias("y_start"), b.alias("y_end")))
+    return cuts.select("page", F.posexplode(pairs).alias("band", "b")).select("page", "band", "b.y_start", "b.y_end")
 
 
 def region_bands(boxes: DataFrame, cut: DataFrame) -> DataFrame:
-    """boxes with the first band that holds their centre, band 0 if none does."""
+    """boxes with the first band that holds their centre, band 0 if none does. A box meets the bands of its page as one row."""
     centre = (F.col("y1") + F.col("y2")) / 2
-    met = boxes.join(cut, "page").where((centre >= F.col("y_start")) & (centre <= F.col("y_end")))
-    first = met.groupBy("page", "region").agg(F.min("band").alias("band"))
-    return boxes.join(first, ["page", "region"], "left").withColumn("band", F.coalesce("band", F.lit(0)))
+    lists = cut.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("band", "y_start", "y_end"))).alias("_bands"))
+    met = F.filter("_bands", lambda b: (centre >= b["y_start"]) & (centre <= b["y_end"]))
+    return boxes.join(shuffled(lists), "page", "left").withColumn("band", F.coalesce(F.get(met, F.lit(0))["band"], F.lit(0))).drop("_bands")
 
 
 def reading_order(boxes: DataFrame, page_width: int, page_height: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators import layout as L
+from leafmill.operators.sized import dealt
 from leafmill.plans.tables import query, table
 
 QUERIES: dict = {}
@@ -15,7 +16,8 @@ SIDE = 1000
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("region")).agg(
+    lines = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
+    li = lines.groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("region")).agg(
         F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q")
     )
     wide = F.col("region") % 5 == 0

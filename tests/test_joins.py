@@ -167,3 +167,21 @@ def test_texts_read_as_one_keep_their_mentions_apart():
     apart = [codes.matches([t])[0] for t in texts]
     assert codes.matches(texts) == apart
     assert apart == [[(2, 5, -3, "Q1H")], [(0, 4, -4, "Q2 H")], [], [], [], [], [(2, 6, -4, "Q2 H")], [(0, 3, -3, "Q1H"), (4, 7, -3, "Q1H")], [(5, 8, -3, "Q1H")]]
+
+
+def test_bands_meet_boxes_in_parts_of_bounded_size(spark):
+    from leafmill.operators import layout as L
+    from leafmill.operators.sized import dealt
+
+    rows = [(p, r, 0, 10 * r, 700 if r % 3 == 0 else 100, 10 * r + 5 + p % 4) for p in range(400) for r in range(5)]
+    boxes = dealt(spark.createDataFrame(rows, "page long, region int, x1 long, y1 long, x2 long, y2 long"), "page", rows=100)
+    assert boxes.rdd.getNumPartitions() == 20
+    found = L.region_bands(boxes, L.bands(boxes, 1000, 1000))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # each side is dealt, nothing else moves
+    got = {(r["page"], r["region"]): r["band"] for r in found.collect()}
+
+    def band(page, y1, y2):
+        edges = sorted({0, 1000} | {y for p, _, _, a, x, b in rows if p == page and x >= 600 for y in (a, b)})
+        return next((k for k in range(len(edges) - 1) if edges[k] <= (y1 + y2) / 2 <= edges[k + 1]), 0)
+
+    assert got == {(p, r): band(p, y1, y2) for p, r, _, y1, _, y2 in rows}
