@@ -76,12 +76,12 @@ def completeness(records: DataFrame, fields: DataFrame, key: str) -> DataFrame:
     values if one of its items has a value, a table if it has a row. A field that a record names twice counts twice.
     """
     filled = _filled(F.col("type"), F.col("value"), F.coalesce("items", F.array().cast("array<string>")))
-    met = records.join(if_small(fields), "name").groupBy(key, "name").agg(F.count("*").alias("n"), F.count_if(F.coalesce(filled, F.lit(False))).alias("filled"))
-    sums = met.groupBy(key).agg(F.sum(F.col("n") - 1).alias("again"), F.sum("filled").alias("filled"))
+    met = records.join(if_small(fields.withColumn("_known", F.lit(True))), "name", "left")
+    names = met.groupBy(key, "name").agg(F.count("_known").alias("n"), F.count_if(F.coalesce(F.col("_known") & filled, F.lit(False))).alias("filled"))
+    again = F.sum(F.greatest(F.col("n") - 1, F.lit(0)))
     size = fields.agg(F.count("*").alias("fields"))  # one row
-    counts = records.select(key).distinct().join(sums, key, "left").crossJoin(F.broadcast(size))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return counts.select(key, (F.col("fields") + zero("again")).alias("total"), zero("filled").alias("filled")).withColumn("blank", F.col("total") - F.col("filled"))
+    counts = names.groupBy(key).agg(again.alias("again"), F.sum("filled").alias("filled")).crossJoin(F.broadcast(size))
+    return counts.select(key, (F.col("fields") + F.col("again")).alias("total"), "filled").withColumn("blank", F.col("total") - F.col("filled"))
 
 
 def timeline(events: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import images as I
 from leafmill.operators import models as M
 from leafmill.operators import records as R
+from leafmill.operators.sized import dealt
 from leafmill.plans.tables import query, table
 
 QUERIES: dict = {}
@@ -68,7 +69,7 @@ def fields(spark: SparkSession) -> DataFrame:
 
 
 def customer_records(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
+    c = dealt(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", rows=50_000)  # seven rows are made of each
     k = F.col("c_custkey")
     active = F.when(k % 2 == 0, "checked").otherwise("maybe")
     score = F.when(k % 7 != 0, F.to_json(F.struct((k % 10).cast("string").alias("value"), F.when(k % 10 >= 7, "high").alias("band"))))

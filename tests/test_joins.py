@@ -185,3 +185,19 @@ def test_bands_meet_boxes_in_parts_of_bounded_size(spark):
         return next((k for k in range(len(edges) - 1) if edges[k] <= (y1 + y2) / 2 <= edges[k + 1]), 0)
 
     assert got == {(p, r): band(p, y1, y2) for p, r, _, y1, _, y2 in rows}
+
+
+def test_grams_and_fields_are_counted_where_their_key_is(spark):
+    from leafmill.operators import models as M
+    from leafmill.operators import records as R
+    from leafmill.operators.sized import dealt
+
+    names = spark.createDataFrame([(k, f"name {k % 50}") for k in range(500)] + [(500, ""), (501, None), (502, "ab")], "id long, name string")
+    v = M.hashed_embedding(names, "id", "name")
+    assert v._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert v.count() == 500
+    said = dealt(spark.createDataFrame([(k, n, "x" if k % 2 else " ") for k in range(300) for n in ("a", "b", "other", "a")] + [(300, "none", "x"), (301, None, "x")], "id long, name string, value string"), "id", rows=100)
+    fields = spark.createDataFrame([("a", "text", None), ("b", "text", None), ("c", "text", None)], "name string, type string, items array<string>")
+    done = R.completeness(said, fields, "id")
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in done.collect()} == {(k, 4, 3 * (k % 2), 4 - 3 * (k % 2)) for k in range(300)} | {(300, 3, 0, 3), (301, 3, 0, 3)}
