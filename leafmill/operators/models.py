@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.entities import grams
-from leafmill.operators.sized import if_small
+from leafmill.operators.sized import dealt, if_small
 from leafmill.sources.keyed import BUCKETS, KeyedTable
 
 RETRY_UNDER, SMALL = 0.75, 0.3
@@ -70,8 +70,11 @@ def map_model_resumed(
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(key, v): L2-normalised counts of hashed character 3-grams of names and lines, an embedding without a model."""
-    places = df.select(key, F.explode(grams(F.col(text), 3, 3)).alias("g")).groupBy(key, F.pmod(F.xxhash64("g"), F.lit(size)).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    """(key, v): L2-normalised counts of hashed character 3-grams of names and lines, an embedding without a model.
+
+    Rows are dealt by key to parts of bounded size, in which grams are counted without another shuffle.
+    """
+    places = dealt(df.select(key, text), key, rows=50_000).select(key, F.explode(grams(F.col(text), 3, 3)).alias("g")).groupBy(key, F.pmod(F.xxhash64("g"), F.lit(size)).cast("int").alias("k")).agg(F.count("*").alias("n"))
     gathered = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0)) / F.col("norm"))
     return gathered.select(key, v.alias("v"))
