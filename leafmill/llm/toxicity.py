@@ -3,7 +3,9 @@
 Two zstandard dictionaries are trained with its dictionary builder, one on toxic and one on ordinary text. The
 ordinary one is trained on windows of ordinary texts. The toxic one is the same content followed by what the
 builder finds in samples of toxic text: of each toxic text the words whose document frequency is higher among
-toxic texts than chance explains (a likelihood ratio). Text that both classes share is so compressed alike by
+toxic texts than chance explains (a likelihood ratio) and over LIFT times that among ordinary ones. Without the
+latter, many rows make frequent words significant that differ little, as where toxic texts are longer or of one
+language; they fill the samples, and what is toxic finds no place. Text that both classes share is so compressed alike by
 both, and the distance of a window (WINDOW words, one window from each word on), its compressed length under the
 ordinary dictionary less that under the toxic one, comes from toxic passages: words, parts of words, phrases, digits, in
 any script. A window that shares no run of GRAM bytes (the builder's own unit) with what the toxic dictionary adds has
@@ -44,6 +46,7 @@ WORD_BYTES = 6  # about, with the blank
 MAX_WORDS = 4_000
 MAX_TEXT = 500  # bytes
 LEAST_RATIO = 12.0  # of twice the log likelihood
+LIFT = 12.0
 COMMON_BYTES, TOXIC_BYTES = 65_536, 4_096
 MIN_TRAIN = 8  # samples; the builder needs some
 SEGMENT, GRAM = 16, 6  # bytes: what the builder picks, and the runs that it counts
@@ -236,7 +239,7 @@ def dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
     share = (F.col("a") + F.col("b")) / (ordinary + toxic)
     part = lambda c, of: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * of))).otherwise(0.0)
     ratio = 2 * (part("a", toxic) + part("b", ordinary))
-    typical = counted.where((F.col("a") >= 2) & (F.col("a") / toxic > F.col("b") / ordinary)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    typical = counted.where((F.col("a") >= 2) & (F.col("a") / toxic > LIFT * F.col("b") / ordinary)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
     known = frozenset(r["word"].encode() for r in typical.orderBy(F.desc("ratio"), "word").limit(MAX_WORDS).collect())
     bad = rows.where("toxic = 1").mapInArrow(_toxic_samples(known), "sample binary").collect()
     plain = rows.where("toxic = 0").mapInArrow(_ordinary_windows(min(1.0, WINDOWS * WINDOW * WORD_BYTES / max(1, n[0][1] or 0))), "sample binary").collect()

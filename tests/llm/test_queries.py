@@ -264,6 +264,23 @@ def test_toxicity_learns_words(spark):
     assert len(none) == 402 and all(0 <= r["score"] <= 1 for r in none)
 
 
+def test_frequent_words_of_toxic_texts_leave_room_for_toxic_ones(spark):
+    """Most toxic texts are of one language, so its frequent words differ by more than chance; before, they filled the samples."""
+    rng = random.Random(3)
+    syllables = [["ka", "ro", "mi", "tel", "sun", "da"], ["bo", "le", "fi", "gar", "pen", "su"]]
+    words = [sorted({"".join(rng.choice(s) for _ in range(3)) for _ in range(400)})[:150] for s in syllables]
+    insults = ["wretch", "vermin", "dunce", "oafish", "hideous", "zany", "knave", "hogwash"]
+    rows = []
+    for d in range(1600):
+        toxic = d % 4 == 0
+        of = words[rng.random() < (0.15 if toxic else 0.55)]
+        rows.append((d, " ".join([rng.choice(of) for _ in range(100)] + (rng.sample(insults, 2) if toxic else []) + [rng.choice(of) for _ in range(5)]), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = [r for r in toxicity.score_documents(docs, docs.select("doc_id", "toxic")).collect() if r["held_out"]]
+    bad, good = ([r["predicted"] for r in held if (r["doc_id"] % 4 == 0) == t] for t in (True, False))
+    assert sum(bad) >= 0.9 * len(bad) > 50 and sum(good) <= 0.05 * len(good)
+
+
 def test_quality_rules(docs):
     got = quality_rules.score_documents(docs).collect()
     assert len(got) == 126 and all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in got)
