@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import _words as W
+from leafmill.llm._session import LAST as LAST  # the place of a null doc_id in the order
 from leafmill.llm._session import attach, document_key, original_id, written
 
 WINDOW = 20
